@@ -37,6 +37,15 @@ def test_ids_equal_the_library():
         assert [t.encode()[a:b] for a, b in spans] == [ours.vocabulary[i] for i in ids]
 
 
+def test_merging_together_equals_merging_alone():
+    ranks = op7_bpe.load_ranks(_ranks())
+    pieces = [p for ps in pretok.slices(_texts() + ["thhhenderwhsttion réeuxouan aaaaaaaa"] * 2) for p in ps]
+    ours = op7_bpe.Encoder(ranks)
+    ours.learn([pieces])
+    assert all(list(ours[p][0]) == op7_bpe.merge(p.encode(), ranks) for p in pieces)
+    assert op7_bpe._merge_long([bytes([b]) for b in b"thender" * 60], ranks) == op7_bpe.PairTable(ranks).merge([b"thender" * 60])[0]
+
+
 def test_query_handles_nulls_and_extra_columns(spark):
     rows = [(1, "it's  fine", 5), (1, "it's  fine", 5), (None, None, 0), (2, "", 1), (3, "é" * 3000, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")

@@ -55,8 +55,8 @@ def _step(kind: int, state: int) -> tuple[int, bool]:
 
 
 @lru_cache(1)
-def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The products of the classes' functions: ids by class, the table of products, value at FRESH, constancy."""
+def monoid() -> tuple[bytes, bytes, bytes, np.ndarray]:
+    """The products of the classes' functions: element by class, by pair (first * 16 + second), value at FRESH, constancy."""
     gens = [tuple(_step(k, s)[0] for s in range(8)) for k in range(9)]
     ids: dict[tuple, int] = {}
     todo = list(dict.fromkeys(gens))
@@ -66,15 +66,44 @@ def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             ids[f] = len(ids)
             todo += [tuple(g[x] for x in f) for g in gens]
     fs = list(ids)
-    product = np.array([[ids[tuple(g[x] for x in f)] for g in fs] for f in fs], np.uint8)
-    value = np.array([f[FRESH] for f in fs], np.uint8)
-    constant = np.array([len(set(f)) == 1 for f in fs])
-    return np.array([ids[g] for g in gens], np.uint8), product, value, constant
+    assert len(fs) <= 16
+    product = bytearray(256)
+    for f in fs:
+        for g in fs:
+            product[ids[f] * 16 + ids[g]] = ids[tuple(g[x] for x in f)]
+    pad = bytes(256 - len(fs))
+    value = bytes(f[FRESH] for f in fs) + pad
+    constant = np.array([len(set(f)) == 1 for f in fs] + [True] * (16 - len(fs)))
+    return bytes(ids[g] for g in gens) + bytes(247), bytes(product), value, constant
 
 
 @lru_cache(1)
-def starts_table() -> np.ndarray:
-    return np.array([[_step(k, s)[1] for s in range(8)] for k in range(9)])
+def starts_table() -> bytes:
+    """Whether a token starts, by class * 8 + state."""
+    return bytes(_step(k, s)[1] for k in range(9) for s in range(8)) + bytes(184)
+
+
+def _look_up(index: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(index.tobytes().translate(table), np.uint8)
+
+
+def state_before(kinds: np.ndarray) -> np.ndarray:
+    """The automaton's state before every code point: an inclusive doubling scan of composed functions."""
+    of_class, product, value, constant = monoid()
+    scan = _look_up(kinds, of_class).copy()
+    width = 1
+    while width < len(scan) and width <= 2:  # after two doublings nearly all functions are constant
+        scan[width:] = _look_up(scan[:-width] << 4 | scan[width:], product)
+        width *= 2
+    open_ = np.flatnonzero(~constant[scan]) if len(scan) else scan
+    table = np.frombuffer(product, np.uint8)
+    while len(open_ := open_[open_ >= width]):
+        scan[open_] = table[scan[open_ - width] << 4 | scan[open_]]
+        open_ = open_[~constant[scan[open_]]]
+        width *= 2
+    before = np.empty(len(scan), np.uint8)
+    before[:1], before[1:] = FRESH, _look_up(scan[:-1], value)
+    return before
 
 
 def classify(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
@@ -102,55 +131,64 @@ def classify(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return kinds
 
 
-def token_starts(texts: list[str]) -> list[np.ndarray]:
-    """For each text the code point offsets at which its tokens start, and its length at the end."""
-    joined = "\x00".join(texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _scan(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the texts with a separator after each but the last, the token starts, the separators."""
+    points = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    firsts = np.concatenate([[0], np.cumsum(lengths[:-1] + 1)]) if len(texts) else np.zeros(0, np.int64)
-    seps = firsts[1:] - 1
-    if not len(points):
-        return [np.zeros(1, np.int64) for _ in texts]
+    seps = np.cumsum(lengths[:-1] + 1) - 1
     kinds = classify(points, seps)
-    of_class, product, value, constant = monoid()
-    scan = of_class[kinds]
-    width = 1
-    open_ = np.flatnonzero(~constant[scan])
-    while len(open_) and width < len(scan):
-        open_ = open_[open_ >= width]
-        scan_before = scan[open_ - width]
-        scan[open_] = product[scan_before, scan[open_]]
-        # a composed function that has become constant needs no more; the others double their reach
-        open_ = open_[~constant[scan[open_]]]
-        width *= 2
-    before = np.empty(len(scan), np.uint8)
-    before[0], before[1:] = FRESH, value[scan[:-1]]
-    starts = np.flatnonzero(starts_table()[kinds, before])
-    cuts = np.searchsorted(starts, firsts)
-    ends = np.append(cuts[1:], len(starts))
-    out = []
-    for i, (a, b) in enumerate(zip(cuts, ends)):
-        own = starts[a:b] - firsts[i]
-        # the separator after a text counts as a start: it is the text's end
-        out.append(own if i + 1 < len(texts) else np.append(own, lengths[i]))
-    return out
+    starts = np.flatnonzero(_look_up(kinds << 3 | state_before(kinds), starts_table()))
+    return points, starts, seps
 
 
-def slices(texts: list[str], most: int = 4_000_000):
-    """For each text its list of pre-tokens, in blocks of about ``most`` code points."""
+def token_starts(texts: list[str]) -> list[np.ndarray]:
+    """For each text the code point offsets at which its tokens start, and its length at the end."""
+    points, starts, seps = _scan(texts)
+    firsts = np.concatenate([[0], seps + 1]).astype(np.int64)
+    lasts = np.append(seps, len(points))
+    # the separator after a text counts as a start: it is the text's end
+    starts = np.append(starts, len(points))
+    return [starts[np.searchsorted(starts, a) : np.searchsorted(starts, b) + 1] - a for a, b in zip(firsts, lasts)]
+
+
+#: Surrogates stand in no text, so they can mark where tokens and texts begin.
+TOKEN_MARK, TEXT_MARK = 0xD800, 0xD801
+
+
+def blocks(texts: list[str], most: int = 4_000_000):
+    """Blocks of about ``most`` code points: for each text of a block its list of pre-tokens."""
     block: list[str] = []
     held = 0
     for t in texts:
         block.append(t)
         held += len(t) + 1
         if held >= most:
-            yield from _slices(block)
+            yield list(_slices(block))
             block, held = [], 0
     if block:
-        yield from _slices(block)
+        yield list(_slices(block))
+
+
+def slices(texts: list[str], most: int = 4_000_000):
+    """For each text its list of pre-tokens."""
+    for block in blocks(texts, most):
+        yield from block
 
 
 def _slices(texts: list[str]):
-    for t, at in zip(texts, token_starts(texts)):
-        at = at.tolist()
-        yield [t[a:b] for a, b in zip(at, at[1:])]
+    points, starts, seps = _scan(texts)
+    points = points.copy()
+    points[seps] = TEXT_MARK
+    marks = np.zeros(len(points), bool)
+    marks[starts] = True
+    marks[seps] = False
+    marks = np.flatnonzero(marks)
+    marked = np.empty(len(points) + len(marks), np.uint32)
+    at = marks + np.arange(len(marks))
+    rest = np.ones(len(marked), bool)
+    rest[at] = False
+    marked[at] = TOKEN_MARK
+    marked[rest] = points
+    token, text = chr(TOKEN_MARK), chr(TEXT_MARK)
+    for t in marked.tobytes().decode("utf-32-le", "surrogatepass").split(text):
+        yield t[1:].split(token) if t else []
