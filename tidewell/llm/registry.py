@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import op7_bpe
+from tidewell.llm import op4_packing, op7_bpe
 
 
 def _modules():
-    return [op7_bpe]
+    return [op4_packing, op7_bpe]
 
 
 def queries() -> dict:
