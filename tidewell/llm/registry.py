@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import op4_packing, op7_bpe
+from tidewell.llm import op4_packing, op7_bpe, op9_secrets
 
 
 def _modules():
-    return [op4_packing, op7_bpe]
+    return [op4_packing, op7_bpe, op9_secrets]
 
 
 def queries() -> dict:
