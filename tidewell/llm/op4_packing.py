@@ -30,7 +30,7 @@ NAME = "op4_packing"
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 END_ID = 1
-#: Distinct pre-tokens held by a task at once.
+#: Distinct pre-tokens held by a task in each of two generations.
 CACHE_ENTRIES = 600_000
 BLOCK = 2_000_000
 #: The linear program ends once its bound is within this share of its value.
@@ -50,13 +50,17 @@ class PieceCache(dict):
         super().__init__()
         self.tokenizer, self.entries = Tokenizer.from_str(tokenizer_json), entries
         self.tokenizer.encode_special_tokens = True
+        self.older: dict[str, bytes] = {}
 
     def learn(self, block: list[list[str]]) -> None:
         lacking: set[str] = set().union(*block).difference(self)
         if len(self) + len(lacking) > self.entries:
+            self.older = dict(self)
             self.clear()
             lacking = set().union(*block)
-        pieces = list(lacking)
+        kept = lacking & self.older.keys()
+        self.update((p, self.older[p]) for p in kept)
+        pieces = list(lacking - kept)
         for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
             self[p] = np.array(e.ids, "<u4").tobytes()
 
