@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import op1_line_dedup, op2_toxicity, op3_fingerprints, op4_packing, op5_quality, op6_extraction, op7_bpe, op8_jaccard_join, op9_secrets
+from tidewell.llm import op1_line_dedup, op2_toxicity, op3_fingerprints, op4_packing, op5_quality, op6_extraction, op7_bpe, op8_jaccard_join, op9_secrets, op10_neighbours
 
 
 def _modules():
-    return [op1_line_dedup, op2_toxicity, op3_fingerprints, op4_packing, op5_quality, op6_extraction, op7_bpe, op8_jaccard_join, op9_secrets]
+    return [op1_line_dedup, op2_toxicity, op3_fingerprints, op4_packing, op5_quality, op6_extraction, op7_bpe, op8_jaccard_join, op9_secrets, op10_neighbours]
 
 
 def queries() -> dict:
