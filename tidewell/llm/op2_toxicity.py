@@ -241,6 +241,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below ``limit``."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        scores = Scores(m.units)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield batch.filter(pa.array([m.score(m.evidence(t or "", scores)[0]) < limit for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -318,8 +318,8 @@ def links(members: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "sid binary, root binary, links long, texts long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest id of the class), links (documents at the threshold), linked_texts (distinct other shingle sets)."""
+def classes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey (text hash), class_id, links, linked_texts of every row."""
     rows = cut(read_sets(docs))
     reps = rows.where("sid is not null").groupBy("sid").agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.min("tkey").alias("tkey")
@@ -334,13 +334,15 @@ def join(docs: DataFrame) -> DataFrame:
     counts = linked.groupBy("sid").agg(F.sum("links").alias("links"), F.sum("texts").alias("linked_texts"))
     with_ids = classes.join(reps.select(F.col("sid").alias("v"), "first_id"), "v")
     ids = with_ids.groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    final = with_ids.join(ids, "comp").select(F.col("v").alias("sid"), "class_id").join(counts, "sid", "left")
+    final = with_ids.join(ids, "comp").select(F.col("v").alias("sid"), "class_id", F.col("comp").alias("class")).join(counts, "sid", "left")
     of_sets = reps.select("sid", "copies", "first_id").join(final, "sid", "left")
     return (
-        rows.select("doc_id", "sid")
+        rows.select("doc_id", "tkey", "sid")
         .join(of_sets, "sid", "left")
         .select(
             "doc_id",
+            "tkey",
+            F.coalesce("class", "sid").alias("class"),
             F.coalesce("class_id", "first_id", "doc_id").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("links"),
             F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"),
@@ -348,5 +350,25 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (smallest id of the class), links (documents at the threshold), linked_texts (distinct other shingle sets)."""
+    return classes_of(docs).drop("tkey", "class")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one for each class: that of the smallest id. Rows without words all stay."""
+    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("tkey").alias("t"))
+    found = classes_of(docs).where("class is not null").select("doc_id", "tkey", "class", order.alias("at"))
+    found = cut(found)
+    first = found.groupBy("class").agg(F.min("at").alias("first"))
+    gone = found.join(first, "class").where(F.col("at") != F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key")).distinct()
+    d = docs.withColumn("tkey_", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = d.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("tkey_") == F.col("gone_key")), "left_anti")
+    # repeated rows of the document that stays are copies of it, too
+    words = F.coalesce("text", F.lit("")).rlike(r"[\p{L}\p{N}_]")
+    some, none = kept.where(words), kept.where(~words)
+    return some.dropDuplicates(["doc_id", "tkey_"]).union(none).drop("tkey_")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

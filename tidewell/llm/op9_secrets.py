@@ -151,18 +151,19 @@ def battery(run: Column) -> Column:
     return let(F.split(run, ""), with_chars)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and tested runs of every text; the text itself goes no further."""
+def scan(docs: DataFrame, carried: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
+    """Base spans and tested runs of every text, beside the ``carried`` columns; by default the text goes no further."""
     text = F.col("text")
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    carried = [f"`{c}`" for c in carried]
+    d = docs.withColumn("text", F.coalesce("text", F.lit("")))
     assign = spans_of(text, "assign", ASSIGN, text.rlike(ASSIGN), 2)
     access = spans_of(text, "access", ACCESS, F.contains(text, F.lit("AKIA")))
     hexes = spans_of(text, "hex", "[0-9a-f]{24,}", text.rlike("[0-9a-f]{24}"))
     runs = spans_of(text, "random", RUN, text.rlike(RUN))
-    d = d.select("doc_id", "text", assign.alias("a"), access.alias("b"), hexes.alias("c"), runs.alias("r"))
+    d = d.withColumns({"base_a": assign, "base_b": access, "base_c": hexes, "runs_": runs})
     tested = F.transform(
         F.filter(
-            "r",
+            "runs_",
             lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
         ),
         lambda r: F.struct(
@@ -172,8 +173,8 @@ def scan(docs: DataFrame) -> DataFrame:
             battery(F.substring(F.col("text"), r["start"].cast("int") + 1, (r["end"] - r["start"]).cast("int"))).alias("t"),
         ),
     )
-    d = d.withColumn("base", F.array_sort(F.concat("a", "b", "c")))
-    return d.select("doc_id", "base", tested.alias("tested"))
+    d = d.withColumn("base", F.array_sort(F.concat("base_a", "base_b", "base_c")))
+    return d.select(*carried, "base", tested.alias("tested"))
 
 
 def passes(t: Column) -> Column:
@@ -223,5 +224,32 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of its text replaced by ``mark``; overlapping spans are one."""
+    scanned = cut(scan(docs, docs.columns))
+    limit = discovery_limit(scanned)
+    found = F.filter("tested", lambda r: passes(r["t"]) & (r["t"]["log_prose"] <= F.lit(limit)))
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    spans = F.array_sort(F.concat(F.transform("base", lambda s: span(s["start"], s["end"])), F.transform(found, lambda s: span(s["start"], s["end"]))))
+
+    def joined(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        apart = (F.size(done) == 0) | (F.get(done, F.size(done) - 1)["end"] < s["start"])
+        return F.when(apart, F.concat(done, F.array(s))).otherwise(
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(span(last["start"], F.greatest(last["end"], s["end"]))))
+        )
+
+    merged = F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), joined)
+    text = F.col("text")
+
+    def rebuilt(m: Column) -> Column:
+        gaps = F.transform(m, lambda s, i: F.substring(text, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(m, i - 1)["end"], F.lit(0))))
+        rest = F.substring(text, F.element_at(m, -1)["end"] + 1, F.length(text))
+        return F.array_join(F.concat(gaps, F.array(rest)), mark)
+
+    new = F.when((F.size("base") == 0) & (F.size(found) == 0), text).otherwise(let(merged, rebuilt))
+    return scanned.withColumn("text", new).drop("base", "tested")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
