@@ -1,25 +1,361 @@
-"""Registered queries over the driver tables, each beside the SQL that states the same result."""
+"""Registered queries over the driver tables, each beside the SQL that states the same result.
+
+Three signals are read from the tables: events (a stream a type, ordered by time), vectors (a stream a
+vector, its components in order) and order lines (a stream an order, two channels).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions import headers, levels
+from tidewell.model import AudioFormat, Rational, rescale_pts
+from tidewell.operators import codecs, forkjoin, framing, processors
+
 FLAGSHIP = "gain_i16_saturating"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def events(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id", "value")
+    at = F.col("ts").cast("timestamp").cast("double")
+    numbered = framing.number_rows(e, ["event_type"], ["ts", "event_id"], at)
+    return numbered.select(F.col("event_type").alias("stream_id"), F.lit(0).alias("ch"), F.col("n").cast("bigint"), F.col("value").alias("v"))
+
+
+def vectors(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    out = v.select(F.col("vec_id").cast("string").alias("stream_id"), F.lit(0).alias("ch"), F.posexplode("embedding").alias("n", "v"))
+    return out.select("stream_id", "ch", F.col("n").cast("bigint"), F.col("v").cast("double"))
+
+
+def lines(spark, sf_dir):
+    """Two channels an order; line numbers are the order within it."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    # an order has seven lines at most, so its positions are a small sorted array
+    by_order = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))).alias("s"))
+    rows = by_order.select("l_orderkey", F.posexplode("s").alias("n", "x"))
+    two = F.array(F.struct(F.lit(0).alias("ch"), F.col("x.l_quantity").alias("v")), F.struct(F.lit(1).alias("ch"), F.col("x.l_extendedprice").alias("v")))
+    return rows.select(F.col("l_orderkey").cast("string").alias("stream_id"), F.col("n").cast("bigint"), F.explode(two).alias("c")).select(
+        "stream_id", "c.ch", "n", F.col("c.v").cast("double").alias("v")
+    )
+
+
+E = "e AS (SELECT event_type AS stream_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, value AS v FROM events)"
+V = "e AS (SELECT CAST(vec_id AS VARCHAR) AS stream_id, generate_subscripts(embedding, 1) - 1 AS n, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+L = """l AS (SELECT CAST(l_orderkey AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) - 1 AS n,
+ CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS p FROM lineitem),
+e AS (SELECT stream_id, 0 AS ch, n, q AS v FROM l UNION ALL SELECT stream_id, 1 AS ch, n, p AS v FROM l)"""
+
+
+def rounded(df, digits=6):
+    return df.select("stream_id", "n", F.round("v", digits).alias("v"))
+
+
+def as_i16(samples, factor=60.0):
+    return samples.withColumn("v", levels.quantise(F.col("v") * factor, "i16"))
+
+
+@query("SELECT event_id, CAST(least(greatest(round(round(value * 100) * 1.5::DOUBLE), -32768), 32767) AS INTEGER) AS v FROM events")
 def gain_i16_saturating(spark, sf_dir):
-    """Events as 16-bit samples, gained by 1.5 with saturation."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    v = F.round(F.round(F.col("value") * 100) * 1.5)
-    return e.select("event_id", F.least(F.greatest(v, F.lit(-32768.0)), F.lit(32767.0)).cast("int").alias("v"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(F.col("value") * 100).alias("v"))
+    return e.select("event_id", processors.gained(F.col("v"), 1.5, "i16").cast("int").alias("v"))
+
+
+@query(f"WITH {V} SELECT stream_id, n, round(v * -2.5::DOUBLE, 6) AS v FROM e")
+def gain_f64(spark, sf_dir):
+    return rounded(processors.gain(vectors(spark, sf_dir), -2.5))
+
+
+@query(f"WITH {V} SELECT stream_id, n, CAST(least(greatest(round((round(v * 300) - 128) * 2 + 128), 0), 255) AS INTEGER) AS v FROM e")
+def gain_u8_offset(spark, sf_dir):
+    s = vectors(spark, sf_dir).withColumn("v", F.round(F.col("v") * 300))
+    return processors.gain(s, 2.0, "u8").select("stream_id", "n", F.col("v").cast("int").alias("v"))
+
+
+@query(f"WITH {E} SELECT stream_id, n, round(pow(10::DOUBLE, 20 * log10(v) * 0.05::DOUBLE), 6) AS v FROM e")
+def db_roundtrip(spark, sf_dir):
+    return rounded(events(spark, sf_dir).withColumn("v", levels.db_to_lin(levels.lin_to_db(F.col("v")))))
+
+
+@query(f"""WITH {E}, d AS (SELECT stream_id, n, 20 * log10(v / 490.02::DOUBLE) AS x FROM e)
+SELECT stream_id, n, round(CASE WHEN x < -30 THEN x + 30 WHEN x < -14 THEN 0 WHEN x > -6 THEN -0.75::DOUBLE * (x + 10)
+ ELSE -0.75::DOUBLE * (x + 14) * (x + 14) / 16 END, 6) AS v FROM d""")
+def knee_curve(spark, sf_dir):
+    d = levels.Dynamics(48000, threshold_db=-10, knee_width_db=8, ratio=4, expansion_ratio=2, expansion_threshold_db=-30)
+    s = events(spark, sf_dir)
+    return rounded(s.withColumn("v", levels.curve_db(levels.lin_to_db(F.col("v") / 490.02), d)))
+
+
+@query(f"WITH {E} SELECT stream_id, n + 10 AS n, v FROM e UNION ALL SELECT s.stream_id, r.range AS n, 0 AS v FROM (SELECT DISTINCT stream_id FROM e) s, range(10) r")
+def delay_10(spark, sf_dir):
+    return processors.delay(events(spark, sf_dir), 10, 1000).select("stream_id", "n", "v")
+
+
+TAPS3 = "0.2::FLOAT::DOUBLE", "0.5::FLOAT::DOUBLE", "-0.1::FLOAT::DOUBLE"
+
+
+@query(f"""WITH {E} SELECT stream_id, n, round(v * {TAPS3[0]} + coalesce(lag(v, 1) OVER w, 0) * {TAPS3[1]} + coalesce(lag(v, 2) OVER w, 0) * {TAPS3[2]}, 6) AS v
+FROM e WINDOW w AS (PARTITION BY stream_id ORDER BY n)""")
+def fir_3tap(spark, sf_dir):
+    return rounded(processors.fir(events(spark, sf_dir), [0.2, 0.5, -0.1]))
+
+
+@query(f"WITH {E} SELECT stream_id, n, round(0.125::DOUBLE * sum(v) OVER (PARTITION BY stream_id ORDER BY n ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 5) AS v FROM e")
+def fir_boxcar8(spark, sf_dir):
+    return rounded(processors.fir(events(spark, sf_dir), [0.125] * 8, block=512), 5)
+
+
+@query(f"""WITH {E}, k AS (SELECT range AS k, (1.0::DOUBLE / (range + 1))::FLOAT::DOUBLE AS h FROM range(40))
+SELECT a.stream_id, a.n, round(sum(k.h * b.v), 4) AS v FROM e a CROSS JOIN k JOIN e b ON b.stream_id = a.stream_id AND b.n = a.n - k.k GROUP BY ALL""")
+def fir_many_taps(spark, sf_dir):
+    return rounded(processors.fir(events(spark, sf_dir), [1 / (k + 1) for k in range(40)], block=1024), 4)
+
+
+@query(f"""WITH RECURSIVE {E}, r AS (SELECT stream_id, n, 0.1::FLOAT::DOUBLE * v AS y FROM e WHERE n = 0
+UNION ALL SELECT e.stream_id, e.n, 0.1::FLOAT::DOUBLE * e.v - (-0.9)::FLOAT::DOUBLE * r.y FROM r JOIN e ON e.stream_id = r.stream_id AND e.n = r.n + 1)
+SELECT stream_id, n, round(y, 6) AS v FROM r""")
+def iir_onepole(spark, sf_dir):
+    return rounded(processors.iir(events(spark, sf_dir), [0.1], [1.0, -0.9], block=700))
+
+
+@query(f"""WITH RECURSIVE {E}, r AS (SELECT stream_id, n, v * 0.25::DOUBLE AS y, 0::DOUBLE AS y1, v AS x, 0::DOUBLE AS x1 FROM e WHERE n = 0
+UNION ALL SELECT e.stream_id, e.n, 0.25::DOUBLE * e.v + 0.5::DOUBLE * r.x + 0.25::DOUBLE * r.x1 + 0.75::DOUBLE * r.y - 0.25::DOUBLE * r.y1, r.y, e.v, r.x
+ FROM r JOIN e ON e.stream_id = r.stream_id AND e.n = r.n + 1) SELECT stream_id, n, round(y, 6) AS v FROM r""")
+def iir_biquad(spark, sf_dir):
+    return rounded(processors.iir(events(spark, sf_dir), [0.5, 1.0, 0.5], [2.0, -1.5, 0.5]))
+
+
+@query(f"""WITH RECURSIVE {E}, x AS (SELECT stream_id, n, v / 490.02::DOUBLE AS x, exp(-1 / (0.001::DOUBLE * 48000)) AS a, exp(-1 / (0.005::DOUBLE * 48000)) AS d FROM e),
+r AS (SELECT stream_id, n, (1 - a) * x AS env, x FROM x WHERE n = 0
+UNION ALL SELECT x.stream_id, x.n, CASE WHEN x.x >= r.env THEN x.a * r.env + (1 - x.a) * x.x ELSE x.d * r.env + (1 - x.d) * x.x END, x.x
+ FROM r JOIN x ON x.stream_id = r.stream_id AND x.n = r.n + 1),
+l AS (SELECT stream_id, n, x, 20 * log10(greatest(env, 1e-12::DOUBLE)) AS l FROM r)
+SELECT stream_id, n, round(x * pow(10::DOUBLE, (CASE WHEN l < -40 THEN l + 40 WHEN l < -15 THEN 0 WHEN l > -9 THEN -0.75::DOUBLE * (l + 12)
+ ELSE -0.75::DOUBLE * (l + 15) * (l + 15) / 12 END + 3) * 0.05::DOUBLE), 6) AS v FROM l""")
+def compressor(spark, sf_dir):
+    d = levels.Dynamics(48000, threshold_db=-12, knee_width_db=6, ratio=4, expansion_ratio=2, expansion_threshold_db=-40, attack_time=0.001, release_time=0.005, master_gain_db=3)
+    s = events(spark, sf_dir).withColumn("v", F.col("v") / 490.02)
+    return rounded(processors.compressor(s, d, precision="f64"))
+
+
+def resample_sql(rate_in: int, rate_out: int) -> str:
+    return f"""WITH {V}, m AS (SELECT stream_id, (count(*) * {rate_out} + {rate_in // 2}) // {rate_in} AS m, count(*) AS len FROM e GROUP BY 1),
+g AS (SELECT stream_id, len, k, floor(k * ({rate_in}::DOUBLE / {rate_out})) AS i, k * ({rate_in}::DOUBLE / {rate_out}) AS at FROM (SELECT stream_id, len, unnest(range(m)) AS k FROM m))
+SELECT g.stream_id, g.k AS n, round(CASE WHEN g.i + 1 >= g.len THEN z.v ELSE a.v + (b.v - a.v) * (g.at - g.i) END, 6) AS v FROM g
+JOIN e z ON z.stream_id = g.stream_id AND z.n = g.len - 1 LEFT JOIN e a ON a.stream_id = g.stream_id AND a.n = g.i LEFT JOIN e b ON b.stream_id = g.stream_id AND b.n = g.i + 1"""
+
+
+@query(resample_sql(1, 2))
+def resample_2x(spark, sf_dir):
+    return rounded(processors.resample(vectors(spark, sf_dir), 1, 2))
+
+
+@query(resample_sql(3, 2))
+def resample_3_2(spark, sf_dir):
+    return rounded(processors.resample(vectors(spark, sf_dir), 3, 2))
+
+
+@query(resample_sql(44100, 48000))
+def resample_44100_48000(spark, sf_dir):
+    return rounded(processors.resample(vectors(spark, sf_dir), 44100, 48000))
+
+
+def chunk_view(df):
+    return df.select("stream_id", "chunk", F.size("values").alias("nb"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+CHUNKS = f"WITH {E} SELECT stream_id, n // 100 AS chunk, count(*)::INTEGER AS nb, round(sum(v), 4) AS total FROM e GROUP BY 1, 2"
+
+
+@query(CHUNKS)
+def rechunk_emit(spark, sf_dir):
+    return chunk_view(framing.rechunk(events(spark, sf_dir), 100, "emit"))
+
+
+@query(CHUNKS + " HAVING count(*) = 100")
+def rechunk_drop(spark, sf_dir):
+    return chunk_view(framing.rechunk(events(spark, sf_dir), 100, "drop"))
+
+
+@query(CHUNKS.replace("count(*)::INTEGER", "100::INTEGER"))
+def rechunk_pad(spark, sf_dir):
+    return chunk_view(framing.rechunk(events(spark, sf_dir), 100, "pad"))
+
+
+def order_frames(spark, sf_dir):
+    """A frame a line: as many samples as its quantity, stamped by its part key's parity so that some do not continue."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    # line numbers repeat within an order here, so frames are numbered by all that orders them; an order has few lines
+    first = framing.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    f = items.withColumn("seq", F.row_number().over(first).cast("bigint")).select(
+        F.col("l_orderkey").cast("string").alias("stream_id"), "seq", F.col("l_quantity").cast("bigint").alias("nb_samples"), "l_partkey"
+    )
+    w = framing.Window.partitionBy("stream_id").orderBy("seq")
+    start = F.sum("nb_samples").over(w) - F.col("nb_samples")
+    return f.select("stream_id", "seq", "nb_samples", F.when(F.col("l_partkey") % 7 == 0, start + 1).otherwise(start).alias("pts"))
+
+
+FRAMES_SQL = """o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq FROM lineitem),
+f AS (SELECT CAST(l_orderkey AS VARCHAR) AS stream_id, seq, CAST(l_quantity AS BIGINT) AS nb,
+ sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY seq) AS e, l_partkey FROM o),
+g AS (SELECT *, e - nb AS s, CASE WHEN l_partkey % 7 = 0 THEN e - nb + 1 ELSE e - nb END AS pts FROM f)"""
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT stream_id, CAST(seq AS BIGINT) AS seq, coalesce(pts = lag(pts + nb) OVER w, row_number() OVER w = 1) AS continues FROM g
+WINDOW w AS (PARTITION BY stream_id ORDER BY seq)""")
+def pts_gap(spark, sf_dir):
+    return framing.pts_breaks(order_frames(spark, sf_dir)).select("stream_id", "seq", "continues")
+
+
+@query(f"""WITH RECURSIVE {FRAMES_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS k FROM g),
+r AS (SELECT stream_id, k, s, e, pts AS base, s AS base_at FROM q WHERE k = 1
+ UNION ALL SELECT q.stream_id, q.k, q.s, q.e, CASE WHEN q.s % 10 = 0 THEN q.pts WHEN r.base IS NULL THEN NULL WHEN r.base + (q.s - r.base_at) = q.pts THEN r.base ELSE NULL END,
+  CASE WHEN q.s % 10 = 0 THEN q.s ELSE r.base_at END FROM r JOIN q ON q.stream_id = r.stream_id AND q.k = r.k + 1)
+SELECT stream_id, chunk, CAST(base + (chunk * 10 - base_at) AS BIGINT) AS pts FROM (SELECT *, unnest(range(CAST(s // 10 AS BIGINT), CAST(e // 10 AS BIGINT))) AS chunk FROM r)""")
+def chunk_pts(spark, sf_dir):
+    return framing.chunk_pts(order_frames(spark, sf_dir), 10)
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(((l_partkey - 1000) * 90000) // 44100 AS BIGINT) AS pts FROM lineitem")
+def pts_rescale(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return items.select("l_orderkey", "l_linenumber", rescale_pts(F.col("l_partkey").cast("bigint") - 1000, Rational(1, 44100), Rational(1, 90000)).alias("pts"))
+
+
+def branches():
+    return [lambda s: processors.gain(s, 0.5), lambda s: processors.gain(s, -2.0), processors.identity]
+
+
+def mixed(reducer):
+    def run(spark, sf_dir):
+        return rounded(forkjoin.mix(vectors(spark, sf_dir), branches(), reducer))
+
+    return run
+
+
+for _name, _reducer, _sql in [
+    ("mix_sum_w", forkjoin.total([0.2, 0.3, 0.5]), "v * 0.5::DOUBLE * 0.2::DOUBLE + v * -2 * 0.3::DOUBLE + v * 0.5::DOUBLE"),
+    ("mix_product", forkjoin.product(), "v * 0.5::DOUBLE * (v * -2) * v"),
+    ("mix_mean", forkjoin.mean(), "(v * 0.5::DOUBLE + v * -2 + v) / 3"),
+    ("mix_max", forkjoin.highest(), "greatest(v * 0.5::DOUBLE, v * -2, v)"),
+    ("mix_min", forkjoin.lowest(), "least(v * 0.5::DOUBLE, v * -2, v)"),
+]:
+    QUERIES[_name] = mixed(_reducer)
+    ORACLES[_name] = f"WITH {V} SELECT stream_id, n, round({_sql}, 6) AS v FROM e"
+
+
+@query(f"""WITH {E}, s AS (SELECT stream_id, n, round(v * 60) AS v FROM e)
+SELECT stream_id, n, CAST(least(greatest(round(least(greatest((least(v, 32767) / 32768) * 0.75::DOUBLE + (least(v, 32767) / 32768) * 0.75::DOUBLE, -1), 1) * 32768), -32768), 32767) AS INTEGER) AS v FROM s""")
+def mix_i16_saturating(spark, sf_dir):
+    s = as_i16(events(spark, sf_dir))
+    out = forkjoin.mix(s, [processors.identity, processors.identity], forkjoin.total([0.75, 0.75]), "i16")
+    return out.select("stream_id", "n", F.col("v").cast("int").alias("v"))
+
+
+@query(f"""WITH {E}, len AS (SELECT stream_id, count(*) AS k FROM e GROUP BY 1) SELECT stream_id, n, v FROM e
+UNION ALL SELECT e.stream_id, e.n + k, v * 2 FROM e JOIN len USING (stream_id)""")
+def concat_branches(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return forkjoin.concat_streams([e, processors.gain(e, 2.0)]).select("stream_id", "n", "v")
+
+
+@query("""WITH p AS (SELECT l_orderkey, bit_xor(CAST(l_partkey % 65536 AS INTEGER)) AS x FROM lineitem GROUP BY 1)
+SELECT l_orderkey, lower(printf('%02x%02x', x % 256, x // 256)) AS data FROM p""")
+def xor_bytes(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    p = items.select("l_orderkey", headers.little_endian(F.col("l_partkey") % 65536, 2).alias("data"))
+    return forkjoin.xor_packets(p, ["l_orderkey"]).select("l_orderkey", F.lower(F.hex("data")).alias("data"))
+
+
+@query("""SELECT l_orderkey, string_agg(printf('%02x', l_linenumber), '' ORDER BY l_linenumber) AS data FROM lineitem GROUP BY 1""")
+def concat_bytes(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    base = F.struct(F.lit(1).alias("num"), F.lit(1).alias("den"))
+    p = items.select("l_orderkey", F.col("l_linenumber").alias("branch"), headers.little_endian(F.col("l_linenumber"), 1).alias("data"), base.alias("time_base"))
+    return forkjoin.concat_packets(p, ["l_orderkey"]).select("l_orderkey", F.lower(F.hex("data")).alias("data"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST((l_partkey - 1000 + l_suppkey * -3 + l_linenumber) // 3 AS BIGINT) AS v FROM lineitem")
+def int_mean_trunc(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    vs = [F.col("l_partkey").cast("bigint") - 1000, F.col("l_suppkey").cast("bigint") * -3, F.col("l_linenumber").cast("bigint")]
+    return items.select("l_orderkey", "l_linenumber", forkjoin.mean_whole()(vs).alias("v"))
+
+
+@query(f"""WITH {E}, s AS (SELECT stream_id, n, CAST(least(round(v * 60), 32767) AS INTEGER) & 65535 AS v FROM e)
+SELECT stream_id, n // 64 AS chunk, string_agg(printf('%02x%02x', v % 256, v // 256), '' ORDER BY n) AS data FROM s GROUP BY 1, 2""")
+def pcm_i16_hex(spark, sf_dir):
+    fmt = AudioFormat(48000, 1, "i16", planar=False)
+    packets = codecs.encode_pcm(framing.samples_to_frames(as_i16(events(spark, sf_dir)), fmt, 64), fmt)
+    return packets.select("stream_id", F.col("seq").alias("chunk"), F.lower(F.hex("data")).alias("data"))
+
+
+@query(f"WITH {E} SELECT stream_id, n, least(round(v * 60), 32767) AS v FROM e")
+def pcm_roundtrip(spark, sf_dir):
+    fmt = AudioFormat(48000, 1, "i16", planar=False)
+    packets = codecs.encode_pcm(framing.samples_to_frames(as_i16(events(spark, sf_dir)), fmt, 64), fmt)
+    return framing.frames_to_samples(codecs.decode_pcm(packets, fmt)).select("stream_id", "n", "v")
+
+
+@query(f"WITH {L} SELECT stream_id, n * 2 + ch AS i, v FROM e")
+def interleave(spark, sf_dir):
+    return processors.interleave(lines(spark, sf_dir), 2)
+
+
+@query(f"WITH {L} SELECT stream_id, ch, n, v FROM e")
+def deinterleave(spark, sf_dir):
+    return processors.deinterleave(processors.interleave(lines(spark, sf_dir), 2), 2)
+
+
+@query(f"WITH {L} SELECT stream_id, n, round(avg(v), 6) AS v FROM e GROUP BY 1, 2")
+def downmix(spark, sf_dir):
+    return rounded(processors.mix_channels(lines(spark, sf_dir), 2, 1))
+
+
+@query(f"""WITH {E}, d AS (SELECT stream_id, n + 5 AS n, v * 0.5::DOUBLE AS v FROM e UNION ALL SELECT s.stream_id, r.range, 0 FROM (SELECT DISTINCT stream_id FROM e) s, range(5) r)
+SELECT e.stream_id, e.n, round(e.v + d.v, 6) AS v FROM e JOIN d USING (stream_id, n)""")
+def echo_pipeline(spark, sf_dir):
+    def echo(s):
+        return processors.delay(processors.gain(s, 0.5), 5, 1000)
+
+    return rounded(forkjoin.mix(events(spark, sf_dir), [processors.identity, echo], forkjoin.total()))
+
+
+@query(f"WITH {E} SELECT stream_id, n, round(v, 5) AS v FROM e")
+def crossover_recombine(spark, sf_dir):
+    """A low band and what is left of the signal without it add up to the signal."""
+    low = [0.25] * 4
+    high = [0.75, -0.25, -0.25, -0.25]
+    return rounded(forkjoin.mix(events(spark, sf_dir), [lambda s: processors.fir(s, low), lambda s: processors.fir(s, high)], forkjoin.total()), 5)
+
+
+@query(f"WITH {E} SELECT stream_id, count(*) AS samples, min(v) AS low, max(v) AS high, round(sum(v), 2) AS total FROM e GROUP BY 1")
+def tap_stats(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("stream_id").agg(
+        F.count(F.lit(1)).alias("samples"), F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.sum("v"), 2).alias("total")
+    )
 
 
-QUERIES["gain_i16_saturating"] = gain_i16_saturating
-ORACLES["gain_i16_saturating"] = """
-SELECT event_id, CAST(least(greatest(round(round(value * 100) * CAST(1.5 AS DOUBLE)), -32768), 32767) AS INTEGER) AS v
-FROM events"""
+@query("""SELECT event_id, CAST(event_id % 13 AS INTEGER) AS rate_index, CAST(event_id % 7 + 1 AS INTEGER) AS channels, CAST(event_id % 4 AS INTEGER) AS profile,
+CAST(event_id % 8000 + 7 AS INTEGER) AS frame_length, CAST(7 AS INTEGER) AS header_length FROM events""")
+def adts_header(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    i = F.col("event_id")
+    built = headers.build_adts((i % 4 + 1).cast("int"), (i % 13).cast("int"), (i % 7 + 1).cast("int"), (i % 8000).cast("int"))
+    read = headers.read_adts(F.col("h"))
+    return e.select("event_id", built.alias("h")).select("event_id", read.alias("r")).select("event_id", "r.rate_index", "r.channels", "r.profile", "r.frame_length", "r.header_length")
 
 
 def queries() -> dict:
