@@ -144,6 +144,8 @@ def iir(samples: DataFrame, b, a, sample_type: str = "f64", block: int = BLOCK)
 
     def last_outputs(pdf: pd.DataFrame) -> pd.DataFrame:
         own, y = run(pdf, [0.0] * order)
+        if not len(own):  # a block of borrowed samples only, beyond the channel's end
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("stream_id", "ch", "block_", "last")})
         last = y[::-1][:order].tolist()
         return pd.DataFrame({"stream_id": own["stream_id"].iloc[:1], "ch": own["ch"].iloc[:1], "block_": own["block_"].iloc[:1], "last": [last + [0.0] * (order - len(last))]})
 
