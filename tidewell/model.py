@@ -29,6 +29,11 @@ CHANNEL_BITS = {"FL": 0x1, "FR": 0x2, "FC": 0x4, "LFE": 0x8, "BL": 0x10, "BR": 0
 # Names under which codecs and file formats may be asked for.
 CODEC_NAMES = {"wav": "wav", "pcm": "wav", "mp3": "mp3", "aac": "aac", "opus": "opus", "flac": "flac"}
 
+# Names of file formats, by the codec they hold.
+FILE_FORMATS = {
+    "wav": "wav", "mp3": "mp3", "aac": "aac", "aac_adts": "aac", "adts": "aac", "flac": "flac", "opus": "opus", "opus_ogg": "opus", "ogg_opus": "opus",
+}
+
 
 class InvalidData(ValueError):
     """The data do not fit the operator."""

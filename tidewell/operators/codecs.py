@@ -94,6 +94,16 @@ def decode_pcm(packets: DataFrame, fmt: AudioFormat) -> DataFrame:
     return out.select("stream_id", "seq", "pts", "time_base", "format", (F.length("data") / (fmt.channels * fmt.bytes_per_sample)).cast("int").alias("nb_samples"), "samples")
 
 
+def decode_pcm_unit(packets: DataFrame, fmt: AudioFormat, chunk_samples: int | None = None) -> DataFrame:
+    """Frames of raw PCM packets as 32-bit floats within one, in windows of ``chunk_samples`` if given."""
+    from tidewell.operators.framing import frames_to_samples, samples_to_frames
+    from tidewell.operators.processors import convert
+
+    samples = convert(frames_to_samples(decode_pcm(packets, fmt)), fmt.sample_type, "f32")
+    unit = AudioFormat(fmt.sample_rate, fmt.channels, "f32", planar=False)
+    return samples_to_frames(samples, unit, chunk_samples or FRAME_SAMPLES["wav"])
+
+
 register("wav", Codec(encode_pcm, decode_pcm))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidewell.model import CODEC_NAMES, FRAMES, PACKETS, AudioFormat, InvalidData, Unsupported, default_layout_mask
+from tidewell.model import FILE_FORMATS, FRAMES, PACKETS, AudioFormat, InvalidData, Unsupported, default_layout_mask
 from tidewell.sources import containers
 
 CHUNK_SAMPLES = 1024
@@ -109,7 +109,7 @@ def read_audio(spark: SparkSession, path: str, kind: str, chunk_samples: int = C
     """Frames of files of one kind; kinds other than WAV need a registered codec, and the format it decodes to."""
     from tidewell.operators.codecs import codec
 
-    known = CODEC_NAMES.get(kind.lower())
+    known = FILE_FORMATS.get(kind.lower())
     if known == "wav":
         return read_wav(spark, path, chunk_samples)
     readers = {"aac": read_adts, "mp3": read_mp3, "opus": read_ogg}
@@ -158,7 +158,7 @@ def write_files(frames: DataFrame, path: str, kind: str = "wav", encoding: str =
 
     A file is one stream's samples in order, so a stream is one task: the width of a file is the width of the work.
     """
-    if CODEC_NAMES.get(kind.lower()) != "wav":
+    if FILE_FORMATS.get(kind.lower()) != "wav":
         raise Unsupported(f"no writer for {kind} is registered")
     return write_blobs(wav_blobs(frames, encoding), path, "wav")
 
