@@ -147,6 +147,17 @@ def test_branches_drop_what_others_lack(spark):
     assert values(forkjoin.concat_streams([s, s.where("n < 1")]))["s0"] == [1, 2, 3, 4, 1]
 
 
+def test_pointwise_branches_need_no_exchange(spark):
+    s = signal(spark, [[1, 2, 3]])
+    factors = (0.5, -2.0)
+    pointwise = [forkjoin.Pointwise(lambda v, g=g: processors.gained(v, g, "f64")) for g in factors]
+    plain = [lambda d, g=g: processors.gain(d, g) for g in factors]
+    one, other = (forkjoin.mix(s, b, forkjoin.total([1.0, 0.25])) for b in (pointwise, plain))
+    assert values(one) == values(other)
+    joins = [d._jdf.queryExecution().optimizedPlan().toString() for d in (one, other)]
+    assert "Aggregate" not in joins[0] and "Aggregate" in joins[1]
+
+
 def test_pcm_codec_and_wav_files(spark, tmp_path):
     fmt = AudioFormat(8000, 2, "i16", planar=False)
     rows = [("a", c, n, float((-1) ** c * (n * 3000 - 20000))) for c in range(2) for n in range(13)]

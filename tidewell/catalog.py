@@ -235,7 +235,7 @@ def pts_rescale(spark, sf_dir):
 
 
 def branches():
-    return [lambda s: processors.gain(s, 0.5), lambda s: processors.gain(s, -2.0), processors.identity]
+    return [forkjoin.Pointwise(lambda v, g=g: processors.gained(v, g, "f64")) for g in (0.5, -2.0, 1.0)]
 
 
 def mixed(reducer):

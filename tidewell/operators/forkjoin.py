@@ -19,6 +19,16 @@ Branch = Callable[[DataFrame], DataFrame]
 Reducer = Callable[[list[Column]], Column]
 
 
+class Pointwise:
+    """A branch that maps each value by itself. Branches that all are such are joined without any exchange of rows."""
+
+    def __init__(self, f: Callable[[Column], Column]):
+        self.f = f
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("v", self.f(F.col("v")))
+
+
 def _weights(values: list, weights) -> list:
     if not values:
         raise InvalidData("there is nothing to reduce")
@@ -82,6 +92,8 @@ def fork_join(df: DataFrame, branches: list[Branch], reducer: Reducer, keys: lis
     """``keys`` and the reduced ``value`` of the positions that all branches have."""
     if not branches:
         raise InvalidData("a fork needs one branch at least")
+    if value == "v" and all(isinstance(b, Pointwise) for b in branches):
+        return df.select(*keys, reducer([b.f(F.col(value)) for b in branches]).alias(value))
     many = [b(df).select(*keys, F.col(value).alias("value_"), F.lit(i).alias("branch_")) for i, b in enumerate(branches)]
     all_ = reduce(DataFrame.unionByName, many)
     # each branch gives a position one row at most, so these aggregates hold one value a branch
