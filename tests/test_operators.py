@@ -212,6 +212,21 @@ def test_packet_containers(spark, tmp_path):
     assert [(len(d), rate, n) for d, rate, n in containers.mp3_packets(tag[:140] + frame * 2)] == [(417, 44100, 1152)] * 2
 
 
+def test_encoded_files_are_read_back(spark, tmp_path):
+    payload = [b"a" * 20, b"b" * 700]
+    packets = spark.createDataFrame([("s", i, p, 960) for i, p in enumerate(payload)], "stream_id string, seq bigint, data binary, duration bigint")
+    fmt = AudioFormat(48000, 2)
+    for kind, reader in (("aac", files.read_adts), ("opus", files.read_ogg)):
+        files.write_audio(packets, str(tmp_path / kind), kind, fmt).collect()
+        got = reader(spark, str(tmp_path / kind)).orderBy("seq").collect()
+        assert [bytes(r.data) for r in got] == payload and got[0].time_base.den == 48000
+    assert containers.ogg_crc(b"OggS") == 0x5FB0A94F
+    with pytest.raises(Unsupported):
+        files.write_audio(packets, str(tmp_path / "x"), "flac", fmt)
+    unit = codecs.decode_pcm_unit(spark.createDataFrame([("s", 0, b"\x00\x80\xff\x7f", 0)], "stream_id string, seq bigint, data binary, pts bigint").withColumn("time_base", F.struct(F.lit(1).alias("num"), F.lit(8000).alias("den"))), AudioFormat(8000, 1, "i16", planar=False))
+    assert [round(x, 4) for x in unit.first().samples[0]] == [-1.0, 1.0]
+
+
 def test_packet_reducers(spark):
     base = F.struct(F.lit(1).alias("num"), F.lit(1).alias("den"))
     p = spark.createDataFrame([(0, 0, b"\x0c\x01"), (0, 1, b"\x0a\x01")], "k int, branch int, data binary").withColumn("time_base", base)

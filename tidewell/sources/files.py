@@ -182,6 +182,46 @@ def packet_blobs(packets: DataFrame, header: bytes = b"") -> DataFrame:
     return got.select("stream_id", F.concat(F.lit(header), F.unhex(text)).alias("content"))
 
 
+def adts_blobs(packets: DataFrame, object_type: int, sample_rate: int, channels: int) -> DataFrame:
+    """stream_id, content: AAC packets behind ADTS headers."""
+    from tidewell.functions.headers import ADTS_RATES, build_adts
+
+    if sample_rate not in ADTS_RATES:
+        raise InvalidData(f"no index for {sample_rate} samples a second")
+    head = build_adts(F.lit(object_type), F.lit(ADTS_RATES.index(sample_rate)), F.lit(channels), F.length("data"))
+    return packet_blobs(packets.withColumn("data", F.concat(head, "data")))
+
+
+def opus_blobs(packets: DataFrame, channels: int, input_rate: int = 48_000) -> DataFrame:
+    """stream_id, content: Opus packets in Ogg pages; granules count samples from the packets' durations."""
+    from tidewell.functions.headers import opus_head
+
+    heads = [opus_head(channels, input_rate), b"OpusTags" + bytes(8)]
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        rows = list(zip(pdf["data"], pdf["duration"].fillna(0).astype("int64").cumsum().tolist()))
+        return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[:1], "content": [containers.ogg_file(rows, heads)]})
+
+    return packets.select("stream_id", "seq", "data", "duration").groupBy("stream_id").applyInPandas(build, "stream_id string, content binary")
+
+
+def write_audio(df: DataFrame, path: str, kind: str, fmt: AudioFormat | None = None, encoding: str = "pcm16le", object_type: int = 2) -> DataFrame:
+    """One file a stream: WAV of frames; AAC, MP3 and Opus of packets that a codec made."""
+    known = FILE_FORMATS.get(kind.lower())
+    if known == "wav":
+        return write_files(df, path, encoding=encoding)
+    if known is None or fmt is None:
+        raise InvalidData("a known file format and the stream's format are needed")
+    if known == "aac":
+        return write_blobs(adts_blobs(df, object_type, fmt.sample_rate, fmt.channels), path, "aac")
+    if known == "mp3":
+        return write_blobs(packet_blobs(df), path, "mp3")
+    if known == "opus":
+        return write_blobs(opus_blobs(df, fmt.channels, fmt.sample_rate), path, "opus")
+    raise Unsupported(f"{known} files are written by a back end of their own")
+
+
 def write_blobs(blobs: DataFrame, path: str, suffix: str) -> DataFrame:
     """Each row's content as a file of its own in the (shared) folder ``path``, named by the stream's id; (stream_id, file, bytes)."""
     from urllib.parse import quote
