@@ -106,9 +106,14 @@ def state_before(kinds: np.ndarray) -> np.ndarray:
     return before
 
 
+@lru_cache(1)
+def narrow_table() -> bytes:
+    return class_table()[:256].tobytes()
+
+
 def classify(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
-    """Classes of code points; ``breaks`` marks the separators between texts."""
-    kinds = class_table()[points]
+    """Classes of code points (32 bits, or 8 where all are below 256); ``breaks`` marks the separators between texts."""
+    kinds = _look_up(points, narrow_table()).copy() if points.dtype == np.uint8 else class_table()[points]
     kinds[breaks] = BREAK
     after = np.empty_like(kinds)
     after[:-1], after[-1:] = kinds[1:], BREAK
@@ -131,19 +136,22 @@ def classify(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return kinds
 
 
-def _scan(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The code points of the texts with a separator after each but the last, the token starts, the separators."""
-    points = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _starts(points: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Token starts and separators among the code points of the texts, of which all but the last end in a separator."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     seps = np.cumsum(lengths[:-1] + 1) - 1
     kinds = classify(points, seps)
-    starts = np.flatnonzero(_look_up(kinds << 3 | state_before(kinds), starts_table()))
-    return points, starts, seps
+    return np.flatnonzero(_look_up(kinds << 3 | state_before(kinds), starts_table())), seps
+
+
+def wide_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def token_starts(texts: list[str]) -> list[np.ndarray]:
     """For each text the code point offsets at which its tokens start, and its length at the end."""
-    points, starts, seps = _scan(texts)
+    points = wide_points(texts)
+    starts, seps = _starts(points, texts)
     firsts = np.concatenate([[0], seps + 1]).astype(np.int64)
     lasts = np.append(seps, len(points))
     # the separator after a text counts as a start: it is the text's end
@@ -175,20 +183,48 @@ def slices(texts: list[str], most: int = 4_000_000):
         yield from block
 
 
-def _slices(texts: list[str]):
-    points, starts, seps = _scan(texts)
+def _marked(points: np.ndarray, texts: list[str], token: int, text: int) -> np.ndarray:
+    """The code points with a mark before every token, and a mark for every separator."""
+    starts, seps = _starts(points, texts)
     points = points.copy()
-    points[seps] = TEXT_MARK
-    marks = np.zeros(len(points), bool)
-    marks[starts] = True
-    marks[seps] = False
-    marks = np.flatnonzero(marks)
-    marked = np.empty(len(points) + len(marks), np.uint32)
-    at = marks + np.arange(len(marks))
-    rest = np.ones(len(marked), bool)
+    points[seps] = text
+    at_start = np.zeros(len(points), bool)
+    at_start[starts] = True
+    at_start[seps] = False
+    starts = np.flatnonzero(at_start)
+    out = np.empty(len(points) + len(starts), points.dtype)
+    at = starts + np.arange(len(starts))
+    rest = np.ones(len(out), bool)
     rest[at] = False
-    marked[at] = TOKEN_MARK
-    marked[rest] = points
-    token, text = chr(TOKEN_MARK), chr(TEXT_MARK)
-    for t in marked.tobytes().decode("utf-32-le", "surrogatepass").split(text):
-        yield t[1:].split(token) if t else []
+    out[at] = token
+    out[rest] = points
+    return out
+
+
+def _narrow(text: str) -> bool:
+    """Whether the text's code points fit a byte each and leave the marks free."""
+    if "\x00" in text or "\x01" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _slices(texts: list[str]):
+    narrow = [_narrow(t) for t in texts]
+    few, many = [t for t, x in zip(texts, narrow) if x], [t for t, x in zip(texts, narrow) if not x]
+    short = wide = iter(())
+    if few:
+        points = np.frombuffer("\x00".join(few).encode("latin-1"), np.uint8)
+        short = iter(_marked(points, few, 1, 0).tobytes().decode("latin-1").split("\x00"))
+    if many:
+        marked = _marked(wide_points(many), many, TOKEN_MARK, TEXT_MARK)
+        wide = iter(marked.tobytes().decode("utf-32-le", "surrogatepass").split(chr(TEXT_MARK)))
+    token = chr(TOKEN_MARK)
+    for x in narrow:
+        t = next(short) if x else next(wide)
+        yield t[1:].split("\x01" if x else token) if t else []
