@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import headers, levels
 from tidewell.model import AudioFormat, Rational, rescale_pts
 from tidewell.operators import codecs, forkjoin, framing, processors
+from tidewell.streaming import batches, stateful
 
 FLAGSHIP = "gain_i16_saturating"
 QUERIES: dict = {}
@@ -358,6 +359,72 @@ def adts_header(spark, sf_dir):
     return e.select("event_id", built.alias("h")).select("event_id", read.alias("r")).select("event_id", "r.rate_index", "r.channels", "r.profile", "r.frame_length", "r.header_length")
 
 
+@query(ORACLES["fir_3tap"])
+def stream_fir_3tap(spark, sf_dir):
+    return rounded(batches.through_stream(events(spark, sf_dir), lambda s: stateful.fir(s, [0.2, 0.5, -0.1])))
+
+
+@query(ORACLES["iir_biquad"])
+def stream_iir_biquad(spark, sf_dir):
+    return rounded(batches.through_stream(events(spark, sf_dir), lambda s: stateful.iir(s, [0.5, 1.0, 0.5], [2.0, -1.5, 0.5])))
+
+
+@query(f"WITH {E} SELECT stream_id, n, CAST(least(greatest(round(least(least(round(v * 60), 32767) / 32768, 1) * 128 + 128), 0), 255) AS INTEGER) AS v FROM e")
+def convert_i16_u8(spark, sf_dir):
+    return processors.convert(as_i16(events(spark, sf_dir)), "i16", "u8").select("stream_id", "n", F.col("v").cast("int").alias("v"))
+
+
+@query(f"WITH {V} SELECT stream_id, n, CAST(round(least(greatest(v * 4, -1), 1) * 32767) AS INTEGER) AS written, round(v * 4 / 32768, 9) AS read FROM e")
+def wav_scale(spark, sf_dir):
+    s = vectors(spark, sf_dir).withColumn("v", F.col("v") * 4)
+    return s.select("stream_id", "n", levels.float_to_wav(F.col("v")).alias("written"), F.round(levels.wav_to_float(F.col("v")), 9).alias("read"))
+
+
+@query(f"WITH {V} SELECT stream_id, c.range::INTEGER AS ch, n, CASE WHEN c.range < 2 THEN v ELSE v END AS v FROM e, range(3) c")
+def upmix(spark, sf_dir):
+    return processors.mix_channels(vectors(spark, sf_dir), 1, 3)
+
+
+@query(f"""WITH {FRAMES_SQL}, last AS (SELECT stream_id, max(seq) + 1 AS seq, arg_max(pts + nb - 5, seq) AS pts FROM g GROUP BY 1)
+SELECT stream_id, CAST(seq AS BIGINT) AS seq, CAST(pts - 5 AS BIGINT) AS pts, CAST(nb AS BIGINT) AS nb_samples FROM g
+UNION ALL SELECT stream_id, CAST(seq AS BIGINT), CAST(pts AS BIGINT), 5 FROM last""")
+def delay_frame_sizes(spark, sf_dir):
+    return processors.delay_frames(order_frames(spark, sf_dir), 5, 1000).select("stream_id", "seq", "pts", F.col("nb_samples").cast("bigint").alias("nb_samples"))
+
+
+@query(f"""WITH {FRAMES_SQL}, k AS (SELECT stream_id, count(*) AS k FROM g WHERE seq <= 2 GROUP BY 1)
+SELECT stream_id, CAST(seq - 1 AS BIGINT) AS seq, CAST(nb AS BIGINT) AS nb_samples FROM g WHERE seq <= 2
+UNION ALL SELECT stream_id, CAST(seq - 1 + k AS BIGINT), CAST(nb AS BIGINT) FROM g JOIN k USING (stream_id)""")
+def prepend_frames(spark, sf_dir):
+    f = order_frames(spark, sf_dir).select("stream_id", (F.col("seq") - 1).alias("seq"), "nb_samples")
+    return framing.prepend(f.where("seq < 2"), f)
+
+
+@query("SELECT 'sine' AS stream_id, c.range::INTEGER AS ch, n.range AS n, round(0.2::DOUBLE * sin(2 * pi() * 440 * n.range / 44100), 6) AS v FROM range(4410) n, range(2) c")
+def sine_440(spark, sf_dir):
+    from tidewell.sources.files import sine
+
+    return sine(spark, 0.1).select("stream_id", "ch", "n", F.round("v", 6).alias("v"))
+
+
+@query("""SELECT event_id, lower(printf('%02x%02x', ((event_id % 4 + 1) << 3) | ((event_id % 13) >> 1), ((event_id % 13 & 1) << 7) | ((event_id % 7 + 1) << 3))) AS asc_hex,
+CASE WHEN event_id % 2 = 0 THEN least(10 + (event_id % 128) * 128 + event_id % 100, 16) ELSE 0 END::INTEGER AS tag,
+printf('02000000%02x0000006869', event_id % 100) AS record FROM events""")
+def stream_headers(spark, sf_dir):
+    """Configuration bytes, tag lengths and packet records made from event ids."""
+    i = F.col("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    magic = F.when(i % 2 == 0, F.lit(b"ID3")).otherwise(F.lit(b"XD3"))
+    size = F.concat(headers.little_endian(F.lit(0), 2), headers.little_endian(i % 128, 1), headers.little_endian(i % 100, 1))
+    data = F.concat(magic, F.lit(b"\x04\x00\x00"), size, F.lit(b"abcdef"))
+    return e.select(
+        "event_id",
+        F.lower(F.hex(headers.build_asc((i % 4).cast("int"), (i % 13).cast("int"), (i % 7 + 1).cast("int")))).alias("asc_hex"),
+        headers.id3_length(data).cast("int").alias("tag"),
+        F.lower(F.hex(headers.packet_file_record(F.lit(b"hi"), i % 100))).alias("record"),
+    )
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
