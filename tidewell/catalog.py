@@ -6,6 +6,8 @@ vector, its components in order) and order lines (a stream an order, two channel
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewell.functions import headers, levels
@@ -425,9 +427,14 @@ def stream_headers(spark, sf_dir):
     )
 
 
+def _no_negative_zero(sql: str) -> str:
+    """Rounded values as Spark gives them: SQL's rounding keeps the sign of zero, Spark's does not."""
+    return re.sub(r"round\((.*), (\d)\) AS v\b", r"round(\1, \2) + 0 AS v", sql, flags=re.S)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: _no_negative_zero(sql) for name, sql in ORACLES.items()}
