@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm import pretok
@@ -93,11 +93,10 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY) -> Da
                     k += 1
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    # ids stay null where they are null: as text, since pandas has no null integer here
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema.replace("doc_id long", "doc_id string")).withColumn(
-        "doc_id", F.col("doc_id").cast("long")
-    )
+    # ids travel as text: pandas would turn whole numbers beside nulls into floats
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, list[int]]:
@@ -257,8 +256,6 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table_ = placements(patterns)
     if full:
         table_.loc[len(table_)] = [capacity, 0, full, 1, int(sum(u for _, u in patterns)), 0]
-    from pyspark.sql import Window
-
     before = by_part.withColumn(
         "earlier", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     ).drop("n")

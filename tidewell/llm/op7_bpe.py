@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm import pretok
 from tidewell.llm.shared import table
@@ -227,8 +228,10 @@ def roundtrip(docs: DataFrame, ranks_file: bytes) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    # ids travel as text: pandas would turn whole numbers beside nulls into floats
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
