@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.shared import cut
 
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp) for every vertex of ``edges`` (a, b): comp is the smallest vertex of its component.
@@ -21,13 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("comp")))
-    for _ in range(MOST_ROUNDS):
+    while True:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("comp").alias("m"))
         lower = labels.join(near, labels.v == near.a).select("v", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
         roots = lower.select(F.col("v").alias("root"), F.col("comp").alias("top"))
         jumped = lower.join(roots, lower.comp == roots.root).select("v", F.least("comp", "top").alias("comp"), "was")
         labels = cut(jumped)
-        if not labels.where("comp <> was").limit(1).count():
-            break
+        if labels.where("comp <> was").isEmpty():  # labels only fall, so this comes
+            return labels.select("v", "comp")
         labels = labels.select("v", "comp")
-    return labels.select("v", "comp")
