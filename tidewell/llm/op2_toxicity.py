@@ -2,7 +2,7 @@
 
 Fitting, on a bounded sample of labelled documents: every word and some of its leading parts get the
 log-odds of its document frequency in toxic against clean documents under an informative Dirichlet prior,
-less one standard deviation; a word's score is the best of its units'. Words without evidence score a
+less two standard deviations; a word's score is the best of its units'. Words without evidence score a
 small negative value, so segments of chance end by themselves. One part of the sample gives the scores,
 another the calibration, since scores look too good on what they were made from.
 
@@ -36,6 +36,8 @@ SAMPLE = 20_000
 UNITS = 60_000
 #: Strength of the Dirichlet prior, in documents.
 PRIOR = 10.0
+#: Standard deviations by which a log-odds must exceed nothing: copies of a document lend chance words some evidence.
+DOUBT = 2.0
 #: Score of a word without evidence.
 NEUTRAL = -0.4
 TOP = 6.0
@@ -140,7 +142,7 @@ def unit_scores(sample: DataFrame) -> dict[str, float]:
     prior = PRIOR * (F.col("t") + F.col("c")) / (nt + nc)
     t, c = F.col("t") + prior, F.col("c") + prior
     log_odds = F.log(t / (nt + PRIOR - t)) - F.log(c / (nc + PRIOR - c))
-    low = log_odds - F.sqrt(1 / t + 1 / c)
+    low = log_odds - DOUBT * F.sqrt(1 / t + 1 / c)
     kept = counts.where("t >= 2").select("unit", low.alias("s")).where("s > 0")
     # a bounded number of units reaches the driver
     return {r["unit"]: min(r["s"], TOP) + NEUTRAL for r in kept.orderBy(F.desc("s"), "unit").limit(UNITS).collect()}
