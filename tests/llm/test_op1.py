@@ -65,3 +65,20 @@ def test_templates_of_fields_and_edge_cases(spark):
     assert texts[0].n_dropped == 0 and texts[1].n_dropped == 1 and texts[2].n_dropped == 1
     assert texts[1].text.startswith("only here") and texts[9].n_dropped == 0 and texts[None].text == ""
     assert op.dedup(docs.limit(0)).count() == 0
+
+
+def test_a_hot_leaf_is_parsed_whole(spark, monkeypatch):
+    """Blocks of three lines find what the whole leaf holds, also where variants sort far apart."""
+    monkeypatch.setattr(op, "LEAF_LINES", 3)
+    rnd = random.Random(5)
+    words = "ab cd ef gh ij kl mn op qr st".split()
+    rows = []
+    for i in range(60):
+        body = "we sell this {} in every shop of the town and {} by mail".format(rnd.choice(words), rnd.choice(words))
+        noise = "we sell this " + " ".join(rnd.choice(words[:3]) for _ in range(11))
+        rows.append((i, body + "\n" + noise))
+    rows += [(100, "we sell this aaa nice red coat to all who come here soon please"), (101, "we sell this zzz nice red coat to all who come here soon please")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in op.dedup(docs).collect()}
+    assert got == brute(rows)
+    assert got[100] and not got[101]

@@ -1,15 +1,16 @@
 """Line dedup by a log-template tree (operator 1).
 
 Tokens (split at white space) that hold a digit are variable fields. A line's leaf in the fixed-depth tree
-is its number of tokens and its first ``DEPTH`` tokens. Within a leaf, lines join the template with which
-they share most tokens, from a share of ``SIMILAR`` on; positions that differ become variable. Short lines
-make a template of their own. A template that occurs in enough documents is recurring: its first
+is its number of tokens and its first ``DEPTH`` tokens. Within a leaf, lines that share ``SIMILAR`` of
+their tokens (constant ones, at the same positions) are of one template, and so are lines that others link
+in this way; the order of lines plays no part. Short lines make a template of their own. A template that occurs in enough documents is recurring: its first
 occurrence (smallest document id, then first line) stays, all others are dropped.
 
 Scale: the first pass moves only hashes and finds leaves that two documents share; a bitmap of fixed
-size carries them to the second pass, which moves each distinct line of those leaves once. Leaves are
-dealt out by range, so a hot leaf is many tasks; one of more than ``LEAF_LINES`` distinct lines is parsed
-as the subtrees of its further tokens. What is dropped joins its document by id and text hash.
+size carries them to the second pass, which moves each distinct line of those leaves once. A leaf is never
+cut: its lines are dealt out by hashed groups of token positions, so many that two lines of a template
+agree on a whole one (``groups_of``), compared there, and joined by components. Groups beyond
+``LEAF_LINES`` lines are compared as pairs of blocks. What is dropped joins its document by id and text hash.
 
 Defined results: a null text counts as empty and stays empty. Empty lines stay. Lines without at least
 half constant tokens are never templates. Rows of equal id and text are one document and keep the same
@@ -18,6 +19,7 @@ lines; rows of equal id and different text are different documents. Further colu
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -26,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.components import components
 from tidewell.llm.shared import cut, table
 
 NAME = "op1_line_dedup"
@@ -34,7 +37,7 @@ SIMILAR = 0.8
 #: Lines of fewer tokens are short: no variable fields but those with digits, and more documents to recur.
 SHORT = 8
 LEAST_DOCS, LEAST_DOCS_SHORT = 2, 5
-#: Distinct lines, and their tokens, that a task parses together.
+#: Distinct lines, and their tokens, of a block; a task compares two blocks at once.
 LEAF_LINES, LEAF_TOKENS = 1_500, 3_000_000
 FILTER_BITS = 1 << 26
 FIELD = "<*>"
@@ -129,66 +132,163 @@ def candidate_lines(docs: DataFrame, bitmap: bytes) -> DataFrame:
     return keyed(docs).mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def least_same(n: int) -> int:
+    """Constant tokens that two lines of ``n`` tokens share at least to be of one template."""
+    return math.ceil(SIMILAR * n)
+
+
+def coded(lines: list[str]) -> np.ndarray:
+    """A row of token numbers a line (equal token counts); fields are -1."""
+    codes: dict[str, int] = {FIELD: -1}
+    return np.array([[codes.setdefault(t, len(codes)) for t in line.split(" ")] for line in lines], np.int32)
+
+
+def spread(table_: np.ndarray, roots: np.ndarray, reached: list[int]) -> None:
+    """Give every line that the ``reached`` ones lead to their root; ``roots`` is -1 where there is none yet."""
+    least = least_same(table_.shape[1])
+    left = np.flatnonzero(roots < 0)
+    while reached and len(left):
+        row = table_[at := reached.pop()]
+        near = np.count_nonzero((table_[left] == row) & (row >= 0), axis=1) >= least
+        roots[left[near]] = roots[at]
+        reached += left[near].tolist()
+        left = left[~near]
+
+
 def parse_leaf(lines: list[str]) -> list[int]:
-    """For each line of a leaf (equal token counts, sorted) the index of the line that began its template."""
-    tokens = [x.split(" ") for x in lines]
-    n = len(tokens[0])
-    if n < SHORT:
+    """For each line of a leaf (equal token counts) the index of the first line of its template."""
+    if lines[0].count(" ") + 1 < SHORT:
         return list(range(len(lines)))
-    codes: dict[str, int] = {FIELD: -2}
-    table_ = np.array([[codes.setdefault(t, len(codes)) for t in row] for row in tokens], np.int32)
-    templates = np.empty_like(table_)
-    began: list[int] = []
-    out = []
-    for i, row in enumerate(table_):
-        k = len(began)
-        if k:
-            # variable positions (-1 in templates, -2 in lines) agree with anything, but count for nothing
-            same = np.count_nonzero(templates[:k] == row, axis=1)
-            best = int(same.argmax())
-            if same[best] >= SIMILAR * n:
-                templates[best][templates[best] != row] = -1
-                out.append(began[best])
-                continue
-        templates[k] = np.where(row == -2, -1, row)
-        began.append(i)
-        out.append(i)
-    return out
+    table_ = coded(lines)
+    roots = np.full(len(lines), -1)
+    for i in range(len(lines)):
+        if roots[i] < 0:
+            roots[i] = i
+            spread(table_, roots, [i])
+    return roots.tolist()
+
+
+def groups_of(leaf: int, m: str) -> list[int]:
+    """Keys of the line's groups of token positions. Lines of one template differ, or hold a field, at no more
+    positions than there are groups less one, so they agree on a whole group of constant tokens."""
+    tokens = m.split(" ")
+    n = len(tokens)
+    k = n - least_same(n) + 1
+    if tokens.count(FIELD) >= k:
+        return []
+    groups = (tokens[g::k] for g in range(k))
+    return [hash_of(f"{leaf} {n} {g} {' '.join(own)}") for g, own in enumerate(groups) if FIELD not in own]
+
+
+def grouped(distinct: DataFrame) -> DataFrame:
+    """bucket, line: the groups of each line."""
 
+    def run(batches):
+        for pdf in batches:
+            buckets, lines = [], []
+            for leaf, line, m in zip(pdf["leaf"].tolist(), pdf["line"].tolist(), pdf["m"]):
+                own = groups_of(leaf, m)
+                buckets += own
+                lines += [line] * len(own)
+            yield pd.DataFrame({"bucket": np.array(buckets, np.int64), "line": np.array(lines, np.int64)})
 
-def templates(distinct: DataFrame) -> DataFrame:
-    """line (hash of the masked line), template (hash of the line that began its template)."""
+    return distinct.select("leaf", "line", "m").mapInPandas(run, "bucket long, line long")
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """line, pivot, near: whether the two lines are of one template by themselves."""
 
     def run(batches):
-        held: list[tuple[int, str]] = []
+        for pdf in batches:
+            near = []
+            for x, y in zip(pdf["m"], pdf["pm"]):
+                one, other = x.split(" "), y.split(" ")
+                near.append(len(one) == len(other) and sum(t == u and t != FIELD for t, u in zip(one, other)) >= least_same(len(one)))
+            yield pd.DataFrame({"line": pdf["line"], "pivot": pdf["pivot"], "near": near})
+
+    d = pairs.select("line", "pivot").distinct().join(texts.select("line", "m"), "line")
+    d = d.join(texts.select(F.col("line").alias("pivot"), F.col("m").alias("pm")), "pivot")
+    return d.select("line", "pivot", "m", "pm").mapInPandas(run, "line long, pivot long, near boolean")
+
+
+def linked(members: DataFrame) -> DataFrame:
+    """a, b: lines of one template among the ``members`` (bucket, part, near, line, m) of each part."""
+
+    def run(batches):
+        held: list[tuple] = []
 
         def flush():
-            rows = [m for _, m in held]
-            roots = parse_leaf(rows)
+            roots = np.full(len(held), -1)
+            table_ = coded([m for *_, m in held])
+            sure = [i for i, (_, near, _, _) in enumerate(held) if near]
+            if sure:
+                roots[sure] = sure[0]
+                spread(table_, roots, sure[:])
+            for i in range(len(held)):
+                if roots[i] < 0:
+                    roots[i] = i
+                    spread(table_, roots, [i])
+            pairs = [(held[r][2], held[i][2]) for i, r in enumerate(roots.tolist()) if r != i and not held[i][1]]
             held.clear()
-            pairs = [(hash_of(m), hash_of(rows[r])) for m, r in zip(rows, roots) if rows[r] is not m]
-            return pd.DataFrame(pairs, columns=["line", "template"])
+            return pd.DataFrame(pairs, columns=["a", "b"])
 
         for pdf in batches:
-            for key, m in zip(pdf["leaf"].tolist(), pdf["m"].tolist()):
-                n = m.count(" ") + 1
-                full = len(held) >= min(LEAF_LINES, max(2, LEAF_TOKENS // n))
-                if held and (held[-1][0] != key or full or held[-1][1].count(" ") + 1 != n):
-                    if len(held) > 1:
-                        yield flush()
-                    held.clear()
-                held.append((key, m))
-        if len(held) > 1:
+            for bucket, part, n, near, line, m in zip(*(pdf[c].tolist() for c in ("bucket", "part", "n", "near", "line", "m"))):
+                if held and held[-1][0] != (bucket, part, n):
+                    yield flush()
+                held.append(((bucket, part, n), near, line, m))
+        if held:
             yield flush()
 
-    dealt = distinct.select("leaf", "m").repartitionByRange(F.col("leaf"), F.col("m")).sortWithinPartitions("leaf", "m")
-    return dealt.mapInPandas(run, "line long, template long")
+    d = members.select("bucket", "part", "n", "near", "line", "m").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "n")
+    return d.mapInPandas(run, "a long, b long")
+
+
+def templates(distinct: DataFrame) -> DataFrame:
+    """line (hash of the masked line), template (hash of one line of its template) of the lines that are not alone.
+
+    Lines meet in buckets, one a group. All of a bucket are compared with its pivot, the smallest; those near it
+    are one template already. Only the others are compared further, in parts: blocks of them with one
+    another, and with blocks of the near ones. No part holds more than two blocks.
+    """
+    texts = cut(distinct.select("leaf", "line", "m").withColumn("n", F.size(F.split("m", " "))))
+    met = cut(grouped(texts))
+    pivots = met.groupBy("bucket").agg(F.min("line").alias("pivot"), F.max("line").alias("last")).where("pivot <> last").drop("last")
+    pairs = cut(met.join(pivots, "bucket").where("line <> pivot"))
+    near = cut(compared(pairs, texts))
+    edges = near.where("near").select(F.col("pivot").alias("a"), F.col("line").alias("b"))
+
+    far = near.where("not near")
+    if not far.isEmpty():
+        open_ = pairs.join(far, ["line", "pivot"], "left_semi").select("bucket").distinct()
+        left = cut(pairs.join(near, ["line", "pivot"]).select("bucket", "line", "pivot", "near").join(open_, "bucket"))
+        itself = left.select("bucket", F.col("pivot").alias("line"), F.lit(True).alias("near")).distinct()
+        members = left.select("bucket", "line", "near").union(itself)
+        sizes = members.groupBy("bucket").agg(F.count_if("near").alias("nears"), F.count_if(~F.col("near")).alias("fars"))
+        d = members.join(sizes, "bucket").join(texts.select("line", "m", "n"), "line")
+        block = F.least(F.lit(LEAF_LINES), F.greatest(F.lit(2), F.floor(LEAF_TOKENS / F.col("n"))))
+        d = d.withColumn("fb", F.ceil(F.col("fars") / block)).withColumn("nb", F.ceil(F.col("nears") / block))
+        own = F.pmod("line", F.when(F.col("near"), F.col("nb")).otherwise(F.col("fb")))
+        part = lambda i, j: i * (F.col("fb") + F.col("nb")) + j
+        each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        with_far = F.filter(each(F.col("fb")), lambda j: j != F.col("own"))
+        d = d.withColumn("own", own).withColumn(
+            "parts",
+            F.when(F.col("near"), F.transform(each(F.col("fb")), lambda i: part(i, F.col("fb") + F.col("own")))).otherwise(
+                F.concat(
+                    F.transform(with_far, lambda j: part(F.least("own", j), F.greatest("own", j))),
+                    F.transform(each(F.col("nb")), lambda j: part(F.col("own"), F.col("fb") + j)),
+                )
+            ),
+        )
+        edges = edges.union(linked(d.withColumn("part", F.explode("parts"))))
+    return components(cut(edges)).select(F.col("v").alias("line"), F.col("comp").alias("template"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, dropped (positions) of the documents that lose lines."""
     found = cut(candidate_lines(docs, shared_leaves(docs)))
-    # only leaves with two different lines need parsing
+    # only leaves with two different lines need comparing
     distinct = found.where("not short").groupBy("leaf", "line").agg(F.first("m").alias("m"))
     several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
     grown = cut(templates(distinct.join(several, "leaf")))
