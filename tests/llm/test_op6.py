@@ -48,3 +48,19 @@ def test_equal_pages_of_a_host_keep_their_text(spark):
     rows = [(i, "http://a.example/x", PAGE.format("same")) for i in range(9)]
     got = op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r.text.startswith("Head same\nBody <same>") for r in got)
+
+
+def test_wrappers_of_the_whole_page_and_open_heads_keep_the_text(spark):
+    story = "<p>Story {0} begins</p><p>and goes on for {0} more words than the rest</p>"
+    around = "<nav><a href=/>home</a></nav>{}<div class=user-comments><p>reader {{0}} says</p></div>"
+    wraps = [
+        "<html><head><title>t</title></head><body><form id=aspnetForm><article>" + around.format(story) + "</article></form></body></html>",
+        "<html><body class=has-sidebar><div id=x>" + around.format(story) + "</div></body></html>",
+        "<body><div class=with-comments>" + around.format("<article>" + story + "</article>") + "</div></body>",
+        "<html><head><title>t</title><script>'<div>'</script><body><article>" + around.format(story) + "</article></body></html>",
+        "<body><button>go<div>" + around.format("<article>" + story + "</article>") + "</div></body>",
+    ]
+    rows = [(10 * h + i, f"http://h{h}.example/{i}", w.format(f"n{i}")) for h, w in enumerate(wraps) for i in range(6)]
+    got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, _ in rows:
+        assert got[k] == "Story n{0} begins\nand goes on for n{0} more words than the rest".format(k % 10), (k, got[k])

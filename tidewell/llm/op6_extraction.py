@@ -7,7 +7,8 @@ of a third of all pages is many partial sums. The class of paths that occur once
 outer template; the paths below its members nest in it as slots. Text that stands at the same path on most
 different pages of a host belongs to the template too. Of the remaining slots those of the article (or,
 where the template has none, those that hold much unlinked text) are the main text, less elements whose
-name or class says menu, header, footer, sidebar, notice, advert, form or comments.
+name or class says menu, header, footer, sidebar, notice, advert, form or comments. Such a name counts for nothing
+on html and body, and on an element that holds most of the (article's) unlinked text on most of its pages of the host.
 
 Defined results: null or empty html gives empty text; a null url is a host of its own. A page none of whose
 slots is kept gives its unlinked blocks outside those elements. Repeated rows are extracted each. Further
@@ -21,7 +22,7 @@ import re
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.shared import cut, table
@@ -37,7 +38,7 @@ BROADCAST_BYTES = 16 << 20
 DEPTH = 14
 
 # Names of elements by what they do.
-SKIPPED = ("script", "style", "noscript", "template", "svg", "head", "title", "iframe", "object", "canvas", "select", "textarea", "button")
+SKIPPED = ("script", "style", "noscript", "template", "svg", "title", "iframe", "object", "canvas", "select", "textarea", "button")
 BLOCKS = (
     "html", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "p", "h1", "h2", "h3", "h4", "h5", "h6",
     "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure",
@@ -54,11 +55,19 @@ AROUND_CLASS = (
 LEAVES = r"(^|>)((p|h[1-6]|ul|ol|li|dl|dt|dd|blockquote|pre|table|tbody|tr|td|th)([.#][^>]*)?(>|$))+$"
 MAIN = r"(^|>)(article|main)([.#>]|$)"
 
-DROP = re.compile(r"<!--.*?(?:-->|$)|<(%s)\b[^>]*>.*?(?:</\1\s*>|$)|<![^>]*>|<\?[^>]*>" % "|".join(SKIPPED), re.I | re.S)
+# Without an end tag, scripts and styles go on to the end of the page; other skipped elements end at the next block element.
+DROP = re.compile(
+    r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<(%s)\b[^>]*>(?:.*?</\2\s*>|.*?(?=<(?:%s)\b)|.*)|<![^>]*>|<\?[^>]*>"
+    % ("|".join(SKIPPED[2:]), "|".join(BLOCKS)),
+    re.I | re.S,
+)
 PIECE = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)")
 CLASS = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
 _blocks = frozenset(BLOCKS)
+_around, _around_class, _main = re.compile(AROUND), re.compile(AROUND_CLASS), re.compile(MAIN)
+PAGE_ITSELF = r"^(html|body)([.#]|$)"
+_itself = re.compile(PAGE_ITSELF)
 
 
 def label(name: str, attributes: str) -> str:
@@ -127,6 +136,31 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
     return blocks, opened
 
 
+def wrappers(blocks: list[tuple[str, str, int]], opened: dict[str, int]) -> tuple[list[str], list[bool]]:
+    """Paths of the elements that are named as around the text, and whether each holds over half of it: of the
+    unlinked text of article and main, or of all unlinked text where the page has none in these."""
+    named = []
+    for path in opened:
+        own = path[path.rfind(">") + 1 :]
+        if not _itself.search(own) and (_around.search(own) or _around_class.search(own)):
+            named.append(path)
+    if not named:
+        return [], []
+    free = [(key + ">", max(len(text) - linked, 0)) for key, text, linked in blocks]
+    free = [b for b in free if _main.search(b[0]) and b[1]] or free
+    half = sum(n for _, n in free) / 2
+    return named, [sum(n for key, n in free if key.startswith(path + ">")) > half for path in named]
+
+
+def around(key: Column, wide: Column) -> Column:
+    """Whether an element named as around the text encloses the block, other than the page itself and ``wide`` paths."""
+    labels = F.split(key, ">")
+    at = F.transform(labels, lambda x, i: F.struct(x.alias("own"), F.array_join(F.slice(labels, 1, i + 1), ">").alias("path")))
+    named = lambda own: (own.rlike(AROUND) | own.rlike(AROUND_CLASS)) & ~own.rlike(PAGE_ITSELF)
+    inside = F.exists(at, lambda a: named(a["own"]) & ~F.coalesce(F.array_contains(wide, a["path"]), F.lit(False)))
+    return (key.rlike(AROUND) | key.rlike(AROUND_CLASS)) & inside
+
+
 def mark_of(key: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{key}\x00{text}") >> 1
 
@@ -142,14 +176,15 @@ def parsed(pages: DataFrame, texts: bool) -> DataFrame:
                 blocks, opened = parse(page)
                 keys, own = [b[0] for b in blocks], [b[1] for b in blocks]
                 marks = [mark_of(k, t) for k, t in zip(keys, own)]
+                named, wide = ([], []) if texts else wrappers(blocks, opened)
                 rows.append(
                     (
                         keys, marks, [len(t) for t in own], [b[2] for b in blocks],
                         [] if texts else list(opened), [] if texts else list(opened.values()), own if texts else [],
-                        xxhash.xxh64_intdigest("\n".join(own)) >> 1,
+                        xxhash.xxh64_intdigest("\n".join(own)) >> 1, named, wide,
                     )
                 )
-            out = pd.DataFrame(rows, columns=["keys", "marks", "chars", "links", "paths", "counts", "texts", "psig"])
+            out = pd.DataFrame(rows, columns=["keys", "marks", "chars", "links", "paths", "counts", "texts", "psig", "named", "wide"])
             for c in ("page_id", "url", "host"):
                 out[c] = pdf[c].to_numpy()
             yield out
@@ -158,7 +193,7 @@ def parsed(pages: DataFrame, texts: bool) -> DataFrame:
     source = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     schema = (
         "keys array<string>, marks array<long>, chars array<long>, links array<long>, paths array<string>, counts array<long>, texts array<string>, "
-        "psig long, page_id string, url string, host string"
+        "psig long, named array<string>, wide array<boolean>, page_id string, url string, host string"
     )
     return source.mapInPandas(run, schema).withColumn("page_id", F.col("page_id").cast("long"))
 
@@ -176,15 +211,22 @@ def outer_template(found: DataFrame) -> DataFrame:
     return best.select("host", F.col("b.root").alias("root"))
 
 
-def kept_slots(found: DataFrame, templates: DataFrame) -> DataFrame:
+def wide_wrappers(found: DataFrame) -> DataFrame:
+    """host, wide: paths named as around the text that hold most of it on most of their pages."""
+    on = found.select("host", F.explode(F.arrays_zip("named", "wide")).alias("w")).groupBy("host", F.col("w.named").alias("path"))
+    most = on.agg(F.count_if("w.wide").alias("wide"), F.count(F.lit(1)).alias("pages")).where("2 * wide > pages")
+    return most.groupBy("host").agg(F.collect_set("path").alias("wide"))
+
+
+def kept_slots(found: DataFrame, templates: DataFrame, wide: DataFrame) -> DataFrame:
     """host, keep: block paths of the main text."""
     blocks = found.select("host", F.explode(F.arrays_zip("keys", "chars", "links")).alias("b"))
     stats = blocks.groupBy("host", F.col("b.keys").alias("key")).agg(F.sum("b.chars").alias("chars"), F.sum("b.links").alias("linked"))
     inside = F.filter("root", lambda r: (F.col("key") == r) | F.startswith(F.col("key"), F.concat(r, F.lit(">"))))
     slot = F.coalesce(F.array_max(F.transform(inside, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"], F.col("key"))
     slot = F.regexp_replace(slot, LEAVES, "")  # headings and paragraphs side by side are one slot
-    around = F.col("key").rlike(AROUND) | F.col("key").rlike(AROUND_CLASS)
-    stats = stats.join(templates, "host", "left").withColumn("slot", slot).withColumn("around", around).withColumn("main", F.col("key").rlike(MAIN)).drop("root")
+    stats = stats.join(templates, "host", "left").join(wide, "host", "left").withColumn("slot", slot)
+    stats = stats.withColumn("around", around(F.col("key"), F.col("wide"))).drop("wide").withColumn("main", F.col("key").rlike(MAIN)).drop("root")
     slots = stats.where("not around").groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("main").alias("main"))
     hosts = slots.groupBy("host").agg(F.sum("chars").alias("all_chars"), F.max("main").alias("has_main"))
     slots = slots.withColumnRenamed("chars", "slot_chars").withColumnRenamed("linked", "slot_linked").drop("main")
@@ -202,26 +244,26 @@ def constant_texts(found: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, keep, constant: what the pages of each host have in common. No text is moved for it."""
-    slim = parsed(pages, texts=False).select("host", "keys", "marks", "chars", "links", "paths", "counts", "psig")
+    """host, keep, constant, wide: what the pages of each host have in common. No text is moved for it."""
+    slim = parsed(pages, texts=False).select("host", "keys", "marks", "chars", "links", "paths", "counts", "psig", "named", "wide")
     found = cut(slim.withColumn("rid", F.monotonically_increasing_id()))
-    return cut(kept_slots(found, outer_template(found)).join(constant_texts(found), "host", "full"))
+    wide = cut(wide_wrappers(found))
+    return cut(kept_slots(found, outer_template(found), wide).join(constant_texts(found), "host", "full").join(wide, "host", "full"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     of_host = templates(pages)
-    size = of_host.agg(F.sum(F.length(F.to_json(F.struct("host", "keep", "constant"))))).first()[0] or 0
+    size = of_host.agg(F.sum(F.length(F.to_json(F.struct("host", "keep", "constant", "wide"))))).first()[0] or 0
     # few or small templates go to every task; beyond that size pages meet them by a join on the host
     of_host = F.broadcast(of_host) if size <= BROADCAST_BYTES else of_host
-    d = parsed(pages, texts=True).join(of_host, "host", "left")
-    around = lambda k: k.rlike(AROUND) | k.rlike(AROUND_CLASS)
+    d = parsed(pages, texts=True).drop("named", "wide").join(of_host, "host", "left")
     blocks = F.arrays_zip("keys", "texts", "links", "marks")
     main = F.filter(
         blocks,
         lambda b: F.coalesce(F.array_contains("keep", b["keys"]), F.lit(False)) & ~F.coalesce(F.array_contains("constant", b["marks"]), F.lit(False)),
     )
-    rest = F.filter(blocks, lambda b: ~around(b["keys"]) & (b["links"] * 2 < F.length(b["texts"])))
+    rest = F.filter(blocks, lambda b: ~around(b["keys"], F.col("wide")) & (b["links"] * 2 < F.length(b["texts"])))
     d = d.withColumn("main", main).withColumn("main", F.when(F.size("main") > 0, F.col("main")).otherwise(rest))
     text = F.array_join(F.transform("main", lambda b: b["texts"]), "\n")
     return d.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
