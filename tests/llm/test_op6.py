@@ -64,3 +64,17 @@ def test_wrappers_of_the_whole_page_and_open_heads_keep_the_text(spark):
     got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k, _, _ in rows:
         assert got[k] == "Story n{0} begins\nand goes on for n{0} more words than the rest".format(k % 10), (k, got[k])
+
+
+def test_deep_elements_and_late_class_words_are_seen(spark):
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    story = "<p>Story {0} begins</p><p>and goes on for {0} more words than the rest</p>"
+    layouts = [
+        deep(20, "<article>" + story + deep(3, "<div class=comments><p>reader {0} says</p></div>") + "</article><aside><p>see {0} too</p></aside>"),
+        deep(2, story + '<div class="row mt-0 px-0 comments"><p>reader {0} says</p></div>'),
+        deep(300, story + "<nav><p>go to {0}</p></nav>"),
+    ]
+    rows = [(10 * h + i, f"http://h{h}.example/{i}", "<body>" + w.format(f"n{i}")) for h, w in enumerate(layouts) for i in range(6)]
+    got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, _ in rows:
+        assert got[k] == "Story n{0} begins\nand goes on for n{0} more words than the rest".format(k % 10), (k, got[k])

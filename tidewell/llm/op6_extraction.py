@@ -34,8 +34,6 @@ ON_MOST = 0.6
 LEAST_PAGES = 4
 #: Size of all templates up to which they are sent to every task.
 BROADCAST_BYTES = 16 << 20
-#: Labels of a path at most; deeper blocks count to their ancestor.
-DEPTH = 14
 
 # Names of elements by what they do.
 SKIPPED = ("script", "style", "noscript", "template", "svg", "title", "iframe", "object", "canvas", "select", "textarea", "button")
@@ -48,11 +46,11 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 PARAGRAPH = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 AROUND = r"(^|>)(nav|footer|header|aside|form|menu|dialog|fieldset)([.#>]|$)"
 AROUND_CLASS = (
-    r"[.#][^>]*(^|[.#_-])(ad|ads|advert|adverts|advertisement|banner|promo|sponsor|sponsored|cookie|cookies|consent|notice|alert|comment|comments|reply|"
+    r"[.#]([^>]*[.#_-])?(ad|ads|advert|adverts|advertisement|banner|promo|sponsor|sponsored|cookie|cookies|consent|notice|alert|comment|comments|reply|"
     r"replies|respond|sidebar|menu|nav|navbar|navigation|footer|header|breadcrumb|breadcrumbs|share|social|related|subscribe|newsletter|signup|login|"
     r"popup|modal|widget|toolbar|pager|pagination)s?([.#_>-]|$)"
 )
-LEAVES = r"(^|>)((p|h[1-6]|ul|ol|li|dl|dt|dd|blockquote|pre|table|tbody|tr|td|th)([.#][^>]*)?(>|$))+$"
+LEAF = r"^(p|h[1-6]|ul|ol|li|dl|dt|dd|blockquote|pre|table|tbody|tr|td|th)([.#]|$)"
 MAIN = r"(^|>)(article|main)([.#>]|$)"
 
 # Without an end tag, scripts and styles go on to the end of the page; other skipped elements end at the next block element.
@@ -76,8 +74,7 @@ def label(name: str, attributes: str) -> str:
     out = name
     for kind, *values in CLASS.findall(attributes):
         value = DIGITS.sub("0", next((v for v in values if v), "")).lower()
-        words = value.split()[:3]
-        out += "".join(("." if kind.lower() == "class" else "#") + w.replace(">", "") for w in words)
+        out += "".join(("." if kind.lower() == "class" else "#") + w.replace(">", "") for w in value.split())
     return out
 
 
@@ -128,7 +125,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
         if name == "hr":
             continue
         above = paths[-1]
-        path = above if above.count(">") >= DEPTH else (above + ">" if above else "") + label(name, attributes)
+        path = (above + ">" if above else "") + label(name, attributes)
         names.append(name)
         paths.append(path)
         opened[path] = opened.get(path, 0) + 1
@@ -224,7 +221,10 @@ def kept_slots(found: DataFrame, templates: DataFrame, wide: DataFrame) -> DataF
     stats = blocks.groupBy("host", F.col("b.keys").alias("key")).agg(F.sum("b.chars").alias("chars"), F.sum("b.links").alias("linked"))
     inside = F.filter("root", lambda r: (F.col("key") == r) | F.startswith(F.col("key"), F.concat(r, F.lit(">"))))
     slot = F.coalesce(F.array_max(F.transform(inside, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"], F.col("key"))
-    slot = F.regexp_replace(slot, LEAVES, "")  # headings and paragraphs side by side are one slot
+    # headings and paragraphs side by side are one slot; label by label, as a path may have thousands
+    labels = F.split(slot, ">")
+    last = F.array_max(F.transform(labels, lambda x, i: F.when(x.rlike(LEAF), 0).otherwise(i + 1)))
+    slot = F.array_join(F.slice(labels, F.lit(1), last), ">")
     stats = stats.join(templates, "host", "left").join(wide, "host", "left").withColumn("slot", slot)
     stats = stats.withColumn("around", around(F.col("key"), F.col("wide"))).drop("wide").withColumn("main", F.col("key").rlike(MAIN)).drop("root")
     slots = stats.where("not around").groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("main").alias("main"))
