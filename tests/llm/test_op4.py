@@ -62,3 +62,36 @@ def test_every_id_lies_in_one_piece_and_sequences_are_gapless(spark):
             at += length
         assert at <= 2048
     assert op.pack(op.pieces(docs.limit(0), _json())).count() == 0
+
+
+def test_program_reaches_its_bound_where_best_fit_does_not():
+    """Two thirds and a third: best fit, longest first, joins what should not be joined."""
+    counts = np.zeros(101, np.int64)
+    counts[[44, 30, 26, 24]] = 300  # 44 + 30 + 26 fills a sequence; 24 goes four times
+    patterns, over = op.plan(counts, 100)
+    assert over <= max(op.GAP, 1 / 375)
+    used = np.zeros(101, np.int64)
+    for pattern, uses in patterns:
+        assert sum(pattern) <= 100
+        for s in pattern:
+            used[s] += uses
+    assert (used == counts).all()
+    assert sum(u for _, u in patterns) <= 375 + 4
+
+
+def test_real_lengths_leave_little_padding():
+    rnd = np.random.default_rng(1)
+    lengths = rnd.lognormal(6.3, 1.3, 40_000).astype(int) % 2047 + 1
+    counts = np.bincount(lengths, minlength=2049).astype(np.int64)
+    assert sum(u for _, u in op.solve(counts, 2048)) <= lengths.sum() / 2048 * 1.002 + 2
+
+
+def test_long_texts_and_pieces_encode_as_the_library_does(spark):
+    rnd = random.Random(2)
+    texts = ["x" * 300_000, "".join(rnd.choice("abcdé \x00\x01ÿ\n0") for _ in range(200_000)), " " * 70_000 + "　y" * 9_000, "a\x00b\x00", "ÿÿ þ", "\x00"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = Tokenizer.from_str(_json())
+    for r in op.pieces(docs, _json()).collect():
+        ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids + [1]
+        assert r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())

@@ -3,9 +3,10 @@
 1. Every text is encoded in one pass over the documents; a document longer than a sequence is cut into
    full sequences and a remainder. Pieces carry their checksum, so ids need not be kept.
 2. The remainders' length histogram (at most ``capacity`` bins, whatever the corpus) goes to the driver.
-   A linear program over patterns of lengths is solved by column generation: a knapsack dynamic program
-   over the dual prices yields the pattern of most negative reduced cost. Patterns are rounded down;
-   what they leave is packed by best fit over the same histogram.
+   A linear program over patterns of lengths is solved by column generation: best fit's patterns are the
+   first basis, and a knapsack dynamic program over the dual prices yields patterns of negative reduced
+   cost until the value is within ``GAP`` of its bound. Patterns are rounded down; what they leave is
+   packed by best fit over the same histogram.
 3. Each remainder gets a rank within its length (counts by partition first, then local row numbers, so
    that a length shared by a third of all documents is never in one task), and ranks map to
    (pattern use, slot) by the bounded table of patterns.
@@ -15,6 +16,8 @@ Defined results: a null or empty text is its closing id alone. Repeated rows are
 
 from __future__ import annotations
 
+import hashlib
+import logging
 import zlib
 
 import numpy as np
@@ -32,10 +35,22 @@ CAPACITY = 2048
 END_ID = 1
 #: Distinct pre-tokens held by a task in each of two generations.
 CACHE_ENTRIES = 400_000
-BLOCK = 2_000_000
-#: The linear program ends once its bound is within this share of its value.
+#: Code points of the texts encoded at once.
+BLOCK = 4_000_000
+#: Pre-tokens that one call of the tokenizer takes.
+CALL = 1_000
+#: The linear program ends once its bound is within this share of its value, or so many rounds together gain less than that.
 GAP = 1e-4
-MOST_ROUNDS = 400
+STALLED = 40
+#: Weight of the best bound's prices in pricing; columns offered a round; factors beyond two a length before the inverse is renewed.
+PULL, OFFERED, FACTORS = 0.8, 60, 1_000
+
+
+def byte_alphabet() -> str:
+    """The character by which byte-level tokenizers write each byte: itself where it is visible, else the next free one from 256 on."""
+    visible = [*range(ord("!"), ord("~") + 1), *range(ord("\u00a1"), ord("\u00ac") + 1), *range(ord("\u00ae"), ord("\u00ff") + 1)]
+    free = iter(range(256, 512))
+    return "".join(chr(b) if b in visible else chr(next(free)) for b in range(256))
 
 
 class PieceCache(dict):
@@ -45,27 +60,62 @@ class PieceCache(dict):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.entries = Tokenizer.from_str(tokenizer_json), entries
-        self.tokenizer.encode_special_tokens = True
+        self.entries = entries
+        # pre-tokens come cut, in the byte alphabet, which has no white space: blanks keep many apart in one call
+        self.tokenizer = Tokenizer(Tokenizer.from_str(tokenizer_json).model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.alphabet = byte_alphabet()[:255] + " "  # no byte of UTF-8 is 255
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
         self.older: dict[str, bytes] = {}
 
-    def learn(self, block: list[list[str]]) -> None:
-        lacking: set[str] = set().union(*block).difference(self)
+    def encoded(self, pieces: list[str]):
+        """The ids of each piece."""
+        for a in range(0, len(pieces), CALL):
+            own = pieces[a : a + CALL]
+            data = list(map(str.encode, own))
+            shown = b"\xff".join(data).decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.tokenizer.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            # ids tile the pieces' bytes, so that a piece ends with the id that ends with its last byte
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))) + 1
+            ends, data = (4 * ends).tolist(), ids.tobytes()
+            yield from (data[x:y] for x, y in zip([0, *ends], ends))
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, from the cache or by the tokenizer."""
+        lacking = [p for p in pieces if p not in self]
         if len(self) + len(lacking) > self.entries:
             self.older = dict(self)
             self.clear()
-            lacking = set().union(*block)
-        kept = lacking & self.older.keys()
+            lacking = pieces
+        kept = [p for p in lacking if p in self.older]
         self.update((p, self.older[p]) for p in kept)
-        pieces = list(lacking - kept)
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self[p] = np.array(e.ids, "<u4").tobytes()
+        if kept:
+            lacking = [p for p in lacking if p not in self]
+        self.update(zip(lacking, self.encoded(lacking)))
+        return list(map(self.__getitem__, pieces))
+
+
+def encoded_texts(texts: list[str], cache: PieceCache):
+    """Numbers of texts and their ids (32 bits, little endian), block by block."""
+    for which, sizes, codes, distinct in pretok.coded(texts, BLOCK):
+        own = cache.ids_of(distinct)
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), "<u4")
+        n = lengths[codes]
+        ends = np.cumsum(n)
+        # the place in ``flat`` of every id: the piece's first, and onwards
+        shift = (np.cumsum(lengths) - lengths)[codes] - (ends - n)
+        ids = flat[np.repeat(shift, n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(sizes))].tolist()
+        yield from zip(which, (ids[a:b] for a, b in zip(bounds, bounds[1:])))
 
 
-_caches: dict[int, PieceCache] = {}
+_caches: dict[str, PieceCache] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY) -> DataFrame:
@@ -74,23 +124,18 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY) -> Da
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        key = len(shared.value)
+        key = hashlib.sha256(shared.value.encode()).hexdigest()
         if key not in _caches:
             _caches[key] = PieceCache(shared.value)
         cache = _caches[key]
         for pdf in batches:
             ids, rows = pdf["doc_id"].tolist(), []
-            texts = pdf["text"].fillna("").tolist()
-            k = 0
-            for block in pretok.blocks(texts, BLOCK):
-                cache.learn(block)
-                for found in block:
-                    data = b"".join(map(cache.__getitem__, found)) + end
-                    n = len(data) // 4
-                    for a in range(0, n, capacity):
-                        b = min(a + capacity, n)
-                        rows.append((ids[k], a, b - a, zlib.crc32(data[4 * a : 4 * b]), n))
-                    k += 1
+            for k, found in encoded_texts(pdf["text"].fillna("").tolist(), cache):
+                data = found.tobytes() + end
+                n = len(data) // 4
+                for a in range(0, n, capacity):
+                    b = min(a + capacity, n)
+                    rows.append((ids[k], a, b - a, zlib.crc32(data[4 * a : 4 * b]), n))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     # ids travel as text: pandas would turn whole numbers beside nulls into floats
@@ -99,30 +144,39 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY) -> Da
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """Unbounded knapsack: the lengths (1-based index into ``prices``) of most value that fit ``capacity``."""
+def knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
+    """The most value within every capacity up to ``capacity``; ``value`` is indexed by length, any number of each."""
     best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, np.int64)
-    priced = np.flatnonzero(prices > 1e-12) + 1
-    if not len(priced):
-        return 0.0, []
-    value = prices[priced - 1]
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(priced, c, side="right"))
-        best[c], choice[c] = best[c - 1], 0
-        if k:
-            offers = best[c - priced[:k]] + value[:k]
-            j = int(offers.argmax())
-            if offers[j] > best[c] + 1e-12:
-                best[c], choice[c] = offers[j], priced[j]
-    out, c = [], capacity
-    while c > 0:
-        if choice[c]:
-            out.append(int(choice[c]))
-            c -= int(choice[c])
-        else:
+    for c in range(capacity):
+        if c and best[c] <= best[c - 1]:
+            best[c] = best[c - 1]  # whatever goes on from here goes on from there
+            continue
+        rest = best[c + 1 :]
+        np.maximum(rest, value[1 : capacity - c + 1] + best[c], out=rest)
+    best[capacity] = max(best[capacity], best[max(capacity - 1, 0)])
+    return best
+
+
+def items(best: np.ndarray, value: np.ndarray, c: int) -> list[int]:
+    """Lengths that make up the value ``best[c]``."""
+    out = []
+    while c > 0 and best[c] > 0:
+        if best[c] == best[c - 1]:
             c -= 1
-    return float(best[capacity]), out
+            continue
+        s = int((best[:c][::-1] + value[1 : c + 1]).argmax()) + 1
+        out.append(s)
+        c -= s
+    return out
+
+
+def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, list[int]]:
+    """Unbounded knapsack: the lengths (1-based index into ``prices``) of most value that fit ``capacity``."""
+    value = np.zeros(capacity + 1)
+    n = min(len(prices), capacity)
+    value[1 : n + 1] = np.where(prices[:n] > 1e-12, prices[:n], 0)
+    best = knapsack(value, capacity)
+    return float(best[capacity]), items(best, value, capacity)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -155,74 +209,140 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
         out.append((pattern, uses))
 
 
-def solve(counts: np.ndarray, capacity: int, gap: float = GAP, most_rounds: int = MOST_ROUNDS) -> list[tuple[list[int], int]]:
-    """Patterns of lengths and how often each is used, covering ``counts`` (indexed by length) exactly."""
+Column = tuple[tuple[int, ...], tuple[float, ...]]
+
+
+class Basis:
+    """A basis of the linear program over patterns: its columns (rows and counts), how often each is used, its inverse as a product.
+
+    It begins with each length by itself, as often as it fits, whose inverse is diagonal; every change of a column
+    adds one sparse factor.
+    """
+
+    def __init__(self, sizes: np.ndarray, demand: np.ndarray, capacity: int):
+        per = (capacity // sizes).astype(float)
+        self.columns: list[Column] = [((i,), (n,)) for i, n in enumerate(per.tolist())]
+        self.scale, self.inverse = 1 / per, None
+        self.factors: list[tuple[int, np.ndarray, np.ndarray, float]] = []
+        self.level = demand * self.scale
+
+    def direction(self, column: Column) -> np.ndarray:
+        """The inverse times ``column``."""
+        rows, counts = list(column[0]), np.array(column[1])
+        if self.inverse is None:
+            x = np.zeros(len(self.columns))
+            x[rows] = counts * self.scale[rows]
+        else:
+            x = self.inverse[:, rows] @ counts
+        for r, at, by, own in self.factors:
+            if t := x[r]:
+                t /= own
+                x[at] -= t * by
+                x[r] = t
+        return x
+
+    def prices(self) -> np.ndarray:
+        """Dual prices: a sequence costs one."""
+        y = np.ones(len(self.columns))
+        for r, at, by, own in reversed(self.factors):
+            y[r] = (y[r] - (y[at] @ by - y[r] * own)) / own
+        return y * self.scale if self.inverse is None else y @ self.inverse
+
+    def enter(self, column: Column, uses: float = 0.0) -> bool:
+        """Bring ``column``, used ``uses`` times outside the basis, into it, or to no use at all, whichever costs less."""
+        x = self.direction(column)
+        more = x.sum() > 1 + 1e-9
+        if not more and not uses:
+            return False
+        down = x if more else -x
+        block = np.flatnonzero(down > 1e-9)
+        if not len(block):
+            self.level += uses * x
+            return False
+        ratios = self.level[block] / down[block]
+        k = int(ratios.argmin())
+        step, r = float(ratios[k]), int(block[k])
+        if not more and uses <= step:
+            self.level += uses * x
+            return False
+        self.level -= step * down
+        np.maximum(self.level, 0, out=self.level)
+        self.level[r] = uses + step if more else uses - step
+        at = np.flatnonzero(np.abs(x) > 1e-12)
+        self.factors.append((r, at, x[at], float(x[r])))
+        self.columns[r] = column
+        return True
+
+    def renew(self) -> None:
+        """One dense inverse in place of the factors."""
+        whole = np.zeros((len(self.columns), len(self.columns)))
+        for k, (rows, counts) in enumerate(self.columns):
+            whole[list(rows), k] = counts
+        self.inverse, self.factors = np.linalg.inv(whole), []
+
+
+def plan(counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[list[int], int]], float]:
+    """Patterns of lengths and how often each is used, covering ``counts`` (indexed by length) exactly; and the share by
+    which the linear program's value may exceed its optimum.
+
+    Best fit's patterns make the first basis. Columns are priced at a mix of the basis' prices and the best bound's.
+    The program ends within ``gap`` of its bound or within one sequence, at its optimum, or once ``STALLED`` rounds
+    together gain less than ``gap``.
+    """
     sizes = np.flatnonzero(counts[: capacity + 1])
     sizes = sizes[sizes > 0]
     if not len(sizes):
-        return []
+        return [], 0.0
     demand = counts[sizes].astype(float)
-    m = len(sizes)
     row = {int(s): i for i, s in enumerate(sizes)}
-    # the first basis: each length by itself, as often as it fits
-    columns = [np.zeros(m) for _ in range(m)]
-    inverse = np.zeros((m, m))
-    for i, s in enumerate(sizes):
-        n = capacity // int(s)
-        columns[i][i], inverse[i, i] = n, 1 / n
-    level = inverse @ demand
-    bound = 0.0
-
-    def pivot(column: np.ndarray) -> bool:
-        nonlocal inverse, level
-        direction = inverse @ column
-        up = direction > 1e-9
-        if not up.any():
-            return False
-        ratio = np.full(m, np.inf)
-        ratio[up] = level[up] / direction[up]
-        leave = int(ratio.argmin())
-        step = inverse[leave] / direction[leave]
-        level = level - ratio[leave] * direction
-        level[leave] = ratio[leave]
-        inverse = inverse - np.outer(direction, step)
-        inverse[leave] = step
-        columns[leave] = column
-        np.maximum(level, 0, out=level)
-        return True
 
-    def column_of(pattern: list[int]) -> np.ndarray:
-        column = np.zeros(m)
-        for s in pattern:
-            column[row[s]] += 1
-        return column
-
-    # patterns that best fit finds are good columns to begin with
-    for pattern, _ in best_fit(counts, capacity)[:most_rounds]:
-        column = column_of(pattern)
-        if inverse.sum(axis=0) @ column > 1 + 1e-9:
-            pivot(column)
-    for _ in range(most_rounds):
-        prices = inverse.sum(axis=0)
-        by_length = np.zeros(capacity)
-        by_length[sizes - 1] = np.maximum(prices, 0)
-        worth, pattern = best_pattern(by_length, capacity)
-        bound = max(bound, level.sum() / max(worth, 1.0))
-        if worth <= 1 + 1e-9 or level.sum() - bound <= gap * bound:
-            break
-        if not pivot(column_of(pattern)):
+    def column_of(pattern: list[int]) -> Column:
+        distinct, n = np.unique(pattern, return_counts=True)
+        return tuple(row[int(s)] for s in distinct), tuple(n.astype(float).tolist())
+
+    # a trace more than is asked for, most of the shortest: no two lengths run out together
+    basis = Basis(sizes, np.linspace(2e-6, 1e-6, len(sizes)), capacity)
+    for pattern, uses in best_fit(counts, capacity):
+        basis.enter(column_of(pattern), float(uses))
+    bound, centre, pull = float(sizes @ demand) / capacity, sizes / capacity, PULL
+    values = [basis.level.sum()]
+    while True:
+        if len(basis.factors) > 2 * len(sizes) + FACTORS:
+            basis.renew()
+        prices = pull * centre + (1 - pull) * np.maximum(basis.prices(), 0)
+        value = np.zeros(capacity + 1)
+        value[sizes] = prices
+        best = knapsack(value, capacity)
+        worth = float(best[capacity])
+        if float(prices @ demand) / worth > bound:
+            bound, centre = float(prices @ demand) / worth, prices / worth
+        over = basis.level.sum() - bound
+        stalled = len(values) > STALLED and values[-STALLED] - values[-1] <= gap * bound
+        if over <= max(1.0, gap * bound) or stalled or (not pull and worth <= 1 + 1e-9):
             break
+        # the best pattern with each length, and the most promising of these
+        total = value[sizes] + best[capacity - sizes]
+        offered = {tuple(sorted([int(sizes[i]), *items(best, value, int(capacity - sizes[i]))])) for i in np.argsort(-total)[:OFFERED]}
+        entered = sum([basis.enter(column_of(list(p))) for p in sorted(offered)])
+        pull = PULL if entered else 0.0
+        values.append(basis.level.sum())
     left = counts.copy()
     out = []
-    for column, x in sorted(zip(columns, level), key=lambda c: -c[1]):
-        uses = int(x + 1e-7)
-        pattern = [int(s) for s, n in zip(sizes, column) for _ in range(int(n))]
-        uses = min([uses, *(int(left[s]) // int(n) for s, n in zip(sizes, column) if n)])
+    for (rows, n), x in sorted(zip(basis.columns, basis.level), key=lambda c: -c[1]):
+        uses = min([int(x + 1e-3), *(int(left[sizes[i]]) // int(k) for i, k in zip(rows, n))])
         if uses > 0:
-            for s, n in zip(sizes, column):
-                left[s] -= int(n) * uses
-            out.append((pattern, uses))
-    return out + best_fit(left, capacity)
+            for i, k in zip(rows, n):
+                left[sizes[i]] -= int(k) * uses
+            out.append(([int(sizes[i]) for i, k in zip(rows, n) for _ in range(int(k))], uses))
+    return out + best_fit(left, capacity), max(over, 0.0) / bound
+
+
+def solve(counts: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[list[int], int]]:
+    """The patterns of ``plan``; a word in the log where their optimality is not proven."""
+    patterns, over = plan(counts, capacity, gap)
+    if over > gap:
+        logging.getLogger(__name__).info("packing: the linear program's value is within %.2g of its bound", over)
+    return patterns
 
 
 def placements(patterns: list[tuple[list[int], int]]) -> pd.DataFrame:

@@ -12,6 +12,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 # The code points of white space in the pattern's sense.
 WHITE_SPACE = (
@@ -183,6 +184,36 @@ def slices(texts: list[str], most: int = 4_000_000):
         yield from block
 
 
+def coded(texts: list[str], most: int = 4_000_000):
+    """For blocks of about ``most`` code points: which texts, how many pre-tokens each has, and their pre-tokens as numbers of
+    a list of distinct ones. No pre-token but the distinct ones becomes a string."""
+    block: list[int] = []
+    held = 0
+    for k, t in enumerate(texts):
+        block.append(k)
+        held += len(t) + 1
+        if held >= most or k + 1 == len(texts):
+            narrow = [_narrow(texts[i]) for i in block]
+            for own, code in ((True, "latin-1"), (False, "utf-32-le")):
+                which = [i for i, x in zip(block, narrow) if x == own]
+                if which:
+                    yield which, *_coded([texts[i] for i in which], code)
+            block, held = [], 0
+
+
+def _coded(texts: list[str], code: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    points = np.frombuffer("\x00".join(texts).encode(code, "surrogatepass"), np.uint8 if code == "latin-1" else np.uint32)
+    starts, seps = _starts(points, texts)
+    at_seps = np.searchsorted(starts, seps)
+    ends = np.append(at_seps, len(starts))
+    sizes = ends - np.append(0, at_seps + 1)
+    offsets = (np.append(starts, len(points)) * points.itemsize).astype(np.int64)
+    tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(points)])
+    found = tokens.dictionary_encode()
+    codes = np.delete(found.indices.to_numpy(), at_seps)
+    return sizes, codes, [x.decode(code, "surrogatepass") for x in found.dictionary.to_pylist()]
+
+
 def _marked(points: np.ndarray, texts: list[str], token: int, text: int) -> np.ndarray:
     """The code points with a mark before every token, and a mark for every separator."""
     starts, seps = _starts(points, texts)
