@@ -82,3 +82,57 @@ def test_a_hot_leaf_is_parsed_whole(spark, monkeypatch):
     got = {r.doc_id: r.text for r in op.dedup(docs).collect()}
     assert got == brute(rows)
     assert got[100] and not got[101]
+
+
+def linked_brute(rows):
+    """Templates by comparing every pair of lines, without the library's tree."""
+    at = {}
+    for i, t in rows:
+        for pos, line in enumerate(t.split("\n")):
+            m = mask(line)
+            if m and m.split(" ").count("<*>") * 2 <= len(m.split(" ")):
+                at.setdefault(m, []).append((i, pos))
+    ms = sorted(at)
+    root = list(range(len(ms)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(ms)):
+        for y in range(x):
+            a, b = ms[x].split(" "), ms[y].split(" ")
+            same = sum(t == u != "<*>" for t, u in zip(a, b))
+            if len(a) == len(b) >= 8 and a[:3] == b[:3] and same * 10 >= 8 * len(a):
+                root[find(x)] = find(y)
+    of = {}
+    for x, m in enumerate(ms):
+        of.setdefault(find(x), []).extend(at[m])
+    gone = set()
+    for x, spots in of.items():
+        if len({i for i, _ in spots}) >= (5 if len(ms[x].split(" ")) < 8 else 2):
+            gone |= set(spots) - {min(spots)}
+    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
+
+
+def test_any_partitioning_gives_the_result_of_all_pairs(spark):
+    """One leaf, lines of eleven tokens that differ in three; also with columns that bear the operator's own names."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(260):
+        fixed = "note that this line has nine words which {} {}".split(" ")
+        lines = []
+        for _ in range(2):
+            line = list(fixed)
+            for k in (4, 7):
+                line[k] = rnd.choice("abcdefgh") + "x"
+            lines.append(" ".join(line).format(rnd.choice("pqrstuv"), rnd.choice("klmno")))
+        rows.append((i, "\n".join([*lines, f"own {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}"])))
+    want = linked_brute(rows)
+    assert any(want[i] != t for i, t in rows)
+    for n in (1, 4, 64):
+        docs = spark.createDataFrame([(i, t, i, i, i) for i, t in rows], "doc_id long, text string, dropped int, gone_id int, gone_key int").repartition(n)
+        got = op.dedup(docs).collect()
+        assert {r.doc_id: r.text for r in got} == want
+        assert all(r.dropped == r.gone_id == r.doc_id for r in got)

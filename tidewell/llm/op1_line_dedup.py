@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
-from tidewell.llm.shared import cut, table
+from tidewell.llm.shared import cut, fresh, join_hot, table
 
 NAME = "op1_line_dedup"
 DEPTH = 3
@@ -295,23 +295,26 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     own = found.select("doc_id", "tkey", "pos", "line", "short").join(grown, "line", "left").withColumn("template", F.coalesce("template", "line"))
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "tkey", "pos")
     by_doc = own.groupBy("template", "short", "doc_id", "tkey").agg(F.min(order).alias("first"), F.collect_list("pos").alias("at"))
+    by_doc = cut(by_doc)
     by_template = by_doc.groupBy("template", "short").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("docs"))
     recurring = by_template.where(f"docs >= if(short, {LEAST_DOCS_SHORT}, {LEAST_DOCS})").select("template", "short", "kept")
-    gone = by_doc.join(recurring, ["template", "short"]).withColumn("here", (F.col("first") == F.col("kept")))
+    # a template may stand in a third of all documents
+    gone = join_hot(by_doc, cut(recurring), ["template", "short"]).withColumn("here", F.col("first") == F.col("kept"))
     gone = gone.select("doc_id", "tkey", F.when(F.col("here"), F.array_remove("at", F.col("kept.pos"))).otherwise(F.col("at")).alias("at"))
     return gone.where(F.size("at") > 0).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("at")).alias("dropped"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the recurring lines taken from ``text``; ``n_lines`` and ``n_dropped`` are added."""
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     d = docs.select(*kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key"), "dropped")
-    d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("dropped", i)), "\n")
+    gone_id, gone_key, dropped = fresh(d, "gone_id"), fresh(d, "gone_key"), fresh(d, "dropped")
+    gone = dropped_lines(docs).select(F.col("doc_id").alias(gone_id), F.col("tkey").alias(gone_key), F.col("dropped").alias(dropped))
+    d = d.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_key)), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(dropped, i)), "\n")
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    d = d.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long"))
-    return d.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(rest)).drop("dropped", "gone_id", "gone_key")
+    d = d.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce(F.size(dropped), F.lit(0)).cast("long"))
+    return d.withColumn("text", F.when(F.col(dropped).isNull(), F.col("text")).otherwise(rest)).drop(dropped, gone_id, gone_key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

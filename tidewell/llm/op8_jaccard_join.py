@@ -25,11 +25,11 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
-from tidewell.llm.shared import cut, table
+from tidewell.llm.shared import cut, fresh, join_hot, table
 
 NAME = "op8_jaccard_join"
 WORDS = 5
@@ -241,10 +241,11 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     """(a, b): a member of a bucket and the root of its surviving pairs there."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * ROWS * 4 + 1, F.lit(ROWS * 4))))
     members = reps.select("sid", F.explode(bands).alias("key"))
-    key = Window.partitionBy("key")
-    members = members.withColumn("n", F.count(F.lit(1)).over(key)).where("n > 1")
-    # buckets of the same members count once
-    members = members.withColumn("bucket", F.xxhash64("n", F.bit_xor(F.xxhash64("sid")).over(key), F.min("sid").over(key)))
+    members = cut(members)
+    # buckets of the same members count once; their numbers are aggregated partially, so that no bucket is one task
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("least")).where("n > 1")
+    buckets = cut(buckets.select("key", "n", F.xxhash64("n", "x", "least").alias("bucket")))
+    members = join_hot(members, buckets, ["key"])
     members = members.groupBy("bucket", "sid").agg(F.max("n").alias("n"))
     members = in_blocks(members.join(reps.select("sid", "sig"), "sid"), "bucket", "n", BLOCK)
 
@@ -332,21 +333,19 @@ def classes_of(docs: DataFrame) -> DataFrame:
     linked = cut(links(near.join(found, "sid")))
     classes = components(linked.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("sid").agg(F.sum("links").alias("links"), F.sum("texts").alias("linked_texts"))
-    with_ids = classes.join(reps.select(F.col("sid").alias("v"), "first_id"), "v")
-    ids = with_ids.groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    final = with_ids.join(ids, "comp").select(F.col("v").alias("sid"), "class_id", F.col("comp").alias("class")).join(counts, "sid", "left")
-    of_sets = reps.select("sid", "copies", "first_id").join(final, "sid", "left")
-    return (
-        rows.select("doc_id", "tkey", "sid")
-        .join(of_sets, "sid", "left")
-        .select(
-            "doc_id",
-            "tkey",
-            F.coalesce("class", "sid").alias("class"),
-            F.coalesce("class_id", "first_id", "doc_id").alias("class_id"),
-            (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("links"),
-            F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"),
-        )
+    with_ids = cut(classes.join(reps.select(F.col("sid").alias("v"), "first_id"), "v"))
+    ids = cut(with_ids.groupBy("comp").agg(F.min("first_id").alias("class_id")))
+    final = join_hot(with_ids, ids, ["comp"]).select(F.col("v").alias("sid"), "class_id", F.col("comp").alias("class")).join(counts, "sid", "left")
+    of_sets = cut(reps.select("sid", "copies", "first_id").join(final, "sid", "left"))
+    # a set may have a third of all rows as copies; rows without words have none
+    found = join_hot(rows.select("doc_id", "tkey", "sid"), of_sets, ["sid"], "left")
+    return found.select(
+        "doc_id",
+        "tkey",
+        F.coalesce("class", "sid").alias("class"),
+        F.coalesce("class_id", "first_id", "doc_id").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("links"),
+        F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"),
     )
 
 
@@ -360,14 +359,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("tkey").alias("t"))
     found = classes_of(docs).where("class is not null").select("doc_id", "tkey", "class", order.alias("at"))
     found = cut(found)
-    first = found.groupBy("class").agg(F.min("at").alias("first"))
-    gone = found.join(first, "class").where(F.col("at") != F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key")).distinct()
-    d = docs.withColumn("tkey_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = d.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("tkey_") == F.col("gone_key")), "left_anti")
+    first = cut(found.groupBy("class").agg(F.min("at").alias("first")))
+    gone = join_hot(found, first, ["class"]).where(F.col("at") != F.col("first"))
+    gone_id, gone_key, tkey = fresh(docs, "gone_id"), fresh(docs, "gone_key"), fresh(docs, "tkey")
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("tkey").alias(gone_key)).distinct()
+    d = docs.withColumn(tkey, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = d.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(tkey) == F.col(gone_key)), "left_anti")
     # repeated rows of the document that stays are copies of it, too
     words = F.coalesce("text", F.lit("")).rlike(r"[\p{L}\p{N}_]")
     some, none = kept.where(words), kept.where(~words)
-    return some.dropDuplicates(["doc_id", "tkey_"]).union(none).drop("tkey_")
+    return some.dropDuplicates(["doc_id", tkey]).union(none).drop(tkey)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key with over one in so many rows is hot: there are at most so many hot keys, whatever the table's size.
+HOT = 10_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local one only where none is set (tests)."""
+    """The folder all executors share, as the cluster names it; a local one only in local mode where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -23,7 +29,52 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tidewell_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``; nothing that is still to run may read it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.tidewell_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added, so that no column of ``df`` bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_keys(left: DataFrame, on: list[str]) -> DataFrame | None:
+    """The keys of ``left`` with over one in ``HOT`` of its rows, to be broadcast; None without any."""
+    spark = left.sparkSession
+    n = fresh(left, "n")
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    total = left.count()
+    rows = sizes.where((F.col(n) * HOT > total) & (F.col(n) > 1)).dropna(subset=on).drop(n).collect()  # fewer than HOT rows
+    return F.broadcast(spark.createDataFrame(rows, left.select(*on).schema)) if rows else None
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) with ``right``, which has one row a key at most, and fewer than ``HOT`` of hot keys.
+
+    Rows of hot keys stay where they are, as the few right rows of these keys are broadcast, and so do rows of
+    null keys; the others are shuffled by key. ``left`` and ``right`` are read more than once: cut them before.
+    """
+    none = F.lit(False)
+    for c in on:
+        none = none | F.col(c).isNull()
+    hot = hot_keys(left, on)
+    if hot is None:
+        some = left.where(~none).join(right, on, how)
+    else:
+        some = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
+        some = some.unionByName(left.where(~none).join(hot, on, "left_anti").join(right, on, how))
+    return some if how == "inner" else some.unionByName(left.where(none), allowMissingColumns=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
