@@ -3,39 +3,43 @@
 On a bounded sample of distinct vectors a neighbour graph is made by brute force and cut into balanced
 parts: recursive halves along the main direction, then moves to the part that most neighbours are in,
 as far as that part has room. A small network (one hidden layer) learns the parts of a vector's
-neighbours. Every vector of the table is indexed in its most probable part; a query visits the several
-most probable parts, as many as bring the recall within the sample to its aim, and what it finds there is
-ranked by the exact measure.
+neighbours. Every vector of the table is indexed in its most probable part; a query visits the most
+probable parts until they hold so much of the network's probability that the sample's recall reaches its aim,
+and further ones until it has met enough candidates. What it finds is ranked by the exact measure.
 
-Scale: copies of a vector are one candidate with its smallest ids (six are enough for five neighbours),
-and copies of a query are searched once. Parts are dealt out in blocks of candidates and of queries, so a
-task holds a block of each; only a task's best survive it.
+Scale: parts grow with the square root of the table, and a part of over ``SPLIT`` vectors gets a graph, parts
+and a network of its own, fitted in a task on a bounded sample of it. Copies of a vector are one candidate with
+its smallest ids (six are enough for five neighbours), and copies of a query are searched once. Parts are dealt
+out in blocks of candidates and of queries, so a task holds a block of each; only a task's best survive it.
 
 Defined results: vectors null, empty, zero, or with null or non-finite components take no part, nor do null
-ids; rows equal in id and vector are one. A query with fewer candidates gets them all. Vectors of another
-length than most are compared with each other never: they take no part. Further columns are ignored.
+ids; rows equal in id and vector are one. A query with fewer candidates gets them all. No cosine exists between
+vectors of different lengths, so a query's candidates are those of its own length: the most usual length has learned
+parts, any other is one part. A table of fewer than ``LEAST`` vectors is one part. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.op8_jaccard_join import groups
-from tidewell.llm.shared import cut, table
+from tidewell.llm.shared import cut, join_hot, table
 
 NAME = "op10_neighbours"
 TOP = 5
 QUERY_EVERY = 50
-#: Distinct vectors that the fit may read.
+#: Distinct vectors that a fit may read.
 SAMPLE = 10_000
-#: Vectors a part, and parts at most.
-PART_SIZE = 1_500
-MOST_PARTS = 64
+#: Distinct vectors from which a table has parts: the square root of their number over ``PART_ROOT``, with ``PART_SAMPLE`` of the sample each.
+LEAST, PART_ROOT, PART_SAMPLE = 500, 4, 40
+#: Vectors from which a part is parted again; numbers of parts within one.
+SPLIT, STRIDE = 50_000, 1 << 12
 GRAPH = 10
 HIDDEN = 64
 EPOCHS = 40
@@ -103,14 +107,68 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int = 1
+    #: Probability that the visited parts hold together.
+    mass: float = 1.0
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        q = np.exp(z - z.max(axis=1, keepdims=True))
+        return q / q.sum(axis=1, keepdims=True)
 
-    def order(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n most probable parts of each row, most probable first."""
-        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :n]
+    def own(self, x: np.ndarray) -> np.ndarray:
+        return self.chances(x).argmax(axis=1)
+
+    def order(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of each row, most probable first, and the probability of all before each."""
+        q = self.chances(x)
+        order = np.argsort(-q, axis=1, kind="stable")
+        sorted_ = np.take_along_axis(q, order, axis=1)
+        return order, np.cumsum(sorted_, axis=1) - sorted_
+
+
+@dataclass
+class Index:
+    """A router over the parts and one for each part that is parted again; leaves are numbered part * STRIDE + part within."""
+
+    root: Router | None
+    within: dict[int, Router]
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        parts = self.root.own(x) if self.root is not None else np.zeros(len(x), np.int64)
+        out = parts * STRIDE
+        for p, r in self.within.items():
+            at = np.flatnonzero(parts == p)
+            if len(at):
+                out[at] += r.own(x[at])
+        return out
+
+    def visits(self, x: np.ndarray, sizes: dict[int, int], least: int) -> list[list[int]]:
+        """The leaves that each row visits: ``least`` vectors in all at least, where there are so many."""
+        order, before = self.root.order(x) if self.root is not None else (np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1)))
+        mass = self.root.mass if self.root is not None else 1.0
+        inner = {p: r.order(x) for p, r in self.within.items()}
+        out = []
+        for i in range(len(x)):
+            own: list[int] = []
+            met = 0
+            for k, p in enumerate(order[i].tolist()):
+                if k and before[i, k] > mass and met >= least:
+                    break
+                new = [p * STRIDE]
+                if p in inner:
+                    parts, earlier = inner[p]
+                    enough = earlier[i] <= self.within[p].mass if before[i, k] <= mass else np.ones(parts.shape[1], bool)
+                    new = (p * STRIDE + parts[i][enough]).tolist()
+                    rest = (p * STRIDE + parts[i][~enough]).tolist()
+                    met += sum(sizes.get(n, 0) for n in new)
+                    while met < least and rest:
+                        new.append(rest.pop(0))
+                        met += sizes.get(new[-1], 0)
+                else:
+                    met += sizes.get(new[0], 0)
+                own += [n for n in new if n in sizes]
+            out.append(own)
+        return out
 
 
 def train(x: np.ndarray, target: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS) -> Router:
@@ -139,9 +197,9 @@ def train(x: np.ndarray, target: np.ndarray, hidden: int = HIDDEN, epochs: int =
 
 
 def fit(sample: np.ndarray, n: int) -> Router | None:
-    """A router for a table of ``n`` distinct vectors; None where one part holds them all."""
-    parts = min(MOST_PARTS, n // PART_SIZE, len(sample) // (4 * GRAPH))
-    if parts < 2:
+    """A router for ``n`` distinct vectors by a sample of them; None where one part holds them all."""
+    parts = min(int(n**0.5 / PART_ROOT), len(sample) // PART_SAMPLE, STRIDE)
+    if n < LEAST or parts < 2:
         return None
     x = unit_rows(sample)
     graph = neighbour_graph(x, GRAPH)
@@ -150,16 +208,15 @@ def fit(sample: np.ndarray, n: int) -> Router | None:
     np.add.at(target, (np.arange(len(x)), part), 3.0)
     np.add.at(target, (np.repeat(np.arange(len(x)), GRAPH), part[graph].ravel()), 1.0)
     router = train(x, target / target.sum(axis=1, keepdims=True))
-    own = router.order(x, 1)[:, 0]
-    # how many parts must be visited: the place of each true neighbour's part in the query's order
+    own = router.own(x)
+    # how much must be visited: the probability before each true neighbour's part in the query's order
     asked = np.random.default_rng(5).permutation(len(x))[:1500]
     near = x[asked] @ x.T
     near[np.arange(len(asked)), asked] = -np.inf
     true = np.argpartition(-near, TOP - 1, axis=1)[:, :TOP]
-    place = np.argsort(router.order(x[asked], parts), axis=1)
-    places = np.take_along_axis(place, own[true], axis=1)
-    recall = np.array([(places < k).mean() for k in range(1, parts + 1)])
-    router.probes = min(parts, int(np.argmax(recall >= AIM)) + 2)
+    order, before = router.order(x[asked])
+    place = np.argsort(order, axis=1)
+    router.mass = float(np.quantile(np.take_along_axis(before, np.take_along_axis(place, own[true], axis=1), axis=1), AIM))
     return router
 
 
@@ -176,49 +233,92 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
     good = usable(vectors)
     # copies of a vector: its smallest ids, one more than is asked for, since a query's own is left out
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = good.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= top + 1)
-    distinct = cut(kept.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max(F.size("embedding")).alias("dim")))
+    one = good.distinct().withColumn("asked", F.col("vec_id") % every == 0)
+    numbered = one.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top + 1)
+    # of the asked ids one is enough to know that the vector is searched for
+    least = one.where("asked").groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding", F.lit(True).alias("asked"))
+    kept = numbered.drop("r").union(least).distinct()
+    distinct = kept.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max("asked").alias("asked"))
+    distinct = cut(distinct.select("embedding", "ids", F.size("embedding").alias("dim"), "asked"))
     lengths = distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = lengths[0]["dim"], lengths[0]["n"]
-    distinct = distinct.where(F.col("dim") == dim).drop("dim")
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "embedding"), F.lit(1 << 20))
-    share = distinct if n <= SAMPLE else distinct.where(draw < int((1 << 20) * 0.95 * SAMPLE / n))
-    rows = share.select("embedding").collect()  # at most about SAMPLE vectors
-    sample = np.array([r[0] for r in rows], float).reshape(-1, dim)
-    router = fit(sample[np.lexsort(sample.T)], n)
-    shared = spark.sparkContext.broadcast(router)  # its size is that of the network
 
-    def route(batches):
-        r = shared.value
+    def sampled(df: DataFrame, of: Column) -> DataFrame:
+        """About ``SAMPLE`` of ``of`` vectors, by the vector's hash."""
+        draw = F.pmod(F.xxhash64(F.lit("sample"), "embedding"), F.lit(1 << 20))
+        return df.where((of <= SAMPLE) | (draw < ((1 << 20) * 0.95 * SAMPLE / of)))
+
+    rows = sampled(distinct.where(F.col("dim") == dim), F.lit(n)).select("embedding").collect()  # at most about SAMPLE vectors
+    sample = np.array([r[0] for r in rows], float).reshape(-1, dim)
+    index = Index(fit(sample[np.lexsort(sample.T)], n), {})
+
+    def with_leaves(index: Index) -> DataFrame:
+        shared = spark.sparkContext.broadcast(index)  # its size is that of the networks
+
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                dims = pdf["dim"].to_numpy()
+                leaf = -dims.astype(np.int64)
+                usual = dims == dim
+                if usual.any():
+                    leaf[usual] = shared.value.leaves(unit_rows(np.array(pdf["embedding"][usual].tolist(), float)))
+                pdf["leaf"] = leaf
+                yield pdf
+
+        return cut(distinct.mapInPandas(run, "embedding array<float>, ids array<long>, dim int, asked boolean, leaf long"))
+
+    def counted(df: DataFrame) -> dict[int, int]:
+        return {r["leaf"]: r["n"] for r in df.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a leaf
+
+    routed = with_leaves(index)
+    sizes = counted(routed)
+    large = [(p, m) for p, m in sizes.items() if p >= 0 and m > SPLIT]
+    if large:
+        # a fit for each large part, in a task of its own on a bounded sample of the part
+        def refit(pdf: pd.DataFrame) -> pd.DataFrame:
+            own = np.array(pdf["embedding"].tolist(), float)
+            router = fit(own[np.lexsort(own.T)], int(pdf["of"].iloc[0]))
+            return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "router": [pickle.dumps(router)]})
+
+        of = F.broadcast(spark.createDataFrame(large, "leaf long, of long"))
+        own = sampled(routed.join(of, "leaf"), F.col("of")).select("leaf", "of", "embedding")
+        found = own.groupBy("leaf").applyInPandas(refit, "leaf long, router binary").collect()
+        index = Index(index.root, {r["leaf"] // STRIDE: x for r in found if (x := pickle.loads(r["router"])) is not None})
+        routed = with_leaves(index)
+        sizes = counted(routed)
+    shared = spark.sparkContext.broadcast((index, sizes))
+
+    def visit(batches):
+        index, sizes = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = unit_rows(np.array(pdf["embedding"].tolist(), float))
-            own = r.order(x, r.probes) if r is not None else np.zeros((len(x), 1), int)
-            pdf["parts"] = own.tolist()
-            yield pdf
+            dims = pdf["dim"].to_numpy()
+            leaves = [[int(-d)] for d in dims]
+            usual = np.flatnonzero(dims == dim)
+            if len(usual):
+                x = unit_rows(np.array(pdf["embedding"].iloc[usual].tolist(), float))
+                for i, own in zip(usual.tolist(), index.visits(x, sizes, top + 1)):
+                    leaves[i] = own
+            yield pd.DataFrame({"embedding": pdf["embedding"], "leaves": leaves})
 
-    schema = "embedding array<float>, ids array<long>, parts array<int>"
-    routed = cut(distinct.mapInPandas(route, schema))
     asked = good.where(F.col("vec_id") % every == 0).distinct().withColumnRenamed("vec_id", "query_id")
-    queries = routed.join(asked.select("embedding").distinct(), "embedding", "left_semi").withColumn("qkey", F.xxhash64("embedding"))
-    candidates = routed.withColumn("part", F.col("parts")[0])
-    sizes = {r["part"]: r["n"] for r in candidates.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a part
-    visits = queries.select("embedding", "qkey", F.explode("parts").alias("part"))
-    visit_sizes = {r["part"]: r["n"] for r in visits.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = max([*sizes, *visit_sizes], default=0) + 1
-    blocks = F.array(*[F.lit(-(-sizes.get(p, 1) // BLOCK)) for p in range(parts)])
-    query_blocks = F.array(*[F.lit(-(-visit_sizes.get(p, 1) // QUERY_BLOCK)) for p in range(parts)])
+    visits = routed.where("asked").select("embedding", "dim").mapInPandas(visit, "embedding array<float>, leaves array<long>")
+    visits = cut(visits.select("embedding", F.xxhash64("embedding").alias("qkey"), F.explode("leaves").alias("leaf")))
+    blocks = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    query_blocks = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks"))
+    deal = F.broadcast(blocks.join(query_blocks, "leaf"))  # a row a leaf
     draw = F.xxhash64(F.lit("block"), "embedding")
-    dealt_c = candidates.select(
-        "part", F.pmod(draw, blocks[F.col("part")]).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), query_blocks[F.col("part")] - 1)).alias("q"),
-        F.lit(0).cast("long").alias("qkey"), "ids", "embedding",
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt_c = routed.join(deal, "leaf").select(
+        "leaf", F.pmod(draw, "blocks").cast("int").alias("c"), each("query_blocks").alias("q"), F.lit(0).cast("long").alias("qkey"), "ids", "embedding",
     )
-    dealt_q = visits.select(
-        "part", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)).alias("c"), F.pmod(draw, query_blocks[F.col("part")]).cast("int").alias("q"),
-        "qkey", F.lit(None).cast("array<long>").alias("ids"), "embedding",
+    dealt_q = visits.join(deal, "leaf").select(
+        "leaf", each("blocks").alias("c"), F.pmod(draw, "query_blocks").cast("int").alias("q"), "qkey", F.lit(None).cast("array<long>").alias("ids"), "embedding",
     )
 
     def rank(batches):
@@ -242,12 +342,13 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
                 rows += [(keys[i], v, -s) for s, v in sorted(found)[: top + 1]]
             yield pd.DataFrame(rows, columns=["qkey", "vec_id", "score"])
 
-    dealt = dealt_c.union(dealt_q).withColumn("unit", F.xxhash64("part", "c", "q")).select("unit", "qkey", "ids", "embedding")
+    dealt = dealt_c.union(dealt_q).withColumn("unit", F.xxhash64("leaf", "c", "q")).select("unit", "qkey", "ids", "embedding")
     found = dealt.repartition("unit").sortWithinPartitions("unit").mapInPandas(rank, "qkey long, vec_id long, score double")
     per_key = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(per_key)).where(F.col("r") <= top + 1).drop("r")
-    ids = asked.withColumn("qkey", F.xxhash64("embedding")).select("query_id", "qkey")
-    pairs = ids.join(found, "qkey").where("query_id <> vec_id")
+    ids = cut(asked.withColumn("qkey", F.xxhash64("embedding")).select("query_id", "qkey"))
+    # copies of a query may be a third of all; a key has top + 1 rows at most
+    pairs = join_hot(ids, cut(found), ["qkey"]).where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
