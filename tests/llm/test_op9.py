@@ -42,3 +42,56 @@ def test_battery_rejects_patterns(spark):
     rows = [("a1" * 20,), ("0123456789abcdef" * 3,)]
     got = spark.createDataFrame(rows, "run string").select(op.battery(op.F.col("run")).alias("t")).select(op.passes(op.F.col("t"))).collect()
     assert [r[0] for r in got] == [False, False]
+
+
+def test_log_tails_are_right_far_out(spark):
+    import math
+
+    zs = [-3.0, 0.0, 1.0, 5.0, 10.0, 30.0]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(op.log_tail(op.F.col("z"))).collect()]
+    for z, x in zip(zs, got):
+        want = math.log(math.erfc(z / math.sqrt(2)) / 2)
+        assert abs(x - want) < 0.004
+
+
+def test_recall_and_precision_on_planted_keys(spark):
+    """Keys of several encodings among identifiers, sums, dates and patterns that are none."""
+    rnd = random.Random(6)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "configuration service internal version release controller handler payment history account report".split()
+    rows, keys = [], set()
+    for i in range(400):
+        kind = i % 4
+        if kind == 0:
+            run = "".join(rnd.choice(b62) for _ in range(rnd.randrange(36, 60)))
+        elif kind == 1:
+            run = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(rnd.randrange(40, 60)))
+        else:
+            run = rnd.choice("_-").join(rnd.choice(words) for _ in range(4)) + str(rnd.randrange(1990, 2030)) if kind == 2 else "".join(rnd.choice(words).title() for _ in range(4)) + "12"
+        start = len("see é ")
+        if kind < 2:
+            keys.add((i, f"random:{start}:{start + len(run)}"))
+        rows.append((i, f"see é {run} in the text"))
+    got = {(r.doc_id, s) for r in op.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans.split(",") if s.startswith("random")}
+    mixed = {k for k in keys if k[0] % 4 == 0}
+    assert len(got & mixed) >= 0.95 * len(mixed)
+    assert len(got & keys) >= 0.8 * len(keys)  # base 32 coincides nearly as often as prose
+    assert len(got - keys) <= 0.05 * len(got)
+
+
+def test_redaction_equals_brute_force_and_keeps_columns(spark):
+    rnd = random.Random(9)
+    bits = ["password: hunter22", "token=" + "ab12cd34" * 4, "AKIA" + "Q7" * 8, "deadbeef" * 4, "é🙂", " word\n", "secret=AKIA" + "Z9" * 9]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 12))) for _ in range(80)] + [" ".join(["a1b2c3d4e5f60718293a4b5c é"] * 3_000), None, ""]
+    rows = [(i, t, "b", [i], "r") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, tested array<int>, runs string")
+    for r in op.redact(docs).collect():
+        text = texts[r.doc_id] or ""
+        spans = sorted((int(s.split(":")[1]), int(s.split(":")[2])) for s in brute(text))
+        out, at, end = [], 0, -1
+        for a, b in spans:
+            if a > end:
+                out += [text[at:a], "[secret]"]
+            at = end = max(end, b)
+        assert r.text == "".join(out) + text[at:]
+        assert (r.base, r.tested, r.runs) == ("b", [r.doc_id], "r")
