@@ -78,3 +78,30 @@ def test_deep_elements_and_late_class_words_are_seen(spark):
     got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k, _, _ in rows:
         assert got[k] == "Story n{0} begins\nand goes on for n{0} more words than the rest".format(k % 10), (k, got[k])
+
+
+def test_scans_are_linear_and_comments_vanish():
+    import time
+
+    hostile = ["<a " * 35_000, "<!x " * 25_000, "<button><p>" * 9_000, "<script " * 12_000, "<div>x" * 20_000, "<div>" * 10_000 + "</p>" * 10_000, "<a '" * 25_000, '<a "' * 25_000]
+    for page in hostile:
+        began = time.process_time()
+        op.main_text(page, set(), set(), set(), set())
+        assert time.process_time() - began < 3, page[:10]
+    text = lambda p: op.main_text(p, set(), set(), set(), set())
+    assert text("<p>foo<!-- x -->bar <b>b</b>ig</p>") == "foobar big"
+    assert text("<p>1 < 2 &amp; 3</p><script>if (a < b) x = '<p>no</p>'</script>") == "1 < 2 & 3"
+
+
+def test_layouts_of_one_host_are_judged_apart(spark):
+    """A layout with an article, a rarer one without, and a nested part of the article that never changes."""
+    story = "<h1>Story {0}</h1><p>begins with {0}</p><p>All rights belong to their holders</p>"
+    one = "<body><div class=x>Notice of the day to all</div><article>" + story + "<div class=box><p>Write to us about this</p></div></article><div>and this is how it goes on</div></body>"
+    two = "<body><div class=y>Notice of the day to all</div><div class=intro>In short: {0}</div><div class=body><p>" + "Much is said of {0}. " * 20 + "</p></div></body>"
+    rows = [(i, "http://a.example/x", (one if i % 3 else two).format(f"n{i}")) for i in range(30)]
+    got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    for i, _, _ in rows:
+        if i % 3:
+            assert got[i] == f"Story n{i}\nbegins with n{i}\nAll rights belong to their holders", got[i]
+        else:
+            assert got[i] == f"In short: n{i}\n" + ("Much is said of n%d. " % i * 20).strip(), got[i]

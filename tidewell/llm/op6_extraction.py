@@ -1,17 +1,27 @@
 """Main text of web pages by equivalence classes of a host's template (operator 6).
 
-A first pass parses each page into blocks (a path of block elements, text, linked characters), counts its
-element paths and keeps hashes and lengths only; a last pass parses again and picks the blocks. Across the pages of a host, paths with the same occurrence vector are one equivalence
-class; a vector is held as an exclusive or of hashes of (page, count), which merges across parts, so a host
-of a third of all pages is many partial sums. The class of paths that occur once on most pages is the
-outer template; the paths below its members nest in it as slots. Text that stands at the same path on most
-different pages of a host belongs to the template too. Of the remaining slots those of the article (or,
-where the template has none, those that hold much unlinked text) are the main text, less elements whose
-name or class says menu, header, footer, sidebar, notice, advert, form or comments. Such a name counts for nothing
-on html and body, and on an element that holds most of the (article's) unlinked text on most of its pages of the host.
+A page's tokens are its element openings, told apart by the path of labels (name, classes, id) above them, and its
+text blocks, told apart by path and text. Paths are held as hashes that grow down the tree, so a page costs time and
+space in proportion to its length at any depth. Three steps, of which only the first and last read html:
+
+1. Across the pages of a host, element tokens with the same occurrence vector are one equivalence class; a vector is
+   held as an exclusive or of hashes of (page, count), which merges across parts, so a host of a third of all pages is
+   many partial sums. A class is valid if it stands on enough pages and has several tokens or stands once a page.
+   Valid classes nest by their paths; together they are the host's template. A layout that only some pages have makes
+   classes of its own, as its tokens share the vector of just these pages. A text token on most of the different pages
+   that have its path is template as well.
+2. Every block lies in the slot of the innermost valid token around it (headings, paragraphs, lists and cells belong to
+   the slot of what holds them). Slots are judged by their texts over all pages of the host: a slot within the article
+   is main text unless it is one of a nested class whose text never changes; elsewhere a slot is main text if
+   it is mostly unlinked and its text varies from page to page, or it holds much of the host's text.
+3. A page's text is its blocks in main slots: those within its article where it has any, else the others.
+
+Elements whose name or class says menu, header, footer, sidebar, notice, advert, form or comments are left out. Such a name counts
+for nothing on html and body, and on an element that holds most of the (article's) unlinked text on most of its pages of the host.
 
 Defined results: null or empty html gives empty text; a null url is a host of its own. A page none of whose
-slots is kept gives its unlinked blocks outside those elements. Repeated rows are extracted each. Further
+slots is main text gives its unlinked blocks outside those elements, less template texts. Comments, scripts and declarations leave
+nothing behind, other skipped elements a blank. A ``<`` that opens no tag is text. Repeated rows are extracted each. Further
 columns are ignored.
 """
 
@@ -19,19 +29,26 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import cut, table
+from tidewell.llm.shared import cut, join_hot, table
 
 NAME = "op6_extraction"
-#: Share of a host's pages on which a path of the outer template stands, and a text that belongs to it.
+#: Share of a host's pages on which a valid class stands at least; it bounds a host's template by the size of its pages.
+SUPPORT = 0.05
+#: Share of the different pages with a path on which a text belongs to the template.
 ON_MOST = 0.6
-#: Different pages from which a repeated text can belong to the template.
+#: Different pages from which a repeated text can belong to the template, and a text can be said to vary.
 LEAST_PAGES = 4
+#: Share of a host's text that makes a slot main text whether it varies or not.
+MUCH = 0.2
 #: Size of all templates up to which they are sent to every task.
 BROADCAST_BYTES = 16 << 20
 
@@ -44,28 +61,33 @@ BLOCKS = (
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 PARAGRAPH = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-AROUND = r"(^|>)(nav|footer|header|aside|form|menu|dialog|fieldset)([.#>]|$)"
-AROUND_CLASS = (
+AROUND = re.compile(r"^(nav|footer|header|aside|form|menu|dialog|fieldset)([.#]|$)")
+AROUND_CLASS = re.compile(
     r"[.#]([^>]*[.#_-])?(ad|ads|advert|adverts|advertisement|banner|promo|sponsor|sponsored|cookie|cookies|consent|notice|alert|comment|comments|reply|"
     r"replies|respond|sidebar|menu|nav|navbar|navigation|footer|header|breadcrumb|breadcrumbs|share|social|related|subscribe|newsletter|signup|login|"
-    r"popup|modal|widget|toolbar|pager|pagination)s?([.#_>-]|$)"
+    r"popup|modal|widget|toolbar|pager|pagination)s?([.#_-]|$)"
 )
-LEAF = r"^(p|h[1-6]|ul|ol|li|dl|dt|dd|blockquote|pre|table|tbody|tr|td|th)([.#]|$)"
-MAIN = r"(^|>)(article|main)([.#>]|$)"
-
-# Without an end tag, scripts and styles go on to the end of the page; other skipped elements end at the next block element.
-DROP = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<(%s)\b[^>]*>(?:.*?</\2\s*>|.*?(?=<(?:%s)\b)|.*)|<![^>]*>|<\?[^>]*>"
-    % ("|".join(SKIPPED[2:]), "|".join(BLOCKS)),
-    re.I | re.S,
-)
-PIECE = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)")
+LEAF = re.compile(r"^(p|h[1-6]|ul|ol|li|dl|dt|dd|blockquote|pre|table|tbody|thead|tfoot|tr|td|th)([.#]|$)")
+MAIN = re.compile(r"^(article|main)([.#]|$)")
+PAGE_ITSELF = re.compile(r"^(html|body)([.#]|$)")
+
+# What a tag may hold: no quantifier gives back what it took, and none crosses another tag, so scans stay linear.
+INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
+DROP = re.compile(rf"<!--|<({'|'.join(SKIPPED)})\b{INSIDE}>|<[!?][^<>]*+>", re.I)
+CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
+BLOCK_START = re.compile(rf"<(?:{'|'.join(BLOCKS)})\b", re.I)
+PIECE = re.compile(rf"<(/?)([a-zA-Z][\w:-]*+)({INSIDE})>|([^<]+|<)")
 CLASS = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
 _blocks = frozenset(BLOCKS)
-_around, _around_class, _main = re.compile(AROUND), re.compile(AROUND_CLASS), re.compile(MAIN)
-PAGE_ITSELF = r"^(html|body)([.#]|$)"
-_itself = re.compile(PAGE_ITSELF)
+#: What an element's label says: a leaf of the text, around the text, the article.
+IS_LEAF, IS_AROUND, IS_MAIN = 1, 2, 4
+
+
+@lru_cache(1 << 16)
+def kind_of(label: str) -> int:
+    around = not PAGE_ITSELF.search(label) and (AROUND.search(label) or AROUND_CLASS.search(label))
+    return IS_LEAF * bool(LEAF.search(label)) + IS_AROUND * bool(around) + IS_MAIN * bool(MAIN.search(label))
 
 
 def label(name: str, attributes: str) -> str:
@@ -78,31 +100,72 @@ def label(name: str, attributes: str) -> str:
     return out
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
-    """Blocks (path, text, linked characters) in page order, and how often each element path opens."""
+def without_skipped(page: str) -> str:
+    """The page less comments, declarations and skipped elements. Scripts and styles without an end tag go on to the
+    page's end, other skipped elements to the next block element."""
+    out, at = [], 0
+    absent: set[str] = set()
+    while m := DROP.search(page, at):
+        out.append(page[at : m.start()])
+        name = (m[1] or "").lower()
+        if not name:
+            at = m.end()
+            if m[0] == "<!--":
+                end = page.find("-->", at)
+                at = len(page) if end < 0 else end + 3
+            continue
+        close = None if name in absent else CLOSES[name].search(page, m.end())
+        if close:
+            at = close.end()
+        else:
+            absent.add(name)  # nor is there one further on
+            block = None if name in ("script", "style") else BLOCK_START.search(page, m.end())
+            at = block.start() if block else len(page)
+        if name not in ("script", "style", "template", "noscript"):
+            out.append(" ")
+    out.append(page[at:])
+    return "".join(out)
+
+
+class Page(NamedTuple):
+    """Element tokens (key, number of the token around it, count, kind), the page itself first and outer ones before inner
+    ones, and blocks (token, text, linked characters) in page order."""
+
+    keys: list[int]
+    parents: list[int]
+    counts: list[int]
+    kinds: list[int]
+    blocks: list[tuple[int, str, int]]
+
+
+def parse(page: str) -> Page:
+    keys, parents, counts, kinds = [0], [-1], [1], [0]
+    number: dict[int, int] = {0: 0}
     names: list[str] = []
-    paths: list[str] = [""]
+    open_: Counter = Counter()
+    nodes: list[int] = [0]
     text: list[str] = []
     linked, in_link = 0, False
-    blocks: list[tuple[str, str, int]] = []
-    opened: dict[str, int] = {}
+    blocks: list[tuple[int, str, int]] = []
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                blocks.append((paths[-1], whole, linked))
+                blocks.append((nodes[-1], whole, linked))
             text.clear()
         linked = 0
 
     def close(name: str) -> None:
         while names:
-            paths.pop()
-            if names.pop() == name:
+            nodes.pop()
+            last = names.pop()
+            open_[last] -= 1
+            if last == name:
                 break
 
-    for end, name, attributes, run in PIECE.findall(DROP.sub(" ", page)):
+    for end, name, attributes, run in PIECE.findall(without_skipped(page)):
         if run:
             text.append(run)
             if in_link:
@@ -117,156 +180,228 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
             continue
         flush()
         if end:
-            if name in names:
+            if open_[name]:
                 close(name)
             continue
         while names and (names[-1] in PARAGRAPH or names[-1] in SIBLINGS.get(name, ())):
             close(names[-1])
         if name == "hr":
             continue
-        above = paths[-1]
-        path = (above + ">" if above else "") + label(name, attributes)
+        own = label(name, attributes)
+        key = xxhash.xxh64_intdigest(own, seed=keys[nodes[-1]]) >> 2
+        node = number.get(key)
+        if node is None:
+            node = number[key] = len(keys)
+            keys.append(key)
+            parents.append(nodes[-1])
+            counts.append(0)
+            kinds.append(kind_of(own))
+        counts[node] += 1
         names.append(name)
-        paths.append(path)
-        opened[path] = opened.get(path, 0) + 1
+        open_[name] += 1
+        nodes.append(node)
     flush()
-    return blocks, opened
+    return Page(keys, parents, counts, kinds, blocks)
+
+
+def within(parents: list[int], own: list[bool]) -> list[bool]:
+    """Whether a token or one around it is ``own``."""
+    out: list[bool] = []
+    for p, x in zip(parents, own):
+        out.append(x or (p >= 0 and out[p]))
+    return out
+
 
+def wrappers(parents: list[int], kinds: list[int], blocks: list[tuple[int, int, int]]) -> list[bool]:
+    """For each token whether it holds over half of the page's unlinked text: of that in the article, if there is any."""
+    main = within(parents, [bool(k & IS_MAIN) for k in kinds])
+    free = [(n, max(chars - linked, 0)) for n, chars, linked in blocks]
+    free = [b for b in free if main[b[0]] and b[1]] or free
+    held = [0] * len(parents)
+    for n, chars in free:
+        held[n] += chars
+    for n in range(len(parents) - 1, 0, -1):
+        held[parents[n]] += held[n]
+    return [2 * h > held[0] for h in held]
 
-def wrappers(blocks: list[tuple[str, str, int]], opened: dict[str, int]) -> tuple[list[str], list[bool]]:
-    """Paths of the elements that are named as around the text, and whether each holds over half of it: of the
-    unlinked text of article and main, or of all unlinked text where the page has none in these."""
-    named = []
-    for path in opened:
-        own = path[path.rfind(">") + 1 :]
-        if not _itself.search(own) and (_around.search(own) or _around_class.search(own)):
-            named.append(path)
-    if not named:
-        return [], []
-    free = [(key + ">", max(len(text) - linked, 0)) for key, text, linked in blocks]
-    free = [b for b in free if _main.search(b[0]) and b[1]] or free
-    half = sum(n for _, n in free) / 2
-    return named, [sum(n for key, n in free if key.startswith(path + ">")) > half for path in named]
 
+class Place(NamedTuple):
+    """Where a block lies: its slot (the key of the slot's token times two, one more within the article), whether an element
+    around the text encloses it, and whether the slot is nested within the article."""
 
-def around(key: Column, wide: Column) -> Column:
-    """Whether an element named as around the text encloses the block, other than the page itself and ``wide`` paths."""
-    labels = F.split(key, ">")
-    at = F.transform(labels, lambda x, i: F.struct(x.alias("own"), F.array_join(F.slice(labels, 1, i + 1), ">").alias("path")))
-    named = lambda own: (own.rlike(AROUND) | own.rlike(AROUND_CLASS)) & ~own.rlike(PAGE_ITSELF)
-    inside = F.exists(at, lambda a: named(a["own"]) & ~F.coalesce(F.array_contains(wide, a["path"]), F.lit(False)))
-    return (key.rlike(AROUND) | key.rlike(AROUND_CLASS)) & inside
+    slot: int
+    around: bool
+    nested: bool
 
 
-def mark_of(key: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{key}\x00{text}") >> 1
+def places(keys: list[int], parents: list[int], kinds: list[int], members: set[int], wide: set[int]) -> list[Place]:
+    """The place of the blocks of each token."""
+    main = within(parents, [bool(k & IS_MAIN) for k in kinds])
+    around = within(parents, [bool(k & IS_AROUND) and key not in wide for k, key in zip(kinds, keys)])
+    near: list[int] = []
+    slots: list[int] = []
+    for n, (key, p, kind) in enumerate(zip(keys, parents, kinds)):
+        near.append(n if key in members or p < 0 else near[p])
+        # a leaf's slot is that of what holds it
+        slots.append((slots[p] if kind & IS_LEAF and p >= 0 else n) if near[n] == n else slots[near[n]])
+    return [Place(keys[s] * 2 + m, a, m and main[s] and not kinds[s] & IS_MAIN) for s, m, a in zip(slots, main, around)]
 
 
-def parsed(pages: DataFrame, texts: bool) -> DataFrame:
-    """A row a page: page_id, url, host; its blocks as keys (paths), marks (hashes of path and text), lengths and
-    linked characters; its element paths and counts. ``texts`` adds the blocks' texts, else the hash of all of them."""
+def mark_of(key: int, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{key} {text}") >> 1
+
+
+def with_host(pages: DataFrame) -> DataFrame:
+    host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]+)", 1)), F.lit(""))
+    return pages.select(F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """A row a page: host, psig (hash of its texts), its tokens, and of its blocks token, mark, length and linked characters."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for page in pdf["html"]:
-                blocks, opened = parse(page)
-                keys, own = [b[0] for b in blocks], [b[1] for b in blocks]
-                marks = [mark_of(k, t) for k, t in zip(keys, own)]
-                named, wide = ([], []) if texts else wrappers(blocks, opened)
-                rows.append(
-                    (
-                        keys, marks, [len(t) for t in own], [b[2] for b in blocks],
-                        [] if texts else list(opened), [] if texts else list(opened.values()), own if texts else [],
-                        xxhash.xxh64_intdigest("\n".join(own)) >> 1, named, wide,
-                    )
-                )
-            out = pd.DataFrame(rows, columns=["keys", "marks", "chars", "links", "paths", "counts", "texts", "psig", "named", "wide"])
-            for c in ("page_id", "url", "host"):
-                out[c] = pdf[c].to_numpy()
+                keys, parents, counts, kinds, blocks = parse(page)
+                sizes = [(n, len(t), linked) for n, t, linked in blocks]
+                wide = wrappers(parents, kinds, sizes) if any(k & IS_AROUND for k in kinds) else [False] * len(keys)
+                psig = xxhash.xxh64_intdigest("\n".join(b[1] for b in blocks)) >> 1
+                marks = [mark_of(keys[n], t) for n, t, _ in blocks]
+                rows.append((psig, keys, parents, counts, kinds, wide, *([b[i] for b in sizes] for i in (0, 1, 2)), marks))
+            out = pd.DataFrame(rows, columns=["psig", "keys", "parents", "counts", "kinds", "wide", "nodes", "chars", "links", "marks"])
+            out["host"] = pdf["host"].to_numpy()
             yield out
 
-    host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]+)", 1)), F.lit(""))
-    source = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     schema = (
-        "keys array<string>, marks array<long>, chars array<long>, links array<long>, paths array<string>, counts array<long>, texts array<string>, "
-        "psig long, named array<string>, wide array<boolean>, page_id string, url string, host string"
+        "psig long, keys array<long>, parents array<int>, counts array<long>, kinds array<int>, wide array<boolean>, nodes array<int>, "
+        "chars array<long>, links array<long>, marks array<long>, host string"
     )
-    return source.mapInPandas(run, schema).withColumn("page_id", F.col("page_id").cast("long"))
+    return with_host(pages).select("host", "html").mapInPandas(run, schema)
 
 
-def outer_template(found: DataFrame) -> DataFrame:
-    """host, root: paths of the largest class among those that stand once on most pages of the host."""
+def valid_classes(found: DataFrame) -> DataFrame:
+    """host, members: the keys of the valid equivalence classes of each host."""
     sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    tags = found.select("host", "rid", F.explode(F.arrays_zip("paths", "counts")).alias("t")).select("host", "rid", "t.paths", "t.counts")
-    vectors = tags.groupBy("host", "paths").agg(
+    tokens = found.select("host", "rid", F.explode(F.arrays_zip("keys", "counts")).alias("t")).select("host", "rid", "t.keys", "t.counts")
+    vectors = tokens.groupBy("host", "keys").agg(
         F.bit_xor(F.xxhash64("rid", "counts")).alias("vector"), F.count(F.lit(1)).alias("on"), F.max("counts").alias("most")
     )
-    classes = vectors.groupBy("host", "vector", "on").agg(F.max("most").alias("most"), F.collect_set("paths").alias("members"))
-    valid = classes.where("most = 1").join(sizes, "host").where(F.col("on") >= ON_MOST * F.col("pages"))
-    best = valid.groupBy("host").agg(F.max(F.struct("on", F.size("members").alias("size"), F.sort_array("members").alias("root"))).alias("b"))
-    return best.select("host", F.col("b.root").alias("root"))
+    classes = vectors.groupBy("host", "vector", "on").agg(F.max("most").alias("most"), F.collect_set("keys").alias("members"))
+    classes = classes.join(sizes, "host").where((F.col("on") >= SUPPORT * F.col("pages")) & (F.col("on") >= F.least(F.lit(2), "pages")))
+    return classes.where((F.col("most") == 1) | (F.size("members") > 1)).groupBy("host").agg(F.flatten(F.collect_list("members")).alias("members"))
 
 
 def wide_wrappers(found: DataFrame) -> DataFrame:
-    """host, wide: paths named as around the text that hold most of it on most of their pages."""
-    on = found.select("host", F.explode(F.arrays_zip("named", "wide")).alias("w")).groupBy("host", F.col("w.named").alias("path"))
-    most = on.agg(F.count_if("w.wide").alias("wide"), F.count(F.lit(1)).alias("pages")).where("2 * wide > pages")
-    return most.groupBy("host").agg(F.collect_set("path").alias("wide"))
-
-
-def kept_slots(found: DataFrame, templates: DataFrame, wide: DataFrame) -> DataFrame:
-    """host, keep: block paths of the main text."""
-    blocks = found.select("host", F.explode(F.arrays_zip("keys", "chars", "links")).alias("b"))
-    stats = blocks.groupBy("host", F.col("b.keys").alias("key")).agg(F.sum("b.chars").alias("chars"), F.sum("b.links").alias("linked"))
-    inside = F.filter("root", lambda r: (F.col("key") == r) | F.startswith(F.col("key"), F.concat(r, F.lit(">"))))
-    slot = F.coalesce(F.array_max(F.transform(inside, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"], F.col("key"))
-    # headings and paragraphs side by side are one slot; label by label, as a path may have thousands
-    labels = F.split(slot, ">")
-    last = F.array_max(F.transform(labels, lambda x, i: F.when(x.rlike(LEAF), 0).otherwise(i + 1)))
-    slot = F.array_join(F.slice(labels, F.lit(1), last), ">")
-    stats = stats.join(templates, "host", "left").join(wide, "host", "left").withColumn("slot", slot)
-    stats = stats.withColumn("around", around(F.col("key"), F.col("wide"))).drop("wide").withColumn("main", F.col("key").rlike(MAIN)).drop("root")
-    slots = stats.where("not around").groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("main").alias("main"))
-    hosts = slots.groupBy("host").agg(F.sum("chars").alias("all_chars"), F.max("main").alias("has_main"))
-    slots = slots.withColumnRenamed("chars", "slot_chars").withColumnRenamed("linked", "slot_linked").drop("main")
-    d = stats.where("not around").join(slots, ["host", "slot"]).join(hosts, "host")
-    good = F.when(F.col("has_main"), F.col("main")).otherwise((F.col("slot_chars") >= 0.2 * F.col("all_chars")) & (F.col("slot_linked") < 0.5 * F.col("slot_chars")))
-    return d.where(good).groupBy("host").agg(F.collect_set("key").alias("keep"))
+    """host, wide: keys named as around the text that hold most of it on most of their pages."""
+    on = found.select("host", F.explode(F.arrays_zip("keys", "kinds", "wide")).alias("w")).where(F.col("w.kinds").bitwiseAND(IS_AROUND) > 0)
+    most = on.groupBy("host", F.col("w.keys").alias("key")).agg(F.count_if("w.wide").alias("wide"), F.count(F.lit(1)).alias("pages"))
+    return most.where("2 * wide > pages").groupBy("host").agg(F.collect_set("key").alias("wide"))
 
 
 def constant_texts(found: DataFrame) -> DataFrame:
-    """host, constant: hashes of (path, text) on most different pages of the host."""
-    different = found.select("host", "psig").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("different")).where(f"different >= {LEAST_PAGES}")
-    marks = found.select("host", "psig", F.explode(F.array_distinct("marks")).alias("mark"))
-    on = marks.groupBy("host", "mark", "psig").agg(F.lit(1).alias("one")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("on"))
-    return on.where("on > 1").join(different, "host").where(F.col("on") >= ON_MOST * F.col("different")).groupBy("host").agg(F.collect_set("mark").alias("constant"))
+    """host, constant: marks of texts on most of the different pages that have their path."""
+    of_block = F.transform("nodes", lambda n: F.get("keys", n))
+    texts = found.select("host", "psig", F.explode(F.arrays_zip(of_block.alias("key"), F.col("marks").alias("mark"))).alias("b"))
+    texts = texts.select("host", "psig", "b.key", "b.mark").distinct()
+    different = texts.select("host", "key", "psig").distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("different"))
+    on = texts.groupBy("host", "key", "mark").agg(F.count(F.lit(1)).alias("on")).where(f"on >= {ON_MOST * LEAST_PAGES}")
+    # a path of a hot host may have most of all texts
+    met = join_hot(cut(on), cut(different.where(f"different >= {LEAST_PAGES}")), ["host", "key"])
+    return met.where(F.col("on") >= ON_MOST * F.col("different")).groupBy("host").agg(F.collect_set("mark").alias("constant"))
+
+
+def met_by_host(df: DataFrame, of_host: DataFrame) -> DataFrame:
+    """``df`` with what is known of its hosts: sent to every task up to a checked size, met by a join beyond it."""
+    size = of_host.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return df.join(F.broadcast(of_host) if size <= BROADCAST_BYTES else of_host, "host", "left")
+
+
+def as_set(values) -> set[int]:
+    return set() if values is None else set(values.tolist())
+
+
+def slots_of(found: DataFrame, of_host: DataFrame) -> DataFrame:
+    """host, slot, nested, chars, linked, sig (of the slot's texts), psig: a row for each slot of each page, around ones left out."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                where = places(r.keys.tolist(), r.parents.tolist(), r.kinds.tolist(), as_set(r.members), as_set(r.wides))
+                of: dict[int, list] = {}
+                for n, mark, chars, linked in zip(r.nodes.tolist(), r.marks.tolist(), r.chars.tolist(), r.links.tolist()):
+                    if not where[n].around:
+                        slot = of.setdefault(where[n].slot, [where[n].nested, 0, 0, 0])
+                        slot[1] += chars
+                        slot[2] += linked
+                        slot[3] ^= mark
+                rows += [(r.host, slot, *x, r.psig) for slot, x in of.items()]
+            yield pd.DataFrame(rows, columns=["host", "slot", "nested", "chars", "linked", "sig", "psig"])
+
+    d = met_by_host(found.drop("rid", "counts", "wide"), of_host.withColumnRenamed("wide", "wides"))
+    return d.mapInPandas(run, "host string, slot long, nested boolean, chars long, linked long, sig long, psig long")
+
+
+def main_slots(slots: DataFrame) -> DataFrame:
+    """host, keep: the slots that hold main text."""
+    sums = [F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("nested").alias("nested")]
+    by_page = slots.groupBy("host", "slot", "sig", "psig").agg(*sums)
+    by_text = by_page.groupBy("host", "slot", "sig").agg(*sums, F.count(F.lit(1)).alias("different"))
+    stats = by_text.groupBy("host", "slot").agg(*sums, F.sum("different").alias("different"), F.count(F.lit(1)).alias("texts"))
+    rest = stats.where("slot % 2 = 0").groupBy("host").agg(F.sum("chars").alias("all_chars"))
+    seen = F.col("different") >= LEAST_PAGES
+    in_article = ~(F.col("nested") & seen & (F.col("texts") == 1))
+    varies = seen & (2 * F.col("texts") >= F.col("different"))
+    elsewhere = (2 * F.col("linked") < F.col("chars")) & (varies | (F.col("chars") >= MUCH * F.col("all_chars")))
+    good = F.when(F.col("slot") % 2 == 1, in_article).otherwise(elsewhere)
+    return stats.join(rest, "host", "left").where(good).groupBy("host").agg(F.collect_set("slot").alias("keep"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, keep, constant, wide: what the pages of each host have in common. No text is moved for it."""
-    slim = parsed(pages, texts=False).select("host", "keys", "marks", "chars", "links", "paths", "counts", "psig", "named", "wide")
-    found = cut(slim.withColumn("rid", F.monotonically_increasing_id()))
-    wide = cut(wide_wrappers(found))
-    return cut(kept_slots(found, outer_template(found), wide).join(constant_texts(found), "host", "full").join(wide, "host", "full"))
+    """host, members, wide, constant, keep: what the pages of each host have in common. No text is moved for it."""
+    found = cut(parsed(pages).withColumn("rid", F.monotonically_increasing_id()))
+    of_host = cut(valid_classes(found).join(wide_wrappers(found), "host", "full"))
+    keep = main_slots(slots_of(found, of_host))
+    return cut(of_host.join(keep, "host", "full").join(constant_texts(found), "host", "full"))
+
+
+def main_text(page: str, members: set[int], wide: set[int], keep: set[int], constant: set[int]) -> str:
+    keys, parents, _, kinds, blocks = parse(page)
+    where = places(keys, parents, kinds, members, wide)
+    article, elsewhere, rest = [], [], []
+    for n, text, linked in blocks:
+        at = where[n]
+        if at.around:
+            continue
+        same = bool(constant) and mark_of(keys[n], text) in constant
+        if at.slot % 2:
+            # what is repeated within the article is its own if it is a paragraph, a heading or an item
+            if at.slot in keep and not (same and not kinds[n] & IS_LEAF):
+                article.append(text)
+        elif at.slot in keep and not same:
+            elsewhere.append(text)
+        if not same and 2 * linked < len(text):
+            rest.append(text)
+    return "\n".join(article or elsewhere or rest)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    of_host = templates(pages)
-    size = of_host.agg(F.sum(F.length(F.to_json(F.struct("host", "keep", "constant", "wide"))))).first()[0] or 0
-    # few or small templates go to every task; beyond that size pages meet them by a join on the host
-    of_host = F.broadcast(of_host) if size <= BROADCAST_BYTES else of_host
-    d = parsed(pages, texts=True).drop("named", "wide").join(of_host, "host", "left")
-    blocks = F.arrays_zip("keys", "texts", "links", "marks")
-    main = F.filter(
-        blocks,
-        lambda b: F.coalesce(F.array_contains("keep", b["keys"]), F.lit(False)) & ~F.coalesce(F.array_contains("constant", b["marks"]), F.lit(False)),
-    )
-    rest = F.filter(blocks, lambda b: ~around(b["keys"], F.col("wide")) & (b["links"] * 2 < F.length(b["texts"])))
-    d = d.withColumn("main", main).withColumn("main", F.when(F.size("main") > 0, F.col("main")).otherwise(rest))
-    text = F.array_join(F.transform("main", lambda b: b["texts"]), "\n")
-    return d.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    d = met_by_host(with_host(pages), templates(pages))
+
+    def run(batches):
+        for pdf in batches:
+            sets: dict[str, list[set[int]]] = {}
+            texts = []
+            for r in pdf.itertuples():
+                if r.host not in sets:
+                    sets[r.host] = [as_set(x) for x in (r.members, r.wide, r.keep, r.constant)]
+                texts.append(main_text(r.html, *sets[r.host]))
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
+
+    found = d.mapInPandas(run, "page_id string, url string, text string")
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
