@@ -13,6 +13,7 @@ def shingles(text):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(op, "DOCS_A_RANGE", 10)
+    monkeypatch.setattr(op, "DOCS_A_PART", 40)
     rnd = random.Random(2)
     ids = rnd.sample(range(0, 10**12, 7), 90)
     texts = [" ".join(rnd.choice("a b c dé ee f g Hh i j".split()) for _ in range(rnd.choice([0, 1, 4, 5, 30, 200]))) for _ in ids]
@@ -49,3 +50,20 @@ def test_sketches_merge_and_edge_cases(spark):
     one = op.fingerprints(docs.limit(1).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b").alias("text"))).collect()
     assert one[0].near_next == 1.0
     assert op.fingerprints(docs.limit(0)).count() == 0
+
+
+def test_one_id_or_null_ids_fill_many_ranges_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(op, "DOCS_A_RANGE", 7)
+    monkeypatch.setattr(op, "DOCS_A_PART", 30)
+    rows = [(5, f"text {i % 4}") for i in range(40)] + [(None, f"none {i % 3}") for i in range(40)] + [(9, "the only nine"), (-1, "long " * 300_000 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = op.fingerprints(docs).collect()
+    assert len(got) == len(rows)
+    of = lambda i: [r for r in got if r.doc_id == i]
+    long = of(-1)[0]
+    assert long.n_chars == 1_500_003
+    # nine comes first and goes on with a five, null ids come last and end with nine
+    nexts = lambda t: {hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for n in {x for _, x in rows}}
+    assert of(9)[0].edited_sha256 in nexts("the only nine")
+    assert all(any(r.edited_sha256 in nexts(f"none {k}") for k in range(3)) for r in of(None)) and len(of(None)) == 40
+    assert sum(r.near_next == 1.0 for r in of(5)) == 36 and sum(r.near_next == 1.0 for r in of(None)) == 37

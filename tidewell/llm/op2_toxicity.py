@@ -2,7 +2,7 @@
 
 Fitting, on a bounded sample of labelled documents: every word and some of its leading parts get the
 log-odds of its document frequency in toxic against clean documents under an informative Dirichlet prior,
-less two standard deviations; a word's score is the best of its units'. Words without evidence score a
+less some standard deviations, as many as predict other labelled rows of the sample best; a word's score is the best of its units'. Words without evidence score a
 small negative value, so segments of chance end by themselves. One part of the sample gives the scores,
 another the calibration, since scores look too good on what they were made from.
 
@@ -31,13 +31,13 @@ from tidewell.llm.labelled import training_sample
 from tidewell.llm.shared import held_out, table
 
 NAME = "op2_toxicity"
-#: Labelled documents that the fit may read, units that it may keep.
+#: Labelled documents that the fit may read.
 SAMPLE = 20_000
-UNITS = 60_000
 #: Strength of the Dirichlet prior, in documents.
 PRIOR = 10.0
-#: Standard deviations by which a log-odds must exceed nothing: copies of a document lend chance words some evidence.
-DOUBT = 2.0
+#: Standard deviations by which a log-odds must exceed nothing: copies of a document lend chance words some evidence. The fit
+#: chooses among these by wrong predictions, then log loss, in cross-validation on folds of the sample that gave no scores.
+DOUBTS = (1.0, 2.0, 3.0)
 #: Score of a word without evidence.
 NEUTRAL = -0.4
 TOP = 6.0
@@ -105,14 +105,10 @@ class Model:
     def evidence(self, text: str, scores: Scores) -> tuple[list[float], list[tuple[int, int, float]]]:
         """Features of a document, and its significant segments (first word, end, excess over chance)."""
         words = words_of(text)
-        if not words:
-            return [0.0, 0.0, 0.0], []
-        values = np.fromiter(map(scores.__getitem__, words), float, len(words))
-        level = self.log_k + math.log(len(words))
-        found = [(a, b, self.lam * s - level) for a, b, s in segments(values)]
-        best = max((x for _, _, x in found), default=-level)
-        good = [x for x in found if x[2] > 0]
-        return [max(best, -10.0), math.log1p(sum(x for _, _, x in good)), float(min(len(good), 20))], good
+        found = segments(np.fromiter(map(scores.__getitem__, words), float, len(words)))
+        level = self.log_k + math.log(max(1, len(words)))
+        good = [(a, b, x) for a, b, s in found if (x := self.lam * s - level) > 0]
+        return features([s for *_, s in found], len(words), self.lam, self.log_k), good
 
     def score(self, features: list[float]) -> float:
         if self.weights is None:
@@ -121,8 +117,18 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def unit_scores(sample: DataFrame) -> dict[str, float]:
-    """Scores of the units with evidence, from document frequencies in both classes."""
+def features(sums: list[float], words: int, lam: float, log_k: float) -> list[float]:
+    """Best excess over chance, and size and number of the significant ones, of segments with these sums in so many words."""
+    if not words:
+        return [0.0, 0.0, 0.0]
+    level = log_k + math.log(words)
+    excess = [lam * s - level for s in sums]
+    good = [x for x in excess if x > 0]
+    return [max(excess, default=-level), math.log1p(sum(good)), math.log1p(len(good))]
+
+
+def unit_counts(sample: DataFrame) -> tuple[list, int, int]:
+    """Units with evidence (unit, toxic documents, clean ones), and the numbers of toxic and clean documents."""
 
     def count(batches):
         for pdf in batches:
@@ -136,16 +142,23 @@ def unit_scores(sample: DataFrame) -> dict[str, float]:
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     nt, nc = sizes.get(1, 0), sizes.get(0, 0)
     if not nt or not nc:
-        return {}
+        return [], nt, nc
     counts = sample.select("text", "label").mapInPandas(count, "unit string, toxic long, clean long").groupBy("unit")
-    counts = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    prior = PRIOR * (F.col("t") + F.col("c")) / (nt + nc)
-    t, c = F.col("t") + prior, F.col("c") + prior
-    log_odds = F.log(t / (nt + PRIOR - t)) - F.log(c / (nc + PRIOR - c))
-    low = log_odds - DOUBT * F.sqrt(1 / t + 1 / c)
-    kept = counts.where("t >= 2").select("unit", low.alias("s")).where("s > 0")
-    # a bounded number of units reaches the driver
-    return {r["unit"]: min(r["s"], TOP) + NEUTRAL for r in kept.orderBy(F.desc("s"), "unit").limit(UNITS).collect()}
+    counts = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 2").where(F.col("t") * nc > F.col("c") * nt)
+    # words of at least two toxic documents of the sample, more frequent there: no more than the sample has
+    return [tuple(r) for r in counts.collect()], nt, nc
+
+
+def unit_scores(counts: list, nt: int, nc: int, doubt: float) -> dict[str, float]:
+    """Log-odds of each unit less ``doubt`` standard deviations, of those with any left."""
+    out = {}
+    for unit, t, c in counts:
+        prior = PRIOR * (t + c) / (nt + nc)
+        t, c = t + prior, c + prior
+        low = math.log(t / (nt + PRIOR - t)) - math.log(c / (nc + PRIOR - c)) - doubt * math.sqrt(1 / t + 1 / c)
+        if low > 0:
+            out[unit] = min(low, TOP) + NEUTRAL
+    return out
 
 
 def solve_lambda(values: np.ndarray, chances: np.ndarray) -> float:
@@ -176,55 +189,71 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float
     return w.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    sample = training_sample(docs, labels, "toxic", most)
-    n, toxic = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
-    share = (toxic or 0) / n if n else 0.0
-    units = unit_scores(sample.where(F.col("fold") < SCORE_FOLDS))
-    rest = sample.where(F.col("fold") >= SCORE_FOLDS)
+#: Bins of word scores, a tenth wide, from NEUTRAL to TOP.
+BINS = round((TOP - NEUTRAL) * 10) + 1
 
-    def histogram(batches):
-        scores = Scores(units)
-        for pdf in batches:
-            got: dict[float, int] = {}
-            for text in pdf["text"]:
-                for w in words_of(text):
-                    s = round(scores[w], 1)
-                    got[s] = got.get(s, 0) + 1
-            yield pd.DataFrame({"s": list(got), "n": list(got.values())})
-
-    bins = rest.where("label = 0").select("text").mapInPandas(histogram, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
-    values, counts = np.array([r["s"] for r in bins]), np.array([r["n"] for r in bins], float)
-    model = Model(units, 1.0, 0.0, None, share)
-    if not len(values):
-        return model
-    model.lam = solve_lambda(values, counts / counts.sum())
 
-    def evidence(batches):
+def losses(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
+    """Wrong predictions and log loss on each half of the folds under a logistic curve fitted to the other half."""
+    wrong, total = 0, 0.0
+    for half in (0, 1):
+        test = fold % 2 == half
+        if not 0 < y[~test].sum() < (~test).sum():
+            return math.inf, math.inf
+        w = np.array(fit_logistic(x[~test], y[~test]))
+        z = np.clip(w[0] + x[test] @ w[1:], -30, 30)
+        wrong += int(((z >= 0) != (y[test] == 1)).sum())
+        total += float(np.sum(np.log1p(np.exp(np.where(y[test] == 1, -z, z)))))
+    return wrong, total
+
+
+def calibrated(units: dict[str, float], rest: DataFrame, share: float) -> tuple[Model, tuple[float, float]]:
+    """The model of these units, its law and curve from the ``rest`` of the sample; and its cross-validated losses."""
+
+    def scored(batches):
         scores = Scores(units)
         for pdf in batches:
-            rows = [(*model.evidence(t, scores)[0], int(y)) for t, y in zip(pdf["text"], pdf["label"])]
-            yield pd.DataFrame(rows, columns=["a", "b", "c", "y"])
+            rows = []
+            for text, label, fold in zip(pdf["text"], pdf["label"], pdf["fold"]):
+                words = words_of(text)
+                values = np.fromiter(map(scores.__getitem__, words), float, len(words))
+                bins = np.bincount(np.clip(np.rint((values - NEUTRAL) * 10), 0, BINS - 1).astype(int), minlength=BINS)
+                rows.append(([s for *_, s in segments(values)], len(words), bins.tolist(), label, fold))
+            yield pd.DataFrame(rows, columns=["sums", "words", "bins", "label", "fold"])
+
+    # a row for each document of the sample: the sums of its segments, and how many words have which score
+    got = rest.select("text", "label", "fold").mapInPandas(scored, "sums array<double>, words long, bins array<long>, label int, fold int").collect()
+    model = Model(units, 1.0, 0.0, None, share)
+    got = sorted(got, key=lambda r: (r["fold"], r["label"], r["words"], r["sums"]))
+    clean = [r for r in got if not r["label"] and r["words"]]
+    if not clean:
+        return model, (math.inf, math.inf)
+    counts = np.sum([r["bins"] for r in clean], axis=0)
+    model.lam = solve_lambda(NEUTRAL + np.arange(BINS) / 10, counts / counts.sum())
+    # under chance lambda S - ln n has the mean ln K + 0.5772
+    model.log_k = float(np.mean([model.lam * max(r["sums"], default=0.0) - math.log(r["words"]) for r in clean])) - 0.5772
+    x = np.array([features(r["sums"], r["words"], model.lam, model.log_k) for r in got])
+    y, fold = np.array([r["label"] for r in got]), np.array([r["fold"] for r in got])
+    if 0 < y.sum() < len(y):
+        model.weights = fit_logistic(x, y)
+    return model, losses(x, y, fold)
 
-    def collected() -> np.ndarray:
-        got = rest.select("text", "label").mapInPandas(evidence, "a double, b double, c double, y int").collect()
-        return np.array([tuple(r) for r in got], float).reshape(-1, 4)
 
-    first = collected()  # at most ``most`` rows of four numbers
-    clean = first[first[:, 3] == 0]
-    if not len(clean):
-        return model
-    # under chance lambda S - ln n has the mean ln K + 0.5772
-    model.log_k = float(np.mean(clean[:, 0])) - 0.5772
-    again = collected()
-    if 0 < again[:, 3].sum() < len(again):
-        model.weights = fit_logistic(again[:, :3], again[:, 3])
-    return model
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    sample = training_sample(docs, labels, "toxic", most)
+    n, toxic = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
+    share = (toxic or 0) / n if n else 0.0
+    counts = unit_counts(sample.where(F.col("fold") < SCORE_FOLDS))
+    rest = sample.where(F.col("fold") >= SCORE_FOLDS)
+    if not counts[0]:
+        return calibrated({}, rest, share)[0]
+    found = [calibrated(unit_scores(*counts, doubt), rest, share) for doubt in DOUBTS]
+    return min(found, key=lambda f: f[1])[0]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, segments (word ranges of the significant passages) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most UNITS entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its units come from the bounded sample
 
     def run(batches):
         m = shared.value

@@ -6,29 +6,30 @@ the ``K`` smallest distinct hashes. The K smallest of the union of two sketches
 union of their shingles, so sketches of parts merge, and two sketches estimate resemblance, containment
 and the number of distinct shingles.
 
-To pair each document with the next one, ids are ranked within ranges of ids that a bounded number of
-quantiles bounds; the first document of each range is also sent to the range before it. So the texts
-move once, and no range is a global window.
+To pair each document with the next one, rows are ordered by id, text hash and place in the input. Ids and hashes alone are
+sorted by ranges and numbered within them; every ``DOCS_A_RANGE``-th row heads a range, however many share an id.
+Texts then move once, each to its range, and the head of a range also to the range before it.
 
 Defined results: a null text is the empty text, whose sketch is empty. Two empty sketches are alike (1),
 an empty and another are not (0). Rows with equal ids are ordered by their text's hash; null ids come
-last. Further columns of the input are ignored.
+last. Further columns of the input are ignored. The input is read twice, so its rows must keep their places (tables do).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrays import indices, let
-from tidewell.llm.shared import table
+from tidewell.llm.shared import cut, table
 
 NAME = "op3_fingerprints"
 WORDS = 5
 K = 256
-#: Ranges of ids: about one for so many documents, and at most so many in all.
-DOCS_A_RANGE = 1_000
-MOST_RANGES = 2_048
+#: Documents of a range, and of a part in which they are numbered; there are at most so many parts.
+DOCS_A_RANGE, DOCS_A_PART, MOST_PARTS = 5_000, 200_000, 1_000
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -75,31 +76,41 @@ def shown(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def range_heads(rows: DataFrame) -> DataFrame:
+    """part, heads (descending places ``at`` at which the part's ranges begin) of ``rows`` (at), parts in descending order.
+
+    A head is 24 bytes for ``DOCS_A_RANGE`` documents.
+    """
+    parts = max(1, min(MOST_PARTS, rows.count() // DOCS_A_PART))
+    placed = cut(rows.repartitionByRange(parts, F.col("at").desc()).withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("part").orderBy(F.col("at").desc())
+    heads = placed.withColumn("r", F.row_number().over(order)).where((F.col("r") - 1) % DOCS_A_RANGE == 0)
+    return cut(heads.groupBy("part").agg(F.sort_array(F.collect_list("at"), asc=False).alias("heads")))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with the text and sketch of the next document by descending id; after the last comes the first."""
-    spark = docs.sparkSession
-    ids = docs.select("doc_id")
-    n = ids.count()
-    ranges = max(1, min(MOST_RANGES, n // DOCS_A_RANGE))
-    quantiles = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"] if ranges > 1 else None
-    bounds = sorted(set(quantiles or []))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    at = F.when(F.col("doc_id").isNull(), -1).otherwise(at).cast("int")
-    d = docs.withColumn("range", at)
-    # the largest id of each range, at most MOST_RANGES + 1 rows; it is the next document of the range above
-    heads = sorted(((r["range"], r["head"]) for r in d.groupBy("range").agg(F.max("doc_id").alias("head")).collect()), reverse=True)
-    targets = [(head, [heads[i - 1][0]]) for i, (_, head) in enumerate(heads)]
-    merged: dict = {}
-    for head, to in targets:
-        merged[head] = merged.get(head, []) + to
-    sent = F.broadcast(spark.createDataFrame(list(merged.items()), "head long, targets array<int>"))
-    d = d.join(sent, F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    own = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")))
-    guests = F.transform(F.coalesce("targets", F.array().cast("array<int>")), lambda t: F.struct(t.alias("range"), F.lit(1).alias("guest")))
-    d = d.select("doc_id", "text", F.explode(F.concat(own, guests)).alias("at"))
-    d = d.select("doc_id", "text", F.col("at.range").alias("range"), F.col("at.guest").alias("guest"))
+    at = F.struct("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    d = docs.withColumn("at", at)
+    heads = range_heads(d.select("at"))
+    firsts = sorted(heads.select("part", F.col("heads")[0].alias("first"), F.size("heads").alias("n")).collect())  # at most MOST_PARTS rows
+    if not firsts:
+        return docs.select("doc_id", "text", sketch(F.col("text")).alias("sketch"), F.col("text").alias("next_text"), sketch(F.col("text")).alias("next_sketch"))
+    # ranges are numbered part * 2**32 + number within; before: the last range of the part before, the first part's being the last
+    coarse = [(r["part"], r["first"], (firsts[i - 1]["part"] << 32) + firsts[i - 1]["n"] - 1) for i, r in enumerate(firsts)]
+    shape = f"array<struct<part:int,first:{d.schema['at'].dataType.simpleString()},before:long>>"
+    parts = F.from_json(F.lit(json.dumps([{"part": p, "first": first.asDict(), "before": before} for p, first, before in coarse])), shape)  # a constant
+    d = d.withColumn("own", F.element_at(F.filter(parts, lambda c: c["first"] >= F.col("at")), -1))
+    d = d.withColumn("part", F.col("own.part")).join(F.broadcast(heads), "part")
+    k = F.size(F.filter("heads", lambda h: h >= F.col("at"))) - 1
+    d = d.withColumn("k", k.cast("long")).withColumn("range", F.shiftleft(F.col("part").cast("long"), 32) + F.col("k"))
+    before = F.when(F.col("k") > 0, F.col("range") - 1).otherwise(F.col("own.before"))
+    is_head = F.get("heads", F.col("k").cast("int")) == F.col("at")
+    spot = lambda r, g: F.struct(r.alias("range"), F.lit(g).alias("guest"))
+    spots = F.when(is_head, F.array(spot(F.col("range"), 0), spot(before, 1))).otherwise(F.array(spot(F.col("range"), 0)))
+    d = d.select("doc_id", "text", "at", F.explode(spots).alias("spot")).select("doc_id", "text", "at", "spot.range", "spot.guest")
     d = d.repartition("range").withColumn("sketch", sketch(F.col("text")))
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    order = Window.partitionBy("range").orderBy("guest", F.col("at").desc())
     d = d.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
     return d.where("guest = 0").select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
 

@@ -6,6 +6,9 @@ part of it to the feature's table. Then the pairs of features whose joint table
 left get tables of their own in the same way. Scoring is a sum of table entries: one vectorised look-up
 a feature or pair.
 
+Features are counts and shares of the whole text (words, lines, byte classes, repetition, entropy, how far it compresses) and
+the mean log-odds of its sequences of three byte classes in good against bad documents, learned on the fit's rows.
+
 The fit reads a bounded sample of labelled documents; the sample's features (a few numbers a document)
 reach the driver, the texts do not.
 
@@ -16,6 +19,7 @@ id take no part in a score.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,54 +42,69 @@ LEAST_ROWS = 5
 #: Score from which a document is predicted good.
 THRESHOLD = 0.3
 
-UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = b"abcdefghijklmnopqrstuvwxyz"
-DIGITS = b"0123456789"
-SYMBOLS = b"#$%&*|<>{}[]~^_=+\\/@"
-ENDS = b".?"
+#: Classes of bytes: lower case, upper case, digits, space, line break, sentence ends, other ASCII, bytes of other letters.
+CLASSES = 8
 FEATURES = [
-    "log_chars", "word_length", "upper", "digit", "symbol", "pipe", "bang", "stop", "line_length", "unique_words",
-    "same_next", "unique_lines", "symbol_ends", "long_words", "bytes_a_char", "spaces",
+    "log_chars", "word_length", "upper", "digit", "other", "stop", "line_length", "unique_words", "same_next", "unique_lines", "long_words",
+    "bytes_a_char", "spaces", "no_letters", "capitals", "entropy", "compressed", "classes",
 ]
 
 
-def features(text: str) -> tuple[float, ...]:
-    """Counts and shares of a whole text."""
+def class_table() -> bytes:
+    out = bytearray([6] * 128 + [7] * 128)
+    for c, which in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".?!")):
+        for x in which:
+            out[x] = c
+    return bytes(out)
+
+
+CLASS_OF = class_table()
+
+
+def class_trigrams(classes: np.ndarray) -> np.ndarray:
+    """Shares of the sequences of three byte classes."""
+    c = classes.astype(np.int64)
+    n = np.bincount(c[:-2] * CLASSES**2 + c[1:-1] * CLASSES + c[2:], minlength=CLASSES**3) if len(c) > 2 else np.zeros(CLASSES**3)
+    return n / max(1, len(c) - 2)
+
+
+def features(text: str, odds: np.ndarray) -> tuple[float, ...]:
+    """Counts and shares of a whole text; ``odds``: learned log-odds of class trigrams in good against bad documents."""
     data = text.encode()
     n = max(1, len(data))
     words = text.split()
     k = max(1, len(words))
     lines = [x for x in text.split("\n") if x]
-
-    def share(which: bytes) -> float:
-        return (len(data) - len(data.translate(None, which))) / n
-
+    classes = np.frombuffer(data.translate(CLASS_OF), np.uint8)
+    of_class = np.bincount(classes, minlength=CLASSES) / n
+    of_byte = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / n
+    of_byte = of_byte[of_byte > 0]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    distinct = len(set(words))
-    same = sum(map(str.__eq__, words, words[1:]))
     return (
         float(np.log1p(len(text))),
         float(sizes.mean()) if len(words) else 0.0,
-        share(UPPER),
-        share(DIGITS),
-        share(SYMBOLS),
-        data.count(b"|") / k,
-        data.count(b"!") / k,
-        share(ENDS) * 100,
+        of_class[1],
+        of_class[2],
+        of_class[6],
+        of_class[5] * 100,
         len(words) / max(1, len(lines)),
-        distinct / k**0.8,
-        same / k,
+        len(set(words)) / k**0.8,
+        sum(map(str.__eq__, words, words[1:])) / k,
         len(set(lines)) / max(1, len(lines)),
-        sum(data.count(x) for x in (b"### ", b"$$$ ", b"%%% ", b"*** ", b"&&& ", b"!! ", b" | ")) / k,
         float((sizes > 15).mean()) if len(words) else 0.0,
         n / max(1, len(text)),
-        data.count(b" ") / n,
+        of_class[3],
+        sum(w.lower() == w.upper() for w in words) / k,
+        sum(map(str.isupper, words)) / k,
+        float(-(of_byte @ np.log2(of_byte))) if len(of_byte) else 0.0,
+        len(zlib.compress(data, 1)) / n,
+        float(class_trigrams(classes) @ odds),
     )
 
 
-def feature_rows(batches):
+def feature_rows(batches, odds: np.ndarray):
     for pdf in batches:
-        rows = [features(t) for t in pdf["text"].fillna("")]
+        rows = [features(t, odds) for t in pdf["text"].fillna("")]
         out = pd.DataFrame(rows, columns=FEATURES)
         for c in pdf.columns:
             if c != "text":
@@ -93,6 +112,26 @@ def feature_rows(batches):
         yield out
 
 
+def trigram_odds(sample: DataFrame) -> np.ndarray:
+    """Log-odds of class trigrams in good against bad documents, each document counting alike."""
+
+    def run(batches):
+        sums = {}
+        for pdf in batches:
+            for text, label in zip(pdf["text"], pdf["label"]):
+                own = class_trigrams(np.frombuffer(text.encode().translate(CLASS_OF), np.uint8))
+                sums[label] = sums.get(label, 0) + own
+        if sums:
+            yield pd.DataFrame([(label, i, x) for label, own in sums.items() for i, x in enumerate(own)], columns=["label", "i", "x"])
+
+    rows = sample.select("text", "label").mapInPandas(run, "label int, i int, x double").groupBy("label", "i").agg(F.sum("x").alias("x")).collect()
+    shares = np.zeros((2, CLASSES**3))
+    for r in rows:  # two rows a trigram
+        shares[r["label"], r["i"]] = r["x"]
+    shares = (shares + 1e-2) / (shares + 1e-2).sum(axis=1, keepdims=True)
+    return np.log(shares[1] / shares[0])
+
+
 def best_tree(gradient: np.ndarray, weight: np.ndarray, rows: np.ndarray, leaves: int = 3) -> np.ndarray:
     """Values by bin of a small tree on one feature: cut where the squared gradient gains most, again on the better part."""
     parts = [(0, len(gradient))]
@@ -127,6 +166,7 @@ class Model:
     pairs: list[tuple[int, int]] = field(default_factory=list)
     pair_edges: list[np.ndarray] = field(default_factory=list)
     pair_tables: list[np.ndarray] = field(default_factory=list)
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES**3))
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -191,17 +231,20 @@ def fit_model(x: np.ndarray, y: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     sample = training_sample(docs, labels, "quality", most)
     schema = ", ".join(f"{f} double" for f in FEATURES) + ", label int"
-    got = sample.select("text", "label").mapInPandas(feature_rows, schema).collect()  # at most ``most`` rows of numbers
+    odds = trigram_odds(sample)
+    got = sample.select("text", "label").mapInPandas(lambda batches: feature_rows(batches, odds), schema).collect()  # at most ``most`` rows of numbers
     data = np.array([tuple(r) for r in got], float).reshape(-1, len(FEATURES) + 1)
     data = data[np.lexsort(data.T)]  # the same model whatever order the rows come in
-    return fit_model(data[:, :-1], data[:, -1])
+    model = fit_model(data[:, :-1], data[:, -1])
+    model.odds = odds
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of small tables
 
     def run(batches):
-        for pdf in feature_rows(batches):
+        for pdf in feature_rows(batches, shared.value.odds):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": shared.value.score(pdf[FEATURES].to_numpy())})
 
     found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, score double")
