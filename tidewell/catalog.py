@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidewell.functions import headers, levels
 from tidewell.model import AudioFormat, Rational, rescale_pts
 from tidewell.operators import codecs, forkjoin, framing, processors
+from tidewell.plans import pipeline
+from tidewell.sources import files
 from tidewell.streaming import batches, stateful
 
 FLAGSHIP = "gain_i16_saturating"
@@ -427,6 +429,182 @@ def stream_headers(spark, sf_dir):
     )
 
 
+def event_packets(spark, sf_dir):
+    """A packet an event: its id in four bytes."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id")
+    numbered = framing.number_rows(e, ["event_type"], ["ts", "event_id"], F.col("ts").cast("timestamp").cast("double"), "seq")
+    return numbered.select(
+        F.col("event_type").alias("stream_id"), F.col("seq").cast("bigint").alias("seq"), "event_id", headers.little_endian(F.col("event_id"), 4).alias("data")
+    )
+
+
+P = """p AS (SELECT event_type AS stream_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS seq, event_id,
+printf('%02x%02x%02x%02x', event_id % 256, (event_id // 256) % 256, (event_id // 65536) % 256, event_id // 16777216) AS data FROM events)"""
+
+
+def named_by_file(df):
+    """``df`` with the name of its file, without the suffix, as the stream's id."""
+    return df.withColumn("stream_id", F.regexp_extract("stream_id", r"([^/]+)\.[a-z0-9]+$", 1))
+
+
+def as_text(df):
+    return df.withColumn("data", F.lower(F.hex("data")))
+
+
+def written(blobs, suffix):
+    """The folder in which ``blobs`` have become files."""
+    folder = batches.shared_folder(blobs.sparkSession)
+    files.write_blobs(blobs, folder, suffix).count()
+    return folder
+
+
+def events_as_wav(spark, sf_dir, encoding="pcm16le"):
+    unit = events(spark, sf_dir).withColumn("v", F.col("v") / 500)
+    folder = batches.shared_folder(spark)
+    files.write_files(framing.samples_to_frames(unit, AudioFormat(48000, 1, "f64"), 512), folder, encoding=encoding).count()
+    return folder
+
+
+@query(f"WITH {E} SELECT stream_id, n, round(CAST(round(v / 500::DOUBLE * 32767) AS INTEGER) / 32768::DOUBLE, 9) AS v FROM e")
+def wav_file_roundtrip(spark, sf_dir):
+    read = files.read_audio(spark, events_as_wav(spark, sf_dir), "wav")
+    return rounded(named_by_file(framing.frames_to_samples(read)), 9)
+
+
+@query(f"WITH {E} SELECT stream_id, n, round((v / 500::DOUBLE)::FLOAT::DOUBLE, 9) AS v FROM e")
+def wav_float_roundtrip(spark, sf_dir):
+    read = files.read_wav(spark, events_as_wav(spark, sf_dir, "f32le"))
+    return rounded(named_by_file(framing.frames_to_samples(read)), 9)
+
+
+@query(f"""WITH {E}, k AS (SELECT stream_id, count(*) AS k FROM e GROUP BY 1), c AS (SELECT stream_id, k, unnest(range((k + 299) // 300)) AS seq FROM k)
+SELECT stream_id, seq, seq * 300 AS pts, least(300, k - seq * 300)::INTEGER AS nb_samples FROM c""")
+def wav_source_scan(spark, sf_dir):
+    """Frames by the data source that a user registers."""
+    spark.dataSource.register(files.WavSource)
+    read = spark.read.format("tidewell-wav").option("chunk_samples", "300").load(f"{events_as_wav(spark, sf_dir)}/*.wav")
+    return named_by_file(read).select("stream_id", "seq", "pts", "nb_samples")
+
+
+@query(f"WITH {P} SELECT stream_id, seq, data, CAST(sum(event_id % 100) OVER (PARTITION BY stream_id ORDER BY seq) - event_id % 100 AS BIGINT) AS pts FROM p")
+def packet_file_roundtrip(spark, sf_dir):
+    p = event_packets(spark, sf_dir)
+    records = p.withColumn("data", headers.packet_file_record(F.col("data"), F.col("event_id") % 100))
+    folder = written(files.packet_blobs(records, headers.packet_file_header(Rational(1, 48000), b"tw")), "pkt")
+    return as_text(named_by_file(files.read_packet_file(spark, folder))).select("stream_id", "seq", "data", "pts")
+
+
+@query(f"WITH {P} SELECT stream_id, seq, data, seq * 1024 AS pts FROM p")
+def adts_file_roundtrip(spark, sf_dir):
+    folder = batches.shared_folder(spark)
+    files.write_audio(event_packets(spark, sf_dir), folder, "aac", AudioFormat(48000, 2)).count()
+    return as_text(named_by_file(files.read_adts(spark, folder))).select("stream_id", "seq", "data", "pts")
+
+
+@query(f"WITH {P} SELECT stream_id, seq, data, 417 AS bytes FROM p")
+def mp3_file_roundtrip(spark, sf_dir):
+    """Frames of 128 kbit/s at 44100 samples a second that carry four bytes each, behind a tag."""
+    p = event_packets(spark, sf_dir).withColumn("data", F.concat(F.lit(bytes([0xFF, 0xFB, 0x90, 0x00])), "data", F.lit(bytes(409))))
+    folder = written(files.packet_blobs(p, b"ID3" + bytes([4, 0, 0, 0, 0, 0, 6]) + b"tagged"), "mp3")
+    read = named_by_file(files.read_mp3(spark, folder)).withColumn("bytes", F.length("data"))
+    return as_text(read.withColumn("data", F.substring("data", 5, 4))).select("stream_id", "seq", "data", "bytes")
+
+
+@query(f"WITH {P} SELECT stream_id, seq, data, (seq + 1) * 960 AS pts FROM p")
+def ogg_file_roundtrip(spark, sf_dir):
+    folder = batches.shared_folder(spark)
+    files.write_audio(event_packets(spark, sf_dir).withColumn("duration", F.lit(960).cast("bigint")), folder, "opus", AudioFormat(48000, 2)).count()
+    read = as_text(named_by_file(files.read_ogg(spark, folder)))
+    return read.select("stream_id", "seq", "data", "pts")
+
+
+@query(f"WITH {P} SELECT stream_id, seq, data FROM p")
+def length_prefixed_roundtrip(spark, sf_dir):
+    p = event_packets(spark, sf_dir).withColumn("data", F.concat(F.unhex(F.lpad(F.hex(F.length("data").cast("bigint")), 8, "0")), "data"))
+    return as_text(named_by_file(files.read_length_prefixed(spark, written(files.packet_blobs(p), "cap")))).select("stream_id", "seq", "data")
+
+
+@query(resample_sql(1, 2).replace(V, E))
+def stream_resample_2x(spark, sf_dir):
+    return rounded(batches.through_stream(events(spark, sf_dir), lambda s: stateful.resample(s, 1, 2)))
+
+
+@query(ORACLES["delay_10"])
+def stream_delay_10(spark, sf_dir):
+    return batches.through_stream(events(spark, sf_dir), lambda s: stateful.delay(s, 10, 1000)).select("stream_id", "n", "v")
+
+
+@query(ORACLES["compressor"])
+def stream_compressor(spark, sf_dir):
+    d = levels.Dynamics(48000, threshold_db=-12, knee_width_db=6, ratio=4, expansion_ratio=2, expansion_threshold_db=-40, attack_time=0.001, release_time=0.005, master_gain_db=3)
+    s = events(spark, sf_dir).withColumn("v", F.col("v") / 490.02)
+    return rounded(batches.through_stream(s, lambda x: stateful.compressor(x, d, precision="f64")))
+
+
+@query(f"""WITH {E}, k AS (SELECT stream_id, count(*) AS k FROM e GROUP BY 1)
+SELECT stream_id, n, v FROM e UNION ALL SELECT stream_id, unnest(range(k, (k + 99) // 100 * 100)) AS n, 0 AS v FROM k""")
+def stream_rechunk_pad(spark, sf_dir):
+    return batches.through_stream(events(spark, sf_dir), lambda s: stateful.rechunk(s, 100, "pad")).select("stream_id", "n", "v")
+
+
+@query(f"WITH {E} SELECT stream_id, n, v FROM e QUALIFY n < count(*) OVER (PARTITION BY stream_id) // 100 * 100")
+def stream_rechunk_drop(spark, sf_dir):
+    return batches.through_stream(events(spark, sf_dir), lambda s: stateful.rechunk(s, 100, "drop")).select("stream_id", "n", "v")
+
+
+@query(f"""WITH {E} SELECT 'tap' AS sink, stream_id, n, round(v * 2, 6) AS v FROM e UNION ALL SELECT 'first', stream_id, n, round(v * -6, 6) FROM e
+UNION ALL SELECT 'second', stream_id, n, round(v * -6, 6) FROM e""")
+def tap_and_fan_out(spark, sf_dir):
+    """A pipeline with a tap in its middle and two sinks at its end."""
+    folder = batches.shared_folder(spark)
+    into = lambda name: lambda df: df.write.parquet(f"{folder}/{name}")
+    steps = [pipeline.processor("gain", gain=2.0), pipeline.tap(into("tap")), pipeline.identity(), pipeline.processor("gain", gain=-3.0)]
+    pipeline.Pipeline(steps).run(events(spark, sf_dir), lambda df: files.fan_out(df, [into("first"), into("second")]))
+    parts = [rounded(spark.read.parquet(f"{folder}/{n}")).select(F.lit(n).alias("sink"), "stream_id", "n", "v") for n in ("tap", "first", "second")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""WITH {E}, d AS (SELECT stream_id, n + 4 AS n, v * 1.5::DOUBLE AS v FROM e UNION ALL SELECT s.stream_id, r.range, 0 FROM (SELECT DISTINCT stream_id FROM e) s, range(4) r)
+SELECT stream_id, n, round(v * 0.25::DOUBLE + coalesce(lag(v) OVER (PARTITION BY stream_id ORDER BY n), 0) * 0.5::DOUBLE, 6) AS v FROM d""")
+def factory_chain(spark, sf_dir):
+    """Processors by name and settings, a pipeline as a step of another."""
+    inner = pipeline.Pipeline([pipeline.processor("gain", gain=1.5), pipeline.processor("delay", delay_ms=4, sample_rate=1000)])
+    outer = pipeline.Pipeline([inner.as_step(), pipeline.identity(), pipeline.processor("fir", taps=[0.25, 0.5])])
+    return rounded(outer(events(spark, sf_dir)))
+
+
+@query(f"WITH {V} SELECT stream_id, n, round(v * v - 2 * v, 6) AS v FROM e")
+def user_parts(spark, sf_dir):
+    """A step and a reducer of one's own."""
+    squared = pipeline.custom("square", lambda df: df.withColumn("v", F.col("v") * F.col("v")))
+    join = pipeline.fork_join([pipeline.Pipeline([squared]), pipeline.Pipeline([pipeline.processor("gain", gain=-2.0)])], lambda vs: vs[0] + vs[1])
+    return rounded(pipeline.Pipeline([join])(vectors(spark, sf_dir)))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey || '-' || l_suppkey AS text, xor(xor(CAST(l_partkey AS BIGINT), CAST(l_suppkey AS BIGINT)), CAST(l_linenumber AS BIGINT)) AS mixed FROM lineitem""")
+def reduce_text_and_bits(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    words = [F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")]
+    bits = [F.col(c).cast("bigint") for c in ("l_partkey", "l_suppkey", "l_linenumber")]
+    return items.select("l_orderkey", "l_linenumber", forkjoin.joined_text()(words).alias("text"), forkjoin.exclusive_or()(bits).alias("mixed"))
+
+
+@query(f"""WITH {E}, k AS (SELECT stream_id, count(*) AS k FROM e GROUP BY 1), c AS (SELECT stream_id, k, unnest(range((k + 63) // 64)) AS seq FROM k)
+SELECT stream_id, seq, seq * 64 AS pts, least(64, k - seq * 64)::INTEGER AS nb_samples FROM c""")
+def codec_windows(spark, sf_dir):
+    """Encoded in windows of a hundred samples, decoded in windows of 64."""
+    fmt = AudioFormat(48000, 1, "i16", planar=False)
+    packets = codecs.encode(as_i16(events(spark, sf_dir)), "pcm", fmt, 100)
+    return codecs.decode(packets, "wav", fmt, chunk_samples=64).select("stream_id", "seq", "pts", "nb_samples")
+
+
+@query(f"WITH {E} SELECT stream_id, n, round(least(round(v * 60), 32767) / 32768::DOUBLE, 9) AS v FROM e")
+def pcm_unit_floats(spark, sf_dir):
+    fmt = AudioFormat(48000, 1, "i16", planar=False)
+    packets = codecs.encode_pcm(framing.samples_to_frames(as_i16(events(spark, sf_dir)), fmt, 64), fmt)
+    return rounded(framing.frames_to_samples(codecs.decode_pcm_unit(packets, fmt)), 9)
+
+
 def _no_negative_zero(sql: str) -> str:
     """Rounded values as Spark gives them: SQL's rounding keeps the sign of zero, Spark's does not."""
     return re.sub(r"round\((.*), (\d)\) AS v\b", r"round(\1, \2) + 0 AS v", sql, flags=re.S)

@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.levels import denormalise, normalise
@@ -108,13 +110,14 @@ def mix(samples: DataFrame, branches: list[Branch], reducer: Reducer, sample_typ
 
 
 def concat_streams(parts: list[DataFrame]) -> DataFrame:
-    """Samples of the parts one after another in each channel."""
-    out = parts[0]
-    for part in parts[1:]:
-        lengths = out.groupBy("stream_id", "ch").agg((F.max("n") + 1).alias("shift_"))
-        moved = part.join(lengths, ["stream_id", "ch"], "left").withColumn("n", F.col("n") + F.coalesce("shift_", F.lit(0))).drop("shift_")
-        out = out.unionByName(moved.select(*out.columns))
-    return out
+    """Samples of the parts one after another in each channel. Each part is read for its lengths and for its samples, no more."""
+    keys = ["stream_id", "ch"]
+    numbered = [p.select(*keys, "n", "v", F.lit(i).alias("part_")) for i, p in enumerate(parts)]
+    all_ = reduce(DataFrame.unionByName, numbered)
+    # a row for each part of a channel
+    lengths = all_.groupBy(*keys, "part_").agg((F.max("n") + 1).alias("length_"))
+    shifts = lengths.withColumn("shift_", F.sum("length_").over(Window.partitionBy(*keys).orderBy("part_")) - F.col("length_")).drop("length_")
+    return all_.join(shifts, [*keys, "part_"]).select(*keys, (F.col("n") + F.col("shift_")).alias("n"), "v")
 
 
 def concat_packets(packets: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,8 +131,11 @@ def concat_packets(packets: DataFrame, keys: list[str]) -> DataFrame:
 def xor_packets(packets: DataFrame, keys: list[str]) -> DataFrame:
     """Byte-wise exclusive or of the branches of a packet, which must be of one length and time base."""
     got = packets.groupBy(*keys).agg(F.collect_list("data").alias("parts"), F.min(F.length("data")).alias("short_"), F.max(F.length("data")).alias("long_"))
-    byte = lambda p, i: F.conv(F.substring(F.hex(p), 2 * i + 1, 2), 16, 10).cast("int")
-    one = lambda i: F.aggregate("parts", F.lit(0), lambda acc, p: acc.bitwiseXOR(byte(p, i)))
-    places = F.when(F.col("long_") > 0, F.sequence(F.lit(0), F.col("long_") - 1)).otherwise(F.array().cast("array<int>"))
-    text = F.array_join(F.transform(places, lambda i: F.lpad(F.hex(one(i).cast("bigint")), 2, "0")), "")
-    return got.select(*keys, F.when(F.col("short_") == F.col("long_"), F.unhex(text)).otherwise(F.raise_error("packets differ in length")).alias("data"))
+
+    @F.pandas_udf("binary")
+    def combined(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda own: np.bitwise_xor.reduce([np.frombuffer(p, np.uint8) for p in own]).tobytes())
+
+    same = F.col("short_") == F.col("long_")
+    met = got.withColumn("parts", F.when(same, F.col("parts")).otherwise(F.raise_error("packets differ in length")))
+    return met.select(*keys, combined("parts").alias("data"))

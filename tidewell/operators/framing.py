@@ -1,7 +1,7 @@
 """Positions, frames and count windows.
 
-Nothing here keeps a whole stream in one task: positions come from counts by bucket and numbers within a
-bucket, count windows are groups of a fixed size, and neighbours across block borders are copied (a halo).
+Nothing here keeps a whole stream in one task: positions and running values come from those of ranges and what lies within a
+range, count windows are groups of a fixed size, and neighbours across block borders are copied (a halo).
 """
 
 from __future__ import annotations
@@ -11,27 +11,53 @@ from pyspark.sql import functions as F
 
 from tidewell.model import AudioFormat, InvalidData
 
-BUCKETS = 512
+#: Quantile ranges of a position, and rows aimed at in each of the equal parts of such a range.
+RANGES, RANGE_ROWS = 64, 20_000
+#: Frames of a stream over which running values are taken at once.
+RUN = 4_096
 BLOCK = 1 << 16
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], by: Column, out: str = "n") -> DataFrame:
     """Positions 0, 1, ... within ``keys`` by ``order``, whose first column rises with the number ``by``.
 
-    ``by`` is cut into equal ranges; counts of ranges (few rows) give each range its first position, and rows are
-    numbered within their range. So a key of a third of all rows is spread over many tasks. Ranges of a
-    very uneven ``by`` are uneven, too.
+    ``by`` is cut at quantiles, so that outliers have ranges of their own, and each range into equal parts, more of them
+    the more rows there are. Counts of parts (few rows) give each its first position, and rows are numbered within their
+    part. So a key of a third of all rows is spread over many tasks. The quantiles are taken when the plan is built.
     """
     df = df.withColumn("by_", by.cast("double"))
-    low, high = df.agg(F.min("by_"), F.max("by_")).first()
-    width = (high - low) / BUCKETS if low is not None and high > low else 1.0
-    df = df.withColumn("bucket_", F.coalesce(F.floor((F.col("by_") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("int"))
-    counts = df.groupBy(*keys, "bucket_").agg(F.count(F.lit(1)).alias("count_"))
-    earlier = Window.partitionBy(*keys).orderBy("bucket_")
+    shares = [i / RANGES for i in range(RANGES + 1)]
+    n, bounds = df.agg(F.count("by_"), F.percentile_approx("by_", shares, 10_000)).first()
+    bounds = sorted(set(bounds or [0.0]))
+    parts = max(1, n // (RANGES * RANGE_ROWS))
+    lows, spans = F.array(*map(F.lit, bounds)), F.array(*[F.lit(max(b - a, 1e-300)) for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1.0])])
+    df = df.withColumn("range_", F.greatest(F.size(F.filter(lows, lambda b: b <= F.col("by_"))), F.lit(1)) - 1)
+    inside = F.floor((F.col("by_") - lows[F.col("range_")]) / spans[F.col("range_")] * parts)
+    df = df.withColumn("part_", F.coalesce(F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1)), F.lit(-1)).cast("int"))
+    counts = df.groupBy(*keys, "range_", "part_").agg(F.count(F.lit(1)).alias("count_"))
+    earlier = Window.partitionBy(*keys).orderBy("range_", "part_")
     firsts = counts.withColumn("first_", F.sum("count_").over(earlier) - F.col("count_")).drop("count_")
-    within = Window.partitionBy(*keys, "bucket_").orderBy(*order)
+    within = Window.partitionBy(*keys, "range_", "part_").orderBy(*order)
     numbered = df.withColumn("place_", F.row_number().over(within) - 1)
-    return numbered.join(firsts, [*keys, "bucket_"]).withColumn(out, F.col("first_") + F.col("place_")).drop("by_", "bucket_", "place_", "first_")
+    numbered = numbered.join(firsts, [*keys, "range_", "part_"]).withColumn(out, F.col("first_") + F.col("place_"))
+    return numbered.drop("by_", "range_", "part_", "place_", "first_")
+
+
+def running(frames: DataFrame, value: Column, how: str, out: str) -> DataFrame:
+    """``out``: the sum or maximum (``how``) of ``value`` over a stream's frames so far, by ``seq``.
+
+    Runs of frames come first: each run's own value (a row a run), and what the runs before it give. So no task holds
+    a whole stream.
+    """
+    f = {"sum": F.sum, "max": F.max}[how]
+    both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest}[how]
+    d = frames.withColumn("run_", F.floor(F.col("seq") / RUN)).withColumn("value_", value)
+    runs = d.groupBy("stream_id", "run_").agg(f("value_").alias("own_"))
+    earlier = Window.partitionBy("stream_id").orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("before_", f("own_").over(earlier)).drop("own_")
+    within = Window.partitionBy("stream_id", "run_").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("here_", f("value_").over(within)).join(runs, ["stream_id", "run_"])
+    return d.withColumn(out, both(F.col("before_"), F.col("here_"))).drop("run_", "value_", "here_", "before_")
 
 
 def with_halo(samples: DataFrame, before: int, after: int = 0, block: int = BLOCK) -> DataFrame:
@@ -51,8 +77,8 @@ def with_halo(samples: DataFrame, before: int, after: int = 0, block: int = BLOC
 
 def frames_to_samples(frames: DataFrame) -> DataFrame:
     """Samples of frames; the position is the number of samples in the stream's earlier frames plus the place within."""
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    first = frames.withColumn("first_", F.sum("nb_samples").over(order) - F.col("nb_samples"))
+    first = running(frames.select("stream_id", "seq", "nb_samples", "samples"), F.col("nb_samples").cast("bigint"), "sum", "end_")
+    first = first.withColumn("first_", F.col("end_") - F.col("nb_samples"))
     planes = first.select("stream_id", "first_", F.posexplode("samples").alias("ch", "plane"))
     return planes.select("stream_id", "ch", "first_", F.posexplode("plane").alias("i", "v")).select(
         "stream_id", "ch", (F.col("first_") + F.col("i")).cast("bigint").alias("n"), "v"
@@ -99,10 +125,15 @@ def samples_to_frames(samples: DataFrame, fmt: AudioFormat, size: int, tail: str
 
 def pts_breaks(frames: DataFrame) -> DataFrame:
     """``frames`` with ``continues``: whether the time stamp is where the frame before it ended (the first: whether it has one)."""
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    expected = F.lag(F.col("pts") + F.col("nb_samples")).over(order)
-    first = F.row_number().over(order) == 1
-    return frames.withColumn("continues", F.when(first, F.col("pts").isNotNull()).otherwise(F.coalesce(F.col("pts") == expected, F.lit(False))))
+    # the frame before is in the same run, or the last of the runs before
+    d = frames.withColumn("run_", F.floor(F.col("seq") / RUN)).withColumn("ends_", F.struct("seq", (F.col("pts") + F.col("nb_samples")).alias("at")))
+    runs = d.groupBy("stream_id", "run_").agg(F.max("ends_").alias("own_"))
+    earlier = Window.partitionBy("stream_id").orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("before_", F.max("own_").over(earlier)).drop("own_")
+    d = d.withColumn("last_", F.lag("ends_").over(Window.partitionBy("stream_id", "run_").orderBy("seq"))).join(runs, ["stream_id", "run_"])
+    d = d.withColumn("last_", F.coalesce("last_", "before_"))
+    fine = F.when(F.col("last_").isNull(), F.col("pts").isNotNull()).otherwise(F.coalesce(F.col("pts") == F.col("last_.at"), F.lit(False)))
+    return d.withColumn("continues", fine).drop("run_", "ends_", "last_", "before_")
 
 
 def chunk_pts(frames: DataFrame, size: int) -> DataFrame:
@@ -111,23 +142,21 @@ def chunk_pts(frames: DataFrame, size: int) -> DataFrame:
     The buffer trusts time stamps while they continue; after a break it has none until it has run empty,
     which it does after a frame at whose end the samples so far are a multiple of the window.
     """
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    base_order = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = frames.withColumn("end_", F.sum("nb_samples").over(base_order)).withColumn("start_", F.col("end_") - F.col("nb_samples"))
-    empty_before = F.coalesce(F.lag("end_").over(order), F.lit(0)) % size == 0
-    f = f.withColumn("empty_", empty_before)
-    f = f.withColumn("run_", F.sum(F.col("empty_").cast("int")).over(base_order))
-    in_run = Window.partitionBy("stream_id", "run_").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = f.withColumn("base_", F.first("pts").over(in_run) - F.first("start_").over(in_run))
-    fine = F.col("pts").isNotNull() & (F.col("pts") - F.col("start_") == F.col("base_"))
-    f = f.withColumn("fine_", F.min(F.coalesce(fine, F.lit(False)).cast("int")).over(in_run))
+    f = running(frames.select("stream_id", "seq", "pts", "nb_samples"), F.col("nb_samples").cast("bigint"), "sum", "end_")
+    f = f.withColumn("start_", F.col("end_") - F.col("nb_samples"))
+    # where the buffer was empty, and what its time stamp then was; the latest such frame counts
+    emptied = F.when(F.col("start_") % size == 0, F.struct("seq", (F.col("pts") - F.col("start_")).alias("base")))
+    f = running(f, emptied, "max", "since_")
+    fine = F.col("pts").isNotNull() & (F.col("pts") - F.col("start_") == F.col("since_.base"))
+    f = running(f, F.when(~F.coalesce(fine, F.lit(False)), F.col("seq")), "max", "bad_")
+    trusted = F.coalesce(F.col("bad_") < F.col("since_.seq"), F.lit(True))
     # a window is popped when the frame that completes it has been pushed
     first_full = F.floor(F.col("start_") / size)
-    full = f.withColumn("to_", F.floor(F.col("end_") / size))
+    full = f.withColumn("to_", F.floor(F.col("end_") / size)).withColumn("trusted_", trusted)
     made = full.where(F.col("to_") > first_full).select(
-        "stream_id", F.explode(F.sequence(first_full, F.col("to_") - 1)).alias("chunk"), "fine_", "base_"
+        "stream_id", F.explode(F.sequence(first_full, F.col("to_") - 1)).alias("chunk"), "trusted_", F.col("since_.base").alias("base_")
     )
-    return made.select("stream_id", "chunk", F.when(F.col("fine_") == 1, F.col("base_") + F.col("chunk") * size).cast("bigint").alias("pts"))
+    return made.select("stream_id", "chunk", F.when(F.col("trusted_"), F.col("base_") + F.col("chunk") * size).cast("bigint").alias("pts"))
 
 
 def prepend(first: DataFrame, rest: DataFrame) -> DataFrame:

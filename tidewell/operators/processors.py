@@ -9,6 +9,7 @@ whose memory fades, borrows as many samples as it takes for the fading to pass b
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -100,20 +101,54 @@ def fir(samples: DataFrame, taps, sample_type: str = "f64", block: int = BLOCK)
     return out.withColumn("v", quantise(finite(F.col("v")) + zero, sample_type))
 
 
+#: Samples that the recursive filter makes at once.
+STRIP = 64
+
+
+@lru_cache(64)
+def strip_responses(a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """What each input of a strip, and each remembered output (most recent first), adds to the strip's outputs."""
+    order = len(a) - 1
+    impulse = np.zeros(STRIP)
+    for i in range(STRIP):
+        impulse[i] = float(i == 0) - sum(a[k] * impulse[i - k] for k in range(1, min(order, i) + 1))
+    inputs = np.array([np.concatenate([np.zeros(i), impulse[: STRIP - i]]) for i in range(STRIP)]).T
+    # a remembered output enters as the feedback of the first samples of the strip
+    fed = np.zeros((STRIP, order))
+    for j in range(order):
+        for i in range(min(order - j, STRIP)):
+            fed[i, j] = -a[i + j + 1]
+    return inputs, inputs @ fed
+
+
 def recursive(x: np.ndarray, b: list[float], a: list[float], past_x: list[float], past_y: list[float]) -> tuple[np.ndarray, list[float], list[float]]:
-    """Output of the recursive filter and its memory (most recent first) after ``x``."""
-    out = np.empty(len(x))
-    px, py = list(past_x), list(past_y)
-    for i, value in enumerate(x.tolist()):
-        px.insert(0, value)
-        px.pop() if len(px) > len(b) else None
-        y = sum(c * p for c, p in zip(b, px)) - sum(c * p for c, p in zip(a[1:], py))
-        y = y if math.isfinite(y) else 0.0
-        py.insert(0, y)
-        if len(py) >= len(a):
-            py.pop()
-        out[i] = y
-    return out, px, py
+    """Output of the recursive filter and its memory (most recent first) after ``x``. Strips of samples are made by matrices."""
+    order, back = len(a) - 1, len(b) - 1
+    line = np.concatenate([(list(past_x) + [0.0] * back)[:back][::-1], x])
+    u = np.convolve(line, b)[back : back + len(x)] if len(x) else np.zeros(0)
+    state = np.array((list(past_y) + [0.0] * order)[:order])
+    out = u.copy()
+    if order:
+        with np.errstate(all="ignore"):
+            inputs, remembered = strip_responses(tuple(a))
+            for at in range(0, len(x), STRIP):
+                part = u[at : at + STRIP]
+                y = inputs[: len(part), : len(part)] @ part + remembered[: len(part)] @ state
+                if not np.isfinite(y).all():
+                    y = recursive_by_sample(part, a, state)
+                out[at : at + STRIP] = y
+                state = np.concatenate([y[::-1], state])[:order]
+    return out, line[::-1][: len(b)].tolist(), state.tolist()
+
+
+def recursive_by_sample(u: np.ndarray, a: list[float], state: np.ndarray) -> np.ndarray:
+    """A strip of a filter that overflows: what is not finite becomes zero before it is fed back."""
+    held, out = state.tolist(), []
+    for value in u.tolist():
+        y = value - sum(c * p for c, p in zip(a[1:], held))
+        out.append(y if math.isfinite(y) else 0.0)
+        held = [out[-1], *held[:-1]]
+    return np.array(out)
 
 
 def iir(samples: DataFrame, b, a, sample_type: str = "f64", block: int = BLOCK) -> DataFrame:
@@ -216,12 +251,18 @@ def curve_of(level: np.ndarray, d: Dynamics, kind) -> np.ndarray:
 def follow(x: np.ndarray, d: Dynamics, start: float, kind) -> np.ndarray:
     """The envelope of absolute values: one weight when it rises, another when it falls."""
     up, down, one = kind(d.attack), kind(d.release), kind(1)
-    env, out = kind(start), np.empty(len(x), kind)
-    for i, value in enumerate(x):
+    env = kind(start)
+    # numbers of Python are the same 64 bits and several times as fast as numpy's; 32 bits have none
+    if kind is np.float64:
+        up, down, one, env, values = float(up), float(down), 1.0, float(env), x.tolist()
+    else:
+        values = x
+    out = []
+    for value in values:
         c = up if value >= env else down
         env = c * env + (one - c) * value
-        out[i] = env
-    return out
+        out.append(env)
+    return np.array(out, kind)
 
 
 def compress_values(v: np.ndarray, d: Dynamics, sample_type: str, precision: str, start: float = 0.0) -> tuple[np.ndarray, float]:

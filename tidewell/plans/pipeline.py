@@ -1,8 +1,8 @@
 """Pipelines of named steps over streams: checked when built, then one Spark plan.
 
 A step is a function of a DataFrame with the kind of row it takes and gives (``samples``, ``frames`` or
-``packets``). Nothing runs before a sink does: the runner hands the composed plan to a writer, for a batch or
-a stream alike.
+``packets``). Nothing runs before a sink does, and a tap is one: it runs when the pipeline is put on its source. The runner
+hands the composed plan to a writer, for a batch or a stream alike.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from tidewell.functions.levels import Dynamics
 from tidewell.model import AudioFormat, InvalidData
 from tidewell.operators import codecs, forkjoin, framing, processors
+from tidewell.sources import files
 
 KINDS = ("samples", "frames", "packets")
 
@@ -123,13 +124,8 @@ def custom(name: str, run: Callable[[DataFrame], DataFrame], takes: str = "sampl
 
 
 def tap(sink: Callable[[DataFrame], None], kind: str = "samples") -> Step:
-    """What passes is also given to ``sink``."""
-
-    def run(df: DataFrame) -> DataFrame:
-        sink(df)
-        return df
-
-    return Step("tap", run, kind, kind)
+    """What passes is also given to ``sink``; it is kept for what comes after, so that it is computed once."""
+    return Step("tap", lambda df: files.tap(df, sink), kind, kind)
 
 
 def fork_join(branches: list[Pipeline], reducer: forkjoin.Reducer, sample_type: str = "f64") -> Step:

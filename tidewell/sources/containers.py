@@ -153,19 +153,27 @@ def ogg_packets(data: bytes) -> Iterator[tuple[bytes, int]]:
         at = body
 
 
+def _crc_of_byte(byte: int) -> int:
+    crc = byte << 24
+    for _ in range(8):
+        crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    return crc
+
+
+CRC = [_crc_of_byte(b) for b in range(256)]
+
+
 def ogg_crc(data: bytes) -> int:
     """Checksum of an Ogg page: polynomial 0x04C11DB7, most significant bit first, from zero."""
     crc = 0
     for byte in data:
-        crc ^= byte << 24
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        crc = (crc << 8 & 0xFFFFFFFF) ^ CRC[crc >> 24 ^ byte]
     return crc
 
 
 def ogg_file(packets: list[tuple[bytes, int]], heads: list[bytes], serial: int = 1) -> bytes:
     """An Ogg stream: header packets on pages of their own, then a page a packet with the granule at its end."""
-    out = b""
+    out = []
     everything = [(h, 0) for h in heads] + packets
     for i, (packet, granule) in enumerate(everything):
         lacing = bytes([255] * (len(packet) // 255) + [len(packet) % 255])
@@ -174,8 +182,8 @@ def ogg_file(packets: list[tuple[bytes, int]], heads: list[bytes], serial: int =
         flags = (2 if i == 0 else 0) | (4 if i == len(everything) - 1 else 0)
         head = b"OggS" + struct.pack("<BBqIII", 0, flags, granule, serial, i, 0) + bytes([len(lacing)]) + lacing
         page = head + packet
-        out += page[:22] + struct.pack("<I", ogg_crc(page)) + page[26:]
-    return out
+        out.append(page[:22] + struct.pack("<I", ogg_crc(page)) + page[26:])
+    return b"".join(out)
 
 
 def packet_file(data: bytes) -> tuple[int, int, bytes, list[tuple[bytes, int]]]:

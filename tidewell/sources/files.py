@@ -154,7 +154,8 @@ class WavSource(DataSource):
 
 
 def write_files(frames: DataFrame, path: str, kind: str = "wav", encoding: str = "pcm16le") -> DataFrame:
-    """One file a stream in the folder ``path``; returns (stream_id, file, bytes). Written through Spark's own file system.
+    """One file a stream in the folder ``path``; returns (stream_id, file, bytes) and writes once that is read. Tasks write into a
+    folder that all of them mount, not into object stores.
 
     A file is one stream's samples in order, so a stream is one task: the width of a file is the width of the work.
     """
@@ -266,9 +267,10 @@ def fan_out(df: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> None:
 
 
 def tap(df: DataFrame, sink: Callable[[DataFrame], None]) -> DataFrame:
-    """``df`` unchanged, after ``sink`` has had it."""
-    sink(df)
-    return df
+    """``df`` unchanged, after ``sink`` has had it; it is computed once for both."""
+    kept = df.persist()
+    sink(kept)
+    return kept
 
 
 def sine(spark: SparkSession, seconds: float, frequency: float = 440.0, amplitude: float = 0.2, sample_rate: int = 44_100, channels: int = 2, stream_id: str = "sine") -> DataFrame:

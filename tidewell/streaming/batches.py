@@ -15,8 +15,12 @@ FILES_A_BATCH = 4
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where all executors see it, as the cluster names it; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-")
+    """A new folder where all executors see it, as the cluster names it; a local one only in local mode where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidewell-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
