@@ -62,3 +62,26 @@ def test_secrets_are_marked(stages):
 def test_packing_holds_every_document(stages):
     before, after = stages["packing"]
     assert {r.doc_id for r in before.select("doc_id").collect()} == {r.doc_id for r in after.select("doc_id").collect()}
+
+
+def test_nulls_repeats_and_columns_of_the_stages_own_names(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["n_lines", "n_dropped", "dropped", "gone_id", "tkey", "base", "tested", "score", "unit", "label"]
+    long = "one fine day the whole town went down to the river to see the new boats come in from the far north"
+    rows = [(1, long, "en"), (1, long, "en"), (2, long, None), (3, None, "en"), (4, "", "en"), (None, "the only words of a row without an id", None), (None, None, None)]
+    rows += [(9, f"password: hunter2{i} is what she said to the clerk at the desk on day {i}", "de") for i in range(2)]
+    docs = spark.createDataFrame([(*r, r[0], *range(len(names))) for r in rows], "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    spark.createDataFrame([(1, 0), (2, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for d, left in ((docs, 6), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, d, str(tmp_path))
+            if name == "packing":
+                assert {r.doc_id for r in out.collect()} == {r.doc_id for r in d.collect()}
+                break
+            assert out.columns == docs.columns, name
+            d = corpus_pipeline.cut(out)
+            assert all([r[n] for n in names] == list(range(len(names))) for r in d.collect()), name
+        got = d.collect()
+        assert len(got) == left, got
+        assert not any("hunter2" in (r.text or "") for r in got)

@@ -254,18 +254,20 @@ def templates(distinct: DataFrame) -> DataFrame:
     texts = cut(distinct.select("leaf", "line", "m").withColumn("n", F.size(F.split("m", " "))))
     met = cut(grouped(texts))
     pivots = met.groupBy("bucket").agg(F.min("line").alias("pivot"), F.max("line").alias("last")).where("pivot <> last").drop("last")
-    pairs = cut(met.join(pivots, "bucket").where("line <> pivot"))
+    # lines of one template may fill a third of a bucket's table
+    pairs = cut(join_hot(met, cut(pivots), ["bucket"]).where("line <> pivot"))
     near = cut(compared(pairs, texts))
     edges = near.where("near").select(F.col("pivot").alias("a"), F.col("line").alias("b"))
 
     far = near.where("not near")
     if not far.isEmpty():
         open_ = pairs.join(far, ["line", "pivot"], "left_semi").select("bucket").distinct()
-        left = cut(pairs.join(near, ["line", "pivot"]).select("bucket", "line", "pivot", "near").join(open_, "bucket"))
+        left = cut(pairs.join(near, ["line", "pivot"]).select("bucket", "line", "pivot", "near"))
+        left = cut(join_hot(left, cut(open_), ["bucket"]))
         itself = left.select("bucket", F.col("pivot").alias("line"), F.lit(True).alias("near")).distinct()
         members = left.select("bucket", "line", "near").union(itself)
         sizes = members.groupBy("bucket").agg(F.count_if("near").alias("nears"), F.count_if(~F.col("near")).alias("fars"))
-        d = members.join(sizes, "bucket").join(texts.select("line", "m", "n"), "line")
+        d = join_hot(cut(members), cut(sizes), ["bucket"]).join(texts.select("line", "m", "n"), "line")
         block = F.least(F.lit(LEAF_LINES), F.greatest(F.lit(2), F.floor(LEAF_TOKENS / F.col("n"))))
         d = d.withColumn("fb", F.ceil(F.col("fars") / block)).withColumn("nb", F.ceil(F.col("nears") / block))
         own = F.pmod("line", F.when(F.col("near"), F.col("nb")).otherwise(F.col("fb")))
@@ -304,16 +306,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.where(F.size("at") > 0).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("at")).alias("dropped"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the recurring lines taken from ``text``; ``n_lines`` and ``n_dropped`` are added."""
-    kept_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+def dedup(docs: DataFrame, lines: str = "n_lines", gone_lines: str = "n_dropped") -> DataFrame:
+    """``docs`` with the recurring lines taken from ``text``; their numbers are added, by default as ``n_lines`` and ``n_dropped``."""
+    kept_columns = [c for c in docs.columns if c.lower() not in (lines, gone_lines)]
     d = docs.select(*kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
     gone_id, gone_key, dropped = fresh(d, "gone_id"), fresh(d, "gone_key"), fresh(d, "dropped")
     gone = dropped_lines(docs).select(F.col("doc_id").alias(gone_id), F.col("tkey").alias(gone_key), F.col("dropped").alias(dropped))
     d = d.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_key)), "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(dropped, i)), "\n")
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    d = d.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce(F.size(dropped), F.lit(0)).cast("long"))
+    d = d.withColumn(lines, n_lines).withColumn(gone_lines, F.coalesce(F.size(dropped), F.lit(0)).cast("long"))
     return d.withColumn("text", F.when(F.col(dropped).isNull(), F.col("text")).otherwise(rest)).drop(dropped, gone_id, gone_key)
 
 

@@ -201,7 +201,7 @@ class Encoder(dict):
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def roundtrip(docs: DataFrame, ranks_file: bytes) -> DataFrame:
@@ -209,7 +209,7 @@ def roundtrip(docs: DataFrame, ranks_file: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks_file)  # a vocabulary: its size is fixed
 
     def run(batches):
-        key = len(shared.value)
+        key = hashlib.sha256(shared.value).hexdigest()
         if key not in _encoders:
             _encoders[key] = Encoder(load_ranks(shared.value))
         enc = _encoders[key]
