@@ -14,6 +14,8 @@ def test_join_hot_equals_a_join(spark, monkeypatch):
     for how in ("inner", "left"):
         want = sorted(map(str, left.join(right, ["k"], how).collect()))
         assert sorted(map(str, shared.join_hot(left, right, ["k"], how).select("k", "n", "v").collect())) == want
+        counted = right.join(left.groupBy("k").agg(F.count("*").alias("rows")), "k", "left")
+        assert sorted(map(str, shared.join_hot(left, counted, ["k"], how, sizes="rows").select("k", "n", "v").collect())) == want
     assert shared.join_hot(left.limit(0), right, ["k"]).count() == 0
 
 

@@ -245,7 +245,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     # buckets of the same members count once; their numbers are aggregated partially, so that no bucket is one task
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("least")).where("n > 1")
     buckets = cut(buckets.select("key", "n", F.xxhash64("n", "x", "least").alias("bucket")))
-    members = join_hot(members, buckets, ["key"])
+    members = join_hot(members, buckets, ["key"], sizes="n")
     members = members.groupBy("bucket", "sid").agg(F.max("n").alias("n"))
     members = in_blocks(members.join(reps.select("sid", "sig"), "sid"), "bucket", "n", BLOCK)
 
@@ -338,7 +338,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     final = join_hot(with_ids, ids, ["comp"]).select(F.col("v").alias("sid"), "class_id", F.col("comp").alias("class")).join(counts, "sid", "left")
     of_sets = cut(reps.select("sid", "copies", "first_id").join(final, "sid", "left"))
     # a set may have a third of all rows as copies; rows without words have none
-    found = join_hot(rows.select("doc_id", "tkey", "sid"), of_sets, ["sid"], "left")
+    found = join_hot(rows.select("doc_id", "tkey", "sid"), of_sets, ["sid"], "left", sizes="copies")
     return found.select(
         "doc_id",
         "tkey",

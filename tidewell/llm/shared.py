@@ -49,26 +49,34 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def hot_keys(left: DataFrame, on: list[str]) -> DataFrame | None:
-    """The keys of ``left`` with over one in ``HOT`` of its rows, to be broadcast; None without any."""
+def hot_keys(left: DataFrame, on: list[str], right: DataFrame | None = None, sizes: str | None = None) -> DataFrame | None:
+    """The keys of ``left`` with over one in ``HOT`` of its rows, to be broadcast; None without any.
+
+    Where ``right`` has a row for each key that matters, with its number of rows in ``left`` as column ``sizes``,
+    they are not counted again.
+    """
     spark = left.sparkSession
-    n = fresh(left, "n")
-    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    if sizes is None:
+        n = fresh(left, "n")
+        counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    else:
+        n, counted = sizes, right.select(*on, sizes)
     total = left.count()
-    rows = sizes.where((F.col(n) * HOT > total) & (F.col(n) > 1)).dropna(subset=on).drop(n).collect()  # fewer than HOT rows
+    rows = counted.where((F.col(n) * HOT > total) & (F.col(n) > 1)).dropna(subset=on).drop(n).collect()  # fewer than HOT rows
     return F.broadcast(spark.createDataFrame(rows, left.select(*on).schema)) if rows else None
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", sizes: str | None = None) -> DataFrame:
     """``left`` joined (inner or left) with ``right``, which has one row a key at most, and fewer than ``HOT`` of hot keys.
 
     Rows of hot keys stay where they are, as the few right rows of these keys are broadcast, and so do rows of
     null keys; the others are shuffled by key. ``left`` and ``right`` are read more than once: cut them before.
+    ``sizes`` names the column of ``right``, if any, that holds a key's number of rows in ``left``.
     """
     none = F.lit(False)
     for c in on:
         none = none | F.col(c).isNull()
-    hot = hot_keys(left, on)
+    hot = hot_keys(left, on, right, sizes)
     if hot is None:
         some = left.where(~none).join(right, on, how)
     else:
