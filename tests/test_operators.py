@@ -181,6 +181,19 @@ def test_pcm_codec_and_wav_files(spark, tmp_path):
     assert containers.wav_file([np.array([-1.0, 1.0, 2.0])], 8000)[44:] == np.array([-32767, 32767, 32767], "<i2").tobytes()
 
 
+def test_files_of_many_frames_come_in_parts(spark, tmp_path):
+    n = files.ROWS + 3
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.wav").write_bytes(containers.wav_file([np.linspace(-1, 1, 2 * n - 1)], 8000, "f32le"))
+    (tmp_path / "w" / "b.wav").write_bytes(containers.wav_file([np.zeros(0)], 8000, "f32le"))
+    got = files.read_wav(spark, str(tmp_path / "w"), 2).orderBy("seq").collect()
+    assert [(r.seq, r.pts, r.nb_samples) for r in got] == [(i, 2 * i, 2) for i in range(n - 1)] + [(n - 1, 2 * n - 2, 1)]
+    packets = spark.createDataFrame([("s", i, b"%d" % i) for i in range(n)], "stream_id string, seq bigint, data binary")
+    files.write_audio(packets, str(tmp_path / "p"), "aac", AudioFormat(48000, 2)).collect()
+    read = files.read_adts(spark, str(tmp_path / "p")).orderBy("seq").collect()
+    assert [(r.seq, bytes(r.data), r.pts) for r in read] == [(i, b"%d" % i, 1024 * i) for i in range(n)]
+
+
 def test_wav_headers_with_other_chunks():
     data = containers.wav_file([np.zeros(3)], 8000)
     odd = data[:12] + b"LIST" + (3).to_bytes(4, "little") + b"abc\x00" + data[12:]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from tidewell.model import FILE_FORMATS, FRAMES, PACKETS, AudioFormat, InvalidDa
 from tidewell.sources import containers
 
 CHUNK_SAMPLES = 1024
+#: Frames or packets that a task hands on at once.
+ROWS = 256
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +25,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream_id"), "content")
 
 
+def _in_parts(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    """A file's rows a few at a time, so that a task holds its bytes but not all its frames."""
+    while part := list(islice(rows, ROWS)):
+        yield pd.DataFrame(part)
+
+
 def wav_frames(stream_id: str, data: bytes, chunk_samples: int) -> Iterator[dict]:
     wav = containers.wav_header(data)
     total = wav.length // wav.frame_bytes
@@ -42,9 +51,7 @@ def read_wav(spark: SparkSession, path: str, chunk_samples: int = CHUNK_SAMPLES)
     def run(batches):
         for pdf in batches:
             for stream_id, data in zip(pdf["stream_id"], pdf["content"]):
-                rows = list(wav_frames(stream_id, data, chunk_samples))
-                if rows:
-                    yield pd.DataFrame(rows)
+                yield from _in_parts(wav_frames(stream_id, data, chunk_samples))
 
     return _files(spark, path).mapInPandas(run, FRAMES)
 
@@ -55,12 +62,11 @@ def _packets(spark: SparkSession, path: str, split: Callable[[bytes], Iterator[t
     def run(batches):
         for pdf in batches:
             for stream_id, data in zip(pdf["stream_id"], pdf["content"]):
-                rows = [
+                rows = (
                     {"stream_id": stream_id, "seq": i, "data": d, "time_base": {"num": 1, "den": den}, "pts": pts, "dts": pts, "duration": duration, "flags": 0}
                     for i, (d, den, pts, duration) in enumerate(split(data))
-                ]
-                if rows:
-                    out = pd.DataFrame(rows)
+                )
+                for out in _in_parts(rows):
                     for c in ("pts", "dts", "duration"):
                         out[c] = out[c].astype("Int64")
                     yield out
