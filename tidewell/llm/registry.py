@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from tidewell.llm import op1_line_dedup, op2_toxicity, op3_fingerprints, op4_packing, op5_quality, op6_extraction, op7_bpe, op8_jaccard_join, op9_secrets, op10_neighbours
+from tidewell.llm import (
+    op1_line_dedup,
+    op2_toxicity,
+    op3_fingerprints,
+    op4_packing,
+    op5_quality,
+    op6_extraction,
+    op7_bpe,
+    op8_jaccard_join,
+    op9_secrets,
+    op10_neighbours,
+    op11_filter_audit,
+    op12_spelling,
+    op13_quality_rules,
+)
 
 
 def _modules():
-    return [op1_line_dedup, op2_toxicity, op3_fingerprints, op4_packing, op5_quality, op6_extraction, op7_bpe, op8_jaccard_join, op9_secrets, op10_neighbours]
+    return [
+        *(op1_line_dedup, op2_toxicity, op3_fingerprints, op4_packing, op5_quality, op6_extraction, op7_bpe, op8_jaccard_join, op9_secrets),
+        *(op10_neighbours, op11_filter_audit, op12_spelling, op13_quality_rules),
+    ]
 
 
 def queries() -> dict:
