@@ -6,8 +6,8 @@ The order of the rules comes from a sample: the time that each measure takes and
 always the rule that rejects most of the sampled texts still left, for the time of the measures that are not made yet. The verdict is
 the same in any order; only the time differs.
 
-The order's sample is the first ``SAMPLE`` rows that Spark comes upon, whole texts, measured in a task; at most as many rows of
-small numbers reach the driver. Everything else is a map over documents: nothing is shuffled.
+The order's sample is the first ``SAMPLE`` rows of the first partitions that hold so many, whole texts, measured where they are; at
+most as many rows of small numbers reach the driver. Everything else is a map over documents: nothing is shuffled.
 
 Rules: under 50 words; over half of the words in repeated 3-word windows; over one symbol of ``#*$%&|<>`` in ten words; mean word length under 3
 or over 10; under 8 in 10 words with a letter (anything but ASCII digits and punctuation); over half of the lines repeat an earlier one; over
@@ -154,14 +154,19 @@ def plan(docs: DataFrame, rules: list[Rule] = RULES, asked: tuple[str, ...] = ()
     schema = "failed array<boolean>, spent array<double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = most
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
+            for text in pdf["text"][:left]:
                 m = Measured(text, {})
                 rows.append(([m.fails(r) for r in rules], [m.spent.get(n, 0.0) for n in names]))
             yield pd.DataFrame(rows, columns=["failed", "spent"])
+            left -= len(rows)
+            if not left:
+                return
 
-    got = docs.select("text").limit(most).mapInPandas(run, schema).collect() if rules else []
+    # Spark takes rows from one partition after another until it has enough: no text leaves its task, and few partitions are read
+    got = docs.select("text").mapInPandas(run, schema).take(most) if rules else []
     if not got:
         return list(rules)
     cost = dict(zip(names, np.mean([r["spent"] for r in got], axis=0).tolist()))
