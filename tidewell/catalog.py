@@ -451,29 +451,33 @@ def as_text(df):
     return df.withColumn("data", F.lower(F.hex("data")))
 
 
-def written(blobs, suffix):
-    """The folder in which ``blobs`` have become files."""
-    folder = batches.shared_folder(blobs.sparkSession)
-    files.write_blobs(blobs, folder, suffix).count()
+#: Bytes of a range in the file queries: small, so that files of these tables have several.
+SPLIT = 1 << 14
+
+
+def written(pieces, suffix):
+    """The folder in which ``pieces`` have become files."""
+    folder = batches.shared_folder(pieces.sparkSession)
+    files.write_pieces(pieces, folder, suffix)
     return folder
 
 
 def events_as_wav(spark, sf_dir, encoding="pcm16le"):
     unit = events(spark, sf_dir).withColumn("v", F.col("v") / 500)
     folder = batches.shared_folder(spark)
-    files.write_files(framing.samples_to_frames(unit, AudioFormat(48000, 1, "f64"), 512), folder, encoding=encoding).count()
+    files.write_files(framing.samples_to_frames(unit, AudioFormat(48000, 1, "f64"), 512), folder, encoding=encoding)
     return folder
 
 
 @query(f"WITH {E} SELECT stream_id, n, round(CAST(round(v / 500::DOUBLE * 32767) AS INTEGER) / 32768::DOUBLE, 9) AS v FROM e")
 def wav_file_roundtrip(spark, sf_dir):
-    read = files.read_audio(spark, events_as_wav(spark, sf_dir), "wav")
+    read = files.read_audio(spark, events_as_wav(spark, sf_dir), "wav", split=SPLIT)
     return rounded(named_by_file(framing.frames_to_samples(read)), 9)
 
 
 @query(f"WITH {E} SELECT stream_id, n, round((v / 500::DOUBLE)::FLOAT::DOUBLE, 9) AS v FROM e")
 def wav_float_roundtrip(spark, sf_dir):
-    read = files.read_wav(spark, events_as_wav(spark, sf_dir, "f32le"))
+    read = files.read_wav(spark, events_as_wav(spark, sf_dir, "f32le"), split=SPLIT)
     return rounded(named_by_file(framing.frames_to_samples(read)), 9)
 
 
@@ -482,7 +486,7 @@ SELECT stream_id, seq, seq * 300 AS pts, least(300, k - seq * 300)::INTEGER AS n
 def wav_source_scan(spark, sf_dir):
     """Frames by the data source that a user registers."""
     spark.dataSource.register(files.WavSource)
-    read = spark.read.format("tidewell-wav").option("chunk_samples", "300").load(f"{events_as_wav(spark, sf_dir)}/*.wav")
+    read = spark.read.format("tidewell-wav").option("chunk_samples", "300").option("split", str(SPLIT)).load(f"{events_as_wav(spark, sf_dir)}/*.wav")
     return named_by_file(read).select("stream_id", "seq", "pts", "nb_samples")
 
 
@@ -490,38 +494,38 @@ def wav_source_scan(spark, sf_dir):
 def packet_file_roundtrip(spark, sf_dir):
     p = event_packets(spark, sf_dir)
     records = p.withColumn("data", headers.packet_file_record(F.col("data"), F.col("event_id") % 100))
-    folder = written(files.packet_blobs(records, headers.packet_file_header(Rational(1, 48000), b"tw")), "pkt")
+    folder = written(files.packet_pieces(records, headers.packet_file_header(Rational(1, 48000), b"tw")), "pkt")
     return as_text(named_by_file(files.read_packet_file(spark, folder))).select("stream_id", "seq", "data", "pts")
 
 
 @query(f"WITH {P} SELECT stream_id, seq, data, seq * 1024 AS pts FROM p")
 def adts_file_roundtrip(spark, sf_dir):
     folder = batches.shared_folder(spark)
-    files.write_audio(event_packets(spark, sf_dir), folder, "aac", AudioFormat(48000, 2)).count()
-    return as_text(named_by_file(files.read_adts(spark, folder))).select("stream_id", "seq", "data", "pts")
+    files.write_audio(event_packets(spark, sf_dir), folder, "aac", AudioFormat(48000, 2))
+    return as_text(named_by_file(files.read_adts(spark, folder, SPLIT))).select("stream_id", "seq", "data", "pts")
 
 
 @query(f"WITH {P} SELECT stream_id, seq, data, 417 AS bytes FROM p")
 def mp3_file_roundtrip(spark, sf_dir):
     """Frames of 128 kbit/s at 44100 samples a second that carry four bytes each, behind a tag."""
     p = event_packets(spark, sf_dir).withColumn("data", F.concat(F.lit(bytes([0xFF, 0xFB, 0x90, 0x00])), "data", F.lit(bytes(409))))
-    folder = written(files.packet_blobs(p, b"ID3" + bytes([4, 0, 0, 0, 0, 0, 6]) + b"tagged"), "mp3")
-    read = named_by_file(files.read_mp3(spark, folder)).withColumn("bytes", F.length("data"))
+    folder = written(files.packet_pieces(p, b"ID3" + bytes([4, 0, 0, 0, 0, 0, 6]) + b"tagged"), "mp3")
+    read = named_by_file(files.read_mp3(spark, folder, SPLIT)).withColumn("bytes", F.length("data"))
     return as_text(read.withColumn("data", F.substring("data", 5, 4))).select("stream_id", "seq", "data", "bytes")
 
 
 @query(f"WITH {P} SELECT stream_id, seq, data, (seq + 1) * 960 AS pts FROM p")
 def ogg_file_roundtrip(spark, sf_dir):
     folder = batches.shared_folder(spark)
-    files.write_audio(event_packets(spark, sf_dir).withColumn("duration", F.lit(960).cast("bigint")), folder, "opus", AudioFormat(48000, 2)).count()
-    read = as_text(named_by_file(files.read_ogg(spark, folder)))
+    files.write_audio(event_packets(spark, sf_dir).withColumn("duration", F.lit(960).cast("bigint")), folder, "opus", AudioFormat(48000, 2))
+    read = as_text(named_by_file(files.read_ogg(spark, folder, SPLIT)))
     return read.select("stream_id", "seq", "data", "pts")
 
 
 @query(f"WITH {P} SELECT stream_id, seq, data FROM p")
 def length_prefixed_roundtrip(spark, sf_dir):
     p = event_packets(spark, sf_dir).withColumn("data", F.concat(F.unhex(F.lpad(F.hex(F.length("data").cast("bigint")), 8, "0")), "data"))
-    return as_text(named_by_file(files.read_length_prefixed(spark, written(files.packet_blobs(p), "cap")))).select("stream_id", "seq", "data")
+    return as_text(named_by_file(files.read_length_prefixed(spark, written(files.packet_pieces(p), "cap")))).select("stream_id", "seq", "data")
 
 
 @query(resample_sql(1, 2).replace(V, E))

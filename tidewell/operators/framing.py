@@ -60,6 +60,26 @@ def running(frames: DataFrame, value: Column, how: str, out: str) -> DataFrame:
     return d.withColumn(out, both(F.col("before_"), F.col("here_"))).drop("run_", "value_", "here_", "before_")
 
 
+def totals_before(rows: DataFrame, values: dict[str, Column], last: str | None = None) -> DataFrame:
+    """``rows`` with the sums of ``values`` (by name) over the stream's earlier rows, by ``seq``; ``last``: a name for whether a row ends its stream.
+
+    All sums are made in one pass over runs of rows, a row a run, and one within each run; the rows move once.
+    """
+    d = rows.withColumn("run_", F.floor(F.col("seq") / RUN)).withColumns({f"{k}_own_": v.cast("bigint") for k, v in values.items()})
+    runs = d.groupBy("stream_id", "run_").agg(F.count(F.lit(1)).alias("rows_"), *[F.sum(f"{k}_own_").alias(f"{k}_all_") for k in values])
+    along = Window.partitionBy("stream_id").orderBy("run_")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("stream_id", "run_", F.lead("run_").over(along).isNull().alias("end_"), *[F.coalesce(F.sum(f"{k}_all_").over(earlier), F.lit(0)).alias(f"{k}_before_") for k in values])
+    order = Window.partitionBy("stream_id", "run_").orderBy("seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"{k}_here_": F.coalesce(F.sum(f"{k}_own_").over(so_far), F.lit(0)) for k in values})
+    if last:
+        d = d.withColumn("more_", F.lead("seq").over(order).isNotNull())
+    d = d.join(runs, ["stream_id", "run_"])
+    out = d.withColumns({k: F.col(f"{k}_before_") + F.col(f"{k}_here_") for k in values})
+    return out.select(*rows.columns, *values, *([(F.col("end_") & ~F.col("more_")).alias(last)] if last else []))
+
+
 def with_halo(samples: DataFrame, before: int, after: int = 0, block: int = BLOCK) -> DataFrame:
     """Samples in blocks of positions; ``own_`` is false on copies that only lend their values to the neighbour block."""
     block = max(block, before, after)

@@ -6,8 +6,10 @@ Spark. Only headers and framing are read here; what lossy frames hold is up to a
 
 from __future__ import annotations
 
+import io
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,22 +42,27 @@ class Wav:
 
 
 def wav_header(data: bytes) -> Wav:
+    return find_wav(lambda at, size: data[at : at + size], len(data))
+
+
+def find_wav(read: Callable[[int, int], bytes], length: int) -> Wav:
     """Where a WAV file's samples are; chunks other than format and data are passed over, padded to even sizes."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+    head = read(0, 12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise InvalidData("not a WAV file")
     at, fmt = 12, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+    while at + 8 <= length:
+        name, size = struct.unpack("<4sI", read(at, 8))
         body = at + 8
         if name == b"fmt ":
-            fmt = struct.unpack_from("<HHIIHH", data, body)
+            fmt = struct.unpack("<HHIIHH", read(body, 16))
         if name == b"data":
             if fmt is None:
                 raise InvalidData("the samples come before their format")
             tag, channels, rate, _, _, bits = fmt
             if (tag, bits) not in ((WAV_PCM, 16), (WAV_FLOAT, 32)):
                 raise InvalidData("only 16-bit and 32-bit float samples are read")
-            return Wav(rate, channels, tag, bits, body, min(size, len(data) - body))
+            return Wav(rate, channels, tag, bits, body, min(size, length - body))
         at = body + size + size % 2
     raise InvalidData("no samples in the file")
 
@@ -63,7 +70,10 @@ def wav_header(data: bytes) -> Wav:
 def wav_samples(data: bytes, wav: Wav, first: int, count: int) -> np.ndarray:
     """Channels by samples, as 32-bit floats."""
     at = wav.start + first * wav.frame_bytes
-    raw = data[at : at + count * wav.frame_bytes]
+    return wav_values(data[at : at + count * wav.frame_bytes], wav)
+
+
+def wav_values(raw: bytes, wav: Wav) -> np.ndarray:
     if wav.tag == WAV_PCM:
         values = np.frombuffer(raw, "<i2").astype(np.float32) / np.float32(32768)
     else:
@@ -73,19 +83,36 @@ def wav_samples(data: bytes, wav: Wav, first: int, count: int) -> np.ndarray:
 
 def wav_file(planes: list[np.ndarray], rate: int, kind: str = "pcm16le") -> bytes:
     """A whole WAV file of channels' values within one."""
+    body = wav_body(planes, kind)
+    channels = len(planes) if np.ndim(planes[0]) else 1
+    return wav_head(channels, rate, kind, len(body)) + body
+
+
+def wav_body(planes: list[np.ndarray], kind: str) -> bytes:
+    """Samples of channels in turn."""
     values = np.asarray(planes, np.float64).T
     if kind == "pcm16le":
         held = np.clip(np.nan_to_num(values, nan=0.0), -1, 1) * 32767
-        body = np.where(held < 0, -np.floor(-held + 0.5), np.floor(held + 0.5)).astype("<i2").tobytes()
-        tag, bits = WAV_PCM, 16
-    elif kind == "f32le":
-        body, tag, bits = values.astype("<f4").tobytes(), WAV_FLOAT, 32
-    else:
+        return np.where(held < 0, -np.floor(-held + 0.5), np.floor(held + 0.5)).astype("<i2").tobytes()
+    if kind == "f32le":
+        return values.astype("<f4").tobytes()
+    raise InvalidData("WAV files are written as pcm16le or f32le")
+
+
+#: Bytes before the samples of the WAV files that are written here.
+WAV_HEAD = 44
+# Format tag and bits of each encoding of WAV files.
+WAV_KINDS = {"pcm16le": (WAV_PCM, 16), "f32le": (WAV_FLOAT, 32)}
+
+
+def wav_head(channels: int, rate: int, kind: str, size: int) -> bytes:
+    """The 44 bytes before ``size`` bytes of samples; sizes beyond 32 bits stand as the largest."""
+    if kind not in WAV_KINDS:
         raise InvalidData("WAV files are written as pcm16le or f32le")
-    channels = values.shape[1] if values.ndim == 2 else 1
+    tag, bits = WAV_KINDS[kind]
     step = channels * bits // 8
-    head = b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, tag, channels, rate, rate * step, step, bits)
-    return head + b"data" + struct.pack("<I", len(body)) + body
+    head = b"RIFF" + struct.pack("<I", min(36 + size, 2**32 - 1)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, tag, channels, rate, rate * step, step, bits)
+    return head + b"data" + struct.pack("<I", min(size, 2**32 - 1))
 
 
 def adts_packets(data: bytes) -> Iterator[tuple[bytes, int, int, int]]:
@@ -107,13 +134,14 @@ def adts_packets(data: bytes) -> Iterator[tuple[bytes, int, int, int]]:
         at += size
 
 
-def id3_size(data: bytes) -> int:
+def id3_size(data: bytes, length: int | None = None) -> int:
+    """Bytes of a leading tag, its own ten included, as far as the file (of ``length`` bytes, by default ``data``) goes."""
     if len(data) < 10 or data[:3] != b"ID3":
         return 0
     size = 0
     for b in data[6:10]:
         size = size << 7 | b & 0x7F
-    return min(len(data), size + 10)
+    return min(len(data) if length is None else length, size + 10)
 
 
 def mp3_packets(data: bytes) -> Iterator[tuple[bytes, int, int]]:
@@ -153,22 +181,17 @@ def ogg_packets(data: bytes) -> Iterator[tuple[bytes, int]]:
         at = body
 
 
-def _crc_of_byte(byte: int) -> int:
-    crc = byte << 24
-    for _ in range(8):
-        crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
-    return crc
-
-
-CRC = [_crc_of_byte(b) for b in range(256)]
+#: Each byte with its bits in reverse.
+MIRRORED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
 def ogg_crc(data: bytes) -> int:
-    """Checksum of an Ogg page: polynomial 0x04C11DB7, most significant bit first, from zero."""
-    crc = 0
-    for byte in data:
-        crc = (crc << 8 & 0xFFFFFFFF) ^ CRC[crc >> 24 ^ byte]
-    return crc
+    """Checksum of an Ogg page: polynomial 0x04C11DB7, most significant bit first, from zero.
+
+    It is the common checksum of the bytes with their bits in the other order, begun and ended without complements.
+    """
+    c = zlib.crc32(data.translate(MIRRORED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{c:032b}"[::-1], 2)
 
 
 def ogg_file(packets: list[tuple[bytes, int]], heads: list[bytes], serial: int = 1) -> bytes:
@@ -186,27 +209,49 @@ def ogg_file(packets: list[tuple[bytes, int]], heads: list[bytes], serial: int =
     return b"".join(out)
 
 
+def ogg_pages(packet: bytes, granule: int, number: int, last: bool = False, first: bool = False, serial: int = 1) -> bytes:
+    """A packet on pages of its own, as many as it takes; the last of them has the granule."""
+    lacing = bytes([255] * (len(packet) // 255) + [len(packet) % 255])
+    out = []
+    for k, at in enumerate(range(0, len(lacing), 255)):
+        table = lacing[at : at + 255]
+        ends = at + 255 >= len(lacing)
+        flags = (1 if k else 0) | (2 if first and not k else 0) | (4 if last and ends else 0)
+        head = b"OggS" + struct.pack("<BBqIII", 0, flags, granule if ends else -1, serial, number + k, 0) + bytes([len(table)]) + table
+        page = head + packet[at * 255 : at * 255 + sum(table)]
+        out.append(page[:22] + struct.pack("<I", ogg_crc(page)) + page[26:])
+    return b"".join(out)
+
+
+Take = Callable[[int], bytes]
+
+
+def packet_file_head(take: Take) -> tuple[int, int, bytes]:
+    """Time base and extra data; ``take`` gives the next bytes of the file, fewer at its end."""
+    head = take(19)
+    if head[:8] != PACKET_FILE_MAGIC or head[8] != PACKET_FILE_VERSION:
+        raise InvalidData("not a packet file")
+    num, den, extra = struct.unpack_from("<iiH", head, 9)
+    return num, den, take(extra)
+
+
+def packet_file_records(take: Take) -> Iterator[tuple[bytes, int]]:
+    while len(head := take(8)) == 8:
+        size, duration = struct.unpack("<Ii", head)
+        yield take(size), duration
+
+
 def packet_file(data: bytes) -> tuple[int, int, bytes, list[tuple[bytes, int]]]:
     """Time base, extra data and (packet, duration) of a packet file."""
-    if data[:8] != PACKET_FILE_MAGIC or data[8] != PACKET_FILE_VERSION:
-        raise InvalidData("not a packet file")
-    num, den, extra = struct.unpack_from("<iiH", data, 9)
-    at = 19 + extra
-    out = []
-    while at + 8 <= len(data):
-        size, duration = struct.unpack_from("<Ii", data, at)
-        out.append((data[at + 8 : at + 8 + size], duration))
-        at += 8 + size
-    return num, den, data[19 : 19 + extra], out
+    take = io.BytesIO(data).read
+    return *packet_file_head(take), list(packet_file_records(take))
 
 
-def length_prefixed(data: bytes) -> list[bytes]:
+def messages(take: Take) -> Iterator[bytes]:
     """Messages behind four bytes of length each; a length of zero ends them."""
-    at, out = 0, []
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if size == 0:
-            break
-        out.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return out
+    while len(head := take(4)) == 4 and (size := int.from_bytes(head, "big")):
+        yield take(size)
+
+
+def length_prefixed(data: bytes) -> list[bytes]:
+    return list(messages(io.BytesIO(data).read))

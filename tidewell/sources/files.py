@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
@@ -13,16 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewell.model import FILE_FORMATS, FRAMES, PACKETS, AudioFormat, InvalidData, Unsupported, default_layout_mask
-from tidewell.sources import containers
+from tidewell.operators.framing import totals_before
+from tidewell.sources import containers, scans, storage
+from tidewell.sources.storage import SPLIT, Bytes, write_pieces
 
 CHUNK_SAMPLES = 1024
 #: Frames or packets that a task hands on at once.
 ROWS = 256
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """A row a file: its place is the stream's id."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream_id"), "content")
+WAV_FRAMES = "stream_id string, length bigint, rate int, channels int, tag int, bits int, start bigint, size bigint, content binary"
 
 
 def _in_parts(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
@@ -31,118 +30,164 @@ def _in_parts(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(part)
 
 
-def wav_frames(stream_id: str, data: bytes, chunk_samples: int) -> Iterator[dict]:
-    wav = containers.wav_header(data)
+def wav_frames(stream_id: str, data: Bytes, wav: containers.Wav, chunk_samples: int, first: int, last: int) -> Iterator[dict]:
+    """Frames ``first`` to ``last`` (not included) of a file."""
     total = wav.length // wav.frame_bytes
     fmt = {"sample_rate": wav.rate, "channels": wav.channels, "sample_type": "f32", "planar": True, "channel_layout_mask": default_layout_mask(wav.channels)}
-    for seq, first in enumerate(range(0, total, chunk_samples)):
-        planes = containers.wav_samples(data, wav, first, min(chunk_samples, total - first))
-        yield {
-            "stream_id": stream_id, "seq": seq, "pts": first, "time_base": {"num": 1, "den": wav.rate}, "format": fmt,
-            "nb_samples": planes.shape[1], "samples": planes.astype(float).tolist(),
-        }
-
-
-def read_wav(spark: SparkSession, path: str, chunk_samples: int = CHUNK_SAMPLES) -> DataFrame:
-    """Frames of WAV files; the last frame of each is as short as it comes."""
+    step = max(1, storage.BUFFER // (chunk_samples * wav.frame_bytes))
+    for at in range(first, last, step):
+        n = min(min(last, at + step) * chunk_samples, total) - at * chunk_samples
+        values = containers.wav_values(data.read(wav.start + at * chunk_samples * wav.frame_bytes, n * wav.frame_bytes), wav).astype(float)
+        for seq in range(at, min(last, at + step)):
+            planes = values[:, (seq - at) * chunk_samples : (seq - at + 1) * chunk_samples]
+            yield {
+                "stream_id": stream_id, "seq": seq, "pts": seq * chunk_samples, "time_base": {"num": 1, "den": wav.rate}, "format": fmt,
+                "nb_samples": planes.shape[1], "samples": planes.tolist(),
+            }
+
+
+def frames_a_range(wav: containers.Wav, chunk_samples: int, split: int) -> tuple[int, int]:
+    """Frames of a file, and of a range of about ``split`` bytes."""
     if chunk_samples < 1:
         raise InvalidData("a frame holds one sample at least")
+    return -(-(wav.length // wav.frame_bytes) // chunk_samples), max(1, split // (chunk_samples * wav.frame_bytes))
 
-    def run(batches):
-        for pdf in batches:
-            for stream_id, data in zip(pdf["stream_id"], pdf["content"]):
-                yield from _in_parts(wav_frames(stream_id, data, chunk_samples))
 
-    return _files(spark, path).mapInPandas(run, FRAMES)
+def read_wav(spark: SparkSession, path: str, chunk_samples: int = CHUNK_SAMPLES, split: int = SPLIT) -> DataFrame:
+    """Frames of WAV files; the last frame of each is as short as it comes.
 
+    A file is read by as many tasks as it has ranges of about ``split`` bytes; what its header says comes from a first look at each file.
+    """
+    if chunk_samples < 1:
+        raise InvalidData("a frame holds one sample at least")
 
-def _packets(spark: SparkSession, path: str, split: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
-    """Packets of files by ``split``: (data, time base den, pts or None, duration) of each."""
+    def look(batches):
+        for pdf in batches:
+            rows = []
+            for stream_id, length, content in zip(pdf["stream_id"], pdf["length"].tolist(), pdf["content"]):
+                with Bytes(stream_id, length, content) as data:
+                    w = containers.find_wav(data.read, length)
+                    rows.append((stream_id, length, w.rate, w.channels, w.tag, w.bits, w.start, w.length, content))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in WAV_FRAMES.split(", ")])
 
     def run(batches):
         for pdf in batches:
-            for stream_id, data in zip(pdf["stream_id"], pdf["content"]):
-                rows = (
-                    {"stream_id": stream_id, "seq": i, "data": d, "time_base": {"num": 1, "den": den}, "pts": pts, "dts": pts, "duration": duration, "flags": 0}
-                    for i, (d, den, pts, duration) in enumerate(split(data))
-                )
-                for out in _in_parts(rows):
-                    for c in ("pts", "dts", "duration"):
-                        out[c] = out[c].astype("Int64")
-                    yield out
-
-    return _files(spark, path).mapInPandas(run, PACKETS)
-
-
-def read_adts(spark: SparkSession, path: str) -> DataFrame:
+            for stream_id, length, rate, channels, tag, bits, start, size, content, first, last in zip(*(pdf[c].tolist() for c in (*(c.split()[0] for c in WAV_FRAMES.split(", ")), "first", "last"))):
+                with Bytes(stream_id, length, content) as data:
+                    yield from _in_parts(wav_frames(stream_id, data, containers.Wav(rate, channels, tag, bits, start, size), chunk_samples, first, last))
+
+    looked = storage.files(spark, path).mapInPandas(look, WAV_FRAMES)
+    frame = F.col("channels") * F.col("bits") / 8
+    total = F.ceil(F.floor(F.col("size") / frame) / chunk_samples)
+    if not storage.opens(path):
+        return looked.withColumn("first", F.lit(0).cast("bigint")).withColumn("last", total).mapInPandas(run, FRAMES)
+    step = F.greatest(F.lit(1), F.floor(split / (frame * chunk_samples)))
+    n = looked.agg(F.sum(F.ceil(total / step))).first()[0] or 1
+    firsts = F.explode(F.sequence(F.lit(0).cast("bigint"), total - 1, step))
+    cuts = looked.where(total > 0).withColumn("first", firsts).withColumn("last", F.least(F.col("first") + step, total))
+    return storage.spread(cuts, n, "stream_id", "first").mapInPandas(run, FRAMES)
+
+
+def read_adts(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """AAC packets of ADTS files, without their headers; time stamps count samples."""
-    return _packets(spark, path, lambda data: containers.adts_packets(data))
+    return scans.read_packets(spark, path, scans.Adts(), split)
 
 
-def read_mp3(spark: SparkSession, path: str) -> DataFrame:
+def read_mp3(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """Layer III frames of MP3 files after a leading tag; no time stamps."""
-    return _packets(spark, path, lambda data: ((d, rate, None, n) for d, rate, n in containers.mp3_packets(data)))
+    return scans.read_packets(spark, path, scans.Mp3(), split)
 
 
-def read_ogg(spark: SparkSession, path: str) -> DataFrame:
+def read_ogg(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """Packets of the first stream of Ogg files, at 48000 a second; the two header packets are passed over."""
+    return scans.read_packets(spark, path, scans.Ogg(), split, skip=2, durations=False)
 
-    def split(data: bytes):
-        for i, (packet, granule) in enumerate(containers.ogg_packets(data)):
-            if i > 1:
-                yield packet, 48_000, granule if granule >= 0 else None, None
 
-    return _packets(spark, path, split)
+def _in_order(spark: SparkSession, path: str, split: Callable[[Callable[[int], bytes]], Iterator[tuple]]) -> DataFrame:
+    """Packets of files that can only be read from their start: (data, time base den, pts or None, duration) of each by ``split``.
+
+    Where a packet begins is known from all lengths before it, so a file is a task; it is read a buffer at a time.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for stream_id, length, content in zip(pdf["stream_id"], pdf["length"].tolist(), pdf["content"]):
+                with Bytes(stream_id, length, content) as data:
+                    rows = (
+                        {"stream_id": stream_id, "seq": i, "data": d, "time_base": {"num": 1, "den": den}, "pts": pts, "dts": pts, "duration": duration, "flags": 0}
+                        for i, (d, den, pts, duration) in enumerate(split(storage.taker(data)))
+                    )
+                    for out in _in_parts(rows):
+                        for c in ("pts", "dts", "duration"):
+                            out[c] = out[c].astype("Int64")
+                        yield out
+
+    found = storage.files(spark, path)
+    return storage.spread(found, found.count(), "stream_id").mapInPandas(run, PACKETS)
 
 
 def read_packet_file(spark: SparkSession, path: str) -> DataFrame:
-    def split(data: bytes):
-        _, den, _, packets = containers.packet_file(data)
+    def split(take: Callable[[int], bytes]):
+        _, den, _ = containers.packet_file_head(take)
         pts = 0
-        for packet, duration in packets:
+        for packet, duration in containers.packet_file_records(take):
             yield packet, den, pts, duration
             pts += duration
 
-    return _packets(spark, path, split)
+    return _in_order(spark, path, split)
 
 
 def read_length_prefixed(spark: SparkSession, path: str) -> DataFrame:
     """Messages of captured streams, each behind four bytes of length."""
-    return _packets(spark, path, lambda data: ((m, 1, None, None) for m in containers.length_prefixed(data)))
+    return _in_order(spark, path, lambda take: ((m, 1, None, None) for m in containers.messages(take)))
 
 
-def read_audio(spark: SparkSession, path: str, kind: str, chunk_samples: int = CHUNK_SAMPLES, fmt: AudioFormat | None = None) -> DataFrame:
+def read_audio(spark: SparkSession, path: str, kind: str, chunk_samples: int = CHUNK_SAMPLES, fmt: AudioFormat | None = None, split: int = SPLIT) -> DataFrame:
     """Frames of files of one kind; kinds other than WAV need a registered codec, and the format it decodes to."""
     from tidewell.operators.codecs import codec
 
     known = FILE_FORMATS.get(kind.lower())
     if known == "wav":
-        return read_wav(spark, path, chunk_samples)
+        return read_wav(spark, path, chunk_samples, split)
     readers = {"aac": read_adts, "mp3": read_mp3, "opus": read_ogg}
     if known is None:
         raise InvalidData(f"no file format {kind!r}")
     back = codec(known)
     if known not in readers:
         raise Unsupported(f"{known} files are read by a back end of their own")
-    return back.decode(readers[known](spark, path), fmt)
+    return back.decode(readers[known](spark, path, split), fmt)
+
+
+@dataclass
+class WavRange(InputPartition):
+    path: str
+    length: int
+    wav: containers.Wav
+    first: int
+    last: int
 
 
 class WavReader(DataSourceReader):
-    """A task for each file; paths are local or on a mounted folder (elsewhere use ``read_wav``)."""
+    """A task for each range of ``split`` bytes of each file; ``path`` is a file, or a folder and a pattern of names."""
 
     def __init__(self, options):
-        self.options = options
+        self.path = options["path"]
+        self.chunk_samples = int(options.get("chunk_samples", CHUNK_SAMPLES))
+        self.split = int(options.get("split", SPLIT))
 
     def partitions(self):
-        import glob
-
-        return [InputPartition(p) for p in sorted(glob.glob(self.options["path"]))]
+        out = []
+        for path, length in storage.matching(self.path):
+            with Bytes(path, length) as data:
+                wav = containers.find_wav(data.read, length)
+            total, step = frames_a_range(wav, self.chunk_samples, self.split)
+            out += [WavRange(path, length, wav, at, min(at + step, total)) for at in range(0, total, step)]
+        return out
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            data = f.read()
-        for r in wav_frames(partition.value, data, int(self.options.get("chunk_samples", CHUNK_SAMPLES))):
-            yield (r["stream_id"], r["seq"], r["pts"], tuple(r["time_base"].values()), tuple(r["format"].values()), r["nb_samples"], r["samples"])
+        with Bytes(partition.path, partition.length) as data:
+            for r in wav_frames(partition.path, data, partition.wav, self.chunk_samples, partition.first, partition.last):
+                yield (r["stream_id"], r["seq"], r["pts"], tuple(r["time_base"].values()), tuple(r["format"].values()), r["nb_samples"], r["samples"])
 
 
 class WavSource(DataSource):
@@ -160,57 +205,87 @@ class WavSource(DataSource):
 
 
 def write_files(frames: DataFrame, path: str, kind: str = "wav", encoding: str = "pcm16le") -> DataFrame:
-    """One file a stream in the folder ``path``; returns (stream_id, file, bytes) and writes once that is read. Tasks write into a
-    folder that all of them mount, not into object stores.
+    """One file a stream in the folder ``path``, written at once; returns (stream_id, file, bytes).
 
-    A file is one stream's samples in order, so a stream is one task: the width of a file is the width of the work.
+    Any number of tasks write a file: each frame's place follows from the samples before it (``storage.write_pieces``).
     """
     if FILE_FORMATS.get(kind.lower()) != "wav":
         raise Unsupported(f"no writer for {kind} is registered")
-    return write_blobs(wav_blobs(frames, encoding), path, "wav")
+    return write_pieces(wav_pieces(frames, encoding), path, "wav")
 
 
-def wav_blobs(frames: DataFrame, encoding: str = "pcm16le") -> DataFrame:
-    """stream_id, content: the bytes of a WAV file for each stream."""
+def wav_pieces(frames: DataFrame, encoding: str = "pcm16le") -> DataFrame:
+    """stream_id, at, data: the bytes of a WAV file for each stream, a piece a frame and one for the header."""
+    if encoding not in containers.WAV_KINDS:
+        raise InvalidData("WAV files are written as pcm16le or f32le")
+    sample_bytes = containers.WAV_KINDS[encoding][1] // 8
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        planes = [np.concatenate([np.asarray(s[c], float) for s in pdf["samples"]]) for c in range(len(pdf["samples"].iloc[0]))]
-        return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[:1], "content": [containers.wav_file(planes, int(pdf["rate"].iloc[0]), encoding)]})
+    @F.pandas_udf("binary")
+    def body(planes: pd.Series) -> pd.Series:
+        return planes.map(lambda p: containers.wav_body([np.asarray(c, float) for c in p], encoding))
 
+    @F.pandas_udf("binary")
+    def head(channels: pd.Series, rate: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([containers.wav_head(c, r, encoding, n) for c, r, n in zip(channels.tolist(), rate.tolist(), size.tolist())])
+
+    step = F.size("samples") * sample_bytes
+    length = F.when(F.size("samples") > 0, F.size(F.col("samples")[0])).otherwise(0)
     rows = frames.select("stream_id", "seq", "samples", F.col("format.sample_rate").alias("rate"))
-    return rows.groupBy("stream_id").applyInPandas(build, "stream_id string, content binary")
+    placed = totals_before(rows, {"at": length * step})
+    pieces = placed.select("stream_id", (F.col("at") + containers.WAV_HEAD).alias("at"), body("samples").alias("data"))
+    streams = rows.groupBy("stream_id").agg(F.max(F.size("samples")).alias("channels"), F.max("rate").alias("rate"), F.sum((length * step).cast("bigint")).alias("size"))
+    return pieces.unionByName(streams.select("stream_id", F.lit(0).cast("bigint").alias("at"), head("channels", "rate", "size").alias("data")))
 
 
 def packet_blobs(packets: DataFrame, header: bytes = b"") -> DataFrame:
-    """stream_id, content: a header and the packets' bytes in order."""
+    """stream_id, content: a header and the packets' bytes in order, for streams that are small; others are written by ``packet_pieces``."""
     got = packets.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("p"))
     text = F.array_join(F.transform("p", lambda p: F.hex(p["data"])), "")
     return got.select("stream_id", F.concat(F.lit(header), F.unhex(text)).alias("content"))
 
 
-def adts_blobs(packets: DataFrame, object_type: int, sample_rate: int, channels: int) -> DataFrame:
-    """stream_id, content: AAC packets behind ADTS headers."""
+def packet_pieces(packets: DataFrame, header: bytes = b"") -> DataFrame:
+    """stream_id, at, data: a header and the packets' bytes in order, each at its place."""
+    rows = packets.select("stream_id", "seq", "data")
+    placed = totals_before(rows, {"at": F.length("data")}).select("stream_id", (F.col("at") + len(header)).alias("at"), "data")
+    if not header:
+        return placed
+    heads = rows.select("stream_id").distinct().select("stream_id", F.lit(0).cast("bigint").alias("at"), F.lit(header).alias("data"))
+    return placed.unionByName(heads)
+
+
+def adts_pieces(packets: DataFrame, object_type: int, sample_rate: int, channels: int) -> DataFrame:
+    """stream_id, at, data: AAC packets behind ADTS headers."""
     from tidewell.functions.headers import ADTS_RATES, build_adts
 
     if sample_rate not in ADTS_RATES:
         raise InvalidData(f"no index for {sample_rate} samples a second")
     head = build_adts(F.lit(object_type), F.lit(ADTS_RATES.index(sample_rate)), F.lit(channels), F.length("data"))
-    return packet_blobs(packets.withColumn("data", F.concat(head, "data")))
+    return packet_pieces(packets.withColumn("data", F.concat(head, "data")))
+
 
+def opus_pieces(packets: DataFrame, channels: int, input_rate: int = 48_000) -> DataFrame:
+    """stream_id, at, data: Opus packets in Ogg pages, behind two header pages.
 
-def opus_blobs(packets: DataFrame, channels: int, input_rate: int = 48_000) -> DataFrame:
-    """stream_id, content: Opus packets in Ogg pages; granules count samples from the packets' durations."""
+    Page numbers, granules (samples, from the packets' durations) and places are sums over the packets before, so every packet's pages are
+    made where the packet is; a packet of over 65,024 bytes takes several.
+    """
     from tidewell.functions.headers import opus_head
 
-    heads = [opus_head(channels, input_rate), b"OpusTags" + bytes(8)]
+    heads = containers.ogg_pages(opus_head(channels, input_rate), 0, 0, first=True) + containers.ogg_pages(b"OpusTags" + bytes(8), 0, 1)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        rows = list(zip(pdf["data"], pdf["duration"].fillna(0).astype("int64").cumsum().tolist()))
-        return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[:1], "content": [containers.ogg_file(rows, heads)]})
+    @F.pandas_udf("binary")
+    def pages(data: pd.Series, granule: pd.Series, number: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([containers.ogg_pages(d, g, n, e) for d, g, n, e in zip(data, granule.tolist(), number.tolist(), last.tolist())])
 
-    return packets.select("stream_id", "seq", "data", "duration").groupBy("stream_id").applyInPandas(build, "stream_id string, content binary")
+    lacing = F.floor(F.length("data") / 255) + 1
+    own = F.ceil(lacing / 255)
+    duration = F.coalesce("duration", F.lit(0))
+    rows = packets.select("stream_id", "seq", "data", "duration")
+    placed = totals_before(rows, {"at": F.length("data") + lacing + 27 * own, "number": own, "granule": duration}, last="last")
+    made = pages("data", F.col("granule") + duration, F.col("number") + 2, "last")
+    pieces = placed.select("stream_id", (F.col("at") + len(heads)).alias("at"), made.alias("data"))
+    return pieces.unionByName(rows.select("stream_id").distinct().select("stream_id", F.lit(0).cast("bigint").alias("at"), F.lit(heads).alias("data")))
 
 
 def write_audio(df: DataFrame, path: str, kind: str, fmt: AudioFormat | None = None, encoding: str = "pcm16le", object_type: int = 2) -> DataFrame:
@@ -221,37 +296,17 @@ def write_audio(df: DataFrame, path: str, kind: str, fmt: AudioFormat | None = N
     if known is None or fmt is None:
         raise InvalidData("a known file format and the stream's format are needed")
     if known == "aac":
-        return write_blobs(adts_blobs(df, object_type, fmt.sample_rate, fmt.channels), path, "aac")
+        return write_pieces(adts_pieces(df, object_type, fmt.sample_rate, fmt.channels), path, "aac")
     if known == "mp3":
-        return write_blobs(packet_blobs(df), path, "mp3")
+        return write_pieces(packet_pieces(df), path, "mp3")
     if known == "opus":
-        return write_blobs(opus_blobs(df, fmt.channels, fmt.sample_rate), path, "opus")
+        return write_pieces(opus_pieces(df, fmt.channels, fmt.sample_rate), path, "opus")
     raise Unsupported(f"{known} files are written by a back end of their own")
 
 
 def write_blobs(blobs: DataFrame, path: str, suffix: str) -> DataFrame:
-    """Each row's content as a file of its own in the (shared) folder ``path``, named by the stream's id; (stream_id, file, bytes)."""
-    from urllib.parse import quote
-
-    def run(batches):
-        import os
-
-        for pdf in batches:
-            rows = []
-            for stream_id, content in zip(pdf["stream_id"], pdf["content"]):
-                name = f"{path}/{quote(stream_id, safe='')}.{suffix}"
-                # a task that runs again writes the same bytes; the rename makes each file appear whole
-                part = f"{name}.{os.getpid()}.part"
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, name)
-                rows.append((stream_id, name, len(content)))
-            yield pd.DataFrame(rows, columns=["stream_id", "file", "bytes"])
-
-    import os
-
-    os.makedirs(path, exist_ok=True)
-    return blobs.mapInPandas(run, "stream_id string, file string, bytes bigint")
+    """Each row's content as a file of its own in the folder ``path``, named by the stream's id; (stream_id, file, bytes)."""
+    return write_pieces(blobs.select("stream_id", F.lit(0).cast("bigint").alias("at"), F.col("content").alias("data")), path, suffix)
 
 
 def fan_out(df: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> None:
