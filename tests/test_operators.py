@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -124,6 +125,29 @@ def test_time_stamps_after_a_break(spark):
         assert column(spark, rescale_pts(F.lit(pts).cast("bigint"), a, b)) == want
 
 
+def test_window_time_stamps_equal_a_buffer(spark, monkeypatch):
+    """Frames pushed one by one into a buffer, in streams of several runs."""
+    monkeypatch.setattr(framing, "RUN", 5)
+    rnd = random.Random(6)
+    frames, want = [], {}
+    for s in range(30):
+        base, held, popped, at = None, 0, 0, 0
+        for seq in range(rnd.randrange(1, 30)):
+            n, pts = rnd.choice([4, 8, 8, 12, 3]), rnd.choice([at, at, at, at + 5, at + 5, None])
+            frames.append((str(s), seq, pts, n))
+            if base is None and not held:
+                base = pts
+            elif base is not None and base + held != pts:
+                base = None
+            held, at = held + n, at + n
+            while held >= 8:
+                want[str(s), popped] = base
+                held, popped, base = held - 8, popped + 1, None if base is None else base + 8
+    df = spark.createDataFrame(frames, "stream_id string, seq bigint, pts bigint, nb_samples int").repartition(5)
+    assert {(r.stream_id, r.chunk): r.pts for r in framing.chunk_pts(df, 8).collect()} == want
+    assert sum(v is not None for v in want.values()) > 50
+
+
 def test_reducers(spark):
     lit = lambda *xs: [F.lit(x) for x in xs]
     nan = float("nan")

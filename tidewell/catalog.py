@@ -225,10 +225,10 @@ def pts_gap(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {FRAMES_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS k FROM g),
-r AS (SELECT stream_id, k, s, e, pts AS base, s AS base_at FROM q WHERE k = 1
- UNION ALL SELECT q.stream_id, q.k, q.s, q.e, CASE WHEN q.s % 10 = 0 THEN q.pts WHEN r.base IS NULL THEN NULL WHEN r.base + (q.s - r.base_at) = q.pts THEN r.base ELSE NULL END,
-  CASE WHEN q.s % 10 = 0 THEN q.s ELSE r.base_at END FROM r JOIN q ON q.stream_id = r.stream_id AND q.k = r.k + 1)
-SELECT stream_id, chunk, CAST(base + (chunk * 10 - base_at) AS BIGINT) AS pts FROM (SELECT *, unnest(range(CAST(s // 10 AS BIGINT), CAST(e // 10 AS BIGINT))) AS chunk FROM r)""")
+r AS (SELECT stream_id, k, s, e, pts - s AS base FROM q WHERE k = 1
+ UNION ALL SELECT q.stream_id, q.k, q.s, q.e, CASE WHEN r.base IS NULL THEN CASE WHEN q.s % 10 = 0 THEN q.pts - q.s END WHEN r.base = q.pts - q.s THEN r.base END
+ FROM r JOIN q ON q.stream_id = r.stream_id AND q.k = r.k + 1)
+SELECT stream_id, chunk, CAST(base + chunk * 10 AS BIGINT) AS pts FROM (SELECT *, unnest(range(CAST(s // 10 AS BIGINT), CAST(e // 10 AS BIGINT))) AS chunk FROM r)""")
 def chunk_pts(spark, sf_dir):
     return framing.chunk_pts(order_frames(spark, sf_dir), 10)
 

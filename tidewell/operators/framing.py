@@ -159,23 +159,42 @@ def pts_breaks(frames: DataFrame) -> DataFrame:
 def chunk_pts(frames: DataFrame, size: int) -> DataFrame:
     """stream_id, chunk, pts of the count windows that a buffer makes of frames as they come.
 
-    The buffer trusts time stamps while they continue; after a break it has none until it has run empty,
-    which it does after a frame at whose end the samples so far are a multiple of the window.
+    The buffer trusts time stamps from a frame on that comes when it is empty and trusts none, and for as long as they continue; a frame that
+    does not continue ends the trust, also where the buffer is empty. So trust is an automaton of two states: a frame keeps it (it
+    continues), makes it (it comes into the empty buffer), does both, or neither, which leaves it, turns it over, sets or clears it. The state
+    after a frame is that of the last frame that sets or clears, turned over as often as frames since then do.
+    All is made in runs of frames, which move once; a row a run says what came before.
     """
-    f = running(frames.select("stream_id", "seq", "pts", "nb_samples"), F.col("nb_samples").cast("bigint"), "sum", "end_")
-    f = f.withColumn("start_", F.col("end_") - F.col("nb_samples"))
-    # where the buffer was empty, and what its time stamp then was; the latest such frame counts
-    emptied = F.when(F.col("start_") % size == 0, F.struct("seq", (F.col("pts") - F.col("start_")).alias("base")))
-    f = running(f, emptied, "max", "since_")
-    fine = F.col("pts").isNotNull() & (F.col("pts") - F.col("start_") == F.col("since_.base"))
-    f = running(f, F.when(~F.coalesce(fine, F.lit(False)), F.col("seq")), "max", "bad_")
-    trusted = F.coalesce(F.col("bad_") < F.col("since_.seq"), F.lit(True))
+    keys = ["stream_id", "run_"]
+    order = Window.partitionBy(*keys).orderBy("seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy("stream_id").orderBy("run_")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    d = frames.select("stream_id", "seq", "pts", F.col("nb_samples").cast("bigint").alias("nb_"), F.floor(F.col("seq") / RUN).alias("run_"))
+    d = d.withColumn("here_", F.sum("nb_").over(so_far) - F.col("nb_")).withColumn("own_", F.col("pts") - F.col("here_"))
+    runs = d.groupBy(*keys).agg(F.sum("nb_").alias("all_"), F.max(F.struct("seq", "own_"))["own_"].alias("last_"))
+    runs = runs.withColumn("before_", F.coalesce(F.sum("all_").over(earlier), F.lit(0)))
+    runs = runs.select(*keys, "before_", F.lag(F.col("last_") - F.col("before_")).over(along).alias("ahead_"))
+    d = d.join(runs, keys).withColumn("start_", F.col("before_") + F.col("here_")).withColumn("base_", F.col("pts") - F.col("start_"))
+    behind = F.when(F.row_number().over(order) == 1, F.col("ahead_")).otherwise(F.lag("base_").over(order))
+    keeps = F.coalesce(F.col("base_") == behind, F.lit(False))
+    makes = F.col("base_").isNotNull() & (F.col("start_") % size == 0)
+    d = d.withColumn("keeps_", keeps).withColumn("makes_", makes)
+    d = d.withColumn("turns_", F.sum(F.when(~F.col("keeps_") & F.col("makes_"), 1).otherwise(0)).over(so_far))
+    sure = F.when(F.col("keeps_") == F.col("makes_"), F.struct("seq", F.col("keeps_").alias("on"), "turns_"))
+    d = d.withColumn("sure_", F.max(sure).over(so_far))
+    # the state at a run's end, given the one at its start, is all that the next runs need
+    ends = d.groupBy(*keys).agg(F.max("sure_").alias("sure_"), F.max("turns_").alias("turns_"))
+    ends = ends.withColumn("sum_", F.sum("turns_").over(along))
+    sure = F.when(F.col("sure_").isNotNull(), F.struct("run_", F.col("sure_.on").alias("on"), (F.col("sum_") - F.col("turns_") + F.col("sure_.turns_")).alias("at")))
+    ends = ends.withColumn("set_", F.max(sure).over(earlier)).withColumn("turned_", F.col("sum_") - F.col("turns_") - F.coalesce("set_.at", F.lit(0)))
+    odd = lambda n: n % 2 == 1
+    begins = ends.select(*keys, (F.coalesce("set_.on", F.lit(False)) != odd(F.col("turned_"))).alias("in_"))
+    since = F.col("turns_") - F.coalesce("sure_.turns_", F.lit(0))
+    f = d.join(begins, keys).withColumn("trusted_", F.coalesce("sure_.on", "in_") != odd(since))
     # a window is popped when the frame that completes it has been pushed
-    first_full = F.floor(F.col("start_") / size)
-    full = f.withColumn("to_", F.floor(F.col("end_") / size)).withColumn("trusted_", trusted)
-    made = full.where(F.col("to_") > first_full).select(
-        "stream_id", F.explode(F.sequence(first_full, F.col("to_") - 1)).alias("chunk"), "trusted_", F.col("since_.base").alias("base_")
-    )
+    first_full, full = F.floor(F.col("start_") / size), F.floor((F.col("start_") + F.col("nb_")) / size)
+    made = f.where(full > first_full).select("stream_id", F.explode(F.sequence(first_full, full - 1)).alias("chunk"), "trusted_", "base_")
     return made.select("stream_id", "chunk", F.when(F.col("trusted_"), F.col("base_") + F.col("chunk") * size).cast("bigint").alias("pts"))
 
 

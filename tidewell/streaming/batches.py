@@ -43,6 +43,17 @@ def through_stream(samples: DataFrame, transform: Callable[[DataFrame], DataFram
     return spark.read.schema(SAMPLES).parquet(f"{folder}/out")
 
 
+def run_stream(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], by: str, files: int = 8) -> DataFrame:
+    """``transform`` applied to ``rows`` as a stream of micro-batches, cut by ranges of ``by``; its output as a table."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark)
+    rows.repartitionByRange(files, by).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(f"{folder}/in")
+    out = transform(stream)
+    _start(out, folder).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(path)
 

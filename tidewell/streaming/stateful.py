@@ -8,6 +8,7 @@ what an operator still holds is then given out and its state cleared (there is n
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -68,7 +69,24 @@ def stateful(samples: DataFrame, kernel: Kernel, ending: Ending = _nothing) -> D
     return samples.groupBy("stream_id", "ch").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def delay(samples: DataFrame, delay_ms: float, sample_rate: int, sample_type: str = "f64") -> DataFrame:
+@dataclass(frozen=True)
+class Step:
+    """An operator along a channel: its kernel, and what it gives out at the end."""
+
+    kernel: Kernel
+    ending: Ending = _nothing
+
+
+def passing() -> Step:
+    return Step(lambda x, memory, position: (position, x, memory))
+
+
+def mapping(f: Callable[[np.ndarray], np.ndarray]) -> Step:
+    """A function of values, each by itself."""
+    return Step(lambda x, memory, position: (position, f(x), memory))
+
+
+def delaying(delay_ms: float, sample_rate: int, sample_type: str = "f64") -> Step:
     d = delay_samples(delay_ms, sample_rate)
 
     def kernel(x, memory, position):
@@ -76,10 +94,14 @@ def delay(samples: DataFrame, delay_ms: float, sample_rate: int, sample_type: st
             return 0, np.concatenate([np.full(d, offset_of(sample_type)), x]), memory
         return position + d, x, memory
 
-    return stateful(samples, kernel)
+    return Step(kernel)
 
 
-def fir(samples: DataFrame, taps) -> DataFrame:
+def delay(samples: DataFrame, delay_ms: float, sample_rate: int, sample_type: str = "f64") -> DataFrame:
+    return along(samples, delaying(delay_ms, sample_rate, sample_type))
+
+
+def convolving(taps) -> Step:
     h = np.array(processors.check_coefficients(taps, "taps"))
 
     def kernel(x, memory, position):
@@ -87,10 +109,14 @@ def fir(samples: DataFrame, taps) -> DataFrame:
         line = np.concatenate([past, np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)])
         return position, np.convolve(line, h)[len(past) : len(line)], line[len(line) - (len(h) - 1) :].tolist()
 
-    return stateful(samples, kernel)
+    return Step(kernel)
 
 
-def iir(samples: DataFrame, b, a) -> DataFrame:
+def fir(samples: DataFrame, taps) -> DataFrame:
+    return along(samples, convolving(taps))
+
+
+def feeding_back(b, a) -> Step:
     b, a = processors.check_coefficients(b, "b"), processors.check_coefficients(a, "a")
     b, a = [x / a[0] for x in b], [x / a[0] for x in a]
 
@@ -101,18 +127,26 @@ def iir(samples: DataFrame, b, a) -> DataFrame:
         px = (px[:back] + [0.0] * back)[:back]
         return position, y, px + py
 
-    return stateful(samples, kernel)
+    return Step(kernel)
 
 
-def compressor(samples: DataFrame, dynamics: Dynamics, sample_type: str = "f64", precision: str = "exact") -> DataFrame:
+def iir(samples: DataFrame, b, a) -> DataFrame:
+    return along(samples, feeding_back(b, a))
+
+
+def compressing(dynamics: Dynamics, sample_type: str = "f64", precision: str = "exact") -> Step:
     def kernel(x, memory, position):
         y, env = processors.compress_values(x, dynamics, sample_type, precision, memory[0] if memory else 0.0)
         return position, y, [env]
 
-    return stateful(samples, kernel)
+    return Step(kernel)
 
 
-def resample(samples: DataFrame, rate_in: int, rate_out: int) -> DataFrame:
+def compressor(samples: DataFrame, dynamics: Dynamics, sample_type: str = "f64", precision: str = "exact") -> DataFrame:
+    return along(samples, compressing(dynamics, sample_type, precision))
+
+
+def resampling(rate_in: int, rate_out: int) -> Step:
     """Linear interpolation; the end of a stream holds its last sample for the outputs that are still due."""
     if rate_in <= 0 or rate_out <= 0:
         raise InvalidData("sample rates must be positive")
@@ -142,10 +176,14 @@ def resample(samples: DataFrame, rate_in: int, rate_out: int) -> DataFrame:
         low = first_output(position - 1)
         return low, np.full(max(0, due - low), memory[0])
 
-    return stateful(samples, kernel, ending)
+    return Step(kernel, ending)
 
 
-def rechunk(samples: DataFrame, size: int, tail: str = "emit") -> DataFrame:
+def resample(samples: DataFrame, rate_in: int, rate_out: int) -> DataFrame:
+    return along(samples, resampling(rate_in, rate_out))
+
+
+def windowing(size: int, tail: str = "emit") -> Step:
     """Samples held back until their count window is full; at the end the rest is emitted, dropped or padded."""
 
     def kernel(x, memory, position):
@@ -160,7 +198,15 @@ def rechunk(samples: DataFrame, size: int, tail: str = "emit") -> DataFrame:
         first = position - len(rest)
         return first, np.concatenate([rest, np.zeros(size - len(rest))]) if tail == "pad" else rest
 
-    return stateful(samples, kernel, ending)
+    return Step(kernel, ending)
+
+
+def rechunk(samples: DataFrame, size: int, tail: str = "emit") -> DataFrame:
+    return along(samples, windowing(size, tail))
+
+
+def along(samples: DataFrame, step: Step) -> DataFrame:
+    return stateful(samples, step.kernel, step.ending)
 
 
 def to_sinks(stream: DataFrame, sinks, checkpoint: str, **options):
