@@ -15,7 +15,7 @@ from tidewell.model import AudioFormat, Rational, rescale_pts
 from tidewell.operators import codecs, forkjoin, framing, processors
 from tidewell.plans import pipeline
 from tidewell.sources import files
-from tidewell.streaming import batches, stateful
+from tidewell.streaming import batches, flows, stateful
 
 FLAGSHIP = "gain_i16_saturating"
 QUERIES: dict = {}
@@ -609,6 +609,71 @@ def pcm_unit_floats(spark, sf_dir):
     return rounded(framing.frames_to_samples(codecs.decode_pcm_unit(packets, fmt)), 9)
 
 
+def flow_of(rows):
+    """Items of a flow: no control, no count."""
+    return rows.withColumns({"control": F.lit(None).cast("string"), "count": F.lit(None).cast("bigint")})
+
+
+def sample_flow(samples, length=None):
+    """``samples`` as a flow, in epochs of ``length`` positions."""
+    epoch = F.lit(0) if length is None else F.floor(F.col("n") / length)
+    place = F.col("n") if length is None else F.col("n") % length
+    return flow_of(samples.select("stream_id", "ch", epoch.cast("bigint").alias("epoch"), place.cast("bigint").alias("n"), "v"))
+
+
+@query(ORACLES["echo_pipeline"])
+def stream_fork_join(spark, sf_dir):
+    """A signal and its echo, joined while they come."""
+    rows = sample_flow(events(spark, sf_dir))
+    steps = [[stateful.passing()], [stateful.mapping(lambda v: v * 0.5), stateful.delaying(5, 1000)]]
+    return rounded(batches.run_stream(rows.unionByName(flows.controls(rows, ["stream_id", "ch"], "end")), lambda s: flows.fork_join(s, steps, forkjoin.total()), "n"))
+
+
+@query(f"""WITH {E}, k AS (SELECT stream_id, n // 400 AS epoch, n % 400 AS n, v FROM e), f AS (SELECT stream_id, epoch, n + 3 AS n, v FROM k
+UNION ALL SELECT stream_id, epoch, r.range, 0 FROM (SELECT DISTINCT stream_id, epoch FROM k), range(3) r)
+SELECT stream_id, epoch, n, round(0.5::DOUBLE * v + 0.25::DOUBLE * coalesce(lag(v) OVER (PARTITION BY stream_id, epoch ORDER BY n), 0), 6) AS v FROM f""")
+def stream_reset_drain(spark, sf_dir):
+    """What delay and filter hold is given out at every reset."""
+    rows = sample_flow(events(spark, sf_dir), 400)
+    steps = [stateful.delaying(3, 1000), stateful.convolving([0.5, 0.25])]
+    out = batches.run_stream(rows.unionByName(flows.controls(rows, ["stream_id", "ch"], "drain")), lambda s: flows.chain(s, steps), "n")
+    return out.select("stream_id", "epoch", "n", F.round("v", 6).alias("v"))
+
+
+@query(f"""WITH {E}, k AS (SELECT stream_id, n // 350 AS epoch, n % 350 AS n, v FROM e)
+SELECT stream_id, epoch, n, v FROM k QUALIFY n < count(*) OVER (PARTITION BY stream_id, epoch) // 100 * 100 OR epoch = max(epoch) OVER (PARTITION BY stream_id)""")
+def stream_reset_discard(spark, sf_dir):
+    """What a window holds is dropped at every reset, and given out at the end."""
+    rows = sample_flow(events(spark, sf_dir), 350)
+    out = batches.run_stream(rows, lambda s: flows.chain(s, [stateful.windowing(100, "emit")]), "n", then=flows.controls(rows, ["stream_id", "ch"], "discard"))
+    return out.select("stream_id", "epoch", "n", "v")
+
+
+@query(f"WITH {P} SELECT stream_id, seq // 100 AS epoch, seq % 100 AS seq, printf('%02x%02x', seq % 100, seq % 100) || data AS data FROM p")
+def stream_packet_counters(spark, sf_dir):
+    """Two stages that put their counts before each packet; resets start them afresh."""
+    p = event_packets(spark, sf_dir)
+    rows = flow_of(p.select("stream_id", F.floor(F.col("seq") / 100).alias("epoch"), (F.col("seq") % 100).alias("seq"), "data"))
+    stage = stateful.Step(lambda items, memory, position: (position, [bytes([position + i]) + d for i, d in enumerate(items)], memory))
+    out = batches.run_stream(rows.unionByName(flows.controls(rows, ["stream_id"], "drain")), lambda s: flows.packets(s, [stage, stage]), "seq")
+    return as_text(out).select("stream_id", "epoch", "seq", "data")
+
+
+@query(f"""WITH RECURSIVE {E}, f AS (SELECT stream_id, n // 50 AS k, min(n) AS s, min(n) + CASE WHEN n // 50 % 7 = 3 THEN 1 ELSE 0 END AS pts FROM e GROUP BY stream_id, n // 50),
+r AS (SELECT stream_id, k, pts - s AS base FROM f WHERE k = 0 UNION ALL SELECT f.stream_id, f.k, CASE WHEN r.base IS NULL THEN CASE WHEN f.s % 100 = 0 THEN f.pts - f.s END
+ WHEN r.base = f.pts - f.s THEN r.base END FROM r JOIN f ON f.stream_id = r.stream_id AND f.k = r.k + 1),
+w AS (SELECT stream_id, n // 100 AS seq, count(*)::INTEGER AS nb_samples, max(n) // 50 AS k, round(sum(v), 4) AS total FROM e GROUP BY 1, 2)
+SELECT stream_id, seq, nb_samples, total, CAST(base + seq * 100 AS BIGINT) AS pts FROM w JOIN r USING (stream_id, k)""")
+def stream_frame_buffer(spark, sf_dir):
+    """Frames of 50 samples, some with stamps that do not continue, through a buffer of 100."""
+    f = framing.samples_to_frames(events(spark, sf_dir), AudioFormat(48000, 1, "f64"), 50)
+    f = f.withColumn("pts", F.col("pts") + F.when(F.col("seq") % 7 == 3, 1).otherwise(0))
+    rows = flow_of(f.withColumn("epoch", F.lit(0).cast("bigint")))
+    out = batches.run_stream(rows.unionByName(flows.controls(rows, ["stream_id"], "end")), lambda s: flows.frames(s, [flows.buffering(100, "emit")]), "seq")
+    total = F.round(F.aggregate(F.col("samples")[0], F.lit(0.0), lambda a, x: a + x), 4)
+    return out.select("stream_id", "seq", "nb_samples", total.alias("total"), "pts")
+
+
 def _no_negative_zero(sql: str) -> str:
     """Rounded values as Spark gives them: SQL's rounding keeps the sign of zero, Spark's does not."""
     return re.sub(r"round\((.*), (\d)\) AS v\b", r"round(\1, \2) + 0 AS v", sql, flags=re.S)

@@ -43,14 +43,19 @@ def through_stream(samples: DataFrame, transform: Callable[[DataFrame], DataFram
     return spark.read.schema(SAMPLES).parquet(f"{folder}/out")
 
 
-def run_stream(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], by: str, files: int = 8) -> DataFrame:
-    """``transform`` applied to ``rows`` as a stream of micro-batches, cut by ranges of ``by``; its output as a table."""
+def run_stream(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], by: str, files: int = 8, then: DataFrame | None = None) -> DataFrame:
+    """``transform`` applied to ``rows`` as a stream of micro-batches, cut by ranges of ``by``; its output as a table.
+
+    Rows of ``then`` come in a run of their own, when all others have been seen.
+    """
     spark = rows.sparkSession
     folder = shared_folder(spark)
-    rows.repartitionByRange(files, by).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(f"{folder}/in")
-    out = transform(stream)
-    _start(out, folder).awaitTermination()
+    schema, out = rows.schema, None
+    for part in (rows.repartitionByRange(files, by), then):
+        if part is not None:
+            part.write.mode("append").parquet(f"{folder}/in")
+            out = transform(spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(f"{folder}/in"))
+            _start(out, folder).awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 

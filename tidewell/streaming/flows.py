@@ -17,12 +17,11 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -294,9 +293,12 @@ def frames(stream: DataFrame, steps: list[Step]) -> DataFrame:
     return _run(stream, ["stream_id"], Flow([steps], "seq", values, rows, numbers=False), f"{FRAMES}, epoch bigint")
 
 
-def replay(rows: DataFrame, controls: DataFrame, transform: Callable[[DataFrame], DataFrame], by: str, files: int = 8) -> DataFrame:
-    """``transform`` applied to a table as a stream of micro-batches, with its control rows among them; see ``batches.through_stream``."""
-    from tidewell.streaming.batches import run_stream
-
-    whole = rows.unionByName(controls, allowMissingColumns=True)
-    return run_stream(whole, transform, by, files)
+def controls(rows: DataFrame, keys: list[str], kind: str, last: str = "end") -> DataFrame:
+    """A control row for every epoch of ``rows`` (a flow's items): ``kind``, or ``last`` for a stream's last epoch."""
+    if kind not in CONTROLS or last not in CONTROLS:
+        raise InvalidData(f"epochs are ended by {', '.join(CONTROLS)}")
+    counted = rows.groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("count"))
+    final = F.col("epoch") == F.max("epoch").over(Window.partitionBy(*keys))
+    told = counted.withColumn("control", F.when(final, F.lit(last)).otherwise(F.lit(kind)))
+    made = {"epoch", "control", "count", *keys}
+    return told.select(*[F.col(f.name) if f.name in made else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
