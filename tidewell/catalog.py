@@ -15,7 +15,7 @@ from tidewell.model import AudioFormat, Rational, rescale_pts
 from tidewell.operators import codecs, forkjoin, framing, processors
 from tidewell.plans import pipeline
 from tidewell.sources import files
-from tidewell.streaming import batches, flows, stateful
+from tidewell.streaming import batches, flows, messages, stateful
 
 FLAGSHIP = "gain_i16_saturating"
 QUERIES: dict = {}
@@ -609,6 +609,19 @@ def pcm_unit_floats(spark, sf_dir):
     return rounded(framing.frames_to_samples(codecs.decode_pcm_unit(packets, fmt)), 9)
 
 
+@query(f"""WITH {P} SELECT sink, stream_id, seq, data FROM p, (SELECT unnest(['first', 'second']) AS sink)""")
+def stream_messages_once(spark, sf_dir):
+    """Captured messages as a stream, to two sinks that each take every batch once."""
+    p = event_packets(spark, sf_dir).withColumn("data", F.concat(F.unhex(F.lpad(F.hex(F.length("data").cast("bigint")), 8, "0")), "data"))
+    captures, folder = written(files.packet_pieces(p), "cap"), batches.shared_folder(spark)
+    spark.dataSource.register(messages.MessageSource)
+    stream = spark.readStream.format("tidewell-messages").option("split", str(SPLIT)).load(captures)
+    sinks = {name: messages.table(f"{folder}/{name}") for name in ("first", "second")}
+    messages.to_sinks_once(stream, sinks, f"{folder}/checkpoint", trigger={"availableNow": True}).awaitTermination()
+    parts = [as_text(named_by_file(spark.read.schema(messages.MESSAGES).parquet(f"{folder}/{n}"))).select(F.lit(n).alias("sink"), "stream_id", "seq", "data") for n in sinks]
+    return parts[0].unionByName(parts[1])
+
+
 def flow_of(rows):
     """Items of a flow: no control, no count."""
     return rows.withColumns({"control": F.lit(None).cast("string"), "count": F.lit(None).cast("bigint")})

@@ -69,9 +69,9 @@ class Bytes:
         return self.content[at : at + size] if self.file is None else self.file.read_at(size, at)
 
 
-def taker(data: Bytes) -> Callable[[int], bytes]:
-    """A function that gives the file's next bytes, read a buffer at a time."""
-    at, held, used = 0, b"", 0
+def taker(data: Bytes, at: int = 0) -> Callable[[int], bytes]:
+    """A function that gives the file's next bytes from ``at`` on, read a buffer at a time."""
+    held, used = b"", 0
 
     def take(size: int) -> bytes:
         nonlocal at, held, used
