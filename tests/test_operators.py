@@ -86,6 +86,35 @@ def test_compressor_curve_and_envelope(spark):
         levels.Dynamics(48000, ratio=0.5)
 
 
+@pytest.mark.parametrize("attack,release", [(0.002, 8.0), (5.0, 0.01), (0.0, 9.0), (3.0, 3.0)])
+def test_envelopes_longer_than_blocks_are_exact(spark, attack, release):
+    rng = np.random.default_rng(5)
+    d = levels.Dynamics(1000, attack_time=attack, release_time=release)
+    x = rng.normal(size=700) * np.repeat(rng.choice([0.0, 0.01, 1.0, 3.0], 70), 10)
+    want, _ = processors.compress_values(x.copy(), d, "f64", "f64")
+    got = values(processors.compressor(signal(spark, [x]), d, precision="f64", block=64))["s0"]
+    assert np.allclose(got, want, rtol=1e-11, atol=1e-14)
+    for start in (0.0, 0.3, 0.9, 40.0):
+        knots, heights, slope = processors.envelope_map(np.abs(x[:90]), d.attack, d.release)
+        env = processors.follow(np.abs(x[:90]), d, start, np.float64)[-1]
+        assert math.isclose(processors.map_envelope(start, knots, heights, slope), env, rel_tol=1e-12, abs_tol=1e-15)
+
+
+@pytest.mark.parametrize("rate_in,rate_out", [(44100, 48000), (48000, 44100), (1, 2), (7, 3), (5, 5)])
+def test_band_limited_resampling(spark, rate_in, rate_out):
+    n = np.arange(900)
+    tone = np.sin(0.05 * n)
+    got = values(processors.resample_band_limited(signal(spark, [tone, [2.0]]), rate_in, rate_out, block=200))
+    assert len(got["s0"]) == resampled_length(900, rate_in, rate_out) and len(got["s1"]) == 1
+    k = np.arange(len(got["s0"])) * rate_in / rate_out
+    inner = (k > 120) & (k < 780)
+    assert np.abs(np.array(got["s0"]) - np.sin(0.05 * k))[inner].max() < 2e-3
+    whole = values(processors.resample_band_limited(signal(spark, [tone]), rate_in, rate_out))
+    assert np.allclose(whole["s0"], got["s0"], atol=1e-12)
+    high = values(processors.resample_band_limited(signal(spark, [np.sin(3.0 * n)]), 3, 1))["s0"]  # beyond the new band
+    assert np.abs(high[60:240]).max() < 5e-3
+
+
 def test_resample_lengths_ramps_and_tail(spark):
     for n, a, b in ((0, 1, 2), (1, 1, 2), (2, 1, 2), (100, 44100, 48000), (100, 2, 1), (100, 1, 2), (100, 3, 2)):
         got = values(processors.resample(signal(spark, [list(range(n)), [7.0, 7.0]]), a, b)).get("s0", [])

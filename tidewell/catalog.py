@@ -155,6 +155,34 @@ def compressor(spark, sf_dir):
     return rounded(processors.compressor(s, d, precision="f64"))
 
 
+@query(ORACLES["compressor"].replace("0.005::DOUBLE * 48000", "0.5::DOUBLE * 48000"))
+def compressor_long_release(spark, sf_dir):
+    """An envelope that takes many blocks to fade."""
+    d = levels.Dynamics(48000, threshold_db=-12, knee_width_db=6, ratio=4, expansion_ratio=2, expansion_threshold_db=-40, attack_time=0.001, release_time=0.5, master_gain_db=3)
+    s = events(spark, sf_dir).withColumn("v", F.col("v") / 490.02)
+    return rounded(processors.compressor(s, d, precision="f64", block=512))
+
+
+def sinc_sql(rate_in: int, rate_out: int, zeros: int) -> str:
+    c = f"least(1, {rate_out} / {rate_in}::DOUBLE)"
+    return f"""WITH {E}, m AS (SELECT stream_id, (count(*) * {rate_out} + {rate_in // 2}) // {rate_in} AS m FROM e GROUP BY 1),
+g AS (SELECT stream_id, k, k * {rate_in} // {rate_out} AS i, k * {rate_in} % {rate_out} AS phase FROM (SELECT stream_id, unnest(range(m)) AS k FROM m)),
+h AS (SELECT phase, j, {c} * (phase / {rate_out}::DOUBLE - j) AS x FROM (SELECT DISTINCT phase FROM g), (SELECT unnest(range(-200, 201)) AS j)),
+w AS (SELECT phase, j, (CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END) * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * x / {zeros})) AS w FROM h WHERE abs(x) < {zeros}),
+n AS (SELECT phase, j, w / sum(w) OVER (PARTITION BY phase) AS w FROM w)
+SELECT g.stream_id, k AS n, round(sum(coalesce(v, 0) * w), 5) AS v FROM g JOIN n ON n.phase = g.phase LEFT JOIN e ON e.stream_id = g.stream_id AND e.n = g.i + n.j GROUP BY 1, 2"""
+
+
+@query(sinc_sql(3, 4, 16))
+def resample_sinc_up(spark, sf_dir):
+    return rounded(processors.resample_band_limited(events(spark, sf_dir), 3, 4, block=500), 5)
+
+
+@query(sinc_sql(5, 2, 6))
+def resample_sinc_down(spark, sf_dir):
+    return rounded(processors.resample_band_limited(events(spark, sf_dir), 5, 2, zeros=6, block=500), 5)
+
+
 def resample_sql(rate_in: int, rate_out: int) -> str:
     return f"""WITH {V}, m AS (SELECT stream_id, (count(*) * {rate_out} + {rate_in // 2}) // {rate_in} AS m, count(*) AS len FROM e GROUP BY 1),
 g AS (SELECT stream_id, len, k, floor(k * ({rate_in}::DOUBLE / {rate_out})) AS i, k * ({rate_in}::DOUBLE / {rate_out}) AS at FROM (SELECT stream_id, len, unnest(range(m)) AS k FROM m))

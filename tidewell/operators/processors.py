@@ -279,26 +279,132 @@ def compress_values(v: np.ndarray, d: Dynamics, sample_type: str, precision: str
     return y.astype(np.float64) * scale + zero, float(env[-1]) if len(env) else start
 
 
+def envelope_map(x: np.ndarray, up: float, down: float) -> tuple[list[float], list[float], float]:
+    """The envelope after ``x`` as a function of the one before: knots, values there, and the slope beyond the last knot.
+
+    A step maps envelopes up to the value by one affine function and those above by another, so the steps' composition is piecewise
+    linear and rises. Values below all of the function, or above it, change it as a whole, which is kept as one affine function on top.
+    """
+    knots, values = np.zeros(1), np.zeros(1)
+    scale, shift, slope = 1.0, 0.0, 1.0
+    low = high = 0.0
+    for value in x.tolist():
+        if value < low:
+            scale, shift, low, high = down * scale, down * shift + (1 - down) * value, down * low + (1 - down) * value, down * high + (1 - down) * value
+        else:
+            w = scale * values + shift
+            i = int(np.searchsorted(w, value, side="right"))
+            if w[i - 1] < value:  # the function passes the value between two knots, or beyond the last
+                if i < len(w):
+                    at = knots[i - 1] + (value - w[i - 1]) / (w[i] - w[i - 1]) * (knots[i] - knots[i - 1])
+                else:
+                    at = knots[-1] + (value - w[-1]) / slope if slope > 0 else math.inf
+                if math.isfinite(at):
+                    knots, w = np.insert(knots, i, at), np.insert(w, i, value)
+                    i += 1
+            values = np.concatenate([up * w[:i] + (1 - up) * value, down * w[i:] + (1 - down) * value])
+            scale, shift, low, high = 1.0, 0.0, float(values[0]), float(values[-1])
+        slope *= down
+    return knots.tolist(), (scale * values + shift).tolist(), slope
+
+
+def map_envelope(start: float, knots, values, slope: float) -> float:
+    return float(np.interp(start, knots, values)) if start <= knots[-1] else float(values[-1] + slope * (start - knots[-1]))
+
+
 def compressor(samples: DataFrame, dynamics: Dynamics, sample_type: str = "f64", precision: str = "exact", block: int = BLOCK) -> DataFrame:
     """Compression and expansion by a followed envelope.
 
-    ``precision`` "exact" computes in 32 bits where streams are held so; "f64" computes all in 64 bits. A block's
-    envelope starts so far back that whatever it starts from has faded to 1e-12 of itself.
+    ``precision`` "exact" computes in 32 bits where streams are held so; "f64" computes all in 64 bits. Where an envelope fades to 1e-12
+    of itself within a block, blocks borrow as many samples from the block before. Where it takes longer, every block says how its last
+    envelope depends on its first, a pass over a channel's blocks (a row each) gives each block its first envelope, and the block runs from it.
     """
     slowest = max(dynamics.attack, dynamics.release)
-    memory = math.ceil(math.log(1e-12) / math.log(slowest)) if 0 < slowest < 1 else 0 if slowest == 0 else block
-    blocks = with_halo(samples, memory, block=max(block, memory))
+    memory = math.ceil(math.log(1e-12) / math.log(slowest)) if 0 < slowest < 1 else 0 if slowest == 0 else block + 1
     kind = "f64" if precision == "f64" else "exact"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, start: float = 0.0) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
-        pdf["v"], _ = compress_values(pdf["v"].to_numpy(), dynamics, sample_type, kind)
+        pdf["v"], _ = compress_values(pdf["v"].to_numpy(), dynamics, sample_type, kind, start)
         return pdf[pdf["own_"]][["stream_id", "ch", "n", "v"]]
 
-    out = blocks.groupBy("stream_id", "ch", "block_").applyInPandas(run, SCHEMA)
+    keys = ["stream_id", "ch", "block_"]
+    if memory <= block:
+        out = with_halo(samples, memory, block=block).groupBy(*keys).applyInPandas(lambda pdf: run(pdf), SCHEMA)
+    else:
+        source = with_halo(samples, 0, block=block)
+        scale, zero = FULL_SCALE.get(sample_type, 1.0), offset_of(sample_type)
+
+        def depends(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.abs((pdf.sort_values("n")["v"].to_numpy() - zero) / scale)
+            knots, values, slope = envelope_map(np.where(np.isfinite(x), x, 0.0), dynamics.attack, dynamics.release)
+            return pd.DataFrame({**{c: pdf[c].iloc[:1] for c in keys}, "knots": [knots], "values": [values], "slope": [slope]})
+
+        def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("block_")
+            env, out = 0.0, []
+            for knots, values, slope in zip(pdf["knots"], pdf["values"], pdf["slope"]):
+                out.append(env)
+                env = map_envelope(env, knots, values, slope)
+            return pdf[keys].assign(start=out)
+
+        maps = source.groupBy(*keys).applyInPandas(depends, "stream_id string, ch int, block_ bigint, knots array<double>, values array<double>, slope double")
+        begins = maps.groupBy("stream_id", "ch").applyInPandas(starts, "stream_id string, ch int, block_ bigint, start double")
+        out = source.groupBy(*keys).cogroup(begins.groupBy(*keys)).applyInPandas(lambda pdf, begin: run(pdf, float(begin["start"].iloc[0])), SCHEMA)
     return out.withColumn("v", quantise(finite(F.col("v")), sample_type))
 
 
+@lru_cache(16)
+def sinc_bank(rate_in: int, rate_out: int, zeros: int) -> tuple[int, int, int, np.ndarray]:
+    """Steps up and down of the reduced rates, taps on either side, and the weights: a row a phase, whose weights add up to one.
+
+    The weight at distance t (input samples) is sinc(c t) times a raised cosine over ``zeros`` crossings on either side, c being the narrower
+    of the two bands over the input's.
+    """
+    shared = math.gcd(rate_in, rate_out)
+    up, down = rate_out // shared, rate_in // shared
+    c = min(1.0, up / down)
+    side = math.ceil(zeros / c)
+    t = np.arange(up)[:, None] / up - np.arange(1 - side, side + 1)[None, :]
+    w = np.sinc(c * t) * np.where(np.abs(c * t) < zeros, 0.5 + 0.5 * np.cos(np.pi * c * t / zeros), 0.0)
+    return up, down, side, w / w.sum(axis=1, keepdims=True)
+
+
+def resample_band_limited(samples: DataFrame, rate_in: int, rate_out: int, zeros: int = 16, block: int = BLOCK) -> DataFrame:
+    """Resampling of whole channels by a windowed-sinc filter bank, silence being around them; as long as ``resample`` makes it.
+
+    Output k lies at k * rate_in / rate_out; it takes the ``zeros`` crossings on either side. Blocks of inputs borrow those of both
+    neighbours that their outputs look at, so no block holds more than ``block`` and two filter lengths.
+    """
+    resampled_length(0, rate_in, rate_out)
+    if zeros < 1:
+        raise InvalidData("a filter has one crossing on either side at least")
+    if rate_in == rate_out:
+        return samples
+    up, down, side, bank = sinc_bank(rate_in, rate_out, zeros)
+    block = max(block, side)
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["own_"]]
+        if not len(own):  # borrowed samples only, beyond the channel's end
+            return pd.DataFrame({"stream_id": [], "ch": [], "n": [], "v": []})
+        at, n = int(pdf["block_"].iloc[0]) * block, pdf["n"].to_numpy()
+        line = np.zeros(block + 2 * side + 2)
+        line[n - at + side] = np.where(np.isfinite(pdf["v"].to_numpy()), pdf["v"].to_numpy(), 0.0)
+        last = int(own["n"].max())
+        k = np.arange(-(-at * up // down), -(-(last + 1) * up // down))  # outputs whose place lies in the block
+        if int(n.max()) == last:  # nothing borrowed from a next block, so the channel ends here
+            k = k[k < resampled_length(last + 1, rate_in, rate_out)]
+        place = k * down
+        i, phase = place // up - at, place % up
+        v = np.empty(len(k))
+        for a in range(0, len(k), 4096):
+            v[a : a + 4096] = np.einsum("kt,kt->k", line[i[a : a + 4096, None] + side + np.arange(1 - side, side + 1)], bank[phase[a : a + 4096]])
+        return pd.DataFrame({"stream_id": own["stream_id"].iloc[0], "ch": own["ch"].iloc[0], "n": k, "v": v})
+
+    return with_halo(samples, side, side, block).groupBy("stream_id", "ch", "block_").applyInPandas(make, SCHEMA)
+
+
 def resample(samples: DataFrame, rate_in: int, rate_out: int, narrow: bool = False) -> DataFrame:
     """Linear interpolation of whole channels at positions k * rate_in / rate_out; the last sample is held.
 

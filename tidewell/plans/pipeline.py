@@ -74,9 +74,12 @@ def _compressor(sample_rate: float, sample_type: str = "f64", precision: str = "
     return lambda df: processors.compressor(df, d, sample_type, precision)
 
 
-def _resample(rate_in: int, rate_out: int, out_chunk_samples: int | None = None, pad_final: bool = True, narrow: bool = False):
+def _resample(rate_in: int, rate_out: int, out_chunk_samples: int | None = None, pad_final: bool = True, narrow: bool = False, method: str = "linear"):
+    if method not in ("linear", "band_limited"):
+        raise InvalidData(f"no resampling method {method!r}")
+
     def run(df: DataFrame) -> DataFrame:
-        out = processors.resample(df, rate_in, rate_out, narrow)
+        out = processors.resample(df, rate_in, rate_out, narrow) if method == "linear" else processors.resample_band_limited(df, rate_in, rate_out)
         if out_chunk_samples is None:
             return out
         fmt = AudioFormat(rate_out, 1, "f32")
