@@ -1,5 +1,6 @@
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -293,6 +294,58 @@ def test_encoded_files_are_read_back(spark, tmp_path):
     assert [round(x, 4) for x in unit.first().samples[0]] == [-1.0, 1.0]
 
 
+def test_transcoding_by_ending(spark, tmp_path, monkeypatch):
+    from tidewell import __main__ as command
+
+    (tmp_path / "in").mkdir()
+    x = np.linspace(-1, 1, 3001)
+    for i in range(2):
+        (tmp_path / "in" / f"{i}.wav").write_bytes(containers.wav_file([x, -x], 8000, "f32le"))
+    with pytest.raises(Unsupported):
+        command.transcode(spark, f"{tmp_path}/in/*.wav", f"{tmp_path}/out.aac")
+    with pytest.raises(InvalidData):
+        command.kind_of("a.txt")
+    monkeypatch.setitem(codecs._registered, "aac", codecs.Codec(codecs.encode_pcm, lambda p, f: codecs.decode_pcm(p, replace(f, planar=False))))  # a stand-in
+    monkeypatch.setitem(codecs.FRAME_SAMPLES, "aac", 500)
+    assert command.transcode(spark, f"{tmp_path}/in/*.wav", f"{tmp_path}/out.aac").count() == 2
+    assert command.main([f"{tmp_path}/out.aac/*.aac", f"{tmp_path}/back", "--encoding", "f32le", "--decoded", "8000,2,f32", "--rate", "16000"]) == 0
+    back = framing.frames_to_samples(files.read_wav(spark, f"{tmp_path}/back"))
+    assert back.count() == 2 * 2 * 6002
+    near = back.where("ch = 0 and n < 6000").withColumn("d", F.abs(F.col("v") - (-1 + F.col("n") / 3000))).agg(F.max("d")).first()[0]
+    assert near < 1e-6
+
+
+def test_encoders_keep_back_and_formats_are_checked(spark):
+    fmt = AudioFormat(8000, 1, "i16", planar=False)
+    s = signal(spark, [range(10), range(8), []])
+    assert sorted((r.stream_id, r.duration) for r in codecs.encode(s, "wav", fmt, 4).collect()) == [("s0", 2), ("s0", 4), ("s0", 4), ("s1", 4), ("s1", 4)]
+    whole = codecs.encode(s, "wav", fmt, 4, force=False)
+    assert sorted((r.stream_id, r.duration) for r in whole.collect()) == [("s0", 4), ("s0", 4), ("s1", 4), ("s1", 4)]
+    told = lambda taken: {r.stream_id: (r.pending_samples, r.state) for r in codecs.pending(s, "wav", 4, taken).collect()}
+    assert told(0) == {"s0": (10, "ready"), "s1": (8, "ready")} and told(1) == {"s0": (6, "ready"), "s1": (4, "ready")}
+    assert told(9) == {"s0": (2, "need_more"), "s1": (0, "empty")}
+    assert [r.nb_samples for r in codecs.decode(whole, "wav", fmt, 3, force=False).where("stream_id = 's0'").collect()] == [3, 3]
+    turns = codecs.Codec(codecs.encode_pcm, lambda p, f: codecs.decode_pcm(p, f).withColumn("format", F.when(F.col("seq") > 0, AudioFormat(9000, 1).column()).otherwise(F.col("format"))))
+    codecs.register("flac", turns)
+    try:
+        with pytest.raises(Exception, match="differ"):
+            codecs.decode(whole, "flac", fmt).collect()
+    finally:
+        del codecs._registered["flac"]
+
+
+def test_resampled_frames_hold_all_channels(spark):
+    s = spark.createDataFrame([("s", c, n, float(n * (c + 1))) for c in range(3) for n in range(10)], "stream_id string, ch int, n bigint, v double")
+    fmt = AudioFormat(1000, 3, "f32")
+    for pad, sizes in ((True, [8, 8, 8]), (False, [8, 8])):
+        frames = pipeline.Pipeline([pipeline.resampler(fmt, 2000, 8, pad)])(s).orderBy("seq").collect()
+        assert [r.nb_samples for r in frames] == sizes and {len(r.samples) for r in frames} == {3}
+        assert frames[1].samples[2] == [3 * min(9.0, k / 2) for k in range(8, 16)] and frames[1].format.sample_rate == 2000
+    one = processors.resample(s, 1000, 2000)
+    windows = pipeline.processor("resample", rate_in=1000, rate_out=2000, out_chunk_samples=8)(s)
+    assert windows.count() == 72 and windows.where("n < 20").exceptAll(one.select("stream_id", "ch", "n", "v")).count() == 0
+
+
 def test_packet_reducers(spark):
     base = F.struct(F.lit(1).alias("num"), F.lit(1).alias("den"))
     p = spark.createDataFrame([(0, 0, b"\x0c\x01"), (0, 1, b"\x0a\x01")], "k int, branch int, data binary").withColumn("time_base", base)

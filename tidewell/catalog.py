@@ -439,6 +439,38 @@ def sine_440(spark, sf_dir):
     return sine(spark, 0.1).select("stream_id", "ch", "n", F.round("v", 6).alias("v"))
 
 
+@query("""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS stream_id, 100 + c_custkey % 900 AS f, least(abs(CAST(c_acctbal AS DOUBLE)), 10000) / 10000 AS a, 1 + c_custkey % 2 AS channels FROM customer)
+SELECT stream_id, unnest(range(channels))::INTEGER AS ch, n, v FROM (SELECT stream_id, channels, n.range AS n, round(sin(n.range * (2 * pi() / 8000) * f) * a, 6) AS v FROM t, range(40) n)""")
+def sine_bank(spark, sf_dir):
+    """A tone a customer, of one or two channels."""
+    k, balance = F.col("c_custkey"), F.abs(F.col("c_acctbal").cast("double"))
+    tones = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        k.cast("string").alias("stream_id"), (100 + k % 900).alias("frequency"), (F.least(balance, F.lit(10000.0)) / 10000).alias("amplitude"), F.lit(0.005).alias("seconds"), (1 + k % 2).alias("channels")
+    )
+    return files.sines(tones, 8000).select("stream_id", "ch", "n", F.round("v", 6).alias("v"))
+
+
+@query(f"""WITH {L}, r AS (SELECT stream_id, ch, n, v, lead(v) OVER w AS nx, max(n) OVER (PARTITION BY stream_id, ch) + 1 AS len FROM e WINDOW w AS (PARTITION BY stream_id, ch ORDER BY n)),
+g AS (SELECT stream_id, len, unnest(range(CASE WHEN len < 2 THEN len ELSE greatest(1, (len * 3 + 1) // 2) END)) AS k FROM (SELECT DISTINCT stream_id, len FROM r)),
+o AS (SELECT g.stream_id, r.ch, k, CASE WHEN r.nx IS NULL THEN r.v ELSE r.v + (r.nx - r.v) * (k * 2 / 3::DOUBLE - r.n) END AS v FROM g JOIN r ON r.stream_id = g.stream_id AND r.n = least(g.k * 2 // 3, g.len - 1))
+SELECT stream_id, k // 4 AS seq, ch, (k // 4) * 4 AS pts, 4::INTEGER AS nb_samples, round(sum(v), 4) AS total FROM o GROUP BY 1, 2, 3""")
+def resample_frames(spark, sf_dir):
+    """Frames of four samples of both channels at half as many samples again, the last one padded."""
+    f = processors.resample_frames(lines(spark, sf_dir), AudioFormat(32000, 2, "f64"), 48000, 4)
+    each = f.select("stream_id", "seq", "pts", "nb_samples", F.posexplode("samples").alias("ch", "s"))
+    return each.select("stream_id", "seq", "ch", "pts", "nb_samples", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query(f"""WITH {E}, k AS (SELECT stream_id, count(*) AS k FROM e GROUP BY 1), c AS (SELECT stream_id, k, unnest(range(k // 150)) AS seq FROM k)
+SELECT c.stream_id, seq, 300 AS bytes, k % 150 AS pending_samples, CASE WHEN k % 150 = 0 THEN 'empty' ELSE 'need_more' END AS state FROM c""")
+def encoder_pending(spark, sf_dir):
+    """Packets of whole frames, and what each encoder then keeps back."""
+    s = as_i16(events(spark, sf_dir))
+    fmt = AudioFormat(48000, 1, "i16", planar=False)
+    packets = codecs.encode(s, "pcm", fmt, 150, force=False).select("stream_id", "seq", F.length("data").alias("bytes"))
+    return packets.join(codecs.pending(s, "pcm", 150, taken=1 << 40), "stream_id")
+
+
 @query("""SELECT event_id, lower(printf('%02x%02x', ((event_id % 4 + 1) << 3) | ((event_id % 13) >> 1), ((event_id % 13 & 1) << 7) | ((event_id % 7 + 1) << 3))) AS asc_hex,
 CASE WHEN event_id % 2 = 0 THEN least(10 + (event_id % 128) * 128 + event_id % 100, 16) ELSE 0 END::INTEGER AS tag,
 printf('02000000%02x0000006869', event_id % 100) AS record FROM events""")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.model import CODEC_NAMES, AudioFormat, InvalidData, Unsupported
+from tidewell.model import CODEC_NAMES, AudioFormat, InvalidData, Unsupported, check_one_format
 
 # How samples of each type stand in bytes.
 NUMPY_TYPES = {"u8": "u1", "i16": "<i2", "i32": "<i4", "i64": "<i8", "f32": "<f4", "f64": "<f8"}
@@ -107,19 +107,45 @@ def decode_pcm_unit(packets: DataFrame, fmt: AudioFormat, chunk_samples: int | N
 register("wav", Codec(encode_pcm, decode_pcm))
 
 
-def encode(samples: DataFrame, name: str, fmt: AudioFormat, frame_samples: int | None = None, **options) -> DataFrame:
-    """Packets of a sample stream: count windows of the encoder's frame, the last as short as it comes."""
+def frame_samples_of(name: str, frame_samples: int | None = None) -> int:
+    """Samples of an encoder's frame: what is asked for, or the codec's own."""
+    known = CODEC_NAMES.get(name.lower())
+    if known is None:
+        raise InvalidData(f"no codec {name!r}")
+    return frame_samples or FRAME_SAMPLES[known]
+
+
+def encode(samples: DataFrame, name: str, fmt: AudioFormat, frame_samples: int | None = None, force: bool = True, **options) -> DataFrame:
+    """Packets of a sample stream: count windows of the encoder's frame.
+
+    With ``force`` the last is as short as it comes; without, what does not fill a frame is kept back (``pending`` says how much).
+    """
     from tidewell.operators.framing import samples_to_frames
 
     known = codec(name)
     if CODEC_NAMES[name.lower()] == "opus" and fmt.sample_rate != 48_000:
         raise InvalidData("opus takes 48000 samples a second")
-    return known.encode(samples_to_frames(samples, fmt, frame_samples or FRAME_SAMPLES[CODEC_NAMES[name.lower()]]), fmt, **options)
+    return known.encode(samples_to_frames(samples, fmt, frame_samples_of(name, frame_samples), "emit" if force else "drop"), fmt, **options)
+
+
+def pending(samples: DataFrame, name: str, frame_samples: int | None = None, taken: int = 0) -> DataFrame:
+    """stream_id, pending_samples, state of each stream's encoder after ``taken`` packets were taken out of it.
+
+    The state is ``ready`` while a whole frame is there, ``need_more`` while some samples are, and ``empty``.
+    """
+    size = frame_samples_of(name, frame_samples)
+    held = samples.groupBy("stream_id").agg((F.max("n") + 1).alias("got"))
+    left = F.greatest(F.col("got") - F.least(F.floor(F.col("got") / size), F.lit(taken)) * size, F.lit(0)).cast("bigint")
+    state = F.when(F.col("left") == 0, "empty").when(F.col("left") < size, "need_more").otherwise("ready")
+    return held.select("stream_id", left.alias("left")).select("stream_id", F.col("left").alias("pending_samples"), state.alias("state"))
+
 
+def decode(packets: DataFrame, name: str, fmt: AudioFormat, chunk_samples: int | None = None, force: bool = True, **options) -> DataFrame:
+    """Frames of a packet stream, in windows of ``chunk_samples`` if given; the last as short as it comes, or kept back without ``force``.
 
-def decode(packets: DataFrame, name: str, fmt: AudioFormat, chunk_samples: int | None = None, **options) -> DataFrame:
-    """Frames of a packet stream, in windows of ``chunk_samples`` if given."""
+    A frame of another format than ``fmt`` is an error when it is read.
+    """
     from tidewell.operators.framing import frames_to_samples, samples_to_frames
 
-    frames = codec(name).decode(packets, fmt, **options)
-    return frames if chunk_samples is None else samples_to_frames(frames_to_samples(frames), fmt, chunk_samples)
+    frames = check_one_format(codec(name).decode(packets, fmt, **options), fmt)
+    return frames if chunk_samples is None else samples_to_frames(frames_to_samples(frames), fmt, chunk_samples, "emit" if force else "drop")

@@ -9,6 +9,7 @@ whose memory fades, borrows as many samples as it takes for the fading to pass b
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.levels import FULL_SCALE, Dynamics, offset_of, quantise
-from tidewell.model import InvalidData, delay_samples, resampled_length
-from tidewell.operators.framing import BLOCK, with_halo
+from tidewell.model import AudioFormat, InvalidData, delay_samples, resampled_length
+from tidewell.operators.framing import BLOCK, samples_to_frames, with_halo
 
 SCHEMA = "stream_id string, ch int, n bigint, v double"
 #: Taps up to which a filter is a sum of shifted columns; more are a convolution of arrays.
@@ -415,12 +416,13 @@ def resample(samples: DataFrame, rate_in: int, rate_out: int, narrow: bool = Fal
     if rate_in == rate_out:
         return samples
     step = rate_in / rate_out
-    lengths = samples.groupBy("stream_id", "ch").agg((F.max("n") + 1).alias("len_"))
+    # a block sees so far ahead that the channel's end, where it is near enough to bound the block's outputs, is in sight
+    ahead = math.ceil(1.5 * step) + 1
+    block = ["stream_id", "ch", "block_"]
+    s = with_halo(samples, 0, ahead).withColumn("next_", F.lead("v").over(Window.partitionBy(*block).orderBy("n")))
+    s = s.withColumn("len_", F.max("n").over(Window.partitionBy(*block)) + 1).where("own_").drop("block_", "own_")
     n_out = F.when(F.col("len_") < 2, F.col("len_")).otherwise(F.greatest(F.lit(1), F.expr(f"(len_ * {rate_out} + {rate_in // 2}) div {rate_in}")))
-    order = Window.partitionBy("stream_id", "ch", "block_").orderBy("n")
-    s = with_halo(samples, 0, 1).withColumn("next_", F.lead("v").over(order)).where("own_").drop("block_", "own_")
-    # a row for each channel, small beside the samples
-    s = s.join(lengths.withColumn("m_", n_out), ["stream_id", "ch"])
+    s = s.withColumn("m_", n_out)
     last = F.col("n") == F.col("len_") - 1
     # candidates one wider on both sides, then the exact test on floor(k * step)
     low = F.greatest(F.floor(F.col("n") / step) - 1, F.lit(0))
@@ -437,6 +439,16 @@ def resample(samples: DataFrame, rate_in: int, rate_out: int, narrow: bool = Fal
     return k.where(kept).select("stream_id", "ch", F.col("k").cast("bigint").alias("n"), value.alias("v"))
 
 
+def resample_frames(samples: DataFrame, fmt: AudioFormat, rate_out: int, size: int, pad_final: bool = True, method: str = "linear") -> DataFrame:
+    """Frames of exactly ``size`` samples of all channels of ``fmt`` at another rate; the rest is padded with zeros, or dropped."""
+    if method not in ("linear", "band_limited"):
+        raise InvalidData(f"no resampling method {method!r}")
+    narrow = fmt.sample_type in ("f32", "i16", "i32")
+    out = resample(samples, fmt.sample_rate, rate_out, narrow) if method == "linear" else resample_band_limited(samples, fmt.sample_rate, rate_out)
+    out = out.withColumn("v", quantise(F.col("v"), fmt.sample_type))
+    return samples_to_frames(out, replace(fmt, sample_rate=rate_out), size, "pad" if pad_final else "drop")
+
+
 def convert(samples: DataFrame, type_in: str, type_out: str) -> DataFrame:
     """Values of another sample type, by the normalised domain."""
     from tidewell.functions.levels import denormalise, normalise

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewell.functions.levels import Dynamics
 from tidewell.model import AudioFormat, InvalidData
@@ -82,9 +83,9 @@ def _resample(rate_in: int, rate_out: int, out_chunk_samples: int | None = None,
         out = processors.resample(df, rate_in, rate_out, narrow) if method == "linear" else processors.resample_band_limited(df, rate_in, rate_out)
         if out_chunk_samples is None:
             return out
-        fmt = AudioFormat(rate_out, 1, "f32")
-        frames = framing.samples_to_frames(out, fmt, out_chunk_samples, "pad" if pad_final else "drop")
-        return framing.frames_to_samples(frames)
+        windows = framing.rechunk(out, out_chunk_samples, "pad" if pad_final else "drop")
+        each = windows.select("stream_id", "ch", "first", F.posexplode("values").alias("i", "v"))
+        return each.select("stream_id", "ch", (F.col("first") + F.col("i")).alias("n"), "v")
 
     return run
 
@@ -107,6 +108,11 @@ def processor(kind: str, **settings) -> Step:
     return Step(kind, PROCESSORS[kind](**settings))
 
 
+def resampler(fmt: AudioFormat, rate_out: int, out_chunk_samples: int, pad_final: bool = True, method: str = "linear") -> Step:
+    """Samples to frames of a fixed size of all channels at another rate."""
+    return Step("resample", lambda df: processors.resample_frames(df, fmt, rate_out, out_chunk_samples, pad_final, method), "samples", "frames")
+
+
 def identity(kind: str = "samples") -> Step:
     return Step("identity", lambda df: df, kind, kind)
 

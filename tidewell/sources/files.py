@@ -334,6 +334,14 @@ def tap(df: DataFrame, sink: Callable[[DataFrame], None]) -> DataFrame:
     return kept
 
 
+def sines(tones: DataFrame, sample_rate: int = 44_100) -> DataFrame:
+    """Samples of a sine that starts at zero for every row (stream_id, frequency, amplitude, seconds, channels) of ``tones``."""
+    n = F.floor(F.col("seconds") * sample_rate).cast("bigint")
+    each = tones.where(n > 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("n"))
+    v = F.sin(F.col("n") * (2 * math.pi / sample_rate) * F.col("frequency")) * F.col("amplitude")
+    return each.select("stream_id", F.explode(F.sequence(F.lit(0), F.col("channels").cast("int") - 1)).alias("ch"), "n", v.alias("v"))
+
+
 def sine(spark: SparkSession, seconds: float, frequency: float = 440.0, amplitude: float = 0.2, sample_rate: int = 44_100, channels: int = 2, stream_id: str = "sine") -> DataFrame:
     """Samples of a sine that starts at zero, the same in all channels."""
     n = int(seconds * sample_rate)
