@@ -54,6 +54,15 @@ def test_fir_does_not_depend_on_blocks(spark):
     assert impulse == [float(np.float32(0.3)), float(np.float32(0.2)), 0, 0, 0, 0]
 
 
+@pytest.mark.parametrize("n,taps,block", [(500, 300, 64), (100, 64, 16), (10, 200, 64), (3_000, 100_000, 4_096)])
+def test_more_taps_than_a_block_holds(spark, n, taps, block):
+    rng = np.random.default_rng(2)
+    x, h = rng.normal(size=n), rng.normal(size=taps) / taps
+    got = values(processors.fir(signal(spark, [x, [1.0]]), h, block=block))
+    assert np.allclose(got["s0"], np.convolve(x, h.astype(np.float32).astype(float))[:n], atol=1e-9) and len(got["s0"]) == n
+    assert np.allclose(got["s1"], [h[0].astype(np.float32)])
+
+
 def test_iir_equals_its_recurrence_for_any_block(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=257)

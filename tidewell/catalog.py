@@ -128,6 +128,12 @@ def fir_many_taps(spark, sf_dir):
     return rounded(processors.fir(events(spark, sf_dir), [1 / (k + 1) for k in range(40)], block=1024), 4)
 
 
+@query(ORACLES["fir_many_taps"])
+def fir_in_parts(spark, sf_dir):
+    """As many taps as take two parts of a small block."""
+    return rounded(processors.fir(events(spark, sf_dir), [1 / (k + 1) for k in range(40)], block=32), 4)
+
+
 @query(f"""WITH RECURSIVE {E}, r AS (SELECT stream_id, n, 0.1::FLOAT::DOUBLE * v AS y FROM e WHERE n = 0
 UNION ALL SELECT e.stream_id, e.n, 0.1::FLOAT::DOUBLE * e.v - (-0.9)::FLOAT::DOUBLE * r.y FROM r JOIN e ON e.stream_id = r.stream_id AND e.n = r.n + 1)
 SELECT stream_id, n, round(y, 6) AS v FROM r""")
@@ -645,6 +651,15 @@ def user_parts(spark, sf_dir):
     return rounded(pipeline.Pipeline([join])(vectors(spark, sf_dir)))
 
 
+@query(f"WITH {E} SELECT stream_id, n, -2 * least(round(v * 60), 16000) AS v FROM e")
+def codec_nodes(spark, sf_dir):
+    """Encoder and decoder as steps between processors."""
+    fmt = AudioFormat(48000, 1, "i16", planar=False)
+    held = pipeline.custom("hold", lambda df: df.withColumn("v", F.least("v", F.lit(16000.0))))
+    steps = [held, pipeline.encoder("pcm", fmt, 100), pipeline.identity("packets"), pipeline.decoder("wav", fmt), pipeline.processor("gain", gain=-2.0, sample_type="i16")]
+    return pipeline.Pipeline(steps)(as_i16(events(spark, sf_dir))).select("stream_id", "n", "v")
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey || '-' || l_suppkey AS text, xor(xor(CAST(l_partkey AS BIGINT), CAST(l_suppkey AS BIGINT)), CAST(l_linenumber AS BIGINT)) AS mixed FROM lineitem""")
 def reduce_text_and_bits(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

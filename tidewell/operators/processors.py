@@ -80,6 +80,8 @@ def fir(samples: DataFrame, taps, sample_type: str = "f64", block: int = BLOCK)
     """Convolution with ``taps``, from silence; the result does not depend on how frames were cut."""
     h = check_coefficients(taps, "taps")
     zero = offset_of(sample_type)
+    if len(h) > block:
+        return fir_in_parts(samples.withColumn("v", finite(F.col("v") - zero)), np.array(h), block).withColumn("v", quantise(finite(F.col("v")) + zero, sample_type))
     blocks = with_halo(samples.withColumn("v", finite(F.col("v") - zero)), len(h) - 1, block=block)
     order = Window.partitionBy("stream_id", "ch", "block_").orderBy("n")
     if len(h) <= FEW_TAPS or len(set(h)) == 1:
@@ -102,6 +104,35 @@ def fir(samples: DataFrame, taps, sample_type: str = "f64", block: int = BLOCK)
     return out.withColumn("v", quantise(finite(F.col("v")) + zero, sample_type))
 
 
+def fir_in_parts(samples: DataFrame, h: np.ndarray, size: int) -> DataFrame:
+    """Convolution with more taps than a block holds: taps in parts of ``size``, each a filter of the signal moved up by the taps before it.
+
+    A task holds two blocks of one part, whatever the number of taps; what the parts give at a position is summed, partially before it moves.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit((len(h) - 1) // size))).alias("part_")
+    moved = samples.select("stream_id", "ch", "n", "v", parts).withColumn("n", F.col("n") + F.col("part_") * size)
+    blocks = with_halo(moved, size - 1, block=size)
+    schema = f"{SCHEMA}, own bigint"
+
+    def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        part = int(pdf["part_"].iloc[0])
+        at = int(pdf["block_"].iloc[0]) * size
+        line = np.zeros(2 * size - 1)
+        line[pdf["n"].to_numpy() - at + size - 1] = pdf["v"].to_numpy()
+        kernel = h[part * size : (part + 1) * size]
+        n = 1 << (2 * size + len(kernel)).bit_length()
+        y = np.fft.irfft(np.fft.rfft(line, n) * np.fft.rfft(kernel, n), n)[size - 1 : 2 * size - 1]
+        out = pd.DataFrame({"n": np.arange(at, at + size), "v": y})
+        # the first part's own samples say how long the channel is
+        out["own"] = np.isin(out["n"], pdf["n"][pdf["own_"]]).astype(np.int64) if part == 0 else 0
+        return out.assign(stream_id=pdf["stream_id"].iloc[0], ch=pdf["ch"].iloc[0])[["stream_id", "ch", "n", "v", "own"]]
+
+    made = blocks.groupBy("stream_id", "ch", "part_", "block_").applyInPandas(convolve, schema)
+    met = made.groupBy("stream_id", "ch", "n").agg(F.sum("v").alias("v"), F.max("own").alias("own"))
+    return met.where("own = 1").select("stream_id", "ch", "n", "v")
+
+
 #: Samples that the recursive filter makes at once.
 STRIP = 64
 
