@@ -76,3 +76,18 @@ def test_vectors_of_other_lengths_are_compared_with_each_other(spark):
     rows = [(i, [1.0, float(i)]) for i in range(1, 30)] + [(50, [1.0, 0.0, 0.0]), (51, [0.0, 1.0, 0.0]), (52, [1.0, 1.0, 0.0])]
     got = op.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(50, 1, 52), (50, 2, 51)]
+
+
+def test_vectors_of_doubles_are_searched_as_they_are(spark):
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(120, 6))
+    x[50] = x[7] + 1e-12  # apart only in double precision
+    rows = [(i, e.tolist()) for i, e in enumerate(x)]
+    want = brute(rows)
+    got = {}
+    for r in op.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(want)
+    for q, w in want.items():
+        assert [v for _, v, _ in sorted(got[q])] == [v for v, _ in w]
+        assert all(abs(s - t) < 1e-12 for (_, _, s), (_, t) in zip(sorted(got[q]), w))

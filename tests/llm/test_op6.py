@@ -105,3 +105,17 @@ def test_layouts_of_one_host_are_judged_apart(spark):
             assert got[i] == f"Story n{i}\nbegins with n{i}\nAll rights belong to their holders", got[i]
         else:
             assert got[i] == f"In short: n{i}\n" + ("Much is said of n%d. " % i * 20).strip(), got[i]
+
+
+def test_only_anchors_with_a_target_are_links_and_they_end_with_their_element(spark):
+    """Pages with an unclosed anchor: a name, or a link whose end tag is missing."""
+    plain = PAGE.replace("<h2>", '<a name="top"><h2>')
+    open_link = PAGE.replace("<h2>", '<div><a href="/x">more</div><h2>')
+    for pages in ([plain], [plain] * 12, [open_link] * 12):
+        rows = [(i, f"http://{len(pages)}.example/{i}", p.format(f"n{i}")) for i, p in enumerate(pages)]
+        got = op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        for r in got:
+            for line in (f"Head n{r.page_id}", f"Body <n{r.page_id}> of the story", f"second n{r.page_id} one"):
+                assert line in r.text.split("\n")
+    linked = op.parse("<p><a name=x>one</a> <a title='a' href=/y>two</a> three</p><div><a href=/z>four<p>five</p></a>six</div>").blocks
+    assert [(text, n) for _, text, n in linked] == [("one two three", 3), ("four", 4), ("five", 4), ("six", 0)]

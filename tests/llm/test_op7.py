@@ -54,3 +54,24 @@ def test_query_handles_nulls_and_extra_columns(spark):
     assert got[None, 0].ids_sha256 == got[2, 0].ids_sha256 == got[2, 0].decoded_sha256 == empty
     assert next(r for k, r in got.items() if k[0] == 3).decoded_sha256 == hashlib.sha256(("é" * 3000).encode()).hexdigest()
     assert op7_bpe.roundtrip(docs.limit(0), _ranks()).count() == 0
+
+
+def test_ids_equal_the_library_for_every_kind_of_code_point():
+    """Letters and numbers newer than Python's own table, marks and unassigned ones among them."""
+    ranks = op7_bpe.load_ranks(_ranks())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ours = op7_bpe.Encoder(ranks, entries=50)
+    rnd = random.Random(9)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 4000):
+        text = "".join(x for c in points[start : start + 4000] for x in (chr(c), rnd.choice(["", "", "a", " ", "1", "!", "'s"])))
+        assert ours.encode(text)[0] == enc.encode_ordinary(text)
+    assert ours.encode("a\U00013567b c࢏ \U00011de1x")[0] == enc.encode_ordinary("a\U00013567b c࢏ \U00011de1x")
+
+
+def test_a_very_long_text():
+    ranks = op7_bpe.load_ranks(_ranks())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = " ".join(f"word{i % 977} 漢字{i}" for i in range(120_000))
+    ids, _ = op7_bpe.Encoder(ranks, entries=5_000).encode(text)
+    assert ids == enc.encode_ordinary(text)

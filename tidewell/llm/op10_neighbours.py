@@ -231,6 +231,7 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
     """query_id, rank, vec_id, score of the nearest of every query."""
     spark = vectors.sparkSession
     good = usable(vectors)
+    held = vectors.schema["embedding"].dataType.simpleString()  # vectors stay what they are
     # copies of a vector: its smallest ids, one more than is asked for, since a query's own is left out
     first = Window.partitionBy("embedding").orderBy("vec_id")
     one = good.distinct().withColumn("asked", F.col("vec_id") % every == 0)
@@ -269,7 +270,7 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
                 pdf["leaf"] = leaf
                 yield pdf
 
-        return cut(distinct.mapInPandas(run, "embedding array<float>, ids array<long>, dim int, asked boolean, leaf long"))
+        return cut(distinct.mapInPandas(run, f"embedding {held}, ids array<long>, dim int, asked boolean, leaf long"))
 
     def counted(df: DataFrame) -> dict[int, int]:
         return {r["leaf"]: r["n"] for r in df.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a leaf
@@ -307,7 +308,7 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Data
             yield pd.DataFrame({"embedding": pdf["embedding"], "leaves": leaves})
 
     asked = good.where(F.col("vec_id") % every == 0).distinct().withColumnRenamed("vec_id", "query_id")
-    visits = routed.where("asked").select("embedding", "dim").mapInPandas(visit, "embedding array<float>, leaves array<long>")
+    visits = routed.where("asked").select("embedding", "dim").mapInPandas(visit, f"embedding {held}, leaves array<long>")
     visits = cut(visits.select("embedding", F.xxhash64("embedding").alias("qkey"), F.explode("leaves").alias("leaf")))
     blocks = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     query_blocks = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks"))

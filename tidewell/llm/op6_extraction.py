@@ -77,6 +77,7 @@ DROP = re.compile(rf"<!--|<({'|'.join(SKIPPED)})\b{INSIDE}>|<[!?][^<>]*+>", re.I
 CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
 BLOCK_START = re.compile(rf"<(?:{'|'.join(BLOCKS)})\b", re.I)
 PIECE = re.compile(rf"<(/?)([a-zA-Z][\w:-]*+)({INSIDE})>|([^<]+|<)")
+HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 CLASS = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
 _blocks = frozenset(BLOCKS)
@@ -145,7 +146,8 @@ def parse(page: str) -> Page:
     open_: Counter = Counter()
     nodes: list[int] = [0]
     text: list[str] = []
-    linked, in_link = 0, False
+    # a link goes on to its end tag, or to the end of the element in which it began
+    linked, in_link, link_in = 0, False, 0
     blocks: list[tuple[int, str, int]] = []
 
     def flush() -> None:
@@ -158,12 +160,14 @@ def parse(page: str) -> Page:
         linked = 0
 
     def close(name: str) -> None:
+        nonlocal in_link
         while names:
             nodes.pop()
             last = names.pop()
             open_[last] -= 1
             if last == name:
                 break
+        in_link = in_link and len(names) >= link_in
 
     for end, name, attributes, run in PIECE.findall(without_skipped(page)):
         if run:
@@ -173,7 +177,7 @@ def parse(page: str) -> Page:
             continue
         name = name.lower()
         if name == "a":
-            in_link = not end
+            in_link, link_in = not end and bool(HREF.search(attributes)), len(names)
         if name == "br":
             text.append(" ")
         if name not in _blocks:

@@ -8,18 +8,12 @@ composed functions, held as one byte an element and combined by a table.
 
 from __future__ import annotations
 
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 
-# The code points of white space in the pattern's sense.
-WHITE_SPACE = (
-    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680,
-    0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A,
-    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
-)
 # What may follow an apostrophe in a contraction.
 SHORT_ENDINGS = ("s", "t", "m", "d")
 LONG_ENDINGS = ("re", "ve", "ll")
@@ -32,10 +26,15 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, JOINED, ONE_MORE, TWO_MORE =
 
 @lru_cache(1)
 def class_table() -> np.ndarray:
-    category = unicodedata.category
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[list(WHITE_SPACE)] = SPACE
+    """Classes of all code points, as the library's own pattern engine has them (other Unicode tables are older or newer)."""
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], "<u4")
+    text = points.tobytes().decode("utf-32-le")
+    table = np.full(0x110000, OTHER, np.uint8)
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        # with a token a byte, the tokens are the bytes of what the pattern matches
+        matched = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        found = bytes(matched.encode_ordinary(text)).decode()
+        table[np.frombuffer(found.encode("utf-32-le"), "<u4")] = kind
     return table
 
 
