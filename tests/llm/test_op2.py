@@ -54,3 +54,30 @@ def test_edge_cases(spark):
     got = op.score(docs, op.fit(docs, labels)).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert op.score(docs.limit(0), op.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_segments_of_long_texts_take_time_in_proportion():
+    """Falling sums hold ever more segments, which a search from the last one back would all pass."""
+    import time
+
+    rng = np.random.default_rng(5)
+    begun = time.monotonic()
+    for s in (np.tile([1.0, -1.5], 500_000), np.where(rng.random(1_000_000) < 0.3, rng.uniform(0, 2, 1_000_000), -0.4), np.tile([0.5, -0.5, 1.0], 300_000)):
+        got = op.segments(s)
+        assert all(b <= c for (_, b, _), (c, _, _) in zip(got, got[1:])) and all(x > 0 for *_, x in got)
+    assert time.monotonic() - begun < 60
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    from tidewell.llm.labelled import training_sample
+
+    ids = spark.range(3_000)
+    docs = ids.selectExpr("id as doc_id", "concat('text ', id) as text")
+    docs = docs.unionByName(spark.range(5_000).selectExpr("0L as doc_id", "concat('again ', id) as text")).union(docs)
+    labels = ids.selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    for most in (100, 10_000):
+        got = training_sample(docs, labels, "toxic", most).collect()
+        assert 0 < len(got) <= most
+        assert len({r.text for r in got}) == len(got)
+    rows = training_sample(docs.repartition(7), labels, "toxic", 10_000).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, got))

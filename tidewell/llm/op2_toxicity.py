@@ -75,23 +75,22 @@ class Scores(dict):
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, end, score) in linear time (Ruzzo and Tompa).
 
-    Only positive positions are visited; running sums stand for what lies between them.
+    Only positive positions are visited; running sums stand for what lies between them. Each segment held knows the nearest
+    earlier one with a smaller sum before it, so a search passes no segment that an earlier search has passed.
     """
     sums = np.concatenate([[0.0], np.cumsum(scores)])
     positive = np.flatnonzero(scores > 0)
-    held: list[list] = []  # first, end, sum before, sum after
-    for i in positive.tolist():
-        new = [i, i + 1, sums[i], sums[i + 1]]
-        while True:
-            j = len(held) - 1
-            while j >= 0 and held[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or held[j][3] >= new[3]:
-                held.append(new)
-                break
-            new = [held[j][0], new[1], held[j][2], new[3]]
+    held: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, the earlier one's number (-1: none)
+    for i, before, after in zip(positive.tolist(), sums[positive].tolist(), sums[positive + 1].tolist()):
+        first, j = i, len(held) - 1
+        while j >= 0 and held[j][2] >= before:
+            j = held[j][4]
+        while j >= 0 and held[j][3] < after:
+            first, _, before, _, earlier = held[j]
             del held[j:]
-    return [(a, b, float(r - left)) for a, b, left, r in held]
+            j = earlier
+        held.append((first, i + 1, before, after, j))
+    return [(a, b, r - left) for a, b, left, r, _ in held]
 
 
 @dataclass
