@@ -95,3 +95,19 @@ def test_long_texts_and_pieces_encode_as_the_library_does(spark):
         ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids + [1]
         assert r.doc_tokens == len(ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_added_tokens_are_those_of_the_plain_call(spark):
+    rnd = random.Random(8)
+    mark = "<|endoftext|>"
+    bits = [mark, mark[:-1], "|>", " ", "\n", "réeux", "x1", "<|", mark * 2]
+    texts = [mark, mark * 3, f"a {mark} b", f" {mark}\n", "", None] + ["".join(rnd.choice(bits) for _ in range(rnd.choice([2, 9, 4000]))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tok = Tokenizer.from_str(_json())
+    assert tok.encode(f"a {mark} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = op.pieces(docs, _json(), added=True).collect()
+    assert {r.doc_id for r in got} == set(range(len(texts)))
+    for r in got:
+        ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [1]
+        assert r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())

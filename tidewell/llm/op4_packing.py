@@ -11,13 +11,17 @@
    that a length shared by a third of all documents is never in one task), and ranks map to
    (pattern use, slot) by the bounded table of patterns.
 
-Defined results: a null or empty text is its closing id alone. Repeated rows are packed each on its own.
+Defined results: a null or empty text is its closing id alone. Repeated rows are packed each on its own. A text that holds
+the literal of one of the vocabulary's added tokens has that token's id there if ``added`` is set, as in the query and in a
+plain call of the library; otherwise the literal is encoded like other text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import logging
+import re
 import zlib
 
 import numpy as np
@@ -115,13 +119,39 @@ def encoded_texts(texts: list[str], cache: PieceCache):
         yield from zip(which, (ids[a:b] for a, b in zip(bounds, bounds[1:])))
 
 
+def added_tokens(tokenizer_json: str) -> dict[str, int]:
+    """Literal -> id of the tokens beside the model; they take no white space in and need no word borders."""
+    out = {}
+    for t in json.loads(tokenizer_json).get("added_tokens") or []:
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word"):
+            raise ValueError(f"an added token that looks at its surroundings: {t['content']!r}")
+        out[t["content"]] = t["id"]
+    return out
+
+
+def encoded_with_added(texts: list[str], cache: PieceCache, added: dict[str, int]):
+    """Numbers of texts and their ids, where literals of ``added`` tokens (the longest of the leftmost) are ids of their own."""
+    literals = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+    marked = {k: literals.findall(t) for k, t in enumerate(texts) if literals.search(t)} if literals else {}
+    yield from ((k, ids) for k, ids in encoded_texts(["" if k in marked else t for k, t in enumerate(texts)], cache) if k not in marked)
+    for k, marks in marked.items():
+        parts = literals.split(texts[k])
+        ids = dict(encoded_texts(parts, cache))
+        between = [np.array([added[m]], "<u4") for m in marks] + [np.array([], "<u4")]
+        yield k, np.concatenate([x for j in range(len(parts)) for x in (ids[j], between[j])])
+
+
 _caches: dict[str, PieceCache] = {}
 
 
-def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: every document cut into full sequences and a remainder."""
+def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens: every document cut into full sequences and a remainder.
+
+    ``added``: whether literals of the vocabulary's added tokens are these tokens.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary: its size is fixed
     end = np.array([END_ID], "<u4").tobytes()
+    tokens = added_tokens(tokenizer_json) if added else {}
 
     def run(batches):
         key = hashlib.sha256(shared.value.encode()).hexdigest()
@@ -130,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY) -> Da
         cache = _caches[key]
         for pdf in batches:
             ids, rows = pdf["doc_id"].tolist(), []
-            for k, found in encoded_texts(pdf["text"].fillna("").tolist(), cache):
+            for k, found in encoded_with_added(pdf["text"].fillna("").tolist(), cache, tokens):
                 data = found.tobytes() + end
                 n = len(data) // 4
                 for a in range(0, n, capacity):
@@ -405,4 +435,4 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     with open(tokenizer_path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         data = f.read()
-    return pack(pieces(table(spark, sf_dir, "documents"), data))
+    return pack(pieces(table(spark, sf_dir, "documents"), data, added=True))
