@@ -62,7 +62,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in sequences. Null and empty texts are their closing id; repeated rows are packed each."""
     with open(public_tokenizers.path(op4_packing.TOKENIZER), encoding="utf-8") as f:
-        return op4_packing.pack(op4_packing.pieces(docs, f.read()))
+        return op4_packing.pack(op4_packing.pieces(docs, f.read(), added=True))
 
 
 STAGES = [
