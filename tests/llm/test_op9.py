@@ -95,3 +95,22 @@ def test_redaction_equals_brute_force_and_keeps_columns(spark):
             at = end = max(end, b)
         assert r.text == "".join(out) + text[at:]
         assert (r.base, r.tested, r.runs) == ("b", [r.doc_id], "r")
+
+
+def test_keys_of_letters_alone_are_found_among_names(spark):
+    rnd = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    words = "configuration service internal version release controller handler payment history account report donau dampf schiff".split()
+    rows, keys = [], set()
+    for i in range(300):
+        kind = i % 3
+        if kind == 0:
+            run = "".join(rnd.choice(letters) for _ in range(48))
+            keys.add((i, f"random:4:{4 + len(run)}"))
+        else:
+            run = "".join(rnd.choice(words).title() if kind == 1 else rnd.choice(words) for _ in range(5))
+        rows.append((i, f"see {run} here"))
+    rows += [(300, "0123456789" * 4), (301, "Some/Path-With/Signs_But/No-Digits"), (302, "abcdef" * 6)]
+    got = {(r.doc_id, s) for r in op.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans.split(",") if s.startswith("random")}
+    assert len(got & keys) >= 0.95 * len(keys)
+    assert len(got - keys) <= 0.05 * len(got)

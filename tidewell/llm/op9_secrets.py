@@ -3,13 +3,14 @@
 Base spans follow three fixed patterns. The method adds spans of kind ``random``: maximal runs of
 key-like characters, at least ``MIN_RUN`` long, outside the base spans. For each run
 
-* the encoding is inferred (hexadecimal, base 32, base 36, base 62, base 64) from the characters present;
+* the encoding is inferred (hexadecimal, base 32, base 36, base 62, base 64, letters of both cases or of one) from the
+  characters present. Digits alone, and letters with signs but without digits, are numbers and names: they are not tested;
 * the battery asks whether the run could be uniform over that alphabet: a chi-squared test of the
   character counts, a runs test about the alphabet's middle and a test of the correlation of neighbours.
   Their chances are combined by Fisher's method; a run whose combined chance is under ``REJECT`` is no secret;
 * its chance under ordinary writing comes from the lower tail of the number of coinciding character pairs (of which
   chi-squared is a function) at the coincidence rate of prose, and the upper tail of the number of runs of one
-  character class, combined in the same way. The first number grows with the square of the length, the second with
+  character class, combined in the same way (letters of one case have the first only). The first number grows with the square of the length, the second with
   the length, so a short run needs a clearer case than a long one. Divided by the battery's combined
   chance, it is the run's chance in the next step: what is doubtful as random must be the less likely as prose;
 * the Benjamini-Hochberg step over these chances of all runs of the corpus, from a histogram with a fixed
@@ -111,7 +112,8 @@ def battery(run: Column) -> Column:
         n = F.size(chars).cast("double")
         has = lambda p: run.rlike(p)
         size = (
-            F.when(~has("[0-9]") | ~has("[A-Za-z]"), 0)
+            F.when(~has("[^A-Za-z]"), F.when(has("[a-z]") & has("[A-Z]"), 52).otherwise(26))
+            .when(~has("[0-9]") | ~has("[A-Za-z]"), 0)
             .when(~has("[^0-9a-f]") | ~has("[^0-9A-F]"), 16)
             .when(~has("[^A-Z2-7=]"), 32)
             .when(~has("[^a-z0-9]") | ~has("[^A-Z0-9]"), 36)
@@ -156,9 +158,10 @@ def battery(run: Column) -> Column:
             changed = lambda k: total(F.zip_with(F.slice(k, 2, F.size(k) - 1), F.slice(k, 1, F.size(k) - 1), lambda a, b: (a != b).cast("long")))
             z_changes = (let(kinds, changed) - (n - 1) * CHANGES - 0.5) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
             both = F.struct(log_tail((expected - pairs - 0.5) / F.sqrt(2 * expected)).alias("a"), log_tail(z_changes).alias("b"))
-            log_prose = let(both, lambda x: fisher(x["a"], x["b"]))
-            # all of prose in sixteen characters is improbable in itself: three letters in ten are a to f
-            log_prose = F.when(size == 16, F.least(log_prose, n * math.log(0.3))).otherwise(log_prose)
+            log_prose = let(both, lambda x: F.when(size == 26, x["a"]).otherwise(fisher(x["a"], x["b"])))
+            # all of prose in sixteen characters is improbable in itself: three letters in ten are a to f. The better of two chances counts twice
+            letters = F.length(F.regexp_replace(run, "[0-9]", ""))
+            log_prose = F.when(size == 16, math.log(2) + F.least(log_prose, letters * math.log(0.3))).otherwise(log_prose)
             codes = F.transform(chars, lambda c: F.instr(F.lit(LETTERS), c))
             uniform = let(codes, lambda c: let(with_codes(c), lambda t: fisher(log_tail(z_chi), t["runs"], t["serial"])))
             return let(
