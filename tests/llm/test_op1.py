@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from tidewell.llm import op1_line_dedup as op
 
@@ -136,3 +137,16 @@ def test_any_partitioning_gives_the_result_of_all_pairs(spark):
         got = op.dedup(docs).collect()
         assert {r.doc_id: r.text for r in got} == want
         assert all(r.dropped == r.gone_id == r.doc_id for r in got)
+
+
+def test_columns_of_the_results_names_stay_and_many_lines_are_linear(spark):
+    """A text of 60,000 lines, half of them recurring, takes seconds; the caller's counts are not touched."""
+    shared = "\n".join(f"this very line recurs in both of the documents as number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} word" for i in range(400))
+    many = "\n".join(f"{line}\n" for line in shared.split("\n") * 75)
+    docs = spark.createDataFrame([(1, shared, 5, "x"), (2, many, 6, "y")], "doc_id long, text string, n_lines int, N_dropped string")
+    began = time.time()
+    got = {r.doc_id: r for r in op.dedup(docs).collect()}
+    assert time.time() - began < 60
+    assert (got[1].n_lines, got[1].N_dropped, got[2].n_lines, got[2].N_dropped) == (5, "x", 6, "y")
+    n = len(many.split("\n"))
+    assert got[2].n_lines_ == n == 60_000 and got[2].n_dropped_ == 30_000 and got[2].text == "\n" * 29_999

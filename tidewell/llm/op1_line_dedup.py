@@ -25,9 +25,10 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm.arrays import let
 from tidewell.llm.components import components
 from tidewell.llm.shared import cut, fresh, join_hot, table
 
@@ -291,10 +292,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, dropped (positions) of the documents that lose lines."""
     found = cut(candidate_lines(docs, shared_leaves(docs)))
     # only leaves with two different lines need comparing
-    distinct = found.where("not short").groupBy("leaf", "line").agg(F.first("m").alias("m"))
-    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
-    grown = cut(templates(distinct.join(several, "leaf")))
-    own = found.select("doc_id", "tkey", "pos", "line", "short").join(grown, "line", "left").withColumn("template", F.coalesce("template", "line"))
+    distinct = cut(found.where("not short").groupBy("leaf", "line").agg(F.first("m").alias("m")))
+    several = cut(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1"))
+    # a third of all lines may be of one leaf, or be one line
+    grown = cut(templates(join_hot(distinct, several, ["leaf"], sizes="lines")))
+    at = found.select("doc_id", "tkey", "pos", "line", "short")
+    own = join_hot(at, grown, ["line"], "left").withColumn("template", F.coalesce("template", "line"))
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "tkey", "pos")
     by_doc = own.groupBy("template", "short", "doc_id", "tkey").agg(F.min(order).alias("first"), F.collect_list("pos").alias("at"))
     by_doc = cut(by_doc)
@@ -306,14 +309,23 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.where(F.size("at") > 0).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("at")).alias("dropped"))
 
 
-def dedup(docs: DataFrame, lines: str = "n_lines", gone_lines: str = "n_dropped") -> DataFrame:
-    """``docs`` with the recurring lines taken from ``text``; their numbers are added, by default as ``n_lines`` and ``n_dropped``."""
-    kept_columns = [c for c in docs.columns if c.lower() not in (lines, gone_lines)]
-    d = docs.select(*kept_columns).withColumn("text", F.coalesce("text", F.lit("")))
+def without(lines: Column, dropped: Column) -> Column:
+    """``lines`` but those at the ``dropped`` positions: both sorted together by position, a mark before the line it drops."""
+    own = F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.lit(1).alias("own"), line.alias("line")))
+    marks = F.transform(dropped, lambda i: F.struct(i.alias("i"), F.lit(0).alias("own"), F.lit("").alias("line")))
+    stays = lambda a: F.filter(a, lambda x, j: (x["own"] == 1) & (F.coalesce(F.get(a, j - 1)["own"], F.lit(1)) == 1))
+    return F.transform(let(F.array_sort(F.concat(own, marks)), stays), lambda x: x["line"])
+
+
+def dedup(docs: DataFrame, lines: str | None = None, gone_lines: str | None = None) -> DataFrame:
+    """``docs`` with the recurring lines taken from ``text``; their numbers are added as ``n_lines`` and ``n_dropped``
+    (with underscores behind where ``docs`` has columns of these names), or under the names given."""
+    lines, gone_lines = lines or fresh(docs, "n_lines"), gone_lines or fresh(docs, "n_dropped")
+    d = docs.withColumn("text", F.coalesce("text", F.lit("")))
     gone_id, gone_key, dropped = fresh(d, "gone_id"), fresh(d, "gone_key"), fresh(d, "dropped")
     gone = dropped_lines(docs).select(F.col("doc_id").alias(gone_id), F.col("tkey").alias(gone_key), F.col("dropped").alias(dropped))
     d = d.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_key)), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(dropped, i)), "\n")
+    rest = F.array_join(without(F.split("text", "\n"), F.col(dropped)), "\n")
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     d = d.withColumn(lines, n_lines).withColumn(gone_lines, F.coalesce(F.size(dropped), F.lit(0)).cast("long"))
     return d.withColumn("text", F.when(F.col(dropped).isNull(), F.col("text")).otherwise(rest)).drop(dropped, gone_id, gone_key)
