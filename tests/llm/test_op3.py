@@ -67,3 +67,18 @@ def test_one_id_or_null_ids_fill_many_ranges_and_long_texts(spark, monkeypatch):
     assert of(9)[0].edited_sha256 in nexts("the only nine")
     assert all(any(r.edited_sha256 in nexts(f"none {k}") for k in range(3)) for r in of(None)) and len(of(None)) == 40
     assert sum(r.near_next == 1.0 for r in of(5)) == 36 and sum(r.near_next == 1.0 for r in of(None)) == 37
+
+
+def test_ranges_are_bounded_in_number(spark, monkeypatch):
+    """More rows than ranges may count: ranges grow, and next documents stay the same."""
+    monkeypatch.setattr(op, "DOCS_A_RANGE", 2)
+    monkeypatch.setattr(op, "DOCS_A_PART", 4)
+    docs = spark.range(0, 3000, 1, 5).select((F.col("id") * 37 % 3000).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for most in (250_000, 50):
+        monkeypatch.setattr(op, "MOST_RANGES", most)
+        heads = op.range_heads(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h"), F.lit(0).cast("long").alias("place")).alias("at")))
+        n = sum(len(r["heads"]) for r in heads.collect())
+        assert 1200 < n < 1800 if most > 50 else 20 < n < 90
+        got = {r.doc_id: r.next_text for r in op.with_next(docs).collect()}
+        assert got == {i: text[(i - 1) % 3000] for i in text}

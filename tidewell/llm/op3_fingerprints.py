@@ -6,9 +6,9 @@ the ``K`` smallest distinct hashes. The K smallest of the union of two sketches
 union of their shingles, so sketches of parts merge, and two sketches estimate resemblance, containment
 and the number of distinct shingles.
 
-To pair each document with the next one, rows are ordered by id, text hash and place in the input. Ids and hashes alone are
-sorted by ranges and numbered within them; every ``DOCS_A_RANGE``-th row heads a range, however many share an id.
-Texts then move once, each to its range, and the head of a range also to the range before it.
+To pair each document with the next one, rows are ordered by id, text hash and place in the input. One row in
+``DOCS_A_RANGE``, drawn by its hash, heads a range, however many share an id; nothing but these heads is sorted as a
+whole. Texts move once, each to its range, and the head of a range also to the range before it.
 
 Defined results: a null text is the empty text, whose sketch is empty. Two empty sketches are alike (1),
 an empty and another are not (0). Rows with equal ids are ordered by their text's hash; null ids come
@@ -18,6 +18,7 @@ last. Further columns of the input are ignored. The input is read twice, so its
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ from tidewell.llm.shared import cut, table
 NAME = "op3_fingerprints"
 WORDS = 5
 K = 256
-#: Documents of a range, and of a part in which they are numbered; there are at most so many parts.
-DOCS_A_RANGE, DOCS_A_PART, MOST_PARTS = 5_000, 200_000, 1_000
+#: Documents of a range, and of a part (some ranges that are searched together), on the average; parts grow with the square root of the table beyond.
+DOCS_A_RANGE, DOCS_A_PART = 5_000, 200_000
+#: Ranges expected at most: beyond, they grow. A range is sorted by a task, which spills.
+MOST_RANGES = 250_000
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -79,12 +82,17 @@ def shown(s: Column) -> Column:
 def range_heads(rows: DataFrame) -> DataFrame:
     """part, heads (descending places ``at`` at which the part's ranges begin) of ``rows`` (at), parts in descending order.
 
-    A head is 24 bytes for ``DOCS_A_RANGE`` documents.
+    Heads are drawn by the places' hash, and the first place is one. A head is 24 bytes and ``MOST_RANGES`` are expected
+    at most, so they are a few MB for any table.
     """
-    parts = max(1, min(MOST_PARTS, rows.count() // DOCS_A_PART))
-    placed = cut(rows.repartitionByRange(parts, F.col("at").desc()).withColumn("part", F.spark_partition_id()))
-    order = Window.partitionBy("part").orderBy(F.col("at").desc())
-    heads = placed.withColumn("r", F.row_number().over(order)).where((F.col("r") - 1) % DOCS_A_RANGE == 0)
+    rows = cut(rows)
+    n = rows.count()
+    size = max(DOCS_A_RANGE, -(-n // MOST_RANGES))
+    first = rows.agg(F.max("at").alias("at")).where("at is not null")
+    heads = rows.where(F.pmod(F.xxhash64("at"), F.lit(size)) == 0).union(first).distinct()
+    per_part = max(DOCS_A_PART // DOCS_A_RANGE, math.isqrt(n // size) + 1)
+    number = F.row_number().over(Window.orderBy(F.col("at").desc())) - 1
+    heads = heads.withColumn("part", F.floor(number / per_part).cast("int"))
     return cut(heads.groupBy("part").agg(F.sort_array(F.collect_list("at"), asc=False).alias("heads")))
 
 
@@ -93,7 +101,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     at = F.struct("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
     d = docs.withColumn("at", at)
     heads = range_heads(d.select("at"))
-    firsts = sorted(heads.select("part", F.col("heads")[0].alias("first"), F.size("heads").alias("n")).collect())  # at most MOST_PARTS rows
+    firsts = sorted(heads.select("part", F.col("heads")[0].alias("first"), F.size("heads").alias("n")).collect())  # the square root of MOST_RANGES or so at most
     if not firsts:
         return docs.select("doc_id", "text", sketch(F.col("text")).alias("sketch"), F.col("text").alias("next_text"), sketch(F.col("text")).alias("next_sketch"))
     # ranges are numbered part * 2**32 + number within; before: the last range of the part before, the first part's being the last
