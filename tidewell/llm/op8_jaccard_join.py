@@ -327,8 +327,9 @@ def classes_of(docs: DataFrame) -> DataFrame:
     )
     reps = cut(reps)
     comps = components(candidate_edges(reps)).select(F.col("v").alias("sid"), "comp")
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    near = cut(comps.join(sizes, "comp").join(reps, "sid"))
+    sizes = cut(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")))
+    # a component may hold a third of all sets
+    near = cut(join_hot(comps, sizes, ["comp"], sizes="size").join(reps, "sid"))
     found = sets_of(docs, wanted_filter(near.select("tkey"))).groupBy("sid").agg(F.min("shingles").alias("shingles"))
     linked = cut(links(near.join(found, "sid")))
     classes = components(linked.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b")))
