@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidewell.model import FRAMES, InvalidData
 from tidewell.operators import forkjoin, framing, processors
-from tidewell.streaming import flows, stateful
+from tidewell.streaming import batches, flows, stateful
 
 
 def fed(spark, tmp_path, rows, schema, parts, transform, name, seed=0):
@@ -111,3 +112,77 @@ def test_frame_buffer_equals_the_batch_time_stamps(spark, tmp_path):
     line = [v for r in got for v in r.samples[0]]
     assert line == [float(i) for i in range(at)] + [0.0] * (-at % 10) and [-v for r in got for v in r.samples[1]] == line
     assert {r.nb_samples for r in got} == {10} and got[0].format.sample_rate == 8000
+
+
+class FakeMap:
+    """A map of the state that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def clear(self):
+        self.held = {}
+
+    def __getattr__(self, name):
+        def call(key, *value):
+            self.calls += 1
+            return {"containsKey": lambda: key in self.held, "getValue": lambda: self.held[key], "removeKey": lambda: self.held.pop(key), "updateValue": lambda: self.held.__setitem__(key, *value)}[name]()
+
+        return call
+
+
+class FakeValue(FakeMap):
+    def get(self):
+        return self.held["v"]
+
+    def update(self, value):
+        self.held["v"] = value
+
+
+class FakeHandle:
+    def getValueState(self, name, schema):
+        return FakeValue()
+
+    def getMapState(self, name, schema, *more):
+        return FakeMap()
+
+
+def test_waiting_items_are_kept_many_at_a_time():
+    n = 6000
+
+    def rows(key, epochs, places, out):
+        return pd.DataFrame({"epoch": epochs, "n": places, "v": out[0]})
+
+    flow = flows.Flow([[stateful.passing()]], "n", lambda part: part["v"].to_numpy(float), rows, numbers=True)
+    flow.init(FakeHandle())
+    items = pd.DataFrame({"epoch": 0, "n": np.arange(n, dtype=float), "v": np.arange(n) * 2.0, "control": None, "count": None})
+    shuffled = items.iloc[1:].sample(frac=1, random_state=1)
+    end = pd.DataFrame({"epoch": [0], "n": [None], "v": [None], "control": ["end"], "count": [n]})
+    assert not list(flow.handleInputRows(("s",), iter([shuffled.iloc[: n // 2]]), None))
+    assert not list(flow.handleInputRows(("s",), iter([shuffled.iloc[n // 2 :], end]), None))
+    assert len(flow.early.held) == 2
+    got = pd.concat(list(flow.handleInputRows(("s",), iter([items.iloc[:1]]), None)))
+    assert got["n"].tolist() == list(range(n)) and got["v"].tolist() == [2.0 * i for i in range(n)]
+    assert flow.early.calls < 20 and flow.controls.calls < 20 and not flow.early.held
+
+
+def test_a_table_becomes_as_many_batches_in_order_as_it_needs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "ROWS_A_BATCH", 100)
+    monkeypatch.setattr(batches, "shared_folder", lambda s: str(tmp_path / "run"))
+    rows = [("s", c, n // 35, n % 35, float(n), None, None) for c in range(2) for n in range(200)]
+    random.Random(2).shuffle(rows)
+    table = spark.createDataFrame(rows, flows.SAMPLE_FLOW)
+    out = batches.run_stream(table, lambda s: flows.chain(s, [stateful.windowing(10, "emit")]), "n", then=flows.controls(table, ["stream_id", "ch"], "discard"))
+    want = sorted((r[1], r[2], r[3], r[4]) for r in rows if r[3] < 30 or r[2] == 5)
+    assert sorted((r.ch, r.epoch, r.n, r.v) for r in out.collect()) == want
+    done = [f for f in (tmp_path / "run" / "checkpoint" / "commits").iterdir() if f.name.isdigit()]
+    assert len(done) >= 5  # four batches of about a hundred rows, and the last discards

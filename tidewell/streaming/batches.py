@@ -8,10 +8,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidewell.model import SAMPLES
-
-FILES_A_BATCH = 4
+#: Rows of a micro-batch, and the files in which they come.
+ROWS_A_BATCH, FILES_A_BATCH = 2_000_000, 4
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,45 +24,48 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def through_stream(samples: DataFrame, transform: Callable[[DataFrame], DataFrame], files: int = 8) -> DataFrame:
-    """``transform`` applied to ``samples`` as a stream of micro-batches; a last row without position ends each channel.
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table, so that what is made from them several times is computed once."""
+    folder = shared_folder(rows.sparkSession)
+    rows.write.parquet(f"{folder}/rows")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
 
-    Files are cut by ranges of the position, so that a batch brings each stream's samples nearly in order.
-    """
-    spark = samples.sparkSession
-    folder = shared_folder(spark)
-    ends = samples.select("stream_id", "ch").distinct().select("stream_id", "ch", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("v"))
-    ordered = samples.select("stream_id", "ch", "n", "v").repartitionByRange(files, "n")
-    ordered.write.parquet(f"{folder}/in")
-    q = _start(transform(_read(spark, f"{folder}/in")), folder)
-    q.awaitTermination()
-    # the ends come in a run of their own, when all samples have been seen
-    ends.write.mode("append").parquet(f"{folder}/in")
-    q = _start(transform(_read(spark, f"{folder}/in")), folder)
-    q.awaitTermination()
-    return spark.read.schema(SAMPLES).parquet(f"{folder}/out")
+
+def through_stream(samples: DataFrame, transform: Callable[[DataFrame], DataFrame], files: int = 8) -> DataFrame:
+    """``transform`` applied to ``samples`` as a stream of micro-batches; a last row without position ends each channel."""
+    rows = kept(samples.select("stream_id", "ch", "n", "v"))
+    ends = rows.select("stream_id", "ch").distinct().select("stream_id", "ch", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("v"))
+    return run_stream(rows, transform, "n", files, then=ends).select("stream_id", "ch", "n", "v")
 
 
 def run_stream(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], by: str, files: int = 8, then: DataFrame | None = None) -> DataFrame:
-    """``transform`` applied to ``rows`` as a stream of micro-batches, cut by ranges of ``by``; its output as a table.
+    """``transform`` applied to ``rows`` as a stream of micro-batches in the order of ``by`` (of ``epoch`` first, where there is one); its output as a table.
 
-    Rows of ``then`` come in a run of their own, when all others have been seen.
+    There are as many batches as the rows need (``ROWS_A_BATCH``), ``files`` files at least in all, and a batch comes when the one before it has
+    been seen. So a batch, and what waits in the state for items before it, stays as large as it is, whatever the table. Rows of ``then`` come in
+    the batch after the last one that has rows of their stream and epoch.
     """
     spark = rows.sparkSession
-    folder = shared_folder(spark)
-    schema, out = rows.schema, None
-    for part in (rows.repartitionByRange(files, by), then):
-        if part is not None:
-            part.write.mode("append").parquet(f"{folder}/in")
-            out = transform(spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(f"{folder}/in"))
-            _start(out, folder).awaitTermination()
+    folder, schema = shared_folder(spark), rows.schema
+    order = [c for c in ("epoch", by) if c in rows.columns]
+    count = max(-(-files // FILES_A_BATCH), -(-rows.count() // ROWS_A_BATCH))
+    batch = F.floor(F.spark_partition_id() / FILES_A_BATCH).cast("int")
+    rows.repartitionByRange(count * FILES_A_BATCH, *order).withColumn("batch_", batch).write.partitionBy("batch_").parquet(f"{folder}/staged")
+    staged = spark.read.schema(StructType([*schema, StructField("batch_", IntegerType())])).parquet(f"{folder}/staged")
+    if then is not None:
+        keys = [c for c in ("stream_id", "ch", "epoch") if c in rows.columns]
+        last = staged.groupBy(*keys).agg((F.max("batch_") + 1).alias("batch_"))
+        then.join(last, keys).select(*rows.columns, "batch_").repartition(FILES_A_BATCH, "batch_").write.partitionBy("batch_").parquet(f"{folder}/then")
+        staged = staged.unionByName(spark.read.schema(staged.schema).parquet(f"{folder}/then"))
+        count += 1
+    staged.where("false").drop("batch_").write.parquet(f"{folder}/in")
+    out = transform(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+    sink = out.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    query = sink.start()
+    try:
+        for i in range(count):
+            staged.where(F.col("batch_") == i).drop("batch_").write.mode("append").parquet(f"{folder}/in")
+            query.processAllAvailable()
+    finally:
+        query.stop()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(path)
-
-
-def _start(df: DataFrame, folder: str):
-    sink = df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-    return sink.trigger(availableNow=True).start()

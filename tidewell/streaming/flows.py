@@ -8,7 +8,7 @@ which has no position and says how an epoch ends:
 * ``discard``: at once; what the steps hold, what waits and what still comes of that epoch is dropped.
 
 State is kept by key in Spark's state store: the epoch, the next position and the steps' memories as one value, and a map of the items
-that wait for those before them, so that they are written once. Branches of a fork hold what they have given until all have; what one has more
+that wait for those before them, by stretches of ``STRETCH`` positions of an epoch, so that they are written and read many at a time. Branches of a fork hold what they have given until all have; what one has more
 than another when the epoch ends is dropped. All branches of a key are one state, so a fork is one shuffle.
 """
 
@@ -37,6 +37,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 SAMPLE_FLOW = "stream_id string, ch int, epoch bigint, n bigint, v double, control string, count bigint"
 PACKET_FLOW = "stream_id string, epoch bigint, seq bigint, data binary, control string, count bigint"
 ROWS = 4096
+#: Positions of an epoch whose waiting items are one entry of the state.
+STRETCH = 4096
+#: Runs of items that are handed on at once.
+SOME = 64
 
 
 @dataclass
@@ -46,7 +50,7 @@ class Branch:
     memories: list = field(default_factory=list)
     #: Items that each step has taken.
     taken: list = field(default_factory=list)
-    given: list = field(default_factory=list)
+    given: Any = field(default_factory=list)
 
 
 @dataclass
@@ -61,12 +65,12 @@ class Held:
 class Flow(StatefulProcessor):
     """The steps of all branches along one key's items."""
 
-    def __init__(self, branches: list[list[Step]], position: str, values: Callable[[pd.DataFrame], list], rows: Callable[[tuple, int, int, list[list]], pd.DataFrame], numbers: bool):
+    def __init__(self, branches: list[list[Step]], position: str, values: Callable[[pd.DataFrame], list], rows: Callable[[tuple, np.ndarray, np.ndarray, list], pd.DataFrame], numbers: bool):
         self.steps, self.position, self.values, self.rows, self.numbers = branches, position, values, rows, numbers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "data binary")
-        self.early = handle.getMapState("early", "epoch bigint, position bigint", "data binary")
+        self.early = handle.getMapState("early", "epoch bigint, stretch bigint", "data binary")
         self.controls = handle.getMapState("controls", "epoch bigint", "control string, count bigint")
 
     def close(self) -> None:
@@ -86,7 +90,7 @@ class Flow(StatefulProcessor):
             if end:
                 given.append(step.ending(branch.memories[k], branch.taken[k])[1])
             items = self.joined(given)
-        branch.given += list(items)
+        branch.given = self.joined([branch.given, items])
 
     def joined(self, parts: list) -> Any:
         if self.numbers:
@@ -105,70 +109,121 @@ class Flow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = pickle.loads(self.held.get()[0]) if self.held.exists() else self.fresh(0)
-        got = pd.concat(list(rows), ignore_index=True)
-        told = got[got["control"].notna()]
-        for epoch, control, count in zip(told["epoch"].tolist(), told["control"], told["count"]):
-            if epoch >= held.epoch:
-                self.controls.updateValue((int(epoch),), (control, None if pd.isna(count) else int(count)))
-        items = got[got["control"].isna()].sort_values(["epoch", self.position], kind="stable")
-        items = items.drop_duplicates(["epoch", self.position])
-        by_epoch = {int(e): part for e, part in items.groupby("epoch") if e >= held.epoch}
-        ended = False
+        fresh, told = self.sorted_in(held, pd.concat(list(rows), ignore_index=True))
+        waiting = {tuple(k) for k in self.early.keys()} if self.early.exists() else set()
+        stored = {k[0]: tuple(v) for k, v in self.controls.iterator()} if self.controls.exists() else {}
+        controls = stored | told
+        made, ended = [], False
         while not ended:
-            # this epoch's new items from its next position on, runs of them at once, and those that waited
-            part = by_epoch.pop(held.epoch, None)
-            places = part[self.position].to_numpy().astype(np.int64) if part is not None else np.zeros(0, np.int64)
-            values = self.values(part) if part is not None else []
+            # this epoch's items, a stretch at a time: the new ones and those that waited, as far as they follow one another
+            places, values = fresh.pop(held.epoch, (np.zeros(0, np.int64), []))
             at = int(np.searchsorted(places, held.next))
             while True:
-                run = int((places[at:] == held.next + np.arange(len(places) - at)).cumprod().sum())
+                stretch = held.next // STRETCH
+                stop = int(np.searchsorted(places, (stretch + 1) * STRETCH))
+                p, v = self.met(waiting, (held.epoch, stretch), places[at:stop], values[at:stop])
+                at, first = stop, int(np.searchsorted(p, held.next))
+                p, v = p[first:], v[first:]
+                run = int((p == held.next + np.arange(len(p))).cumprod().sum())
                 if run:
-                    yield from self.emit(key, held, self.feed(held, values[at : at + run]))
-                    held.next, at = held.next + run, at + run
-                    continue
-                waited = []
-                while self.early.containsKey((held.epoch, held.next + len(waited))):
-                    place = (held.epoch, held.next + len(waited))
-                    waited.append(pickle.loads(self.early.getValue(place)[0]))
-                    self.early.removeKey(place)
-                if not waited:
+                    made += self.given(held, self.feed(held, v[:run]))
+                    held.next += run
+                self.wait(waiting, held.epoch, p[run:], v[run:])
+                if held.next < (stretch + 1) * STRETCH:
                     break
-                yield from self.emit(key, held, self.feed(held, np.array(waited, float) if self.numbers else waited))
-                held.next += len(waited)
-                at = int(np.searchsorted(places, held.next))
-            control, count = self.controls.getValue((held.epoch,)) if self.controls.containsKey((held.epoch,)) else (None, None)
+                if len(made) >= SOME:
+                    yield from self.emit(key, made)
+                    made = []
+            control, count = controls.get(held.epoch, (None, None))
             if control == "discard" or control is not None and count == held.next:
                 if control != "discard":
-                    yield from self.emit(key, held, self.feed(held, [], end=True))
-                self.controls.removeKey((held.epoch,))
-                self.drop(held.epoch, held.next)
+                    made += self.given(held, self.feed(held, [], end=True))
+                controls.pop(held.epoch)
+                if held.epoch in stored:
+                    self.controls.removeKey((held.epoch,))
+                for place in [w for w in waiting if w[0] == held.epoch]:
+                    self.early.removeKey(place)
+                    waiting.discard(place)
                 ended = control == "end"
                 held = self.fresh(held.epoch + 1)
+                if len(made) >= SOME:
+                    yield from self.emit(key, made)
+                    made = []
                 continue
-            for place, value in zip(places[at:].tolist(), values[at:]):
-                self.early.updateValue((held.epoch, place), (pickle.dumps(value),))
-            for epoch, part in by_epoch.items():
-                for place, value in zip(part[self.position].tolist(), self.values(part)):
-                    self.early.updateValue((epoch, int(place)), (pickle.dumps(value),))
+            self.wait(waiting, held.epoch, places[at:], values[at:])
             break
+        yield from self.emit(key, made)
         if ended:
             self.held.clear()
             self.early.clear()
             self.controls.clear()
         else:
+            for epoch, (places, values) in fresh.items():
+                self.wait(waiting, epoch, places, values)
+            for epoch, told_ in controls.items():
+                if stored.get(epoch) != told_:
+                    self.controls.updateValue((epoch,), told_)
             self.held.update((pickle.dumps(held),))
 
-    def drop(self, epoch: int, at: int) -> None:
-        """Forget what waits of an epoch that is over."""
-        if self.early.exists():
-            for place in [p for p in self.early.keys() if p[0] == epoch]:
-                self.early.removeKey(place)
-
-    def emit(self, key, held: Held, out: list[list]) -> Iterator[pd.DataFrame]:
+    def sorted_in(self, held: Held, got: pd.DataFrame) -> tuple[dict, dict]:
+        """New items by epoch, as (positions, values) in order, and new controls; what is over is left out."""
+        is_told = got["control"].notna().to_numpy()
+        told = got[is_told]
+        controls = {
+            int(epoch): (control, None if pd.isna(count) else int(count))
+            for epoch, control, count in zip(told["epoch"].tolist(), told["control"], told["count"])
+            if epoch >= held.epoch
+        }
+        items = got[~is_told & (got["epoch"] >= held.epoch).to_numpy()]
+        epochs, places = (items[c].to_numpy().astype(np.int64) for c in ("epoch", self.position))
+        order = np.lexsort((places, epochs))
+        epochs, places = epochs[order], places[order]
+        once = np.ones(len(order), bool)
+        once[1:] = (epochs[1:] != epochs[:-1]) | (places[1:] != places[:-1])
+        epochs, places = epochs[once], places[once]
+        values = self.values(items.iloc[order[once]])
+        firsts = np.flatnonzero(np.append(True, epochs[1:] != epochs[:-1])) if len(epochs) else np.zeros(0, np.int64)
+        ends = [*firsts[1:].tolist(), len(epochs)]
+        return {int(epochs[a]): (places[a:b], values[a:b]) for a, b in zip(firsts.tolist(), ends)}, controls
+
+    def met(self, waiting: set, place: tuple[int, int], places: np.ndarray, values: Any) -> tuple[np.ndarray, Any]:
+        """Items of a stretch with those that waited, which are taken out of the state."""
+        if place not in waiting:
+            return places, values
+        early, early_values = pickle.loads(self.early.getValue(place)[0])
+        self.early.removeKey(place)
+        waiting.discard(place)
+        if not len(places):
+            return early, early_values
+        both, values = np.concatenate([early, places]), self.joined([early_values, values])
+        both, order = np.unique(both, return_index=True)
+        return both, values[order] if self.numbers else [values[i] for i in order.tolist()]
+
+    def wait(self, waiting: set, epoch: int, places: np.ndarray, values: Any) -> None:
+        """Keep items for later, a stretch an entry."""
+        at = 0
+        while at < len(places):
+            stretch = int(places[at]) // STRETCH
+            stop = int(np.searchsorted(places, (stretch + 1) * STRETCH))
+            entry = self.met(waiting, (epoch, stretch), places[at:stop], values[at:stop])
+            self.early.updateValue((epoch, stretch), (pickle.dumps(entry),))
+            waiting.add((epoch, stretch))
+            at = stop
+
+    def given(self, held: Held, out: list) -> list[tuple]:
+        """What an epoch gives, as (epoch, positions, the branches' values)."""
         n = len(out[0])
-        for at in range(0, n, ROWS):
-            yield self.rows(key, held.epoch, held.released + at, [b[at : at + ROWS] for b in out])
         held.released += n
+        return [(held.epoch, np.arange(held.released - n, held.released, dtype=np.int64), out)] if n else []
+
+    def emit(self, key, made: list[tuple]) -> Iterator[pd.DataFrame]:
+        if not made:
+            return
+        epochs = np.concatenate([np.full(len(p), e, np.int64) for e, p, _ in made])
+        places = np.concatenate([p for _, p, _ in made])
+        out = [self.joined([o[k] for _, _, o in made]) for k in range(len(self.steps))]
+        for at in range(0, len(places), ROWS):
+            yield self.rows(key, epochs[at : at + ROWS], places[at : at + ROWS], [b[at : at + ROWS] for b in out])
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -190,9 +245,8 @@ def fork_join(samples: DataFrame, branches: list[list[Step]], reducer: Reducer,
     if not branches:
         raise InvalidData("a fork needs one branch at least")
 
-    def rows(key, epoch, first, out):
-        n = len(out[0])
-        return pd.DataFrame({"stream_id": key[0], "ch": np.int32(key[1]), "epoch": np.int64(epoch), "n": np.arange(first, first + n, dtype=np.int64), "vs": [list(map(float, vs)) for vs in zip(*out)]})
+    def rows(key, epochs, places, out):
+        return pd.DataFrame({"stream_id": key[0], "ch": np.int32(key[1]), "epoch": epochs, "n": places, "vs": np.column_stack(out).tolist()})
 
     flow = Flow(branches, "n", lambda part: part["v"].to_numpy(float), rows, numbers=True)
     met = _run(samples, ["stream_id", "ch"], flow, "stream_id string, ch int, epoch bigint, n bigint, vs array<double>")
@@ -208,8 +262,8 @@ def chain(samples: DataFrame, steps: list[Step]) -> DataFrame:
 def packets(stream: DataFrame, steps: list[Step]) -> DataFrame:
     """stream_id, epoch, seq, data: ``PACKET_FLOW`` rows through steps whose kernels take and give lists of bytes."""
 
-    def rows(key, epoch, first, out):
-        return pd.DataFrame({"stream_id": key[0], "epoch": np.int64(epoch), "seq": np.arange(first, first + len(out[0]), dtype=np.int64), "data": out[0]})
+    def rows(key, epochs, places, out):
+        return pd.DataFrame({"stream_id": key[0], "epoch": epochs, "seq": places, "data": out[0]})
 
     flow = Flow([steps], "seq", lambda part: part["data"].tolist(), rows, numbers=False)
     return _run(stream, ["stream_id"], flow, "stream_id string, epoch bigint, seq bigint, data binary")
@@ -284,8 +338,8 @@ def frames(stream: DataFrame, steps: list[Step]) -> DataFrame:
     def values(part: pd.DataFrame) -> list:
         return [{k: None if k == "pts" and pd.isna(v) else _plain(v) for k, v in zip(fields, row)} for row in zip(*(part[c].tolist() for c in fields))]
 
-    def rows(key, epoch, first, out):
-        made = [{"stream_id": key[0], "seq": first + i} | f | {"epoch": epoch} for i, f in enumerate(out[0])]
+    def rows(key, epochs, places, out):
+        made = [{"stream_id": key[0], "seq": seq} | f | {"epoch": epoch} for epoch, seq, f in zip(epochs.tolist(), places.tolist(), out[0])]
         pdf = pd.DataFrame(made)
         pdf["pts"] = pdf["pts"].astype("Int64")
         return pdf[["stream_id", "seq", *fields, "epoch"]]
