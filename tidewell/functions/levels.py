@@ -21,7 +21,8 @@ def db_to_lin(db: Column) -> Column:
 
 
 def lin_to_db(x: Column) -> Column:
-    return F.log10(x) * 20.0
+    """Silence is minus infinity and a negative value no number, where Spark's logarithm gives null for both."""
+    return F.when(x > 0, F.log10(x) * 20.0).when(x == 0, float("-inf")).when(x < 0, float("nan"))
 
 
 def time_coefficient(seconds: float, sample_rate: float) -> float:
