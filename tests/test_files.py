@@ -234,3 +234,11 @@ def test_totals_before_equal_running_sums(spark, monkeypatch):
     for r in got:
         before = data[r.stream_id][: r.seq]
         assert (r.p, r.q, r.last) == (sum(x for x, _ in before), sum(y for _, y in before), r.seq == len(data[r.stream_id]) - 1)
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "f").write_bytes(bytes(100_000))
+    found, tasks, whole = storage.ranges(spark, str(tmp_path / "f"), 100)
+    assert found.count() == 1000 and not whole
+    assert tasks == found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert storage.tasks_for(spark, 900_000, 15 << 30) == (15 << 30) // storage.TASK_BYTES and storage.tasks_for(spark, 2, 32 << 20) == 2

@@ -82,7 +82,8 @@ def read_wav(spark: SparkSession, path: str, chunk_samples: int = CHUNK_SAMPLES,
     if not storage.opens(path):
         return looked.withColumn("first", F.lit(0).cast("bigint")).withColumn("last", total).mapInPandas(run, FRAMES)
     step = F.greatest(F.lit(1), F.floor(split / (frame * chunk_samples)))
-    n = looked.agg(F.sum(F.ceil(total / step))).first()[0] or 1
+    n, length = looked.agg(F.sum(F.ceil(total / step)), F.sum("size")).first()
+    n = storage.tasks_for(spark, n or 1, length or 0)
     firsts = F.explode(F.sequence(F.lit(0).cast("bigint"), total - 1, step))
     cuts = looked.where(total > 0).withColumn("first", firsts).withColumn("last", F.least(F.col("first") + step, total))
     return storage.spread(cuts, n, "stream_id", "first").mapInPandas(run, FRAMES)

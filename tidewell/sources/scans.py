@@ -17,7 +17,6 @@ import struct
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,8 +27,8 @@ from tidewell.model import PACKETS
 from tidewell.sources.containers import MP3_BITRATES, MP3_RATES, id3_size, ogg_crc
 from tidewell.sources.storage import SPLIT, Bytes, ranges, spread
 
-#: Packets that a task hands on at once.
-ROWS = 256
+#: Packets that a task hands on at once, and bytes beyond which it hands on fewer.
+ROWS, ROWS_BYTES = 4096, 1 << 20
 PASSAGES = "stream_id string, length bigint, first bigint, last bigint, start bigint, at array<bigint>, leaves array<bigint>, packets array<bigint>, samples array<bigint>"
 ENTRIES = "stream_id string, length bigint, first bigint, last bigint, entry bigint, packets bigint, samples bigint"
 
@@ -282,23 +281,35 @@ def read_packets(spark: SparkSession, path: str, kind: Format, split: int = SPLI
                     rows.append((stream_id, length, first, last, kind.start(data), *passages(kind.units(data, first, last), first, last, kind.most)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PASSAGES.split(", ")])
 
+    def packets(pdf):
+        content = pdf["content"] if "content" in pdf else [None] * len(pdf)
+        for stream_id, length, last, entry, before, samples, whole in zip(*(pdf[c].tolist() for c in ("stream_id", "length", "last", "entry", "packets", "samples")), content):
+            with Bytes(stream_id, length, whole) as data:
+                if entry < 0:
+                    entry = kind.start(data)
+                for seq, body, den, pts, k in kind.packets(data, entry, last, before, samples):
+                    if seq >= skip:
+                        yield stream_id, seq - skip, body, den, pts, k
+
     def follow(batches):
         for pdf in batches:
-            content = pdf["content"] if "content" in pdf else [None] * len(pdf)
-            for stream_id, length, last, entry, before, samples, whole in zip(*(pdf[c].tolist() for c in ("stream_id", "length", "last", "entry", "packets", "samples")), content):
-                with Bytes(stream_id, length, whole) as data:
-                    if entry < 0:
-                        entry = kind.start(data)
-                    rows = (
-                        {"stream_id": stream_id, "seq": seq - skip, "data": body, "time_base": {"num": 1, "den": den}, "pts": pts, "dts": pts, "duration": k if durations else None, "flags": 0}
-                        for seq, body, den, pts, k in kind.packets(data, entry, last, before, samples)
-                        if seq >= skip
-                    )
-                    while part := list(islice(rows, ROWS)):
-                        out = pd.DataFrame(part)
-                        for c in ("pts", "dts", "duration"):
-                            out[c] = out[c].astype("Int64")
-                        yield out
+            # ranges may be short, so rows are handed on across them
+            part, size = [], 0
+            for row in packets(pdf):
+                part.append(row)
+                size += len(row[2])
+                if len(part) >= ROWS or size >= ROWS_BYTES:
+                    yield made(part)
+                    part, size = [], 0
+            if part:
+                yield made(part)
+
+    def made(part):
+        stream_id, seq, body, den, pts, k = zip(*part)
+        pts = pd.array(pts, dtype="Int64")
+        return pd.DataFrame(
+            {"stream_id": stream_id, "seq": seq, "data": body, "time_base": [{"num": 1, "den": d} for d in den], "pts": pts, "dts": pts, "duration": pd.array(k if durations else [None] * len(k), dtype="Int64"), "flags": 0}
+        )
 
     if whole:
         return found.selectExpr("stream_id", "length", "last", "-1L entry", "0L packets", "0L samples", "content").mapInPandas(follow, PACKETS)

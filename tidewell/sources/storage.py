@@ -23,6 +23,8 @@ from tidewell.model import InvalidData, InvalidState
 
 #: Bytes of a range that a task reads at once.
 SPLIT = 16 << 20
+#: Bytes of ranges that a task takes at least, where there are more ranges than cores; short ranges are dealt many to a task.
+TASK_BYTES = 4 << 20
 #: Tasks that share the ranges of a scan, at most.
 MOST_TASKS = 20_000
 #: Bytes that a writer gathers before it writes.
@@ -114,19 +116,25 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("path").alias("stream_id"), "length", content.alias("content"))
 
 
+def tasks_for(spark: SparkSession, n: int, size: int) -> int:
+    """Tasks for ``n`` ranges of ``size`` bytes in all."""
+    return min(n, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
 def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     """Small rows that each stand for much work, dealt to ``n`` tasks."""
     return rows.repartition(max(1, min(n, MOST_TASKS)), *keys)
 
 
 def ranges(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[DataFrame, int, bool]:
-    """Ranges (``RANGES``) of ``split`` bytes of all files, how many there are, and whether they are whole files that Spark's reader brings."""
+    """Ranges (``RANGES``) of ``split`` bytes of all files, how many tasks share them, and whether they are whole files that Spark's reader brings."""
     if split < 1:
         raise InvalidData("a range holds one byte at least")
     found = files(spark, path)
     if not opens(path):
         return found.select("stream_id", "length", F.lit(0).cast("bigint").alias("first"), F.col("length").alias("last"), "content"), 1, True
-    n = found.agg(F.sum(F.greatest(F.ceil(F.col("length") / split), F.lit(1)))).first()[0] or 1
+    n, size = found.agg(F.sum(F.greatest(F.ceil(F.col("length") / split), F.lit(1))), F.sum("length")).first()
+    n = tasks_for(spark, n or 1, size or 0)
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("bigint"))
     cuts = found.select("stream_id", "length", F.explode(starts).alias("first"), "content")
     return spread(cuts.select("stream_id", "length", "first", F.least(F.col("first") + split, F.col("length")).alias("last"), "content"), n, "stream_id", "first"), n, False
