@@ -40,6 +40,19 @@ def test_a_restarted_stream_reads_each_message_once(spark, tmp_path):
     assert batch.count() == 7 and batch.rdd.getNumPartitions() == 7
 
 
+def test_a_batch_has_a_bounded_number_of_parts(tmp_path, monkeypatch):
+    put(tmp_path / "a.cap", framed(*[b"%04d" % i for i in range(1000)]))
+    put(tmp_path / "b.cap", framed(*[b"x"] * 10))
+    monkeypatch.setattr(messages, "MOST_PARTS", 16)
+    stream = messages.MessageStream({"path": str(tmp_path), "split": "8"})
+    end = stream.latestOffset()
+    for reader in (stream, messages.MessageStream({"path": str(tmp_path), "split": "8"})):  # one that has met the borders, one that has not
+        parts = reader.partitions({}, end)
+        assert len(parts) <= 18
+        rows = [(os.path.basename(path), seq, bytes(data)) for p in parts for path, seq, data in reader.read(p)]
+        assert rows == [("a.cap", i, b"%04d" % i) for i in range(1000)] + [("b.cap", i, b"x") for i in range(10)]
+
+
 def test_every_sink_takes_a_batch_once_though_one_fails(spark, tmp_path):
     for i in range(3):
         spark.range(i * 10, i * 10 + 10).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")

@@ -6,6 +6,7 @@ bytes and messages have been read, always at a message's border, so a query that
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +17,9 @@ from tidewell.model import InvalidData
 from tidewell.sources.storage import SPLIT, Bytes, matching, taker
 
 #: Bytes read at once in search of lengths.
-LOOK = 1 << 16
+LOOK = 1 << 20
+#: Parts of a batch at most: where there is more, parts are larger.
+MOST_PARTS = 256
 MESSAGES = "stream_id string, seq bigint, data binary"
 
 
@@ -55,6 +58,8 @@ class MessageStream(DataSourceStreamReader):
         self.path = options["path"]
         self.split = int(options.get("split", SPLIT))
         self.known: dict[str, dict[str, int]] = {}
+        #: Borders that have been met on the way to the known ends, about a split apart.
+        self.marks: dict[str, list[tuple[int, int]]] = {}
 
     def initialOffset(self) -> dict:
         return {}
@@ -64,18 +69,33 @@ class MessageStream(DataSourceStreamReader):
         for path, size in matching(self.path):
             k = self.known.get(path, {"at": 0, "seq": 0})
             if size > k["at"]:
-                at, seq = borders(path, k["at"], k["seq"], size, size)[-1]
-                self.known[path] = {"at": at, "seq": seq}
+                met = borders(path, k["at"], k["seq"], size, self.split)
+                self.marks.setdefault(path, [(k["at"], k["seq"])]).extend(met[1:])
+                self.known[path] = dict(zip(("at", "seq"), met[-1]))
         return {path: dict(k) for path, k in self.known.items() if k["at"]}
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
+        sinces = {path: start.get(path, {"at": 0, "seq": 0}) for path in end}
+        every = max(self.split, sum(to["at"] - sinces[path]["at"] for path, to in end.items()) // MOST_PARTS)
         out = []
         for path, to in sorted(end.items()):
-            since = start.get(path, {"at": 0, "seq": 0})
-            marks = borders(path, since["at"], since["seq"], to["at"], self.split)
-            out += [Part(path, at, until, seq) for (at, seq), (until, _) in zip(marks, marks[1:])]
+            first, last = ((p["at"], p["seq"]) for p in (sinces[path], to))
+            marks = self.between(path, first, last)
+            taken = [marks[0]]
+            for mark in marks[1:]:
+                if mark[0] - taken[-1][0] >= every or mark == last:
+                    taken.append(mark)
+            out += [Part(path, at, until, seq) for (at, seq), (until, _) in zip(taken, taken[1:])]
         return out
 
+    def between(self, path: str, first: tuple[int, int], last: tuple[int, int]) -> list[tuple[int, int]]:
+        """Borders from one to another, both included; a reader that has not met them looks for them."""
+        met = self.marks.get(path, [])
+        a, b = bisect_left(met, first), bisect_left(met, last)
+        if a < len(met) and met[a] == first and b < len(met) and met[b] == last:
+            return met[a : b + 1]
+        return borders(path, *first, last[0], self.split)
+
     def read(self, partition: Part):
         with Bytes(partition.path, partition.end) as data:
             take = taker(data, partition.at)
