@@ -22,6 +22,8 @@ from tidewell.model import AudioFormat, InvalidData, delay_samples, resampled_le
 from tidewell.operators.framing import BLOCK, samples_to_frames, with_halo
 
 SCHEMA = "stream_id string, ch int, n bigint, v double"
+#: Samples of a block of a filter in parts, at least.
+PART_SAMPLES = 1 << 14
 #: Taps up to which a filter is a sum of shifted columns; more are a convolution of arrays.
 FEW_TAPS = 16
 
@@ -107,23 +109,26 @@ def fir(samples: DataFrame, taps, sample_type: str = "f64", block: int = BLOCK)
 def fir_in_parts(samples: DataFrame, h: np.ndarray, size: int) -> DataFrame:
     """Convolution with more taps than a block holds: taps in parts of ``size``, each a filter of the signal moved up by the taps before it.
 
-    A task holds two blocks of one part, whatever the number of taps; what the parts give at a position is summed, partially before it moves.
+    A task holds a block of one part and what it looks back on, whatever the number of taps; what the parts give at a position is summed, partially
+    before it moves. Blocks hold ``PART_SAMPLES`` at least, however short the parts are.
     """
+    wide = max(size, PART_SAMPLES)
     parts = F.explode(F.sequence(F.lit(0), F.lit((len(h) - 1) // size))).alias("part_")
     moved = samples.select("stream_id", "ch", "n", "v", parts).withColumn("n", F.col("n") + F.col("part_") * size)
-    blocks = with_halo(moved, size - 1, block=size)
+    blocks = with_halo(moved, size - 1, block=wide)
     schema = f"{SCHEMA}, own bigint"
 
     def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         part = int(pdf["part_"].iloc[0])
-        at = int(pdf["block_"].iloc[0]) * size
-        line = np.zeros(2 * size - 1)
+        at = int(pdf["block_"].iloc[0]) * wide
+        line = np.zeros(wide + size - 1)
         line[pdf["n"].to_numpy() - at + size - 1] = pdf["v"].to_numpy()
         kernel = h[part * size : (part + 1) * size]
-        n = 1 << (2 * size + len(kernel)).bit_length()
-        y = np.fft.irfft(np.fft.rfft(line, n) * np.fft.rfft(kernel, n), n)[size - 1 : 2 * size - 1]
-        out = pd.DataFrame({"n": np.arange(at, at + size), "v": y})
+        n = 1 << (wide + size + len(kernel)).bit_length()
+        y = np.fft.irfft(np.fft.rfft(line, n) * np.fft.rfft(kernel, n), n)[size - 1 : wide + size - 1]
+        last = int(pdf["n"].iloc[-1]) - at + size  # nothing is given beyond what the block's samples reach
+        out = pd.DataFrame({"n": np.arange(at, at + wide), "v": y})[:last]
         # the first part's own samples say how long the channel is
         out["own"] = np.isin(out["n"], pdf["n"][pdf["own_"]]).astype(np.int64) if part == 0 else 0
         return out.assign(stream_id=pdf["stream_id"].iloc[0], ch=pdf["ch"].iloc[0])[["stream_id", "ch", "n", "v", "own"]]
