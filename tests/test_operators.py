@@ -411,3 +411,34 @@ def test_formats_and_streams(spark):
     assert all(r.n == r.id // 3 for r in numbered.collect())
     stereo = processors.mix_channels(signal(spark, [[1, 2]]), 1, 2)
     assert stereo.count() == 4 and values(processors.mix_channels(stereo, 2, 1))["s0"] == [1, 2]
+
+
+def test_short_parts_of_a_filter_share_blocks(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=500)
+    table = spark.createDataFrame([("s", 0, n, float(v)) for n, v in enumerate(x)], "stream_id string, ch int, n bigint, v double")
+    h = np.array(processors.check_coefficients([1 / (k + 1) for k in range(40)], "taps"))
+    for block in (64, 1 << 14):
+        monkeypatch.setattr(processors, "PART_SAMPLES", block)
+        got = {r.n: r.v for r in processors.fir(table, h, block=16).collect()}
+        assert len(got) == 500 and np.allclose([got[n] for n in range(500)], np.convolve(x, h)[:500], atol=1e-9)
+    blocks = []
+    monkeypatch.setattr(processors, "with_halo", lambda *a, **k: blocks.append(k["block"]) or framing.with_halo(*a, **k))
+    processors.fir(table, h, block=16)
+    assert blocks == [1 << 14]
+
+
+@pytest.mark.parametrize("name, moves", [("resample_frames", 1), ("delay_frame_sizes", 2)])
+def test_lines_of_orders_move_once(spark, name, moves):
+    from tidewell import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.rindex("Initial Plan") :] if "Initial Plan" in plan else plan
+    assert len([line for line in initial.splitlines() if "Exchange" in line]) == moves
+
+
+def test_tasks_grow_with_lines(spark, monkeypatch):
+    from tidewell import catalog
+
+    monkeypatch.setattr(catalog, "TASK_LINES", 100)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert catalog.order_frames(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-lines // 100)

@@ -143,10 +143,15 @@ def samples_to_frames(samples: DataFrame, fmt: AudioFormat, size: int, tail: str
     )
 
 
-def pts_breaks(frames: DataFrame) -> DataFrame:
-    """``frames`` with ``continues``: whether the time stamp is where the frame before it ended (the first: whether it has one)."""
+def pts_breaks(frames: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``frames`` with ``continues``: whether the time stamp is where the frame before it ended (the first: whether it has one).
+
+    ``tasks``: how many share the runs of frames, where it is not the session's number of shuffle partitions.
+    """
     # the frame before is in the same run, or the last of the runs before
     d = frames.withColumn("run_", F.floor(F.col("seq") / RUN)).withColumn("ends_", F.struct("seq", (F.col("pts") + F.col("nb_samples")).alias("at")))
+    if tasks is not None:
+        d = d.repartition(tasks, "stream_id", "run_")
     runs = d.groupBy("stream_id", "run_").agg(F.max("ends_").alias("own_"))
     earlier = Window.partitionBy("stream_id").orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("before_", F.max("own_").over(earlier)).drop("own_")
