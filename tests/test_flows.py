@@ -186,3 +186,18 @@ def test_a_table_becomes_as_many_batches_in_order_as_it_needs(spark, tmp_path, m
     assert sorted((r.ch, r.epoch, r.n, r.v) for r in out.collect()) == want
     done = [f for f in (tmp_path / "run" / "checkpoint" / "commits").iterdir() if f.name.isdigit()]
     assert len(done) >= 5  # four batches of about a hundred rows, and the last discards
+
+
+def test_samples_become_as_many_batches_in_order_as_they_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "ROWS_A_BATCH", 100)
+    folders = iter(("kept", "run"))
+    monkeypatch.setattr(batches, "shared_folder", lambda s: str(tmp_path / next(folders)))
+    rows = [("s", c, n, float(n + c)) for c in range(2) for n in range(195)]
+    random.Random(4).shuffle(rows)
+    out = batches.through_stream(spark.createDataFrame(rows, "stream_id string, ch int, n bigint, v double"), lambda s: stateful.rechunk(s, 50, "pad"))
+    want = sorted([r[1:] for r in rows] + [(c, n, 0.0) for c in range(2) for n in range(195, 200)])
+    assert sorted((r.ch, r.n, r.v) for r in out.collect()) == want
+    done = [f for f in (tmp_path / "run" / "checkpoint" / "commits").iterdir() if f.name.isdigit()]
+    assert len(done) >= 5  # four batches of about a hundred rows, and the ends
+    for k in range(4):
+        assert spark.read.parquet(f"{tmp_path}/run/staged/batch_={k}").count() < 200
