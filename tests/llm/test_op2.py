@@ -81,3 +81,19 @@ def test_sample_is_bounded_where_ids_repeat(spark):
         assert len({r.text for r in got}) == len(got)
     rows = training_sample(docs.repartition(7), labels, "toxic", 10_000).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, got))
+
+
+def test_units_of_many_documents_are_held_once():
+    import tracemalloc
+
+    import pandas as pd
+
+    words = [f"w{k:07d}" for k in range(400)]
+    batch = pd.DataFrame({"text": [" ".join(words)] * 300, "label": [1, 0, 0] * 100})
+    tracemalloc.start()
+    got = pd.concat(list(op.document_counts(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
+    assert set(got["unit"]) == {u for w in words for u in op.units_of(w)} and len(got) == got["unit"].nunique()
+    assert set(got["toxic"]) == {100} and set(got["clean"]) == {200}

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewell.llm import shared
@@ -34,3 +35,9 @@ def test_cut_tables_can_be_forgotten(spark):
     assert d.agg(F.sum("id")).first()[0] == 3 and os.path.isdir(d.tidewell_path)
     shared.forget(d)
     assert not os.path.exists(d.tidewell_path)
+
+
+def test_portions_are_bounded_and_whole():
+    batches = [pd.DataFrame({"x": range(a, a + n)}) for a, n in ((0, 2500), (2500, 0), (2500, 7))]
+    got = list(shared.portions(iter(batches), 1000))
+    assert [len(p) for p in got] == [1000, 1000, 500, 7] and [x for p in got for x in p["x"]] == list(range(2507))
