@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -111,3 +112,17 @@ def test_added_tokens_are_those_of_the_plain_call(spark):
         ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [1]
         assert r.doc_tokens == len(ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_what_a_worker_holds_is_bounded():
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choices("abcdefghijklmnop", k=9)) for _ in range(300)) for _ in range(1_000)]
+    cache = op.PieceCache(_json())
+    tracemalloc.start()
+    try:
+        for _ in op.encoded_texts(texts, cache):
+            pass
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 40e6 and peak < 65e6, (held, peak)
